@@ -109,12 +109,19 @@ change_feed AS (
 
 
 def with_domain(body: str, extra_ctes: str = "") -> str:
-    ctes = DOMAIN_CTES.strip()
+    from scorecast.sources.batches import BATCH_SQL
+    ctes = DOMAIN_CTES.strip() + ",\n" + BATCH_SQL.strip()
     if extra_ctes.strip():
         ctes += ",\n" + extra_ctes.strip()
     return f"WITH {ctes}\n{body.strip()}"
 
 
+FIXTURE_VIEW_SQL = ("match_num, home_team, away_team, home_score, away_score, completed, start_time, "
+                    "strftime(start_time, '%Y-%m-%d') AS game_date, strftime(start_time, '%H:%M:%S') AS game_time")
+NEXT_DAY_SQL = ("(SELECT min(CAST(start_time AS DATE)) FROM fixtures "
+                "WHERE CAST(start_time AS DATE) >= DATE '2000-07-01')")
+
+
 def leaderboard_view_sql(board: str = "leaderboard", preds: str = "predictions") -> str:
     """L5 over arbitrary board/prediction relations (used by several oracle keys)."""
     return f"""
