@@ -1 +1,59 @@
-"""Queries registered in later milestones."""
+"""Streaming queries (T1-T4). Each drains a file source built from the given tables with
+``availableNow`` and returns its final state as a batch DataFrame; the oracle is the
+batch twin's SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scorecast.operators import predictions as R
+from scorecast.plans import q_predictions, q_scoring, q_users  # noqa: F401  (oracle keys)
+from scorecast.plans.registry import ORACLE, query
+from scorecast.sources import batches
+from scorecast.streaming import jobs
+
+CHUNKS = 4
+
+
+@query("stream_results", ORACLE["leaderboard_incremental"])
+def q_stream_results(t):
+    """Results arrive in micro-batches; the final leaderboard equals the batch twin."""
+    _, _, board = jobs.stream_results(t.spark, t.fixtures, t.predictions, t.leaderboard, batches.results(t),
+                                      t.as_of, CHUNKS)
+    return board.final()
+
+
+@query("stream_predictions", ORACLE["create_predictions"])
+def q_stream_predictions(t):
+    """The create batch as a stream with dead letters; final accepted rows."""
+    req = batches.create_requests(t)
+    chunk = F.abs(F.hash("user_id", "group_id", "fixture_id")) % CHUNKS
+    accepted, _ = jobs.stream_predictions(t.spark, req, t.fixtures, t.users, t.groups, chunk, list(range(CHUNKS)))
+    rows = accepted.final().select(
+        R.pid_of("user_id", "group_id", "fixture_id").alias("pid"), *R.KEY, "pred_home_score", "pred_away_score",
+        "prediction_time", F.lit(False).alias("locked"), F.lit(None).cast("bigint").alias("points_earned"))
+    return R.with_fixture(rows, t.fixtures)
+
+
+@query("stream_user_counters", ORACLE["user_counters"])
+def q_stream_user_counters(t):
+    """The change feed in seq order, cut into micro-batches; final counters."""
+    cf = t.change_feed
+    top = cf.select(F.max("seq")).first()[0]
+    size = (int(top or 0) + CHUNKS) // CHUNKS
+    chunk = F.floor(F.col("seq") / F.lit(size)).cast("int")
+    return jobs.stream_user_counters(t.spark, cf, chunk, list(range(CHUNKS))).final()
+
+
+@query("stream_locks", ORACLE["lock_predictions"])
+def q_stream_locks(t):
+    """T4: fixture start (up to the lock time) and completion events lock predictions."""
+    fx = t.fixtures
+    starts = fx.filter(F.col("start_time") <= F.lit(q_scoring.LOCK_AS_OF).cast("timestamp_ntz")).select(
+        F.col("match_num").alias("fixture_id"), F.col("start_time").alias("event_time"))
+    done = fx.filter(F.col("completed")).select(F.col("match_num").alias("fixture_id"),
+                                                F.col("start_time").alias("event_time"))
+    events = starts.unionByName(done)
+    years = fx.select(F.min(F.year("start_time")), F.max(F.year("start_time"))).first()
+    chunk = F.year("event_time")
+    return jobs.stream_locks(t.spark, t.predictions, events, chunk, list(range(years[0], years[1] + 1))).final()
