@@ -23,7 +23,7 @@ def query(key: str, oracle: str | None = None):
     def deco(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ensure_session_defaults(spark)
-            return fn(Tables(spark, sf_dir))
+            return fn(Tables.for_dir(spark, sf_dir))
 
         run.__name__ = f"q_{key}"
         run.__doc__ = fn.__doc__

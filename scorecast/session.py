@@ -84,3 +84,28 @@ def new_scratch_path(spark: SparkSession, name: str) -> str:
     if "://" not in path:
         os.makedirs(os.path.dirname(path), exist_ok=True)
     return path
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def path_committed(spark: SparkSession, path: str) -> bool:
+    """True when a Spark write to ``path`` finished (its _SUCCESS marker exists)."""
+    fs, p = _hadoop_path(spark, path)
+    return bool(fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def path_signature(spark: SparkSession, path: str) -> str:
+    """Length and modification time of a file or folder (changes when the input changes)."""
+    fs, p = _hadoop_path(spark, path)
+    if not fs.exists(p):
+        return "missing"
+    st = fs.getFileStatus(p)
+    if st.isDirectory():
+        parts = sorted(f"{c.getPath().getName()}:{c.getLen()}:{c.getModificationTime()}" for c in fs.listStatus(p))
+        return "|".join(parts)
+    return f"{st.getLen()}:{st.getModificationTime()}"
+
