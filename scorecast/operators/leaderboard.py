@@ -60,7 +60,12 @@ def affected_groups(predictions: DataFrame, changed_fixture_ids: DataFrame) -> D
 def recalculate_incremental(board: DataFrame, predictions: DataFrame,
                             changed_fixture_ids: DataFrame, as_of: dt.datetime) -> DataFrame:
     """L4: recompute only groups touched by the change; other rows pass through."""
-    groups = affected_groups(predictions, changed_fixture_ids)
+    return recalculate_groups(board, predictions, affected_groups(predictions, changed_fixture_ids), as_of)
+
+
+def recalculate_groups(board: DataFrame, predictions: DataFrame, groups: DataFrame,
+                       as_of: dt.datetime) -> DataFrame:
+    """Recompute totals and ranks of ``groups`` (group_id); other rows pass through."""
     touched_keys = board.select(*KEY).join(groups, "group_id", "left_semi")
     touched_preds = predictions.join(groups, "group_id", "left_semi")
     fresh = recalculate(touched_keys, touched_preds, as_of)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from scorecast.functions.scoring import prediction_points
 from scorecast.operators import leaderboard as L
 from scorecast.operators.common import ts_lit
+from scorecast.session import scratch_dir
 
 # Result outcomes (accepted) and reject reasons.
 COMPLETED = "completed"
@@ -37,22 +39,40 @@ def _judge(results: DataFrame, fixtures: DataFrame) -> DataFrame:
     return results.join(fx, results.fixture_id == fx.match_num, "left")
 
 
-def result_outcomes(results: DataFrame, fixtures: DataFrame, mode: str = "upsert") -> DataFrame:
-    """P4 (mode='complete'), P5 ('correct'), P6 ('upsert'): status per result request."""
-    j = _judge(results, fixtures)
+def _status(mode: str):
     same = (F.col("_old_home") == F.col("home_score")) & (F.col("_old_away") == F.col("away_score"))
     unknown = F.col("match_num").isNull()
     if mode == "complete":
-        status = F.when(unknown, NOT_FOUND).when(F.col("_was_completed"), ALREADY_COMPLETED).otherwise(COMPLETED)
-    elif mode == "correct":
-        status = (F.when(unknown, NOT_FOUND).when(~F.col("_was_completed"), NOT_COMPLETED)
-                  .when(same, SAME_SCORES).otherwise(CORRECTED))
-    elif mode == "upsert":
-        status = (F.when(unknown, NOT_FOUND).when(~F.col("_was_completed"), COMPLETED)
-                  .when(same, SAME_SCORES).otherwise(CORRECTED))
-    else:
-        raise ValueError(mode)
-    return j.select("fixture_id", "home_score", "away_score", status.alias("status"))
+        return F.when(unknown, NOT_FOUND).when(F.col("_was_completed"), ALREADY_COMPLETED).otherwise(COMPLETED)
+    if mode == "correct":
+        return (F.when(unknown, NOT_FOUND).when(~F.col("_was_completed"), NOT_COMPLETED)
+                .when(same, SAME_SCORES).otherwise(CORRECTED))
+    if mode == "upsert":
+        return (F.when(unknown, NOT_FOUND).when(~F.col("_was_completed"), COMPLETED)
+                .when(same, SAME_SCORES).otherwise(CORRECTED))
+    raise ValueError(mode)
+
+
+def result_outcomes(results: DataFrame, fixtures: DataFrame, mode: str = "upsert") -> DataFrame:
+    """P4 (mode='complete'), P5 ('correct'), P6 ('upsert'): status per result request."""
+    return _judge(results, fixtures).select("fixture_id", "home_score", "away_score", _status(mode).alias("status"))
+
+
+def fixture_changes(results: DataFrame, fixtures: DataFrame, mode: str = "upsert") -> DataFrame:
+    """Status per result request plus what the write does for accepted ones.
+
+    An accepted row makes the fixture completed with the requested scores, so the change
+    guard (P9) is evaluated right here against the old row: ``changed`` = was not
+    completed OR a score differs, three-valued (a NULL old score is not a change).
+    ``reset``: a correction nulls the fixture's points before the guard runs.
+    """
+    j = _judge(results, fixtures).withColumn("status", _status(mode))
+    acc = F.col("status").isin(*ACCEPTED)
+    guard = (~F.col("_was_completed") | (F.col("_old_home") != F.col("home_score"))
+             | (F.col("_old_away") != F.col("away_score")))
+    return j.select("fixture_id", "home_score", "away_score", "status",
+                    (acc & F.coalesce(guard, F.lit(False))).alias("changed"),
+                    (F.col("status") == CORRECTED).alias("reset"))
 
 
 def apply_outcomes(fixtures: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -140,21 +160,51 @@ class ResultsRun:
     fixtures: DataFrame
     changed: DataFrame
     predictions: DataFrame
-    leaderboard: DataFrame
+    old_predictions: DataFrame
+    board: DataFrame
+    as_of: dt.datetime
+
+    @cached_property
+    def leaderboard(self) -> DataFrame:
+        """L4 on the groups holding a prediction on a changed fixture (set checkpointed:
+        it is bounded by the number of groups and read three times)."""
+        ids = self.changed.select(F.col("match_num").alias("fixture_id"))
+        groups = affected_groups(self.old_predictions, ids).checkpoint(eager=True)
+        return L.recalculate_groups(self.board, self.predictions, groups, self.as_of)
 
 
 def post_results(fixtures: DataFrame, predictions: DataFrame, board: DataFrame, results: DataFrame,
                  as_of: dt.datetime, mode: str = "upsert") -> ResultsRun:
-    """The whole write path B: guard -> update fixtures -> P9 -> P3 + lock -> L4."""
-    outcomes = result_outcomes(results, fixtures, mode)
+    """The whole write path B: guard -> update fixtures -> P9 -> P3 + lock -> L4.
+
+    The per-request change set is bounded by the batch and feeds four branches, so it
+    is checkpointed once (shared checkpoint folder) instead of being re-derived in each.
+    """
+    scratch_dir(results.sparkSession)
+    changes = fixture_changes(results, fixtures, mode).checkpoint(eager=True)
+    outcomes = changes.select("fixture_id", "home_score", "away_score", "status")
+    accepted = changes.filter(F.col("status").isin(*ACCEPTED))
     new_fx = apply_outcomes(fixtures, outcomes)
-    changed = changed_fixtures(fixtures, new_fx)
-    touched = outcomes.filter(F.col("status").isin(*ACCEPTED)).select(F.col("fixture_id").alias("match_num"))
-    corrected = outcomes.filter(F.col("status") == CORRECTED).select(F.col("fixture_id").alias("match_num"))
-    new_preds = rescore(predictions, changed, touched, corrected)
-    new_board = L.recalculate_incremental(board, new_preds, changed.select(F.col("match_num").alias("fixture_id")),
-                                          as_of)
-    return ResultsRun(outcomes, new_fx, changed, new_preds, new_board)
+    changed = accepted.filter("changed").select(F.col("fixture_id").alias("match_num"), "home_score", "away_score")
+    new_preds = apply_changes(predictions, accepted)
+    return ResultsRun(outcomes, new_fx, changed, new_preds, predictions, board, as_of)
+
+
+def affected_groups(predictions: DataFrame, fixture_ids: DataFrame) -> DataFrame:
+    return L.affected_groups(predictions, fixture_ids)
+
+
+def apply_changes(predictions: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Predictions after accepted results: locked; rescored where ``changed``; points
+    NULL where ``reset`` and not rescored. One join against the (small) change set."""
+    c = accepted.select(F.col("fixture_id"), F.col("home_score").alias("_ah"), F.col("away_score").alias("_aa"),
+                        F.col("changed").alias("_chg"), F.col("reset").alias("_rst"))
+    j = predictions.join(c, "fixture_id", "left")
+    hit = F.col("_chg").isNotNull()
+    points = (F.when(F.col("_chg"), prediction_points("pred_home_score", "pred_away_score", "_ah", "_aa"))
+              .when(F.col("_rst"), F.lit(None).cast("bigint")).otherwise(F.col("points_earned")))
+    return j.select("pid", "user_id", "group_id", "fixture_id", "pred_home_score", "pred_away_score",
+                    "prediction_time", (F.col("locked") | hit).alias("locked"), points.alias("points_earned"))
 
 
 def outcome_report(run: ResultsRun, fixtures_after: DataFrame | None = None) -> DataFrame:
