@@ -109,3 +109,12 @@ def path_signature(spark: SparkSession, path: str) -> str:
         return "|".join(parts)
     return f"{st.getLen()}:{st.getModificationTime()}"
 
+
+def publish(spark: SparkSession, staged: str, final: str) -> None:
+    """Atomically move a finished write into place; if another writer already published
+    ``final`` (a concurrent ingest of the same input), keep theirs and drop ours."""
+    fs, src = _hadoop_path(spark, staged)
+    _, dst = _hadoop_path(spark, final)
+    if not fs.rename(src, dst):
+        fs.delete(src, True)
+

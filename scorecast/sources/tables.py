@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ from pyspark.sql.window import Window as W
 
 from scorecast.functions.codes import group_code
 from scorecast.functions.scoring import POINT_VALUES, prediction_points
-from scorecast.session import path_committed, path_signature, scratch_dir
+from scorecast.session import path_committed, path_signature, publish, scratch_dir
 
 # Fixed values of the test-data mapping.
 AS_OF = dt.datetime(2000, 7, 1, 12, 0, 0)
@@ -79,7 +80,9 @@ class Tables:
             return plan()
         path = f"{self._root}/{name}"
         if not path_committed(self.spark, path):
-            plan().write.mode("overwrite").parquet(path)
+            staged = f"{path}.staging-{uuid.uuid4().hex[:12]}"
+            plan().write.parquet(staged)
+            publish(self.spark, staged, path)
         return self.spark.read.parquet(path)
 
     @classmethod
