@@ -65,6 +65,8 @@ def scratch_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(configured)  # set on the session after the context started
         if configured.startswith("file:"):
             configured = configured[len("file:"):]
         return configured.rstrip("/")

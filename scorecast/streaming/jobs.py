@@ -58,10 +58,11 @@ def _latest_before(spark: SparkSession, root: str, version: int) -> str:
 class StateTable:
     """One table kept as versions ``v<batch>``; readers see only committed versions."""
 
-    def __init__(self, spark: SparkSession, name: str, initial: DataFrame):
+    def __init__(self, spark: SparkSession, name: str, initial: DataFrame, root: str | None = None):
         self.spark = spark
-        self.root = new_scratch_path(spark, f"state-{name}")
-        initial.write.mode("overwrite").parquet(_version_path(self.root, -1))
+        self.root = f"{root}/{name}" if root else new_scratch_path(spark, f"state-{name}")
+        if not _committed(spark, _version_path(self.root, -1)):  # a restart keeps its state
+            initial.write.mode("overwrite").parquet(_version_path(self.root, -1))
 
     def read_for(self, batch_id: int) -> DataFrame:
         return self.spark.read.parquet(_latest_before(self.spark, self.root, batch_id))
@@ -86,12 +87,13 @@ def stage_source(spark: SparkSession, df: DataFrame, name: str, chunk: "F.Column
 
 
 def _run(spark: SparkSession, source: str, schema, fn, name: str, files_per_trigger: int = 1,
-         transform=None) -> None:
+         transform=None, root: str | None = None) -> None:
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
     if transform is not None:
         stream = transform(stream)
+    checkpoint = f"{root}/_checkpoint" if root else new_scratch_path(spark, f"checkpoint-{name}")
     q = (stream.writeStream.foreachBatch(fn)
-         .option("checkpointLocation", new_scratch_path(spark, f"checkpoint-{name}"))
+         .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
@@ -101,14 +103,15 @@ def _run(spark: SparkSession, source: str, schema, fn, name: str, files_per_trig
 # ---- T2: result intake -> scoring -> incremental leaderboards ----------------------------
 
 def stream_results(spark: SparkSession, fixtures: DataFrame, predictions: DataFrame, board: DataFrame,
-                   results: DataFrame, as_of: dt.datetime, chunks: int = 4):
+                   results: DataFrame, as_of: dt.datetime, chunks: int = 4, root: str | None = None,
+                   source: str | None = None):
     """Each micro-batch of results runs P6 -> P9 -> P3 + lock -> L4 against the state
     left by the previous batch; the three tables of a batch are written, then committed
     together (fixtures last, its _SUCCESS is the batch's commit point)."""
-    src = stage_source(spark, results, "results", F.col("fixture_id") % chunks, list(range(chunks)))
-    st_fx = StateTable(spark, "fixtures", fixtures)
-    st_pr = StateTable(spark, "predictions", predictions)
-    st_lb = StateTable(spark, "leaderboard", board)
+    src = source or stage_source(spark, results, "results", F.col("fixture_id") % chunks, list(range(chunks)))
+    st_fx = StateTable(spark, "fixtures", fixtures, root)
+    st_pr = StateTable(spark, "predictions", predictions, root)
+    st_lb = StateTable(spark, "leaderboard", board, root)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         if st_fx.done(batch_id):
@@ -119,7 +122,7 @@ def stream_results(spark: SparkSession, fixtures: DataFrame, predictions: DataFr
         st_lb.write(run.leaderboard, batch_id)
         st_fx.write(run.fixtures, batch_id)
 
-    _run(spark, src, results.schema, on_batch, "results")
+    _run(spark, src, results.schema, on_batch, "results", root=root)
     return st_fx, st_pr, st_lb
 
 

@@ -45,3 +45,17 @@ def test_stream_batch_replay_is_skipped(spark, tables):
     st.write(tables.groups.select("group_id").limit(1), 0)
     assert st.done(0)
     assert st.read_for(1).count() == 1 and st.read_for(0).count() == tables.groups.count()
+
+
+def test_stream_results_restart_resumes(spark, tables):
+    """Re-running with the same state and checkpoint locations processes nothing twice."""
+    from scorecast.session import new_scratch_path
+
+    root = new_scratch_path(spark, "restart")
+    res = batches.results(tables)
+    src = jobs.stage_source(spark, res, "restart-src", F.col("fixture_id") % 2, [0, 1])
+    args = (spark, tables.fixtures, tables.predictions, tables.leaderboard, res, tables.as_of)
+    _, _, lb1 = jobs.stream_results(*args, root=root, source=src)
+    first = _rows(lb1.final())
+    _, _, lb2 = jobs.stream_results(*args, root=root, source=src)
+    assert _rows(lb2.final()) == first
