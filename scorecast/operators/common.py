@@ -99,3 +99,32 @@ def sequential_ids(df: DataFrame, order: list[str], out: str, num_partitions: in
     return (staged.join(F.broadcast(offsets), "_part")
             .withColumn(out, F.coalesce(F.col("_off"), F.lit(0)) + (F.col("_mono") - F.col("_first")) + 1)
             .drop("_part", "_mono", "_first", "_off"))
+
+
+def lag_over(df: DataFrame, key: str, order: str, value: str, out: str,
+             num_partitions: int | None = None) -> DataFrame:
+    """``lag(value) OVER (PARTITION BY key ORDER BY order)`` without a window per key.
+
+    Rows are range-partitioned on (key, order), so a key holding a third of all rows is
+    spread over many tasks; the lag is taken inside (partition, key) runs, and the first
+    row of a run takes the last value of the previous non-empty partition when that
+    partition ended with the same key. The tail table has one row per partition, so its
+    broadcast is bounded. ``order`` must be unique within a key.
+    """
+    from scorecast.session import scratch_dir
+
+    spark = df.sparkSession
+    scratch_dir(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    staged = (df.repartitionByRange(n, key, order).sortWithinPartitions(key, order)
+              .withColumn("_part", F.spark_partition_id()).checkpoint(eager=True))
+    tails = staged.groupBy("_part").agg(F.max_by(F.struct(F.col(key).alias("k"), F.col(value).alias("v")),
+                                                 F.struct(key, order)).alias("_t"))
+    prev = tails.select(
+        "_part", F.lag("_t").over(W.orderBy("_part")).alias("_prev"))  # bounded: one row per partition
+    run = W.partitionBy("_part", key).orderBy(order)
+    j = (staged.withColumn("_in", F.lag(value).over(run)).withColumn("_first", F.row_number().over(run) == 1)
+         .join(F.broadcast(prev), "_part", "left"))
+    carried = F.when(F.col("_prev.k") == F.col(key), F.col("_prev.v"))
+    return (j.withColumn(out, F.when(F.col("_first"), carried).otherwise(F.col("_in")))
+            .drop("_part", "_in", "_first", "_prev"))

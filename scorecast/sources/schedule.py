@@ -4,8 +4,8 @@ The upstream feed is ``leagueSchedule.gameDates[].games[]``. Two layouts are rea
 explicit schema (no inference): the single-document feed (``multiLine``; one file is one
 record, fine for a season's schedule) and JSON lines with one ``gameDate`` object per
 line, which splits across tasks at any size. Survivors are numbered in document order by
-(day, position in day) from per-day counts and a prefix sum over days (days are bounded
-by the calendar), never a single global window over games.
+(day, position in day) with distributed sequential ids over the range-partitioned
+composite key, so even a day holding most games spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from scorecast.operators.common import sequential_ids, ts_lit
 from scorecast.session import new_scratch_path
@@ -95,17 +94,14 @@ def flatten_schedule(days: DataFrame, season_start: dt.datetime = SEASON_START)
     t = F.try_to_timestamp(F.substring("g.gameDateTimeEst", 1, 19), F.lit(TIME_FORMAT)).cast("timestamp_ntz")
     ok = games.filter(F.col("g.gameDateTimeEst").isNotNull()).withColumn("_t", t) \
         .filter(F.col("_t").isNotNull() & (F.col("_t") >= ts_lit(season_start)))
-    per_day = ok.groupBy("gameDate").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = per_day.select("gameDate", F.coalesce(
-        F.sum("_n").over(W.orderBy("gameDate").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    in_day = F.row_number().over(W.partitionBy("gameDate").orderBy("game_pos"))
+    numbered = sequential_ids(ok, ["gameDate", "game_pos"], "fixture_number")
 
     def flat(team):
         return F.struct(F.col(f"g.{team}.teamCity").alias("city"), F.col(f"g.{team}.teamName").alias("name"),
                         F.col(f"g.{team}.teamTricode").alias("tricode"))
 
-    return (ok.join(F.broadcast(offsets), "gameDate")
-            .select((F.col("_off") + in_day).alias("fixture_number"),
+    return (numbered
+            .select("fixture_number",
                     flat("homeTeam").alias("home_team"), flat("awayTeam").alias("away_team"),
                     F.col("g.gameDateTimeEst").alias("start_time"),
                     F.lit(None).cast("bigint").alias("home_score"), F.lit(None).cast("bigint").alias("away_score"),

@@ -20,10 +20,10 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from scorecast.functions.codes import group_code
 from scorecast.functions.scoring import POINT_VALUES, prediction_points
+from scorecast.operators.common import lag_over
 from scorecast.session import path_committed, path_signature, publish, scratch_dir
 
 # Fixed values of the test-data mapping.
@@ -211,7 +211,7 @@ class Tables:
             (uid * 10 + F.col("event_id") % 10).alias("pid"), uid.alias("user_id"),
             F.when(op == "U", F.element_at(values, (F.col("event_id") % 7 + 1).cast("int"))).alias("new_points"),
         )
-        return base.withColumn("old_points", F.lag("new_points").over(W.partitionBy("pid").orderBy("seq")))
+        return lag_over(base, "pid", "seq", "new_points", "old_points")
 
     # ---- stored domain tables ---------------------------------------------------------
     @cached_property

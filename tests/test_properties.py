@@ -10,7 +10,8 @@ from scorecast.streaming import jobs
 
 
 def _rows(df):
-    return sorted(tuple(r) for r in df.select(sorted(df.columns)).collect())
+    rows = [tuple(r) for r in df.select(sorted(df.columns)).collect()]
+    return sorted(rows, key=lambda r: tuple((x is None, "" if x is None else x) for x in r))
 
 
 def test_incremental_equals_full(tables):
@@ -59,3 +60,24 @@ def test_stream_results_restart_resumes(spark, tables):
     first = _rows(lb1.final())
     _, _, lb2 = jobs.stream_results(*args, root=root, source=src)
     assert _rows(lb2.final()) == first
+
+
+def test_lag_over_matches_window_with_hot_key(spark):
+    from scorecast.operators.common import lag_over
+
+    # key 0 holds most rows, so it spans several range partitions
+    df = spark.range(0, 5000).select(
+        F.when(F.col("id") % 10 < 7, F.lit(0)).otherwise(F.col("id") % 13).alias("k"),
+        F.col("id").alias("seq"), (F.col("id") * 7 % 11).alias("v"))
+    want = df.withColumn("p", F.lag("v").over(W.partitionBy("k").orderBy("seq")))
+    got = lag_over(df, "k", "seq", "v", "p", num_partitions=8)
+    assert _rows(got) == _rows(want)
+
+
+def test_sequential_ids_match_row_number(spark):
+    from scorecast.operators.common import sequential_ids
+
+    df = spark.range(0, 3000).select((F.col("id") % 5).alias("a"), (F.col("id") * 37 % 3000).alias("b"))
+    want = df.withColumn("n", F.row_number().over(W.orderBy("a", "b")))
+    got = sequential_ids(df, ["a", "b"], "n", num_partitions=7)
+    assert _rows(got) == _rows(want)
