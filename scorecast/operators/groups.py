@@ -117,9 +117,10 @@ def leave_groups(requests: DataFrame, groups: DataFrame, memberships: DataFrame)
 def group_members(groups: DataFrame, users: DataFrame, memberships: DataFrame, board: DataFrame) -> DataFrame:
     """Members with is_creator, points (0 when no board row) and rank."""
     m = memberships.select("user_id", "group_id", "joined_date")
-    j = (m.join(users.select("user_id", "username", "email"), "user_id")
-         .join(groups.select("group_id", "creator_id"), "group_id")
-         .join(board.select("user_id", "group_id", "total_points", "rank_position"), ["user_id", "group_id"], "left"))
+    # (user, group) join first: memberships and board share that bucketing when stored.
+    j = (m.join(board.select("user_id", "group_id", "total_points", "rank_position"), ["user_id", "group_id"], "left")
+         .join(users.select("user_id", "username", "email"), "user_id")
+         .join(groups.select("group_id", "creator_id"), "group_id"))
     return j.select("group_id", "user_id", "username", "email", "joined_date",
                     (F.col("user_id") == F.col("creator_id")).alias("is_creator"),
                     F.coalesce("total_points", F.lit(0).cast("bigint")).alias("total_points"), "rank_position")

@@ -91,8 +91,9 @@ def group_leaderboard(board: DataFrame, users: DataFrame, predictions: DataFrame
         board = board.join(group_ids.select("group_id").distinct(), "group_id", "left_semi")
         predictions = predictions.join(group_ids.select("group_id").distinct(), "group_id", "left_semi")
     summary = prediction_summary(predictions)
-    j = (board.join(users.select("user_id", "username", "email"), "user_id", "inner")
-         .join(summary, KEY, "left"))
+    # (user, group) join first: both sides are bucketed on that key in the stored layout.
+    j = (board.join(summary, KEY, "left")
+         .join(users.select("user_id", "username", "email"), "user_id", "inner"))
     scored = F.coalesce("_scored", F.lit(0)).cast("bigint")
     return j.select(
         "group_id", "user_id", "username", "email", "total_points", "rank_position", "last_updated",

@@ -46,6 +46,11 @@ def load_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 SOURCES = ("customer", "supplier", "part", "lineitem", "orders", "events")
 _INSTANCES: dict = {}
+# Fixed values of the stored layout: tables keyed by (user, group) share one bucketing so
+# their aggregations and joins on that key run without a shuffle.
+BUCKET_KEYS = ("user_id", "group_id")
+BUCKETED = ("predictions", "memberships", "leaderboard")
+BUCKETS_CONF = "spark.scorecast.buckets"
 
 
 class Tables:
@@ -69,15 +74,45 @@ class Tables:
         return load_raw(self.spark, self.sf_dir, name)
 
     @cached_property
-    def _root(self) -> str:
-        sig = "\n".join([self.sf_dir, self.as_of.isoformat()]
+    def buckets(self) -> int:
+        return int(self.spark.conf.get(BUCKETS_CONF, None) or self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    @cached_property
+    def _key(self) -> str:
+        sig = "\n".join([self.sf_dir, self.as_of.isoformat(), str(self.buckets)]
                         + [path_signature(self.spark, f"{self.sf_dir}/{n}.parquet") for n in SOURCES])
-        return f"{scratch_dir(self.spark)}/domain/{hashlib.sha1(sig.encode()).hexdigest()[:16]}"
+        return hashlib.sha1(sig.encode()).hexdigest()[:16]
+
+    @cached_property
+    def _root(self) -> str:
+        return f"{scratch_dir(self.spark)}/domain/{self._key}"
+
+    def _keep_bucketed(self, name: str, plan) -> DataFrame:
+        """Stored bucketed by (user_id, group_id) and registered as an external table, so
+        scans report their bucketing to the planner."""
+        table = f"scorecast_{self._key}_{name}"
+        if self.spark.catalog.tableExists(table):
+            return self.spark.table(table)
+        path = f"{self._root}/{name}"
+        keys = ", ".join(BUCKET_KEYS)
+        if not path_committed(self.spark, path):
+            tag = uuid.uuid4().hex[:12]
+            staged, tmp = f"{path}.staging-{tag}", f"{table}_staging_{tag}"
+            (plan().write.bucketBy(self.buckets, *BUCKET_KEYS).sortBy(*BUCKET_KEYS)
+             .option("path", staged).saveAsTable(tmp))
+            self.spark.sql(f"DROP TABLE {tmp}")  # external: drops the entry, keeps the files
+            publish(self.spark, staged, path)
+        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(path).schema)
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({cols}) USING parquet CLUSTERED BY ({keys}) "
+                       f"SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(table)
 
     def _keep(self, name: str, plan) -> DataFrame:
         """The stored copy of a domain table; ``plan`` (a callable) runs only on ingest."""
         if not self.stored:
             return plan()
+        if name in BUCKETED:
+            return self._keep_bucketed(name, plan)
         path = f"{self._root}/{name}"
         if not path_committed(self.spark, path):
             staged = f"{path}.staging-{uuid.uuid4().hex[:12]}"
