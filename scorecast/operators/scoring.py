@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from scorecast.functions.scoring import prediction_points
 from scorecast.operators import leaderboard as L
 from scorecast.operators.common import ts_lit
-from scorecast.session import scratch_dir
+from scorecast.session import checkpoint_small
 
 # Result outcomes (accepted) and reject reasons.
 COMPLETED = "completed"
@@ -166,10 +166,10 @@ class ResultsRun:
 
     @cached_property
     def leaderboard(self) -> DataFrame:
-        """L4 on the groups holding a prediction on a changed fixture (set checkpointed:
-        it is bounded by the number of groups and read three times)."""
+        """L4 on the groups holding a prediction on a changed fixture (the set is written
+        once: it is bounded by the number of groups and read three times)."""
         ids = self.changed.select(F.col("match_num").alias("fixture_id"))
-        groups = affected_groups(self.old_predictions, ids).checkpoint(eager=True)
+        groups = checkpoint_small(affected_groups(self.old_predictions, ids))
         return L.recalculate_groups(self.board, self.predictions, groups, self.as_of)
 
 
@@ -178,10 +178,10 @@ def post_results(fixtures: DataFrame, predictions: DataFrame, board: DataFrame,
     """The whole write path B: guard -> update fixtures -> P9 -> P3 + lock -> L4.
 
     The per-request change set is bounded by the batch and feeds four branches, so it
-    is checkpointed once (shared checkpoint folder) instead of being re-derived in each.
+    is checkpointed once (lineage cut) and counted; it is broadcast only when the count
+    is within a fixed bound, otherwise joined by sort-merge.
     """
-    scratch_dir(results.sparkSession)
-    changes = fixture_changes(results, fixtures, mode).checkpoint(eager=True)
+    changes = checkpoint_small(fixture_changes(results, fixtures, mode))
     outcomes = changes.select("fixture_id", "home_score", "away_score", "status")
     accepted = changes.filter(F.col("status").isin(*ACCEPTED))
     new_fx = apply_outcomes(fixtures, outcomes)

@@ -120,3 +120,19 @@ def publish(spark: SparkSession, staged: str, final: str) -> None:
     if not fs.rename(src, dst):
         fs.delete(src, True)
 
+
+# Fixed value: largest row count broadcast after an explicit size check.
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def checkpoint_small(df, max_rows: int = BROADCAST_MAX_ROWS):
+    """Cut lineage with a reliable checkpoint (shared checkpoint folder), count the rows,
+    and mark the result for broadcast only when the count is within ``max_rows``;
+    otherwise joins against it stay sort-merge joins."""
+    scratch_dir(df.sparkSession)
+    kept = df.checkpoint(eager=True)
+    if kept.count() <= max_rows:
+        from pyspark.sql import functions as F
+        return F.broadcast(kept)
+    return kept
+
