@@ -98,8 +98,9 @@ class Tables:
         if not path_committed(self.spark, path):
             tag = uuid.uuid4().hex[:12]
             staged, tmp = f"{path}.staging-{tag}", f"{table}_staging_{tag}"
-            (plan().write.bucketBy(self.buckets, *BUCKET_KEYS).sortBy(*BUCKET_KEYS)
-             .option("path", staged).saveAsTable(tmp))
+            # Hash-partition like the buckets first: one file per bucket, not tasks x buckets.
+            (plan().repartition(self.buckets, *BUCKET_KEYS).write.bucketBy(self.buckets, *BUCKET_KEYS)
+             .sortBy(*BUCKET_KEYS).option("path", staged).saveAsTable(tmp))
             self.spark.sql(f"DROP TABLE {tmp}")  # external: drops the entry, keeps the files
             publish(self.spark, staged, path)
         cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(path).schema)
