@@ -157,4 +157,27 @@ def season_stats(fixtures: DataFrame) -> DataFrame:
         F.max("start_time").alias("last_game"))
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["FIXTURE_COLS"]
+
+
+def past_fixture_ids(fixtures: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """ids of fixtures dated on or before the as_of date (projection of F4)."""
+    return fixtures_up_to_date(fixtures, as_of.date()).select("match_num")
+
+
+# Column defaults of the fixture table (C4).
+DEFAULT_SEASON = "2025-26"
+
+
+def with_fixture_defaults(fixtures: DataFrame) -> DataFrame:
+    """C4: column defaults on insert: completed false, season '2025-26'."""
+    return (fixtures.withColumn("completed", F.coalesce("completed", F.lit(False)))
+            .withColumn("season", F.coalesce("season", F.lit(DEFAULT_SEASON))))
+
+
+def check_query_params(days: int | None = None, group_id: int | None = None) -> None:
+    """V4: request parameters are checked on the driver before any job is planned."""
+    if days is not None and not UPCOMING_MIN_DAYS <= days <= UPCOMING_MAX_DAYS:
+        raise ValueError(f"days must be in [{UPCOMING_MIN_DAYS}, {UPCOMING_MAX_DAYS}]")
+    if group_id is not None and group_id <= 0:
+        raise ValueError("group_id must be > 0")
+

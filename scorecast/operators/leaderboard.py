@@ -85,8 +85,11 @@ def prediction_summary(predictions: DataFrame) -> DataFrame:
 
 
 def group_leaderboard(board: DataFrame, users: DataFrame, predictions: DataFrame,
-                      group_ids: DataFrame | None = None) -> DataFrame:
-    """Board rows with member names and prediction statistics."""
+                      group_ids: DataFrame | None = None, ordered: bool = False) -> DataFrame:
+    """Board rows with member names and prediction statistics.
+
+    ``ordered=True`` adds the view's order: per group, rank ascending with NULL ranks
+    first (rows not ranked yet), then points descending (a range-partitioned sort)."""
     if group_ids is not None:
         board = board.join(group_ids.select("group_id").distinct(), "group_id", "left_semi")
         predictions = predictions.join(group_ids.select("group_id").distinct(), "group_id", "left_semi")
@@ -95,13 +98,16 @@ def group_leaderboard(board: DataFrame, users: DataFrame, predictions: DataFrame
     j = (board.join(summary, KEY, "left")
          .join(users.select("user_id", "username", "email"), "user_id", "inner"))
     scored = F.coalesce("_scored", F.lit(0)).cast("bigint")
-    return j.select(
+    out = j.select(
         "group_id", "user_id", "username", "email", "total_points", "rank_position", "last_updated",
         F.coalesce("_n", F.lit(0)).cast("bigint").alias("total_predictions"),
         scored.alias("scored_predictions"),
         F.coalesce("_exact", F.lit(0)).cast("bigint").alias("exact_predictions"),
         F.when(scored > 0, round_ratio_2dp("_sum", scored)).alias("avg_points_per_prediction"),
     )
+    if ordered:
+        out = out.orderBy("group_id", F.asc_nulls_first("rank_position"), F.desc("total_points"), "user_id")
+    return out
 
 
 def user_rank(board: DataFrame, users: DataFrame, predictions: DataFrame,

@@ -185,3 +185,9 @@ def identity_drift(users: DataFrame, snapshot: DataFrame) -> DataFrame:
               .when((F.col("_u") != F.col("username")) | (F.col("_e") != F.col("email")), MISMATCHED)
               .otherwise(OK))
     return j.select("user_id", "username", "email", status.alias("status"))
+
+
+def counters_for(counters: DataFrame, user_ids: DataFrame) -> DataFrame:
+    """Stored counters of the requested users (semi-join on U8's output)."""
+    return counters.join(user_ids.select("user_id").distinct(), "user_id", "left_semi")
+

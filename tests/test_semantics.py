@@ -133,3 +133,32 @@ def test_bad_time_consumes_no_number(spark):
     got = [(r.fixture_number, r.start_time) for r in SCH.flatten_schedule(days).orderBy("fixture_number").collect()]
     assert got == [(1, "2025-10-22T19:00:00Z"), (2, "2025-10-22T21:00:00Z")]
     assert F is not None
+
+
+def test_board_order_puts_unranked_first(spark):
+    board = spark.createDataFrame([(1, 7, 50, 1, T0), (2, 7, 0, None, T0), (3, 7, 30, 2, T0)],
+                                  "user_id long, group_id long, total_points long, rank_position long, "
+                                  "last_updated timestamp_ntz")
+    users = spark.createDataFrame([(i, f"u{i}", f"u{i}@x.org") for i in (1, 2, 3)],
+                                  "user_id long, username string, email string")
+    got = [r.user_id for r in L.group_leaderboard(board, users, _preds(spark, []), ordered=True).collect()]
+    assert got == [2, 1, 3]
+
+
+def test_building_blocks(spark, tables):
+    import pytest
+
+    from scorecast.operators import fixtures as FX
+
+    past = FX.past_fixture_ids(tables.fixtures, tables.as_of)
+    assert past.count() == FX.fixtures_up_to_date(tables.fixtures, tables.as_of.date()).count()
+    with pytest.raises(ValueError):
+        FX.check_query_params(days=31)
+    with pytest.raises(ValueError):
+        FX.check_query_params(group_id=0)
+    fx = _fixtures(spark, [(1, "A", "B", None, None, None, T0, 1, None)])
+    r = FX.with_fixture_defaults(fx).first()
+    assert (r.completed, r.season) == (False, FX.DEFAULT_SEASON)
+    counters = U.user_counters(tables.change_feed)
+    one = counters.limit(1).select("user_id")
+    assert U.counters_for(counters, one).count() == 1
