@@ -73,6 +73,9 @@ class StateTable:
     def write(self, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(_version_path(self.root, batch_id))
 
+    def read_version(self, batch_id: int) -> DataFrame:
+        return self.spark.read.parquet(_version_path(self.root, batch_id))
+
     def final(self) -> DataFrame:
         return self.spark.read.parquet(_latest_before(self.spark, self.root, 1 << 40))
 
@@ -119,6 +122,7 @@ def stream_results(spark: SparkSession, fixtures: DataFrame, predictions: DataFr
         run = S.post_results(st_fx.read_for(batch_id), st_pr.read_for(batch_id), st_lb.read_for(batch_id),
                              batch, as_of, "upsert")
         st_pr.write(run.predictions, batch_id)
+        run.predictions = st_pr.read_version(batch_id)  # totals read the written version
         st_lb.write(run.leaderboard, batch_id)
         st_fx.write(run.fixtures, batch_id)
 
