@@ -16,6 +16,8 @@ from pyspark.sql import SparkSession
 # Defaults tuned for local[N] tests; a cluster passes its own.
 LOCAL_SHUFFLE_PARTITIONS = 8
 BROADCAST_THRESHOLD_BYTES = 32 * 1024 * 1024
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+MAX_SHUFFLE_PARTITIONS = 200_000
 
 
 def build_session(master: str | None = None, app: str = "scorecast",
@@ -136,3 +138,25 @@ def checkpoint_small(df, max_rows: int = BROADCAST_MAX_ROWS):
         return F.broadcast(kept)
     return kept
 
+
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Total size of the given files or folders (Hadoop FS content summary)."""
+    total = 0
+    for path in paths:
+        fs, p = _hadoop_path(spark, path)
+        if fs.exists(p):
+            total += fs.getContentSummary(p).getLength()
+    return total
+
+
+def size_for_input(spark: SparkSession, total_bytes: int, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
+    """Size scans and shuffles so partitions stay near ``target_bytes`` (fit in executor
+    memory, spill rarely): one shuffle partition per target-sized slice of the input,
+    never fewer than the cores, AQE coalescing small ones at runtime. Returns the count."""
+    cores = spark.sparkContext.defaultParallelism
+    n = max(cores, min(MAX_SHUFFLE_PARTITIONS, -(-total_bytes // target_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
+    return n
+

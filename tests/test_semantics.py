@@ -162,3 +162,20 @@ def test_building_blocks(spark, tables):
     counters = U.user_counters(tables.change_feed)
     one = counters.limit(1).select("user_id")
     assert U.counters_for(counters, one).count() == 1
+
+
+def test_partition_sizing(spark):
+    from scorecast.session import MAX_SHUFFLE_PARTITIONS, input_bytes, size_for_input
+
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        assert input_bytes(spark, ["/root/testdata/sf0.001/lineitem.parquet"]) > 0
+        assert size_for_input(spark, 10) == spark.sparkContext.defaultParallelism
+        assert size_for_input(spark, 10 * 2 ** 30) == 80  # 10 GiB / 128 MiB
+        assert size_for_input(spark, 100 * 2 ** 40) == MAX_SHUFFLE_PARTITIONS  # 100 TiB, capped
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(128 * 2 ** 20)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
