@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorecast.operators.common import (FIXTURE_COLS, day_start, fixture_view, game_date, game_time,
+from scorecast.operators.common import (day_start, fixture_view, game_date, game_time,
                                         latest_per_key, sequential_ids, top_k_per_group, ts_lit)
 
 # Look-ahead bounds of the upcoming-fixtures query.

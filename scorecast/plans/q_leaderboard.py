@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from scorecast.operators import leaderboard as L
 from scorecast.plans.oracle_base import leaderboard_view_sql, with_domain
 from scorecast.plans.registry import query

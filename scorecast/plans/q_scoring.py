@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from scorecast.functions.scoring import prediction_points, winner_class
-from scorecast.operators import leaderboard as L
 from scorecast.operators import scoring as S
 from scorecast.plans.oracle_base import points_sql, winner_sql, with_domain
 from scorecast.plans.registry import query
