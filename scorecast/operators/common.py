@@ -128,3 +128,13 @@ def lag_over(df: DataFrame, key: str, order: str, value: str, out: str,
     carried = F.when(F.col("_prev.k") == F.col(key), F.col("_prev.v"))
     return (j.withColumn(out, F.when(F.col("_first"), carried).otherwise(F.col("_in")))
             .drop("_part", "_in", "_first", "_prev"))
+
+
+def restrict_to(big: DataFrame, requests: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows of ``big`` whose key appears in ``requests`` (left semi-join on distinct keys).
+
+    Used before a request batch is left-joined to a large table: the preserved left side
+    of an outer join cannot be broadcast, so without this the whole table is shuffled per
+    batch; the distinct request keys are small and AQE broadcasts them at runtime.
+    """
+    return big.join(requests.select(*cols).distinct(), cols, "left_semi")

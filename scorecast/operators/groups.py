@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scorecast.functions.codes import group_code, normalize_code
 from scorecast.operators import leaderboard as L
-from scorecast.operators.common import sequential_ids, ts_lit
+from scorecast.operators.common import restrict_to, sequential_ids, ts_lit
 
 GROUP_COLS = ["group_id", "group_code", "group_name", "creator_id", "creation_date"]
 # Statuses and reject reasons.
@@ -81,8 +81,8 @@ def join_groups(requests: DataFrame, groups: DataFrame, memberships: DataFrame)
     g = groups.select("group_id", "group_code")
     r = requests.withColumn("_code", normalize_code(F.col("group_code"))).join(
         g.withColumnRenamed("group_code", "_code"), "_code", "left")
-    r = r.join(memberships.select("user_id", "group_id", F.lit(True).alias("_member")),
-               ["user_id", "group_id"], "left")
+    mem = restrict_to(memberships, r, ["user_id", "group_id"])
+    r = r.join(mem.select("user_id", "group_id", F.lit(True).alias("_member")), ["user_id", "group_id"], "left")
     status = (F.when(F.col("group_id").isNull(), CODE_UNKNOWN)
               .when(F.col("_member").isNotNull(), ALREADY_MEMBER).otherwise(JOINED))
     return r.select("user_id", "group_code", "group_id", status.alias("status"))
@@ -106,9 +106,9 @@ def apply_joins(outcomes: DataFrame, memberships: DataFrame, board: DataFrame, p
 
 def leave_groups(requests: DataFrame, groups: DataFrame, memberships: DataFrame) -> DataFrame:
     """Creator cannot leave; non-members are rejected; the board row stays."""
+    mem = restrict_to(memberships, requests, ["user_id", "group_id"])
     r = (requests.join(groups.select("group_id", "creator_id"), "group_id", "left")
-         .join(memberships.select("user_id", "group_id", F.lit(True).alias("_member")),
-               ["user_id", "group_id"], "left"))
+         .join(mem.select("user_id", "group_id", F.lit(True).alias("_member")), ["user_id", "group_id"], "left"))
     status = (F.when(F.col("creator_id") == F.col("user_id"), CREATOR_CANNOT_LEAVE)
               .when(F.col("_member").isNull(), NOT_MEMBER).otherwise(LEFT))
     return r.select("user_id", "group_id", status.alias("status"))

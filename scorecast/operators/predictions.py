@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorecast.operators.common import first_per_key, game_date, game_time, latest_per_key, ts_lit
+from scorecast.operators.common import first_per_key, game_date, game_time, latest_per_key, restrict_to, ts_lit
 
 KEY = ["user_id", "group_id", "fixture_id"]
 # Statuses and reject reasons.
@@ -96,8 +96,8 @@ def update_predictions(requests: DataFrame, predictions: DataFrame, fixtures: Da
     started (start < now) rejects changed scores; identical scores always pass and still
     move prediction_time to ``now``.
     """
-    p = predictions.select(*KEY, "pid", "locked", F.col("pred_home_score").alias("_oh"),
-                           F.col("pred_away_score").alias("_oa"))
+    p = restrict_to(predictions, requests, KEY).select(
+        *KEY, "pid", "locked", F.col("pred_home_score").alias("_oh"), F.col("pred_away_score").alias("_oa"))
     fx = fixtures.select(F.col("match_num").alias("fixture_id"), "start_time")
     r = requests.join(p, KEY, "left").join(fx, "fixture_id", "left")
     changed = (F.col("_oh") != F.col("pred_home_score")) | (F.col("_oa") != F.col("pred_away_score"))
@@ -114,7 +114,7 @@ def update_predictions(requests: DataFrame, predictions: DataFrame, fixtures: Da
 def delete_predictions(requests: DataFrame, predictions: DataFrame, fixtures: DataFrame,
                        now: dt.datetime) -> DataFrame:
     """Status per delete request (missing, locked, started, deleted)."""
-    p = predictions.select(*KEY, "pid", "locked")
+    p = restrict_to(predictions, requests, KEY).select(*KEY, "pid", "locked")
     fx = fixtures.select(F.col("match_num").alias("fixture_id"), "start_time")
     r = requests.join(p, KEY, "left").join(fx, "fixture_id", "left")
     status = (F.when(F.col("pid").isNull(), NOT_FOUND).when(F.col("locked"), LOCKED_DELETE)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from scorecast.functions.scoring import prediction_points
 from scorecast.operators import leaderboard as L
-from scorecast.operators.common import ts_lit
+from scorecast.operators.common import restrict_to, ts_lit
 from scorecast.session import checkpoint_small
 
 # Result outcomes (accepted) and reject reasons.
@@ -34,8 +34,9 @@ FIXTURE_TABLE_COLS = ["match_num", "home_team", "away_team", "home_score", "away
 
 
 def _judge(results: DataFrame, fixtures: DataFrame) -> DataFrame:
-    fx = fixtures.select("match_num", F.col("completed").alias("_was_completed"),
-                         F.col("home_score").alias("_old_home"), F.col("away_score").alias("_old_away"))
+    touched = restrict_to(fixtures, results.select(F.col("fixture_id").alias("match_num")), ["match_num"])
+    fx = touched.select("match_num", F.col("completed").alias("_was_completed"),
+                        F.col("home_score").alias("_old_home"), F.col("away_score").alias("_old_away"))
     return results.join(fx, results.fixture_id == fx.match_num, "left")
 
 
