@@ -209,19 +209,25 @@ def apply_changes(predictions: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def outcome_report(run: ResultsRun, fixtures_after: DataFrame | None = None) -> DataFrame:
-    """Returned rows of P4/P5: request + status + fixture row and counts for accepted ones."""
-    fx = fixtures_after if fixtures_after is not None else run.fixtures
-    counts = fixture_prediction_counts(fx, run.predictions)
+    """Returned rows of P4/P5: request + status + fixture row and counts for accepted ones.
+
+    Only the batch's fixtures are read and counted (semi-joins on the batch ids), so the
+    report costs in proportion to the batch, not to the prediction table."""
+    ids = run.outcomes.select("fixture_id")
+    fx = restrict_to(fixtures_after if fixtures_after is not None else run.fixtures,
+                     ids.withColumnRenamed("fixture_id", "match_num"), ["match_num"])
+    counts = (restrict_to(run.predictions, ids, ["fixture_id"]).groupBy("fixture_id")
+              .agg(F.count(F.lit(1)).alias("total_predictions"), F.count("points_earned").alias("predictions_scored")))
     acc = F.col("status").isin(*ACCEPTED)
-    j = (run.outcomes.join(fx.select("match_num", "home_team", "away_team", "start_time"),
-                           run.outcomes.fixture_id == fx.match_num, "left")
-         .join(counts.withColumnRenamed("match_num", "_m"), F.col("fixture_id") == F.col("_m"), "left"))
+    j = (run.outcomes.join(fx.select(F.col("match_num").alias("fixture_id"), "home_team", "away_team", "start_time"),
+                           "fixture_id", "left")
+         .join(counts, "fixture_id", "left"))
     return j.select(
         "fixture_id", "home_score", "away_score", "status",
         F.when(acc, F.col("home_team")).alias("home_team"), F.when(acc, F.col("away_team")).alias("away_team"),
         F.when(acc, F.col("start_time")).alias("start_time"),
-        F.when(acc, F.col("total_predictions")).alias("total_predictions"),
-        F.when(acc, F.col("predictions_scored")).alias("predictions_scored"))
+        F.when(acc, F.coalesce("total_predictions", F.lit(0))).alias("total_predictions"),
+        F.when(acc, F.coalesce("predictions_scored", F.lit(0))).alias("predictions_scored"))
 
 
 def rescore_fixtures(fixtures: DataFrame, predictions: DataFrame, board: DataFrame, ids: DataFrame,
