@@ -134,8 +134,8 @@ def delete_groups(requests: DataFrame, groups: DataFrame, memberships: DataFrame
               .when(F.col("creator_id") != F.col("user_id"), NOT_CREATOR).otherwise(DELETED))
     out = r.select("group_id", "user_id", status.alias("status"))
 
-    def per_group(df, name):
-        return df.groupBy("group_id").agg(F.count(F.lit(1)).alias(name))
+    def per_group(df, name):  # only the requested groups are counted
+        return restrict_to(df, requests, ["group_id"]).groupBy("group_id").agg(F.count(F.lit(1)).alias(name))
 
     j = (out.join(per_group(memberships, "_m"), "group_id", "left")
          .join(per_group(predictions, "_p"), "group_id", "left")
