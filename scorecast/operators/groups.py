@@ -62,7 +62,9 @@ def group_by_code(groups: DataFrame, users: DataFrame, memberships: DataFrame, c
     """G3 rows for the requested codes, matched case-insensitively."""
     req = codes.select(F.col(code_col).alias("requested_code"),
                        normalize_code(F.col(code_col)).alias("group_code")).distinct()
-    return group_details(groups, users, memberships).join(req, "group_code")
+    wanted = restrict_to(groups, req, ["group_code"])  # resolve codes before counting members
+    members = restrict_to(memberships, wanted, ["group_id"])
+    return group_details(wanted, users, members).join(req, "group_code")
 
 
 def user_groups(groups: DataFrame, users: DataFrame, memberships: DataFrame) -> DataFrame:
