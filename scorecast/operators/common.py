@@ -138,3 +138,24 @@ def restrict_to(big: DataFrame, requests: DataFrame, cols: list[str]) -> DataFra
     batch; the distinct request keys are small and AQE broadcasts them at runtime.
     """
     return big.join(requests.select(*cols).distinct(), cols, "left_semi")
+
+
+def first_wins(df: DataFrame, key: list[str], winner: str, loser: str, status: str = "status",
+               order: list[str] | None = None) -> DataFrame:
+    """Sequential semantics inside one batch: of the rows marked ``winner`` that share a
+    ``key``, only the first (smallest ``order``, default the remaining columns) keeps it;
+    the others become ``loser`` (e.g. a second delete of the same row finds nothing).
+
+    Identical requests are counted, not collapsed, so every input row gets an output row.
+    """
+    cols = [c for c in df.columns if c != status]
+    won = df.filter(F.col(status) == winner).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    firsts = first_per_key(won.select(*cols), key, order or [c for c in cols if c not in key])
+    flagged = won.alias("w").join(
+        firsts.alias("f"), [F.col(f"w.{c}").eqNullSafe(F.col(f"f.{c}")) for c in cols], "left"
+    ).select(*[F.col(f"w.{c}").alias(c) for c in cols], "w._n",
+             F.col(f"f.{key[0]}").isNotNull().alias("_first"))
+    expanded = flagged.select(*cols, "_first", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i")).select(
+        *cols, F.when(F.col("_first") & (F.col("_i") == 1), F.lit(winner)).otherwise(F.lit(loser)).alias(status))
+    others = df.filter((F.col(status) != winner) | F.col(status).isNull())
+    return others.unionByName(expanded)

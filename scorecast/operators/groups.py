@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scorecast.functions.codes import group_code, normalize_code
 from scorecast.operators import leaderboard as L
-from scorecast.operators.common import restrict_to, sequential_ids, ts_lit
+from scorecast.operators.common import first_wins, restrict_to, sequential_ids, ts_lit
 
 GROUP_COLS = ["group_id", "group_code", "group_name", "creator_id", "creation_date"]
 # Statuses and reject reasons.
@@ -87,7 +87,8 @@ def join_groups(requests: DataFrame, groups: DataFrame, memberships: DataFrame)
     r = r.join(mem.select("user_id", "group_id", F.lit(True).alias("_member")), ["user_id", "group_id"], "left")
     status = (F.when(F.col("group_id").isNull(), CODE_UNKNOWN)
               .when(F.col("_member").isNotNull(), ALREADY_MEMBER).otherwise(JOINED))
-    return r.select("user_id", "group_code", "group_id", status.alias("status"))
+    out = r.select("user_id", "group_code", "group_id", status.alias("status"))
+    return first_wins(out, ["user_id", "group_id"], JOINED, ALREADY_MEMBER)
 
 
 def apply_joins(outcomes: DataFrame, memberships: DataFrame, board: DataFrame, predictions: DataFrame,
@@ -113,7 +114,8 @@ def leave_groups(requests: DataFrame, groups: DataFrame, memberships: DataFrame)
          .join(mem.select("user_id", "group_id", F.lit(True).alias("_member")), ["user_id", "group_id"], "left"))
     status = (F.when(F.col("creator_id") == F.col("user_id"), CREATOR_CANNOT_LEAVE)
               .when(F.col("_member").isNull(), NOT_MEMBER).otherwise(LEFT))
-    return r.select("user_id", "group_id", status.alias("status"))
+    return first_wins(r.select("user_id", "group_id", status.alias("status")), ["user_id", "group_id"],
+                      LEFT, NOT_MEMBER)
 
 
 def group_members(groups: DataFrame, users: DataFrame, memberships: DataFrame, board: DataFrame) -> DataFrame:
@@ -134,7 +136,7 @@ def delete_groups(requests: DataFrame, groups: DataFrame, memberships: DataFrame
     r = requests.join(groups.select("group_id", "creator_id"), "group_id", "left")
     status = (F.when(F.col("creator_id").isNull(), GROUP_UNKNOWN)
               .when(F.col("creator_id") != F.col("user_id"), NOT_CREATOR).otherwise(DELETED))
-    out = r.select("group_id", "user_id", status.alias("status"))
+    out = first_wins(r.select("group_id", "user_id", status.alias("status")), ["group_id"], DELETED, GROUP_UNKNOWN)
 
     def per_group(df, name):  # only the requested groups are counted
         return restrict_to(df, requests, ["group_id"]).groupBy("group_id").agg(F.count(F.lit(1)).alias(name))

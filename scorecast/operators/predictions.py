@@ -12,7 +12,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorecast.operators.common import first_per_key, game_date, game_time, latest_per_key, restrict_to, ts_lit
+from scorecast.operators.common import (first_per_key, first_wins, game_date, game_time, latest_per_key,
+                                        restrict_to, ts_lit)
 
 KEY = ["user_id", "group_id", "fixture_id"]
 # Statuses and reject reasons.
@@ -119,7 +120,7 @@ def delete_predictions(requests: DataFrame, predictions: DataFrame, fixtures: Da
     r = requests.join(p, KEY, "left").join(fx, "fixture_id", "left")
     status = (F.when(F.col("pid").isNull(), NOT_FOUND).when(F.col("locked"), LOCKED_DELETE)
               .when(F.col("start_time") < ts_lit(now), STARTED_DELETE).otherwise(DELETED))
-    return r.select(*KEY, status.alias("status"))
+    return first_wins(r.select(*KEY, status.alias("status")), KEY, DELETED, NOT_FOUND)
 
 
 def remaining_after_delete(predictions: DataFrame, outcomes: DataFrame) -> DataFrame:

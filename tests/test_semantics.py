@@ -179,3 +179,20 @@ def test_partition_sizing(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_duplicate_requests_first_wins(spark):
+    groups = spark.createDataFrame([(7, 1, "ABC123")], "group_id long, creator_id long, group_code string")
+    members = spark.createDataFrame([(1, 7)], "user_id long, group_id long")
+    joins = spark.createDataFrame([(2, "abc123"), (2, "abc123"), (2, "ABC123")], "user_id long, group_code string")
+    got = sorted(r.status for r in G.join_groups(joins, groups, members).collect())
+    assert got == sorted([G.JOINED, G.ALREADY_MEMBER, G.ALREADY_MEMBER])
+    members2 = spark.createDataFrame([(1, 7), (2, 7)], "user_id long, group_id long")
+    leaves = spark.createDataFrame([(2, 7), (2, 7)], "user_id long, group_id long")
+    assert sorted(r.status for r in G.leave_groups(leaves, groups, members2).collect()) == sorted([G.LEFT, G.NOT_MEMBER])
+    fx = _fixtures(spark, [(1, "A", "B", None, None, False, T0, 1, "s")])
+    preds = _preds(spark, [(1, 5, 9, 1, 100, 90, T0, False, None)])
+    dels = spark.createDataFrame([(5, 9, 1), (5, 9, 1)], "user_id long, group_id long, fixture_id long")
+    now = T0 - dt.timedelta(hours=1)
+    assert sorted(r.status for r in R.delete_predictions(dels, preds, fx, now).collect()) == \
+        sorted([R.DELETED, R.NOT_FOUND])
