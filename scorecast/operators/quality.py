@@ -65,15 +65,23 @@ def fk_violations(edges: list[tuple[str, DataFrame, str, DataFrame, str]]) -> Da
 def cascade_delete(deleted_users: DataFrame, groups: DataFrame, memberships: DataFrame,
                    predictions: DataFrame, board: DataFrame, stats: DataFrame, profiles: DataFrame,
                    fixtures_deleted: DataFrame | None = None) -> DataFrame:
-    """Rows removed per table when users (and the groups they created) are deleted."""
+    """Rows removed per table when users (and the groups they created) and, optionally,
+    fixtures (match_num) are deleted: User -> Group, UserGroups, Prediction, Leaderboard,
+    UserStats, Profile; Group -> UserGroups, Prediction, Leaderboard; Fixture -> Prediction."""
     du = deleted_users.select("user_id").distinct()
     dg = groups.join(du.withColumnRenamed("user_id", "creator_id"), "creator_id", "left_semi").select("group_id")
     du_f = du.select("user_id", F.lit(True).alias("_du"))
     dg_f = dg.select("group_id", F.lit(True).alias("_dg"))
 
-    def by_user_or_group(name, df):
-        j = df.select("user_id", "group_id").join(du_f, "user_id", "left").join(dg_f, "group_id", "left")
-        return j.filter(F.col("_du").isNotNull() | F.col("_dg").isNotNull()).agg(
+    def by_user_or_group(name, df, with_fixture=False):
+        cols = ["user_id", "group_id"] + (["fixture_id"] if with_fixture else [])
+        j = df.select(*cols).join(du_f, "user_id", "left").join(dg_f, "group_id", "left")
+        gone = F.col("_du").isNotNull() | F.col("_dg").isNotNull()
+        if with_fixture:
+            df_f = fixtures_deleted.select(F.col("match_num").alias("fixture_id"), F.lit(True).alias("_df")).distinct()
+            j = j.join(df_f, "fixture_id", "left")
+            gone = gone | F.col("_df").isNotNull()
+        return j.filter(gone).agg(
             F.count(F.lit(1)).alias("deleted_rows")).select(F.lit(name).alias("table_name"), "deleted_rows")
 
     def by_user(name, df):
@@ -84,7 +92,7 @@ def cascade_delete(deleted_users: DataFrame, groups: DataFrame, memberships: Dat
         du.agg(F.count(F.lit(1)).alias("deleted_rows")).select(F.lit("User").alias("table_name"), "deleted_rows"),
         dg.agg(F.count(F.lit(1)).alias("deleted_rows")).select(F.lit("Group").alias("table_name"), "deleted_rows"),
         by_user_or_group("UserGroups", memberships),
-        by_user_or_group("Prediction", predictions),
+        by_user_or_group("Prediction", predictions, with_fixture=fixtures_deleted is not None),
         by_user_or_group("Leaderboard", board),
         by_user("UserStats", stats),
         by_user("Profile", profiles),
@@ -102,3 +110,11 @@ def required_tables(tables: dict[str, DataFrame]) -> DataFrame:
     """Q2: each required table, whether it is present (has rows) and its row count."""
     counts = table_counts({n: tables[n] for n in REQUIRED_TABLES if n in tables})
     return counts.select("table_name", (F.col("row_count") > 0).alias("present"), "row_count")
+
+
+def catalog_tables(spark, required: tuple[str, ...] = REQUIRED_TABLES) -> DataFrame:
+    """Q2 against the catalog: which required tables/views exist (metadata only, one row
+    per required name) and which are missing."""
+    rows = [(name, bool(spark.catalog.tableExists(name))) for name in required]
+    return spark.createDataFrame(rows, "table_name string, present boolean")
+

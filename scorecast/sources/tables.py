@@ -121,6 +121,20 @@ class Tables:
             publish(self.spark, staged, path)
         return self.spark.read.parquet(path)
 
+    # The application's table names for SQL users.
+    VIEW_NAMES = {"User": "users", "Group": "groups", "UserGroups": "memberships", "Fixture": "fixtures",
+                  "Prediction": "predictions", "Leaderboard": "leaderboard", "Profile": "profiles"}
+
+    def register_views(self) -> list[str]:
+        """Expose the domain tables to SQL under the application's names (temp views) and
+        register the scoring rule as SQL functions."""
+        from scorecast.functions.scoring import register_sql_functions
+
+        for view, attr in self.VIEW_NAMES.items():
+            getattr(self, attr).createOrReplaceTempView(view)
+        register_sql_functions(self.spark)
+        return list(self.VIEW_NAMES)
+
     @classmethod
     def for_dir(cls, spark: SparkSession, sf_dir: str, as_of: dt.datetime = AS_OF) -> "Tables":
         """Reuse one instance per (application, inputs) so stored tables resolve once."""

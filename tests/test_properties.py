@@ -81,3 +81,16 @@ def test_sequential_ids_match_row_number(spark):
     want = df.withColumn("n", F.row_number().over(W.orderBy("a", "b")))
     got = sequential_ids(df, ["a", "b"], "n", num_partitions=7)
     assert _rows(got) == _rows(want)
+
+
+def test_stream_predictions_dead_letters(spark, tables):
+    from scorecast.operators import predictions as R
+
+    req = batches.create_requests(tables)
+    chunk = F.abs(F.hash("user_id", "group_id", "fixture_id")) % 3
+    accepted, dead = jobs.stream_predictions(spark, req, tables.fixtures, tables.users, tables.groups,
+                                             chunk, [0, 1, 2])
+    letters = spark.read.parquet(dead)
+    counts = {r.status: r["count"] for r in letters.groupBy("status").count().collect()}
+    assert counts == {R.FIXTURE_UNKNOWN: 67, R.GAME_STARTED: 2408}
+    assert accepted.final().count() == 3503

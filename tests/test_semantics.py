@@ -196,3 +196,32 @@ def test_duplicate_requests_first_wins(spark):
     now = T0 - dt.timedelta(hours=1)
     assert sorted(r.status for r in R.delete_predictions(dels, preds, fx, now).collect()) == \
         sorted([R.DELETED, R.NOT_FOUND])
+
+
+def test_sql_views_and_catalog_check(spark, tables):
+    from scorecast.operators import quality as Q
+
+    tables.register_views()
+    n = spark.sql("SELECT count(*) AS n FROM Prediction WHERE points_earned = "
+                  "prediction_points(pred_home_score, pred_away_score, pred_home_score, pred_away_score)").first().n
+    assert n == tables.predictions.filter(F.col("points_earned") == 10).count()
+    got = {r.table_name: r.present for r in Q.catalog_tables(spark, ("User", "Leaderboard", "Teams")).collect()}
+    assert got == {"User": True, "Leaderboard": True, "Teams": False}
+
+
+def test_cascade_includes_fixture_edge(spark):
+    from scorecast.operators import quality as Q
+
+    users = spark.createDataFrame([(1,)], "user_id long")
+    groups = spark.createDataFrame([(7, 1), (8, 2)], "group_id long, creator_id long")
+    members = spark.createDataFrame([(1, 7), (2, 8), (3, 8)], "user_id long, group_id long")
+    preds = _preds(spark, [(1, 2, 8, 100, 1, 1, T0, False, None), (2, 3, 8, 200, 1, 1, T0, False, None),
+                           (3, 1, 7, 100, 1, 1, T0, False, None)])
+    board = spark.createDataFrame([(1, 7), (2, 8)], "user_id long, group_id long")
+    stats = spark.createDataFrame([(1,), (2,)], "user_id long")
+    profiles = spark.createDataFrame([(3,)], "user_id long")
+    fx_gone = spark.createDataFrame([(200,)], "match_num long")
+    got = {r.table_name: r.deleted_rows for r in
+           Q.cascade_delete(users, groups, members, preds, board, stats, profiles, fx_gone).collect()}
+    assert got == {"User": 1, "Group": 1, "UserGroups": 1, "Prediction": 2, "Leaderboard": 1,
+                   "UserStats": 1, "Profile": 0}
