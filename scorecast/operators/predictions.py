@@ -112,6 +112,29 @@ def update_predictions(requests: DataFrame, predictions: DataFrame, fixtures: Da
         F.when(accepted, ts_lit(now)).alias("prediction_time"))
 
 
+def apply_updates(predictions: DataFrame, outcomes: DataFrame, now: dt.datetime,
+                  order: str | None = None) -> DataFrame:
+    """R2 as a write: the prediction table after the accepted updates. Per key the last
+    accepted request (largest ``order``; without one, the largest scores as a fixed tie
+    rule) sets both scores; accepted same-score requests still move prediction_time."""
+    acc = outcomes.filter(F.col("status").isin(OK, SAME_SCORE))
+    keys = [order] if order else ["pred_home_score"]
+    tie = "_neg_away"
+    last = latest_per_key(acc.select(*KEY, "pred_home_score", "pred_away_score", *([order] if order else []),
+                                     (-F.col("pred_away_score")).alias(tie)),
+                          KEY, keys, tie)
+    upd = last.select(*KEY, F.col("pred_home_score").alias("_h"), F.col("pred_away_score").alias("_a"),
+                      F.lit(True).alias("_u"))
+    j = predictions.join(upd, KEY, "left")
+    hit = F.col("_u").isNotNull()
+    return j.select(
+        "pid", *KEY,
+        F.when(hit, F.col("_h")).otherwise(F.col("pred_home_score")).alias("pred_home_score"),
+        F.when(hit, F.col("_a")).otherwise(F.col("pred_away_score")).alias("pred_away_score"),
+        F.when(hit, ts_lit(now)).otherwise(F.col("prediction_time")).alias("prediction_time"),
+        "locked", "points_earned")
+
+
 def delete_predictions(requests: DataFrame, predictions: DataFrame, fixtures: DataFrame,
                        now: dt.datetime) -> DataFrame:
     """Status per delete request (missing, locked, started, deleted)."""

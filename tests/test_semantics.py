@@ -225,3 +225,18 @@ def test_cascade_includes_fixture_edge(spark):
            Q.cascade_delete(users, groups, members, preds, board, stats, profiles, fx_gone).collect()}
     assert got == {"User": 1, "Group": 1, "UserGroups": 1, "Prediction": 2, "Leaderboard": 1,
                    "UserStats": 1, "Profile": 0}
+
+
+def test_apply_updates_moves_scores_and_time(spark):
+    fx = _fixtures(spark, [(1, "A", "B", None, None, False, T0, 1, "s")])
+    preds = _preds(spark, [(1, 5, 9, 1, 100, 90, T0, False, None), (2, 6, 9, 1, 80, 80, T0, True, None)])
+    req = spark.createDataFrame([(5, 9, 1, 101, 90, 1), (5, 9, 1, 102, 90, 2), (6, 9, 1, 81, 80, 3)],
+                                "user_id long, group_id long, fixture_id long, pred_home_score long, "
+                                "pred_away_score long, seq long")
+    now = T0 - dt.timedelta(hours=2)
+    outcomes = R.update_predictions(req.drop("seq"), preds, fx, now).join(
+        req.select("user_id", "group_id", "fixture_id", "pred_home_score", "seq"),
+        ["user_id", "group_id", "fixture_id", "pred_home_score"])
+    got = {r.pid: (r.pred_home_score, r.prediction_time)
+           for r in R.apply_updates(preds, outcomes, now, order="seq").collect()}
+    assert got == {1: (102, now), 2: (80, T0)}  # pid 2 is locked: its change is rejected
