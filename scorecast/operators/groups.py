@@ -148,3 +148,17 @@ def delete_groups(requests: DataFrame, groups: DataFrame, memberships: DataFrame
     cnt = lambda c: F.when(gone, F.coalesce(F.col(c), F.lit(0))).otherwise(F.lit(0)).cast("bigint")
     return j.select("group_id", "user_id", "status", cnt("_m").alias("deleted_members"),
                     cnt("_p").alias("deleted_predictions"), cnt("_b").alias("deleted_leaderboard_rows"))
+
+
+def apply_leaves(memberships: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """G7 as a write: memberships without the accepted leaves (board rows stay)."""
+    gone = outcomes.filter(F.col("status") == LEFT).select("user_id", "group_id")
+    return memberships.join(gone, ["user_id", "group_id"], "left_anti")
+
+
+def apply_group_deletes(groups: DataFrame, memberships: DataFrame, predictions: DataFrame, board: DataFrame,
+                        outcomes: DataFrame):
+    """G9 as a write: groups, memberships, predictions and board rows of the deleted
+    groups removed (ON DELETE CASCADE). Returns the four tables."""
+    gone = outcomes.filter(F.col("status") == DELETED).select("group_id").distinct()
+    return tuple(df.join(gone, "group_id", "left_anti") for df in (groups, memberships, predictions, board))

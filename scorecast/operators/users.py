@@ -191,3 +191,15 @@ def counters_for(counters: DataFrame, user_ids: DataFrame) -> DataFrame:
     """Stored counters of the requested users (semi-join on U8's output)."""
     return counters.join(user_ids.select("user_id").distinct(), "user_id", "left_semi")
 
+
+
+def apply_registrations(users: DataFrame, outcomes: DataFrame, as_of) -> DataFrame:
+    """U6 as a write: accepted requests appended with ids after the current maximum, in
+    request order (distributed numbering, no single-partition window)."""
+    from scorecast.operators.common import sequential_ids, ts_lit
+
+    base = users.select(F.max("user_id")).scalar()
+    new = sequential_ids(outcomes.filter(F.col("status") == OK), ["request_id"], "_seq")
+    rows = new.select((F.coalesce(base, F.lit(0)) + F.col("_seq")).alias("user_id"), "username", "email",
+                      F.lit(False).alias("is_admin"), ts_lit(as_of).alias("created_at"))
+    return users.select("user_id", "username", "email", "is_admin", "created_at").unionByName(rows)

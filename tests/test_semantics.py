@@ -240,3 +240,23 @@ def test_apply_updates_moves_scores_and_time(spark):
     got = {r.pid: (r.pred_home_score, r.prediction_time)
            for r in R.apply_updates(preds, outcomes, now, order="seq").collect()}
     assert got == {1: (102, now), 2: (80, T0)}  # pid 2 is locked: its change is rejected
+
+
+def test_membership_and_user_writes(spark, tables):
+    from scorecast.sources import batches
+
+    lv = G.leave_groups(batches.leave_requests(tables), tables.groups, tables.memberships)
+    left = lv.filter(F.col("status") == G.LEFT).count()
+    assert G.apply_leaves(tables.memberships, lv).count() == tables.memberships.count() - left
+    dg = G.delete_groups(batches.group_delete_requests(tables), tables.groups, tables.memberships,
+                         tables.predictions, tables.leaderboard)
+    g2, m2, p2, b2 = G.apply_group_deletes(tables.groups, tables.memberships, tables.predictions,
+                                           tables.leaderboard, dg)
+    gone = [r.group_id for r in dg.filter(F.col("status") == G.DELETED).collect()]
+    assert g2.filter(F.col("group_id").isin(gone)).count() == 0 and g2.count() == tables.groups.count() - len(gone)
+    assert p2.filter(F.col("group_id").isin(gone)).count() == 0
+    reg = U.register_users(batches.register_requests(tables), tables.users)
+    users2 = U.apply_registrations(tables.users, reg, tables.as_of)
+    ok = reg.filter(F.col("status") == U.OK).count()
+    assert users2.count() == tables.users.count() + ok
+    assert users2.select("user_id").distinct().count() == users2.count()
