@@ -117,17 +117,17 @@ def lag_over(df: DataFrame, key: str, order: str, value: str, out: str,
     scratch_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     staged = (df.repartitionByRange(n, key, order).sortWithinPartitions(key, order)
-              .withColumn("_part", F.spark_partition_id()).checkpoint(eager=True))
-    tails = staged.groupBy("_part").agg(F.max_by(F.struct(F.col(key).alias("k"), F.col(value).alias("v")),
-                                                 F.struct(key, order)).alias("_t"))
+              .withColumn("_lo_part", F.spark_partition_id()).checkpoint(eager=True))
+    tails = staged.groupBy("_lo_part").agg(F.max_by(F.struct(F.col(key).alias("k"), F.col(value).alias("v")),
+                                                 F.struct(key, order)).alias("_lo_t"))
     prev = tails.select(
-        "_part", F.lag("_t").over(W.orderBy("_part")).alias("_prev"))  # bounded: one row per partition
-    run = W.partitionBy("_part", key).orderBy(order)
-    j = (staged.withColumn("_in", F.lag(value).over(run)).withColumn("_first", F.row_number().over(run) == 1)
-         .join(F.broadcast(prev), "_part", "left"))
-    carried = F.when(F.col("_prev.k") == F.col(key), F.col("_prev.v"))
-    return (j.withColumn(out, F.when(F.col("_first"), carried).otherwise(F.col("_in")))
-            .drop("_part", "_in", "_first", "_prev"))
+        "_lo_part", F.lag("_lo_t").over(W.orderBy("_lo_part")).alias("_lo_prev"))  # bounded: one row per partition
+    run = W.partitionBy("_lo_part", key).orderBy(order)
+    j = (staged.withColumn("_lo_in", F.lag(value).over(run)).withColumn("_lo_first", F.row_number().over(run) == 1)
+         .join(F.broadcast(prev), "_lo_part", "left"))
+    carried = F.when(F.col("_lo_prev.k") == F.col(key), F.col("_lo_prev.v"))
+    return (j.withColumn(out, F.when(F.col("_lo_first"), carried).otherwise(F.col("_lo_in")))
+            .drop("_lo_part", "_lo_in", "_lo_first", "_lo_prev"))
 
 
 def restrict_to(big: DataFrame, requests: DataFrame, cols: list[str]) -> DataFrame:

@@ -12,8 +12,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorecast.operators.common import (first_per_key, first_wins, game_date, game_time, latest_per_key,
-                                        restrict_to, ts_lit)
+from scorecast.operators.common import (first_per_key, first_wins, game_date, game_time, lag_over,
+                                        latest_per_key, restrict_to, ts_lit)
 
 KEY = ["user_id", "group_id", "fixture_id"]
 # Statuses and reject reasons.
@@ -90,25 +90,37 @@ def created_rows(outcomes: DataFrame, fixtures: DataFrame) -> DataFrame:
 
 
 def update_predictions(requests: DataFrame, predictions: DataFrame, fixtures: DataFrame,
-                       now: dt.datetime) -> DataFrame:
+                       now: dt.datetime, order: str | None = None) -> DataFrame:
     """R2: status per update request and the resulting scores/time.
 
     Missing key rejects; a locked row rejects changed scores; an unlocked row whose game
     started (start < now) rejects changed scores; identical scores always pass and still
-    move prediction_time to ``now``.
+    move prediction_time to ``now``. With ``order`` (a request sequence column) several
+    requests for one key are judged one after another: on an open prediction each is
+    compared with the previous request's scores (on a locked or started one every change
+    is rejected, so the stored scores stay the reference).
     """
     p = restrict_to(predictions, requests, KEY).select(
         *KEY, "pid", "locked", F.col("pred_home_score").alias("_oh"), F.col("pred_away_score").alias("_oa"))
     fx = fixtures.select(F.col("match_num").alias("fixture_id"), "start_time")
     r = requests.join(p, KEY, "left").join(fx, "fixture_id", "left")
-    changed = (F.col("_oh") != F.col("pred_home_score")) | (F.col("_oa") != F.col("pred_away_score"))
+    ref_h, ref_a = F.col("_oh"), F.col("_oa")
+    if order is not None:
+        keyed = (r.withColumn("_k", F.struct(*KEY))
+                 .withColumn("_v", F.struct(F.col("pred_home_score").alias("h"), F.col("pred_away_score").alias("a"))))
+        r = lag_over(keyed, "_k", order, "_v", "_prev_req").drop("_k", "_v")
+        open_row = ~F.col("locked") & ~(F.col("start_time") < ts_lit(now))
+        ref_h = F.when(open_row & F.col("_prev_req").isNotNull(), F.col("_prev_req.h")).otherwise(F.col("_oh"))
+        ref_a = F.when(open_row & F.col("_prev_req").isNotNull(), F.col("_prev_req.a")).otherwise(F.col("_oa"))
+    changed = (ref_h != F.col("pred_home_score")) | (ref_a != F.col("pred_away_score"))
     status = (F.when(F.col("pid").isNull(), NOT_FOUND)
               .when(F.col("locked") & changed, LOCKED_UPDATE)
               .when(changed & (F.col("start_time") < ts_lit(now)), STARTED_UPDATE)
               .when(changed, OK).otherwise(SAME_SCORE))
     accepted = F.col("status").isin(OK, SAME_SCORE)
+    extra = [order] if order is not None else []
     return r.withColumn("status", status).select(
-        *KEY, "pred_home_score", "pred_away_score", "status",
+        *KEY, "pred_home_score", "pred_away_score", *extra, "status",
         F.when(accepted, ts_lit(now)).alias("prediction_time"))
 
 

@@ -260,3 +260,18 @@ def test_membership_and_user_writes(spark, tables):
     ok = reg.filter(F.col("status") == U.OK).count()
     assert users2.count() == tables.users.count() + ok
     assert users2.select("user_id").distinct().count() == users2.count()
+
+
+def test_sequential_updates_with_order(spark):
+    fx = _fixtures(spark, [(1, "A", "B", None, None, False, T0, 1, "s")])
+    preds = _preds(spark, [(1, 5, 9, 1, 100, 90, T0, False, None)])
+    req = spark.createDataFrame([(5, 9, 1, 101, 90, 1), (5, 9, 1, 101, 90, 2), (5, 9, 1, 100, 90, 3)],
+                                "user_id long, group_id long, fixture_id long, pred_home_score long, "
+                                "pred_away_score long, seq long")
+    now = T0 - dt.timedelta(hours=2)
+    got = {r.seq: r.status for r in R.update_predictions(req, preds, fx, now, order="seq").collect()}
+    assert got == {1: R.OK, 2: R.SAME_SCORE, 3: R.OK}
+    state = {r.pid: r.pred_home_score for r in
+             R.apply_updates(preds, R.update_predictions(req, preds, fx, now, order="seq"), now,
+                             order="seq").collect()}
+    assert state == {1: 100}
