@@ -37,6 +37,8 @@ def build_session(master: str | None = None, app: str = "scorecast",
         "spark.sql.autoBroadcastJoinThreshold": str(BROADCAST_THRESHOLD_BYTES),
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(BROADCAST_THRESHOLD_BYTES),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Remove RDD checkpoint files once nothing references the checkpointed data.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
