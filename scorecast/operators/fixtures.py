@@ -38,8 +38,7 @@ def next_fixtures(fixtures: DataFrame, as_of: dt.datetime) -> DataFrame:
 
 def upcoming_fixtures(fixtures: DataFrame, as_of: dt.datetime, days: int = UPCOMING_DEFAULT_DAYS) -> DataFrame:
     """fixtures dated today .. today+days, both ends inclusive (days + 1 dates)."""
-    if not UPCOMING_MIN_DAYS <= days <= UPCOMING_MAX_DAYS:
-        raise ValueError(f"days must be in [{UPCOMING_MIN_DAYS}, {UPCOMING_MAX_DAYS}]")
+    check_query_params(days=days)
     lo = day_start(as_of)
     hi = lo + dt.timedelta(days=days + 1)
     return fixture_view(fixtures.filter((F.col("start_time") >= ts_lit(lo)) & (F.col("start_time") < ts_lit(hi))))

@@ -275,3 +275,30 @@ def test_sequential_updates_with_order(spark):
              R.apply_updates(preds, R.update_predictions(req, preds, fx, now, order="seq"), now,
                              order="seq").collect()}
     assert state == {1: 100}
+
+
+def test_schedule_document_layout_matches_lines(spark, tables):
+    from scorecast.session import new_scratch_path
+
+    days = SCH.feed_days_from_fixtures(tables.fixtures)
+    lines = SCH.write_feed_lines(days, new_scratch_path(spark, "feed-lines"))
+    doc_path = new_scratch_path(spark, "feed-doc")
+    (days.agg(F.collect_list(F.struct("gameDate", "games")).alias("gameDates"))
+     .select(F.struct("gameDates").alias("leagueSchedule")).coalesce(1).write.json(doc_path))
+    start = dt.datetime(1997, 1, 1)
+    a = SCH.flatten_schedule(SCH.read_schedule(spark, lines), start)
+    b = SCH.flatten_schedule(SCH.read_schedule(spark, doc_path, document=True), start)
+    assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_merged_view_for_one_user(spark, tables):
+    from scorecast.operators import fixtures as FX
+
+    merged = FX.next_fixtures_merged(tables.fixtures, tables.predictions, tables.as_of)
+    day = FX.next_fixtures(tables.fixtures, tables.as_of)
+    some_user = merged.filter(F.col("user_id").isNotNull()).select("user_id").first()
+    if some_user is None:
+        return
+    mine = FX.merged_for_user(merged, some_user.user_id)
+    assert mine.count() == day.count()  # every fixture of the day exactly once
+    assert mine.select("match_num").distinct().count() == day.count()
