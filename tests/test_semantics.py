@@ -291,14 +291,14 @@ def test_schedule_document_layout_matches_lines(spark, tables):
     assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_merged_view_for_one_user(spark, tables):
+def test_merged_view_for_one_user(spark):
     from scorecast.operators import fixtures as FX
 
-    merged = FX.next_fixtures_merged(tables.fixtures, tables.predictions, tables.as_of)
-    day = FX.next_fixtures(tables.fixtures, tables.as_of)
-    some_user = merged.filter(F.col("user_id").isNotNull()).select("user_id").first()
-    if some_user is None:
-        return
-    mine = FX.merged_for_user(merged, some_user.user_id)
-    assert mine.count() == day.count()  # every fixture of the day exactly once
-    assert mine.select("match_num").distinct().count() == day.count()
+    d1 = dt.datetime(2025, 10, 22, 19, 0)
+    fx = _fixtures(spark, [(1, "A", "B", None, None, False, d1, 1, "s"),
+                           (2, "C", "D", None, None, False, d1 + dt.timedelta(hours=2), 2, "s")])
+    preds = _preds(spark, [(10, 5, 9, 1, 101, 99, T0, False, None), (11, 5, 8, 1, 110, 90, T0 + dt.timedelta(1), False, None)])
+    merged = FX.next_fixtures_merged(fx, preds, T0)
+    got = {r.match_num: (r.home_score, r.away_score) for r in FX.merged_for_user(merged, 5).collect()}
+    assert got == {1: (110, 90), 2: (None, None)}  # latest prediction over all groups wins
+    assert {r.match_num for r in FX.merged_for_user(merged, 6).collect()} == {1, 2}
