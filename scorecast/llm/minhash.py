@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorecast.llm import spans as S
+from scorecast.llm.blocks import PAIR, Forest, dealt, groups, segments
 from scorecast.llm.components import connected_components
-from scorecast.llm.scratch import shuffle_partitions, written
+from scorecast.llm.scratch import written
 
 SHINGLE = 5
 PERMUTATIONS = 64
@@ -87,7 +88,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        texts, done = S.clean(batch["text"]), 0
+        texts = S.clean(batch["text"])
         for a, b in S.chunks(texts):
             sets = list(shingle_sets(texts[a:b]))
             full = [x for x in sets if len(x)]
@@ -109,68 +110,17 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out = pd.DataFrame(rows, columns=["n_shingles", "sum_hash", "xor_hash", "sig", "bands"])
             out.insert(0, "doc_id", batch["doc_id"].iloc[a:b].astype("Int64").to_numpy())
             yield out
-            done = b
-
-
-def _segments(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Runs of batches that hold whole groups of ``keys``; rows come sorted by them. What is
-    kept back is one group, and a group is a pair of bounded blocks."""
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        k = batch[keys].to_numpy()
-        if held and (k[0] != held[-1][keys].to_numpy()[-1]).any():
-            yield pd.concat(held, ignore_index=True)
-            held = []
-        cut = len(k) - 1
-        change = np.flatnonzero((k[1:] != k[:-1]).any(axis=1))
-        cut = int(change[-1]) + 1 if len(change) else 0
-        if cut:
-            yield pd.concat([*held, batch.iloc[:cut]], ignore_index=True)
-            held = []
-        held.append(batch.iloc[cut:])
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
-def _groups(part: pd.DataFrame, keys: list[str]) -> list[tuple[int, int]]:
-    k = part[keys].to_numpy()
-    cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
-    return list(zip(cuts[:-1], cuts[1:]))
-
-
-class Forest:
-    """Union-find over 0..n-1 that keeps the links which joined two trees."""
-
-    def __init__(self, n: int):
-        self.up, self.links = list(range(n)), []
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def link(self, x: int, y: int) -> None:
-        a, b = self.root(x), self.root(y)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-            self.links.append((x, y))
-
-
-PAIR = ["key", "left", "right"]
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Spanning links, per band key and block pair, of pairs whose signatures agree."""
     need = AGREE * 2 * PERMUTATIONS
-    for part in _segments(batches, PAIR):
+    for part in segments(batches, PAIR):
         sig = np.frombuffer(b"".join(part["sig"]), dtype=np.uint8).reshape(len(part), -1)
         ids, block = part["doc_id"].to_numpy(), part["block"].to_numpy()
         left, right = part["left"].to_numpy(), part["right"].to_numpy()
         out = []
-        for lo, hi in _groups(part, PAIR):
+        for lo, hi in groups(part, PAIR):
             forest, across = Forest(hi - lo), left[lo] != right[lo]
             for i in range(lo, hi - 1):
                 agree = (sig[i + 1:hi] == sig[i]).sum(axis=1) >= need
@@ -194,11 +144,11 @@ def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _confirm(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Spanning links, per family and block pair, of pairs at the similarity."""
-        for part in _segments(batches, PAIR):
+        for part in segments(batches, PAIR):
             ids, block = part["doc_id"].to_numpy(), part["block"].to_numpy()
             left, right = part["left"].to_numpy(), part["right"].to_numpy()
             out = []
-            for lo, hi in _groups(part, PAIR):
+            for lo, hi in groups(part, PAIR):
                 sets = [np.frombuffer(x, dtype=U64) for x in part["shingles"].iloc[lo:hi]]
                 links = confirmed_links(sets, percent, block[lo:hi] if left[lo] != right[lo] else None)
                 out += [(ids[lo + x], ids[lo + y]) for x, y in links]
@@ -246,11 +196,6 @@ def _in_blocks(rows: DataFrame, n_blocks: str) -> DataFrame:
             .drop("other", n_blocks))
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows dealt by unit of work and sorted by it."""
-    return rows.repartition(shuffle_partitions(rows.sparkSession), *PAIR).sortWithinPartitions(*PAIR, "doc_id")
-
-
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -265,7 +210,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shared = (banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
               .select("key", F.ceil(F.col("n") / BLOCK_DOCS).alias("n_blocks")))
     rows = _in_blocks(banded.join(shared, "key").join(sized.select("doc_id", "sig").dropDuplicates(["doc_id"]), "doc_id"), "n_blocks")
-    candidates = _dealt(rows).mapInPandas(_candidates, "a long, b long").distinct()
+    candidates = dealt(rows).mapInPandas(_candidates, "a long, b long").distinct()
 
     hung = connected_components(candidates)
     family = hung.union(hung.select(F.col("component").alias("node"), "component").distinct())
@@ -276,7 +221,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     member = member.drop("n_shingles").join(size, "key")
     sets = texts.join(member, "doc_id").dropDuplicates(["doc_id"]).mapInPandas(
         _shingles, "doc_id long, key long, n_blocks long, shingles binary")
-    links = _dealt(_in_blocks(sets, "n_blocks")).mapInPandas(_confirm(percent), "a long, b long")
+    links = dealt(_in_blocks(sets, "n_blocks")).mapInPandas(_confirm(percent), "a long, b long")
 
     found = connected_components(links)
     of_class = classes.join(found, F.col("class_id") == F.col("node"), "left").select(

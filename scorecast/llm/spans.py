@@ -107,3 +107,27 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     prefix = np.zeros(len(values) + 1, dtype=U64)
     np.cumsum(values * power[:-1], out=prefix[1:])
     return (prefix[ends] - prefix[starts]) * inverse[starts]
+
+
+def arrow_filter(keep):
+    """For mapInArrow: the rows, with all columns as they are, whose text ``keep`` accepts
+    (a function from a list of texts, null as empty, to a mask)."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = clean(batch.column(batch.schema.get_field_index("text")).to_pylist())
+            yield batch.filter(pa.array(keep(texts), type=pa.bool_()))
+    return run
+
+
+def arrow_rewrite(change):
+    """For mapInArrow: the rows with ``text`` replaced by ``change(text)``; null stays null."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = [t if t is None else change(t) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, type=batch.schema.field(at).type))
+    return run
