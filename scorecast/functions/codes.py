@@ -19,14 +19,17 @@ CODE_INCREMENT = 12345
 CODE_ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def code_number(group_id) -> Column:
-    gid = F.col(group_id) if isinstance(group_id, str) else group_id
-    return (gid.cast("bigint") * F.lit(CODE_MULTIPLIER) + F.lit(CODE_INCREMENT)) % F.lit(CODE_SPACE)
+def code_number(group_id, step: int = 0) -> Column:
+    """The number of an id's code; ``step`` moves on to the next numbers. Six characters hold
+    36^6 codes: an id outside that range has none (NULL) rather than another id's."""
+    gid = (F.col(group_id) if isinstance(group_id, str) else group_id).cast("bigint")
+    number = (gid * F.lit(CODE_MULTIPLIER) + F.lit(CODE_INCREMENT + step)) % F.lit(CODE_SPACE)
+    return F.when((gid >= 0) & (gid < CODE_SPACE), number)
 
 
-def group_code(group_id) -> Column:
-    """Base-36, zero-padded to six characters, upper case."""
-    return F.lpad(F.conv(code_number(group_id).cast("string"), 10, 36), CODE_WIDTH, "0")
+def group_code(group_id, step: int = 0) -> Column:
+    """Base-36, zero-padded to six characters, upper case; NULL beyond the code space."""
+    return F.lpad(F.conv(code_number(group_id, step).cast("string"), 10, 36), CODE_WIDTH, "0")
 
 
 def normalize_code(code) -> Column:

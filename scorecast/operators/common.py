@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 FIXTURE_COLS = ["match_num", "home_team", "away_team", "home_score", "away_score", "completed", "start_time"]
-# Fixed value: salt buckets for top-k over groups that may hold a third of all rows.
-TOPK_SALT_BUCKETS = 32
 
 
 def ts_lit(value: dt.datetime | dt.date) -> Column:
@@ -38,40 +36,30 @@ def fixture_view(fixtures: DataFrame) -> DataFrame:
     return fixtures.select(*FIXTURE_COLS, game_date().alias("game_date"), game_time().alias("game_time"))
 
 
-def latest_per_key(df: DataFrame, keys: list[str], order_desc: list[str], tie_asc: str) -> DataFrame:
-    """One row per key: greatest ``order_desc`` values, then smallest ``tie_asc``.
+def _first_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each key by ``order`` (a total order). A ``row_number() = 1`` filter
+    plans as a group limit: each task keeps one row per key before the shuffle, so a hot
+    key sends at most one row per task. Without an order, equal keys are equal rows."""
+    if not order:
+        return df.dropDuplicates(keys)
+    return (df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+            .filter(F.col("_rn") == 1).drop("_rn"))
 
-    Written as ``max(struct(...))``: a two-phase aggregate, so a hot key is collapsed
-    map-side instead of being sorted in one window task.
-    """
-    others = [c for c in df.columns if c not in keys]
-    packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_desc)],
-                      (-F.col(tie_asc)).alias("_tie"), *[F.col(c) for c in others])
-    return (df.groupBy(*keys).agg(F.max(packed).alias("_r"))
-            .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others]))
 
+def latest_per_key(df: DataFrame, keys: list[str], order_desc: list[str], tie_asc: str) -> DataFrame:
+    """One row per key: greatest ``order_desc`` values, then smallest ``tie_asc``."""
+    return _first_row(df, keys, [*[F.desc(c) for c in order_desc], F.asc(tie_asc)])
 
-def first_per_key(df: DataFrame, keys: list[str], order_asc: list[str]) -> DataFrame:
-    """One row per key with the smallest ``order_asc`` tuple (two-phase aggregate)."""
-    others = [c for c in df.columns if c not in keys]
-    packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_asc)],
-                      *[F.col(c) for c in others])
-    return (df.groupBy(*keys).agg(F.min(packed).alias("_r"))
-            .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others]))
 
+def first_per_key(df: DataFrame, keys: list[str], order_asc: list[str]) -> DataFrame:
+    """One row per key with the smallest ``order_asc`` tuple."""
+    return _first_row(df, keys, [F.asc(c) for c in order_asc])
 
-def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k: int,
-                    salt_col: str | None = None, buckets: int = TOPK_SALT_BUCKETS) -> DataFrame:
-    """Rows ranked 1..k per group by ``order`` (a total order), skew-safe.
 
-    Phase 1 ranks inside (group, salt) buckets so a hot group spreads over ``buckets``
-    tasks; phase 2 ranks the at most k*buckets survivors per group.
-    """
-    salt = F.abs(F.hash(F.col(salt_col) if salt_col else F.struct(*df.columns))) % buckets
-    pre = (df.withColumn("_salt", salt)
-           .withColumn("_rk", F.row_number().over(W.partitionBy(*group_cols, "_salt").orderBy(*order)))
-           .filter(F.col("_rk") <= k).drop("_salt", "_rk"))
-    return (pre.withColumn("_rk", F.row_number().over(W.partitionBy(*group_cols).orderBy(*order)))
+def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k: int) -> DataFrame:
+    """Rows ranked 1..k per group by ``order`` (a total order); each task keeps at most k
+    rows of a group before the shuffle."""
+    return (df.withColumn("_rk", F.row_number().over(W.partitionBy(*group_cols).orderBy(*order)))
             .filter(F.col("_rk") <= k).drop("_rk"))
 
 
@@ -140,22 +128,27 @@ def restrict_to(big: DataFrame, requests: DataFrame, cols: list[str]) -> DataFra
     return big.join(requests.select(*cols).distinct(), cols, "left_semi")
 
 
+def numbered_once(requests: DataFrame, name: str) -> DataFrame:
+    """The requests written once with a row id ``_id``: later steps read the written rows
+    instead of evaluating the input again, and can name single rows of equal requests."""
+    from scorecast.session import materialize
+
+    return materialize(requests.withColumn("_id", F.monotonically_increasing_id()), name)
+
+
 def first_wins(df: DataFrame, key: list[str], winner: str, loser: str, status: str = "status",
                order: list[str] | None = None) -> DataFrame:
     """Sequential semantics inside one batch: of the rows marked ``winner`` that share a
     ``key``, only the first (smallest ``order``, default the remaining columns) keeps it;
     the others become ``loser`` (e.g. a second delete of the same row finds nothing).
 
-    Identical requests are counted, not collapsed, so every input row gets an output row.
+    The batch is evaluated once; of identical requests exactly one copy wins.
     """
     cols = [c for c in df.columns if c != status]
-    won = df.filter(F.col(status) == winner).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-    firsts = first_per_key(won.select(*cols), key, order or [c for c in cols if c not in key])
-    flagged = won.alias("w").join(
-        firsts.alias("f"), [F.col(f"w.{c}").eqNullSafe(F.col(f"f.{c}")) for c in cols], "left"
-    ).select(*[F.col(f"w.{c}").alias(c) for c in cols], "w._n",
-             F.col(f"f.{key[0]}").isNotNull().alias("_first"))
-    expanded = flagged.select(*cols, "_first", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i")).select(
-        *cols, F.when(F.col("_first") & (F.col("_i") == 1), F.lit(winner)).otherwise(F.lit(loser)).alias(status))
-    others = df.filter((F.col(status) != winner) | F.col(status).isNull())
-    return others.unionByName(expanded)
+    rows = numbered_once(df, "requests")
+    by = [*(order or [c for c in cols if c not in key]), "_id"]
+    firsts = (first_per_key(rows.filter(F.col(status) == winner).select(*key, *[c for c in by if c not in key]), key,
+                            [c for c in by if c not in key]).select("_id", F.lit(True).alias("_first")))
+    j = rows.join(firsts, "_id", "left")
+    lost = (F.col(status) == winner) & F.col("_first").isNull()
+    return j.select(*cols, F.when(lost, F.lit(loser)).otherwise(F.col(status)).alias(status))

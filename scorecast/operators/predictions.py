@@ -36,8 +36,8 @@ PRED_COLS = ["pid", "user_id", "group_id", "fixture_id", "pred_home_score", "pre
 
 
 def pid_of(user_id, group_id, fixture_id):
-    """Surrogate prediction id of the mapped tables (unique per key)."""
-    return (F.col(user_id) * 10000 + F.col(group_id)) * 1000000 + F.col(fixture_id)
+    """Prediction id: the natural key as text, so no key is too large and no two keys meet."""
+    return F.concat_ws("-", *[F.col(c).cast("string") for c in (user_id, group_id, fixture_id)])
 
 
 def with_fixture(predictions: DataFrame, fixtures: DataFrame) -> DataFrame:
@@ -68,17 +68,9 @@ def create_predictions(requests: DataFrame, predictions: DataFrame, fixtures: Da
            .when(F.col("_u").isNull(), USER_UNKNOWN).when(F.col("_g").isNull(), GROUP_UNKNOWN)
            .when(F.col("start_time") < F.col("prediction_time"), GAME_STARTED)
            .when(F.col("_stored").isNotNull(), EXISTS))
-    r = r.withColumn("_pre", pre)
     cols = ["user_id", "group_id", "fixture_id", "pred_home_score", "pred_away_score", "prediction_time"]
-    # Identical requests are counted, not collapsed: exactly one copy of the winner is ok.
-    valid = r.filter(F.col("_pre").isNull()).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-    winners = first_per_key(valid.select(*cols), KEY, ["prediction_time", "pred_home_score", "pred_away_score"])
-    valid = valid.join(winners.select(*cols, F.lit(True).alias("_win")), cols, "left")
-    valid_rows = valid.select(*cols, "_win", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i")).select(
-        *cols, F.when(F.col("_win").isNotNull() & (F.col("_i") == 1), F.lit(OK)).otherwise(F.lit(EXISTS))
-        .alias("status"))
-    rejected = r.filter(F.col("_pre").isNotNull()).select(*cols, F.col("_pre").alias("status"))
-    return rejected.unionByName(valid_rows)
+    judged = r.select(*cols, F.coalesce(pre, F.lit(OK)).alias("status"))
+    return first_wins(judged, KEY, OK, EXISTS, order=["prediction_time", "pred_home_score", "pred_away_score"])
 
 
 def created_rows(outcomes: DataFrame, fixtures: DataFrame) -> DataFrame:

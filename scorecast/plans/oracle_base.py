@@ -79,7 +79,7 @@ pred_ranked AS (
                             ORDER BY f.prediction_time, f.pred_home_score, f.pred_away_score) AS rn
   FROM feed f JOIN fixtures x ON f.fixture_id = x.match_num),
 predictions AS (
-  SELECT (user_id * 10000 + group_id) * 1000000 + fixture_id AS pid, user_id, group_id, fixture_id,
+  SELECT concat_ws('-', user_id, group_id, fixture_id) AS pid, user_id, group_id, fixture_id,
          pred_home_score, pred_away_score, prediction_time,
          (start_time <= {AS_OF_SQL} OR completed) AS locked,
          CASE WHEN completed THEN {points_sql('pred_home_score', 'pred_away_score', 'act_home', 'act_away')} END
@@ -113,7 +113,7 @@ def with_domain(body: str, extra_ctes: str = "") -> str:
     ctes = DOMAIN_CTES.strip() + ",\n" + BATCH_SQL.strip()
     if extra_ctes.strip():
         ctes += ",\n" + extra_ctes.strip()
-    return f"WITH {ctes}\n{body.strip()}"
+    return f"WITH RECURSIVE {ctes}\n{body.strip()}"
 
 
 FIXTURE_VIEW_SQL = ("match_num, home_team, away_team, home_score, away_score, completed, start_time, "

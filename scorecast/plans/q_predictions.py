@@ -20,7 +20,9 @@ cr AS (
       WHEN f.match_num IS NULL THEN '{R.FIXTURE_UNKNOWN}'
       WHEN u.user_id IS NULL THEN '{R.USER_UNKNOWN}'
       WHEN g.group_id IS NULL THEN '{R.GROUP_UNKNOWN}'
-      WHEN f.start_time < r.prediction_time THEN '{R.GAME_STARTED}' END AS pre
+      WHEN f.start_time < r.prediction_time THEN '{R.GAME_STARTED}'
+      WHEN (r.user_id, r.group_id, r.fixture_id) IN (SELECT user_id, group_id, fixture_id FROM stored_predictions)
+        THEN '{R.EXISTS}' END AS pre
   FROM create_requests r LEFT JOIN fixtures f ON r.fixture_id = f.match_num
   LEFT JOIN users u ON r.user_id = u.user_id LEFT JOIN grp g ON r.group_id = g.group_id),
 cr_out AS (
@@ -32,19 +34,18 @@ cr_out AS (
 
 
 def _create(t):
-    empty = t.predictions.filter(F.lit(False))  # the batch goes against an empty table
-    return R.create_predictions(batches.create_requests(t), empty, t.fixtures, t.users, t.groups)
+    return R.create_predictions(batches.create_requests(t), batches.stored_predictions(t), t.fixtures, t.users, t.groups)
 
 
 @query("create_predictions", with_domain(f"""
-SELECT (c.user_id * 10000 + c.group_id) * 1000000 + c.fixture_id AS pid, c.user_id, c.group_id, c.fixture_id,
+SELECT concat_ws('-', c.user_id, c.group_id, c.fixture_id) AS pid, c.user_id, c.group_id, c.fixture_id,
        c.pred_home_score, c.pred_away_score, c.prediction_time, FALSE AS locked,
        CAST(NULL AS BIGINT) AS points_earned, f.home_team, f.away_team, f.start_time, f.completed,
        f.home_score AS actual_home_score, f.away_score AS actual_away_score,
        strftime(f.start_time, '%Y-%m-%d') AS game_date, strftime(f.start_time, '%H:%M:%S') AS game_time
 FROM cr_out c JOIN fixtures f ON c.fixture_id = f.match_num WHERE c.status = '{R.OK}'""", CREATE_CTES))
 def q_create_predictions(t):
-    """R1 accepted rows: the whole feed as create requests against an empty table."""
+    """R1 accepted rows: the whole feed as create requests against a partly filled table."""
     return R.created_rows(_create(t), t.fixtures)
 
 
@@ -115,7 +116,7 @@ def q_fixture_predictions(t):
 
 @query("prediction_lookup", with_domain(f"""
 SELECT {PRED_SQL} FROM predictions p JOIN fixtures f ON p.fixture_id = f.match_num
-WHERE p.pid IN (SELECT (user_id * 10000 + group_id) * 1000000 + fixture_id FROM update_requests)"""))
+WHERE p.pid IN (SELECT concat_ws('-', user_id, group_id, fixture_id) FROM update_requests)"""))
 def q_prediction_lookup(t):
     """Look up the ids named by the update batch (unknown ids find nothing)."""
     ids = batches.update_requests(t).select(R.pid_of("user_id", "group_id", "fixture_id").alias("pid"))
@@ -132,7 +133,7 @@ def q_latest_predictions(t):
 
 
 @query("prediction_upsert", with_domain(f"""
-SELECT COALESCE(p.pid, (i.user_id * 10000 + i.group_id) * 1000000 + i.fixture_id) AS pid,
+SELECT COALESCE(p.pid, concat_ws('-', i.user_id, i.group_id, i.fixture_id)) AS pid,
        COALESCE(p.user_id, i.user_id) AS user_id, COALESCE(p.group_id, i.group_id) AS group_id,
        COALESCE(p.fixture_id, i.fixture_id) AS fixture_id,
        COALESCE(i.pred_home_score, p.pred_home_score) AS pred_home_score,

@@ -7,7 +7,6 @@ splitting, and a checkpoint folder that must be shared storage on a cluster.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -17,7 +16,6 @@ from pyspark.sql import SparkSession
 LOCAL_SHUFFLE_PARTITIONS = 8
 BROADCAST_THRESHOLD_BYTES = 32 * 1024 * 1024
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
-MAX_SHUFFLE_PARTITIONS = 200_000
 
 
 def build_session(master: str | None = None, app: str = "scorecast",
@@ -86,10 +84,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def new_scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused sub-folder of the scratch dir (versioned outputs)."""
     base = scratch_dir(spark)
-    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-    return path
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -104,6 +99,11 @@ def path_committed(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop_path(spark, path)
+    return bool(fs.exists(p))
+
+
 def path_signature(spark: SparkSession, path: str) -> str:
     """Length and modification time of a file or folder (changes when the input changes)."""
     fs, p = _hadoop_path(spark, path)
@@ -121,24 +121,24 @@ def publish(spark: SparkSession, staged: str, final: str) -> None:
     ``final`` (a concurrent ingest of the same input), keep theirs and drop ours."""
     fs, src = _hadoop_path(spark, staged)
     _, dst = _hadoop_path(spark, final)
-    if not fs.rename(src, dst):
+    # A rename onto an existing folder would move the copy inside it.
+    if path_committed(spark, final) or not fs.rename(src, dst):
         fs.delete(src, True)
+        return
+    inside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(dst, src.getName())
+    if fs.exists(inside):  # another writer published between the check and the rename
+        fs.delete(inside, True)
 
 
-# Fixed value: largest row count broadcast after an explicit size check.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def checkpoint_small(df, max_rows: int = BROADCAST_MAX_ROWS):
-    """Cut lineage with a reliable checkpoint (shared checkpoint folder), count the rows,
-    and mark the result for broadcast only when the count is within ``max_rows``;
-    otherwise joins against it stay sort-merge joins."""
-    scratch_dir(df.sparkSession)
-    kept = df.checkpoint(eager=True)
-    if kept.count() <= max_rows:
-        from pyspark.sql import functions as F
-        return F.broadcast(kept)
-    return kept
+def materialize(df, name: str):
+    """Write ``df`` once to the shared scratch folder and read it back: cuts the lineage,
+    evaluates the input once, and gives the planner the result's measured bytes, from
+    which it alone decides whether a join broadcasts it."""
+    spark = df.sparkSession
+    path = new_scratch_path(spark, name)
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def input_bytes(spark: SparkSession, paths: list[str]) -> int:
@@ -151,12 +151,17 @@ def input_bytes(spark: SparkSession, paths: list[str]) -> int:
     return total
 
 
+def partitions_for(total_bytes: int, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
+    """Partitions of about ``target_bytes`` that hold ``total_bytes``; no upper limit."""
+    return max(1, -(-total_bytes // target_bytes))
+
+
 def size_for_input(spark: SparkSession, total_bytes: int, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
     """Size scans and shuffles so partitions stay near ``target_bytes`` (fit in executor
     memory, spill rarely): one shuffle partition per target-sized slice of the input,
     never fewer than the cores, AQE coalescing small ones at runtime. Returns the count."""
     cores = spark.sparkContext.defaultParallelism
-    n = max(cores, min(MAX_SHUFFLE_PARTITIONS, -(-total_bytes // target_bytes)))
+    n = max(cores, partitions_for(total_bytes, target_bytes))
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
