@@ -57,21 +57,25 @@ def affected_groups(predictions: DataFrame, changed_fixture_ids: DataFrame) -> D
             .join(changed, "fixture_id", "left_semi").select("group_id").distinct())
 
 
-def recalculate_incremental(board: DataFrame, predictions: DataFrame,
-                            changed_fixture_ids: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """L4: recompute only groups touched by the change; other rows pass through."""
-    return recalculate_groups(board, predictions, affected_groups(predictions, changed_fixture_ids), as_of)
-
-
-def recalculate_groups(board: DataFrame, predictions: DataFrame, groups: DataFrame,
-                       as_of: dt.datetime) -> DataFrame:
-    """Recompute totals and ranks of ``groups`` (group_id); other rows pass through."""
-    touched_keys = board.select(*KEY).join(groups, "group_id", "left_semi")
-    touched_preds = predictions.join(groups, "group_id", "left_semi")
-    fresh = recalculate(touched_keys, touched_preds, as_of)
-    kept = board.join(groups, "group_id", "left_anti").select(
-        *KEY, "total_points", "rank_position", "last_updated")
-    return kept.unionByName(fresh)
+def apply_deltas(board: DataFrame, deltas: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """L4: the board after per-(user, group) point differences.
+
+    Groups named in ``deltas`` (a zero difference names its group too) get new totals, new
+    ranks and ``last_updated``; other rows pass through. Predictions are not read: a total
+    is the stored total plus the difference, which equals the sum over the group's
+    predictions because stored totals are sums over them.
+    """
+    groups = deltas.select("group_id").distinct().withColumn("_hit", F.lit(True))
+    j = (board.join(deltas, KEY, "left").join(groups, "group_id", "left")
+         .withColumn("_hit", F.col("_hit").isNotNull())
+         .withColumn("total_points", F.col("total_points") + F.coalesce("delta", F.lit(0).cast("bigint"))))
+    ranked = (j.filter("_hit").select("group_id", "total_points").distinct()
+              .withColumn("_rank", F.dense_rank().over(W.partitionBy("group_id").orderBy(F.desc("total_points")))
+                          .cast("bigint")))
+    out = j.join(ranked, ["group_id", "total_points"], "left")
+    return out.select(*KEY, "total_points",
+                      F.when(F.col("_hit"), F.col("_rank")).otherwise(F.col("rank_position")).alias("rank_position"),
+                      F.when(F.col("_hit"), _ts(as_of)).otherwise(F.col("last_updated")).alias("last_updated"))
 
 
 def prediction_summary(predictions: DataFrame) -> DataFrame:

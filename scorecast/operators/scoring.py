@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from scorecast.functions.scoring import prediction_points
 from scorecast.operators import leaderboard as L
-from scorecast.operators.common import restrict_to, ts_lit
-from scorecast.session import checkpoint_small
+from scorecast.operators.common import lag_over, restrict_to, ts_lit
+from scorecast.session import materialize
 
 # Result outcomes (accepted) and reject reasons.
 COMPLETED = "completed"
@@ -33,11 +33,28 @@ FIXTURE_TABLE_COLS = ["match_num", "home_team", "away_team", "home_score", "away
                       "start_time", "api_game_id", "season"]
 
 
-def _judge(results: DataFrame, fixtures: DataFrame) -> DataFrame:
+REQUEST_COLS = ["request_id", "fixture_id", "home_score", "away_score"]
+
+
+def _judge(results: DataFrame, fixtures: DataFrame, mode: str) -> DataFrame:
+    """Each request with the state of its fixture when its turn comes, in ``request_id``
+    order (unique per fixture), as the procedures see it one call after another.
+
+    A request that is not refused as unknown leaves the fixture with its own scores: an
+    accepted one writes them, and one refused for equal scores already found them there. So
+    the state before a request is the request before it, and the stored row before the first.
+    """
+    r = lag_over(results.select(*REQUEST_COLS).withColumn("_s", F.struct("home_score", "away_score")),
+                 "fixture_id", "request_id", "_s", "_before")
     touched = restrict_to(fixtures, results.select(F.col("fixture_id").alias("match_num")), ["match_num"])
-    fx = touched.select("match_num", F.col("completed").alias("_was_completed"),
-                        F.col("home_score").alias("_old_home"), F.col("away_score").alias("_old_away"))
-    return results.join(fx, results.fixture_id == fx.match_num, "left")
+    fx = touched.select("match_num", "completed", F.struct("home_score", "away_score").alias("_stored"))
+    j = r.drop("_s").join(fx, r.fixture_id == fx.match_num, "left")
+    later = F.col("_before").isNotNull()
+    state = F.when(later, F.col("_before")).otherwise(F.col("_stored"))
+    # A correction never completes a fixture; the other modes do with the first request.
+    was = F.col("completed") if mode == "correct" else F.col("completed") | later
+    return j.select(*REQUEST_COLS, "match_num", was.alias("_was_completed"),
+                    state["home_score"].alias("_old_home"), state["away_score"].alias("_old_away"))
 
 
 def _status(mode: str):
@@ -55,30 +72,38 @@ def _status(mode: str):
 
 
 def result_outcomes(results: DataFrame, fixtures: DataFrame, mode: str = "upsert") -> DataFrame:
-    """P4 (mode='complete'), P5 ('correct'), P6 ('upsert'): status per result request."""
-    return _judge(results, fixtures).select("fixture_id", "home_score", "away_score", _status(mode).alias("status"))
+    """P4 (mode='complete'), P5 ('correct'), P6 ('upsert'): status per result request
+    (request_id, fixture_id, home_score, away_score)."""
+    return _judge(results, fixtures, mode).select(*REQUEST_COLS, _status(mode).alias("status"))
 
 
 def fixture_changes(results: DataFrame, fixtures: DataFrame, mode: str = "upsert") -> DataFrame:
     """Status per result request plus what the write does for accepted ones.
 
     An accepted row makes the fixture completed with the requested scores, so the change
-    guard (P9) is evaluated right here against the old row: ``changed`` = was not
+    guard (P9) is evaluated right here against the row before: ``changed`` = was not
     completed OR a score differs, three-valued (a NULL old score is not a change).
     ``reset``: a correction nulls the fixture's points before the guard runs.
     """
-    j = _judge(results, fixtures).withColumn("status", _status(mode))
+    j = _judge(results, fixtures, mode).withColumn("status", _status(mode))
     acc = F.col("status").isin(*ACCEPTED)
     guard = (~F.col("_was_completed") | (F.col("_old_home") != F.col("home_score"))
              | (F.col("_old_away") != F.col("away_score")))
-    return j.select("fixture_id", "home_score", "away_score", "status",
+    return j.select(*REQUEST_COLS, "status",
                     (acc & F.coalesce(guard, F.lit(False))).alias("changed"),
                     (F.col("status") == CORRECTED).alias("reset"))
 
 
-def apply_outcomes(fixtures: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Fixture table after the accepted results (scores set, completed)."""
-    acc = outcomes.filter(F.col("status").isin(*ACCEPTED)).select(
+def last_accepted(changes: DataFrame) -> DataFrame:
+    """One row per fixture: its last accepted request, whose write is what remains."""
+    row = F.struct(*[c for c in changes.columns if c != "fixture_id"])
+    return (changes.filter(F.col("status").isin(*ACCEPTED)).groupBy("fixture_id")
+            .agg(F.max_by(row, "request_id").alias("_r")).select("fixture_id", "_r.*"))
+
+
+def apply_outcomes(fixtures: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Fixture table after the last accepted results (one row per fixture)."""
+    acc = accepted.select(
         F.col("fixture_id").alias("match_num"), F.col("home_score").alias("_h"), F.col("away_score").alias("_a"),
         F.lit(True).alias("_hit"))
     j = fixtures.join(acc, "match_num", "left")
@@ -158,6 +183,7 @@ def fixture_prediction_counts(fixtures: DataFrame, predictions: DataFrame) -> Da
 @dataclass
 class ResultsRun:
     outcomes: DataFrame
+    accepted: DataFrame
     fixtures: DataFrame
     changed: DataFrame
     predictions: DataFrame
@@ -167,45 +193,59 @@ class ResultsRun:
 
     @cached_property
     def leaderboard(self) -> DataFrame:
-        """L4 on the groups holding a prediction on a changed fixture (the set is written
-        once: it is bounded by the number of groups and read three times)."""
-        ids = self.changed.select(F.col("match_num").alias("fixture_id"))
-        groups = checkpoint_small(affected_groups(self.old_predictions, ids))
-        return L.recalculate_groups(self.board, self.predictions, groups, self.as_of)
+        """L4: the board moved by the rescored predictions' differences."""
+        return L.apply_deltas(self.board, materialize(point_deltas(self.old_predictions, self.accepted), "deltas"),
+                              self.as_of)
 
 
 def post_results(fixtures: DataFrame, predictions: DataFrame, board: DataFrame, results: DataFrame,
                  as_of: dt.datetime, mode: str = "upsert") -> ResultsRun:
     """The whole write path B: guard -> update fixtures -> P9 -> P3 + lock -> L4.
 
-    The per-request change set is bounded by the batch and feeds four branches, so it
-    is checkpointed once (lineage cut) and counted; it is broadcast only when the count
-    is within a fixed bound, otherwise joined by sort-merge.
+    The per-request change set is bounded by the batch and feeds four branches, so it is
+    written once; whether a join broadcasts it is the planner's decision by its bytes.
     """
-    changes = checkpoint_small(fixture_changes(results, fixtures, mode))
-    outcomes = changes.select("fixture_id", "home_score", "away_score", "status")
-    accepted = changes.filter(F.col("status").isin(*ACCEPTED))
-    new_fx = apply_outcomes(fixtures, outcomes)
+    changes = materialize(fixture_changes(results, fixtures, mode), "changes")
+    outcomes = changes.select(*REQUEST_COLS, "status")
+    accepted = last_accepted(changes)
+    new_fx = apply_outcomes(fixtures, accepted)
     changed = accepted.filter("changed").select(F.col("fixture_id").alias("match_num"), "home_score", "away_score")
     new_preds = apply_changes(predictions, accepted)
-    return ResultsRun(outcomes, new_fx, changed, new_preds, predictions, board, as_of)
+    return ResultsRun(outcomes, accepted, new_fx, changed, new_preds, predictions, board, as_of)
 
 
 def affected_groups(predictions: DataFrame, fixture_ids: DataFrame) -> DataFrame:
     return L.affected_groups(predictions, fixture_ids)
 
 
+def _new_points():
+    """Points after an accepted result: rescored where ``_chg``, NULL where only ``_rst``."""
+    return (F.when(F.col("_chg"), prediction_points("pred_home_score", "pred_away_score", "_ah", "_aa"))
+            .when(F.col("_rst"), F.lit(None).cast("bigint")).otherwise(F.col("points_earned")))
+
+
+def _flags(accepted: DataFrame) -> DataFrame:
+    return accepted.select("fixture_id", F.col("home_score").alias("_ah"), F.col("away_score").alias("_aa"),
+                           F.col("changed").alias("_chg"), F.col("reset").alias("_rst"))
+
+
 def apply_changes(predictions: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Predictions after accepted results: locked; rescored where ``changed``; points
+    """Predictions after the last accepted results: locked; rescored where ``changed``; points
     NULL where ``reset`` and not rescored. One join against the (small) change set."""
-    c = accepted.select(F.col("fixture_id"), F.col("home_score").alias("_ah"), F.col("away_score").alias("_aa"),
-                        F.col("changed").alias("_chg"), F.col("reset").alias("_rst"))
-    j = predictions.join(c, "fixture_id", "left")
+    j = predictions.join(_flags(accepted), "fixture_id", "left")
     hit = F.col("_chg").isNotNull()
-    points = (F.when(F.col("_chg"), prediction_points("pred_home_score", "pred_away_score", "_ah", "_aa"))
-              .when(F.col("_rst"), F.lit(None).cast("bigint")).otherwise(F.col("points_earned")))
     return j.select("pid", "user_id", "group_id", "fixture_id", "pred_home_score", "pred_away_score",
-                    "prediction_time", (F.col("locked") | hit).alias("locked"), points.alias("points_earned"))
+                    "prediction_time", (F.col("locked") | hit).alias("locked"), _new_points().alias("points_earned"))
+
+
+def point_deltas(predictions: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(user_id, group_id, delta) of the predictions on changed fixtures: what the results
+    add to each total. Reads only the fixtures of the change set (an inner join), and is
+    reduced per key before its shuffle."""
+    j = predictions.join(_flags(accepted).filter("_chg"), "fixture_id")
+    zero = F.lit(0)
+    return j.groupBy("user_id", "group_id").agg(
+        F.sum(F.coalesce(_new_points(), zero) - F.coalesce(F.col("points_earned"), zero)).cast("bigint").alias("delta"))
 
 
 def outcome_report(run: ResultsRun, fixtures_after: DataFrame | None = None) -> DataFrame:
@@ -213,7 +253,7 @@ def outcome_report(run: ResultsRun, fixtures_after: DataFrame | None = None) ->
 
     Only the batch's fixtures are read and counted (semi-joins on the batch ids), so the
     report costs in proportion to the batch, not to the prediction table."""
-    ids = run.outcomes.select("fixture_id")
+    ids = run.outcomes.select("fixture_id").distinct()
     fx = restrict_to(fixtures_after if fixtures_after is not None else run.fixtures,
                      ids.withColumnRenamed("fixture_id", "match_num"), ["match_num"])
     counts = (restrict_to(run.predictions, ids, ["fixture_id"]).groupBy("fixture_id")
@@ -223,7 +263,7 @@ def outcome_report(run: ResultsRun, fixtures_after: DataFrame | None = None) ->
                            "fixture_id", "left")
          .join(counts, "fixture_id", "left"))
     return j.select(
-        "fixture_id", "home_score", "away_score", "status",
+        *REQUEST_COLS, "status",
         F.when(acc, F.col("home_team")).alias("home_team"), F.when(acc, F.col("away_team")).alias("away_team"),
         F.when(acc, F.col("start_time")).alias("start_time"),
         F.when(acc, F.coalesce("total_predictions", F.lit(0))).alias("total_predictions"),
@@ -237,6 +277,7 @@ def rescore_fixtures(fixtures: DataFrame, predictions: DataFrame, board: DataFra
               .join(ids.select(F.col("fixture_id").alias("match_num")).distinct(), "match_num", "left_semi")
               .select("match_num", "home_score", "away_score"))
     new_preds = rescore(predictions, target, target.select("match_num"))
-    new_board = L.recalculate_incremental(board, new_preds, target.select(F.col("match_num").alias("fixture_id")),
-                                          as_of)
+    forced = target.select(F.col("match_num").alias("fixture_id"), "home_score", "away_score",
+                           F.lit(True).alias("changed"), F.lit(False).alias("reset"))
+    new_board = L.apply_deltas(board, materialize(point_deltas(predictions, forced), "deltas"), as_of)
     return target, new_preds, new_board

@@ -18,9 +18,8 @@ CHUNKS = 4
 @query("stream_results", ORACLE["leaderboard_incremental"])
 def q_stream_results(t):
     """Results arrive in micro-batches; the final leaderboard equals the batch twin."""
-    _, _, board = jobs.stream_results(t.spark, t.fixtures, t.predictions, t.leaderboard, batches.results(t),
-                                      t.as_of, CHUNKS)
-    return board.final()
+    return jobs.stream_results(t.spark, t.fixtures, t.predictions, t.leaderboard, batches.results(t),
+                               t.as_of, CHUNKS).board_now()
 
 
 @query("stream_predictions", ORACLE["create_predictions"])
@@ -28,8 +27,9 @@ def q_stream_predictions(t):
     """The create batch as a stream with dead letters; final accepted rows."""
     req = batches.create_requests(t)
     chunk = F.abs(F.hash("user_id", "group_id", "fixture_id")) % CHUNKS
-    accepted, _ = jobs.stream_predictions(t.spark, req, t.fixtures, t.users, t.groups, chunk, list(range(CHUNKS)))
-    rows = accepted.final().select(
+    accepted, _ = jobs.stream_predictions(t.spark, req, t.fixtures, t.users, t.groups, chunk, list(range(CHUNKS)),
+                                          batches.stored_predictions(t))
+    rows = accepted.read().select(
         R.pid_of("user_id", "group_id", "fixture_id").alias("pid"), *R.KEY, "pred_home_score", "pred_away_score",
         "prediction_time", F.lit(False).alias("locked"), F.lit(None).cast("bigint").alias("points_earned"))
     return R.with_fixture(rows, t.fixtures)

@@ -1,11 +1,15 @@
 """Structured Streaming jobs: the reference's triggers as streams.
 
-Each job reads a file source (``readStream`` with an explicit schema), processes it in
-micro-batches and writes through ``foreachBatch``. State tables live as immutable
-versions under the shared scratch folder: micro-batch ``b`` reads the newest version
-older than ``b`` and writes version ``b``; a replayed batch id whose version is already
-committed is skipped, so a restart from the checkpoint after a lost executor or driver
-is idempotent. ``trigger(availableNow=True)`` drains the source and stops.
+Each job reads a file source (``readStream`` with an explicit schema) and writes through
+``foreachBatch`` to append-only logs: one Parquet folder per log with a ``batch_id`` partition
+that a micro-batch overwrites. A batch reads the logs of earlier batches only, so replaying
+it after a lost executor or driver gives the same partition again. What a batch writes is
+in proportion to the batch; stored tables are never rewritten. The current state (accepted
+rows, board, counters, locks) is a query over the stored tables and the logs.
+
+The results do not depend on how the requests were cut into files, micro-batches or order of
+files, except where arrival order is the rule (of several requests to one key in different
+batches the first batch's wins). ``trigger(availableNow=True)`` drains the source and stops.
 """
 
 from __future__ import annotations
@@ -15,85 +19,48 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorecast.operators import leaderboard as L
 from scorecast.operators import predictions as R
 from scorecast.operators import scoring as S
-from scorecast.operators.common import first_per_key
-from scorecast.session import new_scratch_path
+from scorecast.operators.common import restrict_to
+from scorecast.session import materialize, new_scratch_path
 
-SUCCESS = "_SUCCESS"
 
+class BatchLog:
+    """Append-only rows of a stream, one partition per micro-batch."""
 
-# ---- versioned state on shared storage -------------------------------------------------
+    def __init__(self, spark: SparkSession, name: str, schema: str, root: str | None = None):
+        self.spark, self.schema = spark, schema
+        self.path = f"{root}/{name}" if root else new_scratch_path(spark, f"log-{name}")
+        # An empty partition, so that the log can be read before the first batch.
+        self.write(spark.createDataFrame([], schema), -1)
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
+    def read(self, before: int | None = None) -> DataFrame:
+        rows = self.spark.read.schema(f"{self.schema}, batch_id long").option("basePath", self.path).parquet(self.path)
+        return rows if before is None else rows.filter(F.col("batch_id") < before)
 
-def _committed(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, SUCCESS))
-
-
-def _version_path(root: str, version: int) -> str:
-    return f"{root}/v{version + 1:09d}"  # version -1 is the initial state
-
-
-def _latest_before(spark: SparkSession, root: str, version: int) -> str:
-    """Newest committed version strictly older than ``version`` (state for batch ``version``)."""
-    fs, p = _fs(spark, root)
-    best = None
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v") and name[1:].isdigit():
-            v = int(name[1:]) - 1
-            if v < version and _committed(spark, f"{root}/{name}") and (best is None or v > best):
-                best = v
-    if best is None:
-        raise RuntimeError(f"no committed state under {root}")
-    return _version_path(root, best)
-
-
-class StateTable:
-    """One table kept as versions ``v<batch>``; readers see only committed versions."""
-
-    def __init__(self, spark: SparkSession, name: str, initial: DataFrame, root: str | None = None):
-        self.spark = spark
-        self.root = f"{root}/{name}" if root else new_scratch_path(spark, f"state-{name}")
-        if not _committed(spark, _version_path(self.root, -1)):  # a restart keeps its state
-            initial.write.mode("overwrite").parquet(_version_path(self.root, -1))
-
-    def read_for(self, batch_id: int) -> DataFrame:
-        return self.spark.read.parquet(_latest_before(self.spark, self.root, batch_id))
-
-    def done(self, batch_id: int) -> bool:
-        return _committed(self.spark, _version_path(self.root, batch_id))
-
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(_version_path(self.root, batch_id))
-
-    def read_version(self, batch_id: int) -> DataFrame:
-        return self.spark.read.parquet(_version_path(self.root, batch_id))
-
-    def final(self) -> DataFrame:
-        return self.spark.read.parquet(_latest_before(self.spark, self.root, 1 << 40))
+    def of(self, batch_id: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch_id={batch_id}")
 
 
 def stage_source(spark: SparkSession, df: DataFrame, name: str, chunk: "F.Column", chunks: list) -> str:
     """Write ``df`` as a file source, one append per chunk value in the given order, so
-    the stream sees the chunks as successive files (arrival order)."""
-    path = new_scratch_path(spark, f"source-{name}")
+    the stream sees the chunks as successive files (arrival order). The rows are evaluated
+    once and dealt to folders by chunk."""
+    path, whole = new_scratch_path(spark, f"source-{name}"), new_scratch_path(spark, f"chunks-{name}")
+    df.withColumn("_chunk", chunk.cast("long")).write.partitionBy("_chunk").parquet(whole)
+    rows = spark.read.schema(f"{df._jdf.schema().toDDL()}, _chunk long").parquet(whole)
     for value in chunks:
-        df.filter(chunk == F.lit(value)).write.mode("append").parquet(path)
+        rows.filter(F.col("_chunk") == value).drop("_chunk").write.mode("append").parquet(path)
     return path
 
 
-def _run(spark: SparkSession, source: str, schema, fn, name: str, files_per_trigger: int = 1,
-         transform=None, root: str | None = None) -> None:
+def _run(spark: SparkSession, source: str, schema, fn, name: str, files_per_trigger: int = 8,
+         root: str | None = None) -> None:
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
-    if transform is not None:
-        stream = transform(stream)
     checkpoint = f"{root}/_checkpoint" if root else new_scratch_path(spark, f"checkpoint-{name}")
     q = (stream.writeStream.foreachBatch(fn)
          .option("checkpointLocation", checkpoint)
@@ -105,125 +72,170 @@ def _run(spark: SparkSession, source: str, schema, fn, name: str, files_per_trig
 
 # ---- T2: result intake -> scoring -> incremental leaderboards ----------------------------
 
-def stream_results(spark: SparkSession, fixtures: DataFrame, predictions: DataFrame, board: DataFrame,
-                   results: DataFrame, as_of: dt.datetime, chunks: int = 4, root: str | None = None,
-                   source: str | None = None):
-    """Each micro-batch of results runs P6 -> P9 -> P3 + lock -> L4 against the state
-    left by the previous batch; the three tables of a batch are written, then committed
-    together (fixtures last, its _SUCCESS is the batch's commit point)."""
-    src = source or stage_source(spark, results, "results", F.col("fixture_id") % chunks, list(range(chunks)))
-    st_fx = StateTable(spark, "fixtures", fixtures, root)
-    st_pr = StateTable(spark, "predictions", predictions, root)
-    st_lb = StateTable(spark, "leaderboard", board, root)
+class ResultsStream:
+    """Stored tables with the logs of a results stream over them."""
+
+    def __init__(self, spark: SparkSession, fixtures: DataFrame, predictions: DataFrame, board: DataFrame,
+                 as_of: dt.datetime, root: str | None = None):
+        self.fixtures, self.predictions, self.board, self.as_of = fixtures, predictions, board, as_of
+        self.accepted = BatchLog(spark, "accepted", "request_id long, fixture_id long, home_score long, "
+                                 "away_score long, status string, changed boolean, reset boolean", root)
+        self.deltas = BatchLog(spark, "deltas", "user_id long, group_id long, delta long", root)
+
+    def _last(self, before: int | None) -> DataFrame:
+        """The last accepted result of each fixture in the log; what it did to points is
+        what the latest changing or resetting one of its fixture did."""
+        log = self.accepted.read(before)
+        row = F.struct("home_score", "away_score", "changed", "reset")
+        return log.groupBy("fixture_id").agg(F.max_by(row, F.struct("batch_id", "request_id")).alias("r")).select(
+            "fixture_id", "r.*")
+
+    def fixtures_now(self, before: int | None = None, only: DataFrame | None = None) -> DataFrame:
+        """The fixture table as the log left it (of ``only`` the named fixtures, if given)."""
+        stored, last = self.fixtures, self._last(before)
+        if only is not None:
+            stored = restrict_to(stored, only.withColumnRenamed("fixture_id", "match_num"), ["match_num"])
+            last = restrict_to(last, only, ["fixture_id"])
+        return S.apply_outcomes(stored, last)
+
+    def predictions_now(self, before: int | None = None) -> DataFrame:
+        return S.apply_changes(self.predictions, self._last(before))
+
+    def board_now(self) -> DataFrame:
+        """Stored totals plus all differences, ranked anew in the groups they touch."""
+        sums = self.deltas.read().groupBy("user_id", "group_id").agg(F.sum("delta").cast("bigint").alias("delta"))
+        return L.apply_deltas(self.board, sums, self.as_of)
+
+    def on_batch(self, batch: DataFrame, batch_id: int) -> None:
+        ids = batch.select("fixture_id").distinct()
+        changes = materialize(S.fixture_changes(batch, self.fixtures_now(batch_id, ids), "upsert"), "changes")
+        accepted = S.last_accepted(changes)
+        # Points before this batch, of the predictions on its fixtures only.
+        touched = self.predictions.join(accepted.select("fixture_id"), "fixture_id", "left_semi")
+        before = S.apply_changes(touched, restrict_to(self._last(batch_id), ids, ["fixture_id"]))
+        self.deltas.write(S.point_deltas(before, accepted), batch_id)
+        self.accepted.write(accepted.select("request_id", "fixture_id", "home_score", "away_score", "status",
+                                            "changed", "reset"), batch_id)
 
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        if st_fx.done(batch_id):
-            return  # replayed batch: already committed
-        run = S.post_results(st_fx.read_for(batch_id), st_pr.read_for(batch_id), st_lb.read_for(batch_id),
-                             batch, as_of, "upsert")
-        st_pr.write(run.predictions, batch_id)
-        run.predictions = st_pr.read_version(batch_id)  # totals read the written version
-        st_lb.write(run.leaderboard, batch_id)
-        st_fx.write(run.fixtures, batch_id)
 
-    _run(spark, src, results.schema, on_batch, "results", root=root)
-    return st_fx, st_pr, st_lb
+def stream_results(spark: SparkSession, fixtures: DataFrame, predictions: DataFrame, board: DataFrame,
+                   results: DataFrame, as_of: dt.datetime, chunks: int = 4, root: str | None = None,
+                   source: str | None = None) -> ResultsStream:
+    """Each micro-batch of results runs P6 -> P9 -> P3 -> L4 against the stored tables and
+    the earlier batches' logs, and appends its accepted results and point differences."""
+    src = source or stage_source(spark, results, "results", F.pmod("fixture_id", F.lit(chunks)), list(range(chunks)))
+    state = ResultsStream(spark, fixtures, predictions, board, as_of, root)
+    _run(spark, src, results.schema, state.on_batch, "results", root=root)
+    return state
 
 
 # ---- T1: prediction intake with dead letters -------------------------------------------
 
 def stream_predictions(spark: SparkSession, requests: DataFrame, fixtures: DataFrame, users: DataFrame,
-                       groups: DataFrame, chunk: "F.Column", chunk_values: list):
-    """Create requests as a stream. Late rows (game started at request time) and FK
-    failures go to a dead-letter table; valid rows merge into the accepted table with
-    first-wins per key by (time, home, away), so the result does not depend on how the
-    requests were cut into micro-batches."""
+                       groups: DataFrame, chunk: "F.Column", chunk_values: list,
+                       stored: DataFrame | None = None) -> tuple[BatchLog, BatchLog]:
+    """Create requests as a stream: (accepted log, dead-letter log). Every request ends up in
+    one of the two. A key that is stored, or accepted by an earlier batch, is taken; inside
+    a batch the first by (time, home, away) wins."""
     src = stage_source(spark, requests, "predictions", chunk, chunk_values)
-    empty = requests.select(*R.KEY).filter(F.lit(False))
-    accepted = StateTable(spark, "accepted",
-                          requests.select(*R.KEY, "pred_home_score", "pred_away_score", "prediction_time")
-                          .filter(F.lit(False)))
-    dead_root = new_scratch_path(spark, "dead-letter")
+    kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
+    columns = [*R.KEY, "pred_home_score", "pred_away_score", "prediction_time"]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns)
+    accepted, dead = BatchLog(spark, "accepted", schema), BatchLog(spark, "dead-letter", f"{schema}, status string")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        if accepted.done(batch_id):
-            return
-        judged = R.create_predictions(batch, empty, fixtures, users, groups)
-        judged.filter(~F.col("status").isin(R.OK, R.EXISTS)).write.mode("overwrite").parquet(
-            f"{dead_root}/batch={batch_id}")
-        fresh = judged.filter(F.col("status") == R.OK).drop("status")
-        merged = first_per_key(accepted.read_for(batch_id).unionByName(fresh), R.KEY,
-                               ["prediction_time", "pred_home_score", "pred_away_score"])
-        accepted.write(merged, batch_id)
+        taken = restrict_to(accepted.read(batch_id).select(*R.KEY), batch, R.KEY)
+        if stored is not None:
+            taken = taken.unionByName(restrict_to(stored.select(*R.KEY), batch, R.KEY)).distinct()
+        judged = materialize(R.create_predictions(batch, taken, fixtures, users, groups), "judged")
+        dead.write(judged.filter(F.col("status") != R.OK).select(*columns, "status"), batch_id)
+        accepted.write(judged.filter(F.col("status") == R.OK).select(*columns), batch_id)
 
     _run(spark, src, requests.schema, on_batch, "predictions")
-    return accepted, dead_root
+    return accepted, dead
 
 
 # ---- T3: running user counters from the change feed -------------------------------------
 
-def stream_user_counters(spark: SparkSession, change_feed: DataFrame, chunk: "F.Column", chunk_values: list):
-    """Counters from a change feed that arrives in seq order. State: each user's first
-    insert seq (rows before it hit no stats row) and the running counters."""
-    src = stage_source(spark, change_feed, "changes", chunk, chunk_values)
-    started = StateTable(spark, "started", change_feed.select("user_id", F.col("seq").alias("first_seq"))
-                         .filter(F.lit(False)))
-    zero = F.lit(0).cast("bigint")
-    counters = StateTable(spark, "counters", change_feed.select(
-        "user_id", zero.alias("total_predictions"), zero.alias("correct_predictions"),
-        zero.alias("exact_score_predictions")).filter(F.lit(False)))
+class CounterStream:
+    """Logs of a change-feed stream: first inserts, counted rows, rows that wait.
+
+    A row counts when its seq is not below its user's first insert. Files may come in any
+    order, so a row below the first insert known so far waits; when a smaller first insert
+    comes, exactly the waiting rows between the two are released.
+    """
+
+    def __init__(self, spark: SparkSession):
+        row = "user_id long, seq long, t long, c long, e long"
+        self.firsts = BatchLog(spark, "firsts", "user_id long, first_seq long")
+        self.waiting = BatchLog(spark, "waiting", row)
+        self.counted = BatchLog(spark, "counted", "user_id long, t long, c long, e long")
+
+    def on_batch(self, batch: DataFrame, batch_id: int) -> None:
+        new, old, upd = F.col("new_points"), F.col("old_points"), F.col("op") == "U"
+        flag = lambda x: F.coalesce(x, F.lit(False)).cast("long")
+        rows = batch.select(
+            "user_id", "seq", "op", (flag(F.col("op") == "I") - flag(F.col("op") == "D")).alias("t"),
+            flag(upd & (new > 0) & (old.isNull() | (old == 0))).alias("c"),
+            flag(upd & (new == 10) & (old.isNull() | (old != 10))).alias("e"))
+        users = batch.select("user_id").distinct()
+        known = (restrict_to(self.firsts.read(batch_id), users, ["user_id"])
+                 .groupBy("user_id").agg(F.min("first_seq").alias("was")))
+        came = rows.filter(F.col("op") == "I").groupBy("user_id").agg(F.min("seq").alias("came"))
+        firsts = materialize(
+            known.join(came, "user_id", "full").select("user_id", "was", F.least("was", "came").alias("first_seq")), "firsts")
+        j = rows.join(firsts, "user_id", "left")
+        live = F.coalesce(F.col("seq") >= F.col("first_seq"), F.lit(False))
+        cols = ["user_id", "t", "c", "e"]
+        lowered = firsts.filter(F.col("was").isNull() | (F.col("first_seq") < F.col("was")))
+        freed = (self.waiting.read(batch_id).join(lowered, "user_id")
+                 .filter((F.col("seq") >= F.col("first_seq")) & (F.col("was").isNull() | (F.col("seq") < F.col("was")))))
+        sums = (j.filter(live).select(*cols).unionByName(freed.select(*cols))
+                .groupBy("user_id").agg(*[F.sum(x).alias(x) for x in ("t", "c", "e")]))
+        self.counted.write(sums, batch_id)
+        self.waiting.write(j.filter(~live).select("user_id", "seq", "t", "c", "e"), batch_id)
+        self.firsts.write(lowered.filter("first_seq is not null").select("user_id", "first_seq"), batch_id)
 
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        if counters.done(batch_id):
-            return
-        known = started.read_for(batch_id)
-        new_first = (batch.filter(F.col("op") == "I").groupBy("user_id").agg(F.min("seq").alias("first_seq"))
-                     .join(known.select("user_id"), "user_id", "left_anti"))
-        firsts = known.unionByName(new_first)
-        live = batch.join(firsts, "user_id").filter(F.col("seq") >= F.col("first_seq"))
-        new, old = F.col("new_points"), F.col("old_points")
-        upd = F.col("op") == "U"
-        delta = live.groupBy("user_id").agg(
-            (F.count_if(F.col("op") == "I") - F.count_if(F.col("op") == "D")).alias("t"),
-            F.count_if(upd & (new > 0) & (old.isNull() | (old == 0))).alias("c"),
-            F.count_if(upd & (new == 10) & (old.isNull() | (old != 10))).alias("e"))
-        cur = counters.read_for(batch_id)
-        j = cur.join(delta, "user_id", "full")
-        out = j.select("user_id",
-                       (F.coalesce("total_predictions", zero) + F.coalesce("t", zero)).alias("total_predictions"),
-                       (F.coalesce("correct_predictions", zero) + F.coalesce("c", zero)).alias("correct_predictions"),
-                       (F.coalesce("exact_score_predictions", zero) + F.coalesce("e", zero))
-                       .alias("exact_score_predictions"))
-        started.write(firsts, batch_id)
-        counters.write(out, batch_id)
-
-    _run(spark, src, change_feed.schema, on_batch, "changes")
-    return counters
+    def final(self) -> DataFrame:
+        return self.counted.read().groupBy("user_id").agg(
+            F.sum("t").alias("total_predictions"), F.sum("c").alias("correct_predictions"),
+            F.sum("e").alias("exact_score_predictions"))
+
+
+def stream_user_counters(spark: SparkSession, change_feed: DataFrame, chunk: "F.Column",
+                         chunk_values: list) -> CounterStream:
+    """Counters from a change feed whose files may arrive in any order."""
+    src = stage_source(spark, change_feed, "changes", chunk, chunk_values)
+    state = CounterStream(spark)
+    _run(spark, src, change_feed.schema, state.on_batch, "changes")
+    return state
 
 
 # ---- T4: lock predictions as fixtures start ------------------------------------------------
 
-def stream_locks(spark: SparkSession, predictions: DataFrame, events: DataFrame, chunk: "F.Column",
-                 chunk_values: list, watermark: str = "1 day"):
-    """Start/completion events (fixture_id, event_time) with an event-time watermark and
-    per-fixture de-duplication; each micro-batch locks the predictions of its fixtures."""
-    src = stage_source(spark, events, "lock-events", chunk, chunk_values)
-    store = StateTable(spark, "locks", predictions)
+class LockStream:
+    """Stored predictions with the log of fixtures whose predictions are locked."""
 
-    def prep(stream: DataFrame) -> DataFrame:
-        # withWatermark needs TIMESTAMP (not NTZ); the session zone is UTC.
-        return (stream.withColumn("event_ts", F.col("event_time").cast("timestamp"))
-                .withWatermark("event_ts", watermark)
-                .dropDuplicatesWithinWatermark(["fixture_id"]))
+    def __init__(self, spark: SparkSession, predictions: DataFrame):
+        self.predictions, self.locked = predictions, BatchLog(spark, "locked", "fixture_id long")
 
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        if store.done(batch_id):
-            return
-        ids = batch.select("fixture_id").distinct().withColumn("_hit", F.lit(True))
-        cur = store.read_for(batch_id)
-        out = cur.join(ids, "fixture_id", "left").withColumn(
-            "locked", F.col("locked") | F.col("_hit").isNotNull()).select(*cur.columns)
-        store.write(out, batch_id)
-
-    _run(spark, src, events.schema, on_batch, "locks", transform=prep)
-    return store
+    def on_batch(self, batch: DataFrame, batch_id: int) -> None:
+        ids = batch.select("fixture_id").distinct()
+        known = restrict_to(self.locked.read(batch_id), ids, ["fixture_id"])
+        self.locked.write(ids.join(known, "fixture_id", "left_anti"), batch_id)
+
+    def final(self) -> DataFrame:
+        ids = self.locked.read().select("fixture_id").distinct().withColumn("_hit", F.lit(True))
+        p = self.predictions
+        return p.join(ids, "fixture_id", "left").withColumn(
+            "locked", F.col("locked") | F.col("_hit").isNotNull()).select(*p.columns)
+
+
+def stream_locks(spark: SparkSession, predictions: DataFrame, events: DataFrame, chunk: "F.Column",
+                 chunk_values: list) -> LockStream:
+    """Start/completion events (fixture_id, event_time): each names a fixture whose
+    predictions lock; repeats add nothing and no event is too late to count."""
+    src = stage_source(spark, events, "lock-events", chunk, chunk_values)
+    state = LockStream(spark, predictions)
+    _run(spark, src, events.schema, state.on_batch, "locks")
+    return state
