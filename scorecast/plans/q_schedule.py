@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scorecast.plans.oracle_base import with_domain
 from scorecast.plans.registry import query
+from scorecast.sources import batches
 from scorecast.sources import schedule as SCH
 
 # Fixed value: season start used for the mapped fixtures (1996 games are preseason).
@@ -34,13 +35,17 @@ imp AS (
          fixture_number AS api_game_id, '{SCH.IMPORT_SEASON}' AS season,
          CASE WHEN concat_ws(' ', home_city, home_name) = '' THEN '{SCH.REJECT_HOME}'
               WHEN concat_ws(' ', away_city, away_name) = '' THEN '{SCH.REJECT_AWAY}' END AS reject_reason
-  FROM sched_ok)"""
+  FROM sched_ok),
+imp_last AS (
+  SELECT CASE WHEN api_game_id % 25 = 0 THEN 'Renamed ' || home_team ELSE home_team END AS home_team,
+         away_team, start_time, home_score, away_score, completed, api_game_id, season
+  FROM imp WHERE reject_reason IS NULL)"""
 
 IMPORT_COLS = "home_team, away_team, start_time, home_score, away_score, completed, api_game_id, season"
 
 
 def _pipeline(t):
-    return SCH.import_pipeline(t.spark, t.fixtures, TEST_SEASON_START)
+    return SCH.import_games(t.spark, batches.schedule_games(t.fixtures), TEST_SEASON_START)
 
 
 @query("schedule_flatten", with_domain("""
@@ -90,13 +95,17 @@ SELECT c.match_num,
        CASE WHEN i.api_game_id IS NOT NULL THEN i.start_time ELSE c.start_time END AS start_time,
        c.api_game_id,
        CASE WHEN i.api_game_id IS NOT NULL THEN i.season ELSE c.season END AS season
-FROM fixtures c LEFT JOIN (SELECT * FROM imp WHERE reject_reason IS NULL) i ON c.api_game_id = i.api_game_id
+FROM fixtures c LEFT JOIN imp_last i ON c.api_game_id = i.api_game_id
 UNION ALL
 SELECT (SELECT max(match_num) FROM fixtures) + row_number() OVER (ORDER BY i.api_game_id) AS match_num,
        i.home_team, i.away_team, i.home_score, i.away_score, i.completed, i.start_time, i.api_game_id, i.season
-FROM imp i WHERE i.reject_reason IS NULL AND i.api_game_id NOT IN (SELECT api_game_id FROM fixtures)""",
+FROM imp_last i WHERE i.api_game_id NOT IN (SELECT api_game_id FROM fixtures)""",
     SCHED_CTES))
 def q_fixture_upsert(t):
-    """I4: the accepted import upserted into the fixture table by api_game_id."""
+    """I4: the accepted import upserted into the fixture table by api_game_id; every 25th
+    game comes a second time under another name, which is the one that stays."""
     _, norm = _pipeline(t)
-    return SCH.upsert_fixtures(t.fixtures, norm.filter(F.col("reject_reason").isNull()).drop("reject_reason"))
+    rows = norm.filter(F.col("reject_reason").isNull()).drop("reject_reason").withColumn("import_pos", F.col("api_game_id"))
+    again = (rows.filter(F.col("api_game_id") % 25 == 0).withColumn("import_pos", -F.col("api_game_id") + (1 << 40))
+             .withColumn("home_team", F.concat(F.lit("Renamed "), "home_team")))
+    return SCH.upsert_fixtures(t.fixtures, rows.unionByName(again))

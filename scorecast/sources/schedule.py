@@ -2,10 +2,11 @@
 
 The upstream feed is ``leagueSchedule.gameDates[].games[]``. Two layouts are read with an
 explicit schema (no inference): the single-document feed (``multiLine``; one file is one
-record, fine for a season's schedule) and JSON lines with one ``gameDate`` object per
-line, which splits across tasks at any size. Survivors are numbered in document order by
-(day, position in day) with distributed sequential ids over the range-partitioned
-composite key, so even a day holding most games spreads over many tasks.
+record, fine for a season's schedule) and JSON lines with one game per line and its two
+positions, which splits across tasks at any size. Survivors are numbered in document order by
+(file, position of the day, position in the day), whatever the date's text looks like, with
+distributed sequential ids over the range-partitioned key, so even a day holding most games
+spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorecast.operators.common import sequential_ids, ts_lit
-from scorecast.session import new_scratch_path
+from scorecast.operators.common import latest_per_key, sequential_ids, ts_lit
+from scorecast.session import materialize, new_scratch_path, path_exists
 
 # Fixed values of the schedule import.
 SEASON_START = dt.datetime(2025, 10, 21)
@@ -27,6 +28,7 @@ REJECT_HOME = "Home team name cannot be empty"
 REJECT_AWAY = "Away team name cannot be empty"
 REJECT_START = "Start time cannot be null"
 REJECT_API_ID = "API game ID cannot be null"
+FILE_MISSING = "File not found"
 
 TEAM = T.StructType([T.StructField("teamCity", T.StringType()), T.StructField("teamName", T.StringType()),
                      T.StructField("teamTricode", T.StringType())])
@@ -34,6 +36,8 @@ GAME = T.StructType([T.StructField("gameId", T.LongType()), T.StructField("gameD
                      T.StructField("homeTeam", TEAM), T.StructField("awayTeam", TEAM)])
 GAME_DATE = T.StructType([T.StructField("gameDate", T.StringType()),
                           T.StructField("games", T.ArrayType(GAME))])
+GAME_LINE = T.StructType([T.StructField("day_pos", T.LongType()), T.StructField("game_pos", T.LongType()),
+                          T.StructField("gameDate", T.StringType()), T.StructField("game", GAME)])
 FEED_DOCUMENT = T.StructType([T.StructField("leagueSchedule", T.StructType([
     T.StructField("gameDates", T.ArrayType(GAME_DATE))]))])
 FLAT_TEAM = T.StructType([T.StructField("city", T.StringType()), T.StructField("name", T.StringType()),
@@ -45,65 +49,45 @@ FLAT_FIXTURE = T.StructType([
     T.StructField("completed", T.BooleanType()), T.StructField("_corrupt_record", T.StringType())])
 
 
-# ---- derive a feed from the fixture table (for tests and the registered queries) -------
-
-def _team(name_col):
-    city = F.substring_index(name_col, " ", 1)
-    name = F.substring_index(name_col, " ", -1)
-    return F.struct(city.alias("teamCity"), name.alias("teamName"),
-                    F.upper(F.substring(name, 1, 3)).alias("teamTricode"))
-
-
-def feed_days_from_fixtures(fixtures: DataFrame) -> DataFrame:
-    """One row per game day in the upstream shape. Fixed defect rules make the feed
-    realistic: no time (match_num % 97 = 0), 'TBD' (% 89), no home team (% 83),
-    no away team (% 79); odd match numbers carry a -05:00 offset, even ones 'Z'."""
-    m = F.col("match_num")
-    local = F.date_format("start_time", TIME_FORMAT)
-    est = (F.when(m % 97 == 0, F.lit(None).cast("string")).when(m % 89 == 0, F.lit("TBD"))
-           .when(m % 2 == 0, F.concat(local, F.lit("Z"))).otherwise(F.concat(local, F.lit("-05:00"))))
-    no_team = F.struct(F.lit(None).cast("string").alias("teamCity"), F.lit(None).cast("string").alias("teamName"),
-                       F.lit(None).cast("string").alias("teamTricode"))
-    game = F.struct(m.alias("gameId"), est.alias("gameDateTimeEst"),
-                    F.when(m % 83 == 0, no_team).otherwise(_team(F.col("home_team"))).alias("homeTeam"),
-                    F.when(m % 79 == 0, no_team).otherwise(_team(F.col("away_team"))).alias("awayTeam"))
-    keyed = fixtures.select(F.date_format("start_time", "yyyy-MM-dd").alias("gameDate"),
-                            F.struct("start_time", "match_num", game.alias("g")).alias("k"))
-    days = keyed.groupBy("gameDate").agg(F.array_sort(F.collect_list("k")).alias("ks"))
-    return days.select("gameDate", F.transform("ks", lambda k: k["g"]).alias("games"))
-
-
-def write_feed_lines(days: DataFrame, path: str) -> str:
-    """Sink: one gameDate object per JSON line."""
-    days.write.mode("overwrite").json(path)
+POSITION = ["file", "day_pos", "game_pos"]
+
+
+def write_feed_lines(games: DataFrame, path: str) -> str:
+    """Sink: one game per JSON line (day_pos, game_pos, gameDate, game)."""
+    games.select("day_pos", "game_pos", "gameDate", "game").write.mode("overwrite").json(path)
     return path
 
 
+def games_of_documents(documents: DataFrame) -> DataFrame:
+    """The games of feed documents (file, leagueSchedule) with both positions."""
+    days = documents.select("file", F.posexplode("leagueSchedule.gameDates").alias("day_pos", "d"))
+    return days.select("file", "day_pos", "d.gameDate", F.posexplode("d.games").alias("game_pos", "game"))
+
+
 def read_schedule(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
-    """The feed as one row per game day (gameDate, games)."""
+    """The feed as one row per game (file, day_pos, game_pos, gameDate, game)."""
     if document:
         doc = spark.read.schema(FEED_DOCUMENT).option("multiLine", True).json(path)
-        return doc.select(F.explode("leagueSchedule.gameDates").alias("d")).select("d.gameDate", "d.games")
-    return spark.read.schema(GAME_DATE).json(path)
+        return games_of_documents(doc.select(F.col("_metadata.file_path").alias("file"), "leagueSchedule"))
+    return spark.read.schema(GAME_LINE).json(path).withColumn("file", F.lit(""))
 
 
-def flatten_schedule(days: DataFrame, season_start: dt.datetime = SEASON_START) -> DataFrame:
+def flatten_schedule(games: DataFrame, season_start: dt.datetime = SEASON_START) -> DataFrame:
     """Games with a parseable time on/after season start, numbered 1..n in document
     order (day, position in day); skipped games consume no number."""
-    games = days.select("gameDate", F.posexplode("games").alias("game_pos", "g"))
-    t = F.try_to_timestamp(F.substring("g.gameDateTimeEst", 1, 19), F.lit(TIME_FORMAT)).cast("timestamp_ntz")
-    ok = games.filter(F.col("g.gameDateTimeEst").isNotNull()).withColumn("_t", t) \
+    t = F.try_to_timestamp(F.substring("game.gameDateTimeEst", 1, 19), F.lit(TIME_FORMAT)).cast("timestamp_ntz")
+    ok = games.filter(F.col("game.gameDateTimeEst").isNotNull()).withColumn("_t", t) \
         .filter(F.col("_t").isNotNull() & (F.col("_t") >= ts_lit(season_start)))
-    numbered = sequential_ids(ok, ["gameDate", "game_pos"], "fixture_number")
+    numbered = sequential_ids(ok, POSITION, "fixture_number")
 
     def flat(team):
-        return F.struct(F.col(f"g.{team}.teamCity").alias("city"), F.col(f"g.{team}.teamName").alias("name"),
-                        F.col(f"g.{team}.teamTricode").alias("tricode"))
+        return F.struct(F.col(f"game.{team}.teamCity").alias("city"), F.col(f"game.{team}.teamName").alias("name"),
+                        F.col(f"game.{team}.teamTricode").alias("tricode"))
 
     return (numbered
             .select("fixture_number",
                     flat("homeTeam").alias("home_team"), flat("awayTeam").alias("away_team"),
-                    F.col("g.gameDateTimeEst").alias("start_time"),
+                    F.col("game.gameDateTimeEst").alias("start_time"),
                     F.lit(None).cast("bigint").alias("home_score"), F.lit(None).cast("bigint").alias("away_score"),
                     F.lit(False).alias("completed")))
 
@@ -114,12 +98,22 @@ def write_flat(flat: DataFrame, path: str) -> str:
     return path
 
 
-def read_flat(spark: SparkSession, path: str) -> DataFrame:
-    """Flattened fixtures; malformed lines land in ``_corrupt_record`` (reported)."""
-    return (spark.read.schema(FLAT_FIXTURE).option("mode", "PERMISSIVE")
+def read_flat(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
+    """Flattened fixtures, one JSON object a line or (``document``) one array a file, as
+    the schedule download writes it. Malformed records land in ``_corrupt_record``
+    (reported); a missing file gives no rows (see ``flat_file_status``)."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], FLAT_FIXTURE)
+    return (spark.read.schema(FLAT_FIXTURE).option("mode", "PERMISSIVE").option("multiLine", document)
             .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
 
 
+def flat_file_status(spark: SparkSession, path: str) -> DataFrame:
+    """What the import reports about its file before it reads it: (path, status)."""
+    status = "found" if path_exists(spark, path) else FILE_MISSING
+    return spark.createDataFrame([(path, status)], "path string, status string")
+
+
 def normalize_import(flat: DataFrame, season: str = IMPORT_SEASON) -> DataFrame:
     """I1 + I2: display names, wall-clock start (offset dropped, NULL when unparseable),
     api id from the fixture number, constant season; I3 reason column."""
@@ -145,25 +139,47 @@ def import_summary(normalized: DataFrame) -> DataFrame:
                           F.count(F.lit(1)).alias("processed"))
 
 
-def upsert_fixtures(current: DataFrame, incoming: DataFrame) -> DataFrame:
+FIXTURE_COLS = ["match_num", "home_team", "away_team", "home_score", "away_score", "completed", "start_time",
+                "api_game_id", "season"]
+
+
+def upsert_fixtures(current: DataFrame, incoming: DataFrame, order: str = "import_pos") -> DataFrame:
     """I4: upsert keyed on api_game_id; matched rows take the incoming teams, start,
-    scores, completed and season but keep match_num; new rows get ids after the max."""
-    inc = incoming.select("api_game_id", "home_team", "away_team", "start_time", "home_score", "away_score",
-                          "completed", "season")
+    scores, completed and season but keep match_num; new rows get ids after the max.
+
+    Of several rows with one api_game_id the last by ``order`` counts, as when they are
+    written one after another; without that column, the last by their values.
+    """
+    values = [c for c in FIXTURE_COLS if c not in ("match_num", "api_game_id")]
+    by = [order] if order in incoming.columns else values
+    inc = materialize(
+        latest_per_key(incoming.select("api_game_id", *values, *[c for c in by if c not in values], F.lit(0).alias("_tie")),
+                       ["api_game_id"], by, "_tie").select("api_game_id", *values), "import")
     matched = (current.select("match_num", "api_game_id").join(inc, "api_game_id"))
     untouched = current.join(inc.select("api_game_id"), "api_game_id", "left_anti")
     new = inc.join(current.select("api_game_id"), "api_game_id", "left_anti")
     base = current.select(F.max("match_num")).scalar()
     numbered = sequential_ids(new, ["api_game_id"], "_seq").withColumn(
         "match_num", F.coalesce(base, F.lit(0)) + F.col("_seq")).drop("_seq")
-    cols = ["match_num", "home_team", "away_team", "home_score", "away_score", "completed", "start_time",
-            "api_game_id", "season"]
+    cols = FIXTURE_COLS
     return untouched.select(*cols).unionByName(matched.select(*cols)).unionByName(numbered.select(*cols))
 
 
-def import_pipeline(spark: SparkSession, fixtures: DataFrame, season_start: dt.datetime):
-    """S1 -> S2 -> S3 -> S4 -> I1-I3 over a feed derived from ``fixtures``."""
-    feed_path = write_feed_lines(feed_days_from_fixtures(fixtures), new_scratch_path(spark, "schedule-feed"))
+def upsert_changes(current: DataFrame, after: DataFrame) -> DataFrame:
+    """The stored fixtures whose result an upsert really changed, as a change set
+    (fixture_id, home_score, away_score, changed, reset) for the scoring path
+    (``operators.scoring.apply_changes`` and ``point_deltas``). New fixtures are inserts,
+    which no update trigger sees."""
+    from scorecast.operators.scoring import changed_fixtures
+
+    return changed_fixtures(current, after).select(
+        F.col("match_num").alias("fixture_id"), "home_score", "away_score",
+        F.lit(True).alias("changed"), F.lit(False).alias("reset"))
+
+
+def import_games(spark: SparkSession, games: DataFrame, season_start: dt.datetime):
+    """S1 -> S2 -> S3 -> S4 -> I1-I3 over a feed of games (day_pos, game_pos, gameDate, game)."""
+    feed_path = write_feed_lines(games, new_scratch_path(spark, "schedule-feed"))
     flat = flatten_schedule(read_schedule(spark, feed_path), season_start)
     flat_path = write_flat(flat, new_scratch_path(spark, "schedule-flat"))
     return flat, normalize_import(read_flat(spark, flat_path))
