@@ -143,7 +143,7 @@ def season_sample(fixtures: DataFrame, k: int = SAMPLE_SIZE) -> DataFrame:
     """First k fixtures of every season by start time (tie: match_num)."""
     cols = ["season", "match_num", "home_team", "away_team", "start_time", "completed"]
     return top_k_per_group(fixtures.select(*cols), ["season"],
-                           [F.col("start_time"), F.col("match_num")], k, salt_col="match_num")
+                           [F.col("start_time"), F.col("match_num")], k)
 
 
 def season_stats(fixtures: DataFrame) -> DataFrame:
@@ -180,3 +180,12 @@ def check_query_params(days: int | None = None, group_id: int | None = None) ->
     if group_id is not None and group_id <= 0:
         raise ValueError("group_id must be > 0")
 
+
+
+def query_param_rejects(requests: DataFrame) -> DataFrame:
+    """V4 for a batch of requests (group_id, days): those out of range, with the reason."""
+    days, group = F.col("days"), F.col("group_id")
+    reason = (F.when((days < UPCOMING_MIN_DAYS) | (days > UPCOMING_MAX_DAYS),
+                     f"days must be in [{UPCOMING_MIN_DAYS}, {UPCOMING_MAX_DAYS}]")
+              .when(group <= 0, "group_id must be > 0"))
+    return requests.select("group_id", "days", reason.alias("reject_reason")).filter("reject_reason is not null")

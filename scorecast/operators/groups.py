@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from scorecast.functions.codes import group_code, normalize_code
 from scorecast.operators import leaderboard as L
-from scorecast.operators.common import first_wins, restrict_to, sequential_ids, ts_lit
+from scorecast.operators.common import first_per_key, first_wins, restrict_to, sequential_ids, ts_lit
+from scorecast.session import materialize
 
 GROUP_COLS = ["group_id", "group_code", "group_name", "creator_id", "creation_date"]
 # Statuses and reject reasons.
@@ -21,6 +22,9 @@ ALREADY_MEMBER = "User is already a member of this group"
 CREATOR_CANNOT_LEAVE = "Group creator cannot leave the group. Delete the group instead."
 NOT_MEMBER = "User is not a member of this group"
 GROUP_UNKNOWN = "Group not found"
+USER_UNKNOWN = "User not found"
+CODE_TAKEN = "Group code already exists"
+CREATED = "created"
 NOT_CREATOR = "Only the group creator can delete the group"
 
 
@@ -28,26 +32,64 @@ def member_counts(memberships: DataFrame) -> DataFrame:
     return memberships.groupBy("group_id").agg(F.count(F.lit(1)).alias("member_count"))
 
 
-def create_groups(requests: DataFrame, existing: DataFrame, as_of: dt.datetime, order: str = "request_id"):
+def create_groups(requests: DataFrame, existing: DataFrame, as_of: dt.datetime, order: str = "request_id",
+                  users: DataFrame | None = None):
     """G1: new groups get ids after the current max, a code when none is given, the
     creator as member and a zero leaderboard row with NULL rank.
 
-    Returns (groups, memberships, leaderboard_rows).
+    Returns (groups, memberships, leaderboard_rows) of the accepted requests; see
+    ``judge_group_requests`` for the refused ones.
     """
+    judged = judge_group_requests(requests, existing, order, users)
+    accepted = judged.filter(F.col("status") == CREATED).drop("status")
     base = existing.select(F.max("group_id")).scalar()
-    numbered = sequential_ids(requests, [order], "_seq")
-    gid = F.coalesce(base, F.lit(0)) + F.col("_seq")
-    given = F.col("group_code") if "group_code" in requests.columns else F.lit(None).cast("string")
-    groups = numbered.select(
-        gid.alias("group_id"),
-        F.when(given.isNull() | (given == ""), group_code(gid)).otherwise(given).alias("group_code"),
-        "group_name", "creator_id", ts_lit(as_of).alias("creation_date"))
+    numbered = sequential_ids(accepted, [order], "_seq")
+    numbered = numbered.withColumn("group_id", F.coalesce(base, F.lit(0)) + F.col("_seq")).drop("_seq")
+    numbered = materialize(_with_codes(numbered, existing), "new-groups")
+    groups = numbered.select("group_id", "group_code", "group_name", "creator_id", ts_lit(as_of).alias("creation_date"))
     members = groups.select(F.col("creator_id").alias("user_id"), "group_id", F.col("creation_date").alias("joined_date"))
     board = members.select("user_id", "group_id", F.lit(0).cast("bigint").alias("total_points"),
                            F.lit(None).cast("bigint").alias("rank_position"), F.col("joined_date").alias("last_updated"))
     return groups, members, board
 
 
+def judge_group_requests(requests: DataFrame, existing: DataFrame, order: str = "request_id",
+                         users: DataFrame | None = None) -> DataFrame:
+    """Requests with a status: unknown creator (with ``users``), a given code that is stored
+    or given by an earlier accepted request, or created. Codes compare in upper case."""
+    given = F.upper(F.col("group_code")) if "group_code" in requests.columns else F.lit(None).cast("string")
+    r = requests.withColumn("group_code", F.when(given != "", given))
+    stored = existing.select(F.col("group_code"), F.lit(True).alias("_stored"))
+    r = r.join(stored, "group_code", "left")
+    known = F.lit(True)
+    if users is not None:
+        r = r.join(users.select(F.col("user_id").alias("creator_id"), F.lit(True).alias("_user")), "creator_id", "left")
+        known = F.col("_user").isNotNull()
+    status = (F.when(F.col("_stored").isNotNull(), CODE_TAKEN).when(~known, USER_UNKNOWN).otherwise(CREATED))
+    r = r.select(*requests.columns, *([] if "group_code" in requests.columns else ["group_code"]),
+                 status.alias("status"))
+    named = first_wins(r.filter(F.col("group_code").isNotNull()), ["group_code"], CREATED, CODE_TAKEN, order=[order])
+    return r.filter(F.col("group_code").isNull()).unionByName(named)
+
+
+def _with_codes(numbered: DataFrame, existing: DataFrame) -> DataFrame:
+    """Rows without a code get the one of their id. Where that is stored or given already,
+    the next free number of the code space is tried, as the reference draws again; each
+    round writes only the rows that still lack a code."""
+    done = numbered.filter(F.col("group_code").isNotNull())
+    waiting, step = numbered.filter(F.col("group_code").isNull()), 0
+    while True:
+        taken = existing.select("group_code").unionByName(done.select("group_code"))
+        tried = materialize(waiting.withColumn("group_code", group_code(F.col("group_id"), step)), "codes")
+        free = first_per_key(tried.filter(F.col("group_code").isNotNull()).join(taken, "group_code", "left_anti"),
+                             ["group_code"], ["group_id"])
+        done = materialize(done.unionByName(free), "coded")
+        waiting = tried.join(free, "group_id", "left_anti")
+        step += 1
+        if waiting.filter(F.col("group_code").isNotNull()).isEmpty():
+            return done
+
+
 def group_details(groups: DataFrame, users: DataFrame, memberships: DataFrame) -> DataFrame:
     """Groups with creator username (inner) and member count."""
     creators = users.select(F.col("user_id").alias("creator_id"), F.col("username").alias("creator_username"))
@@ -78,15 +120,21 @@ def user_groups(groups: DataFrame, users: DataFrame, memberships: DataFrame) ->
                     F.coalesce("member_count", F.lit(0)).alias("member_count")))
 
 
-def join_groups(requests: DataFrame, groups: DataFrame, memberships: DataFrame) -> DataFrame:
-    """Resolve codes, reject unknown codes and existing members; first request wins."""
+def join_groups(requests: DataFrame, groups: DataFrame, memberships: DataFrame,
+                users: DataFrame | None = None) -> DataFrame:
+    """Resolve codes, reject unknown codes, existing members and (with ``users``) unknown
+    users, whose row the foreign key refuses; first request wins."""
     g = groups.select("group_id", "group_code")
     r = requests.withColumn("_code", normalize_code(F.col("group_code"))).join(
         g.withColumnRenamed("group_code", "_code"), "_code", "left")
     mem = restrict_to(memberships, r, ["user_id", "group_id"])
     r = r.join(mem.select("user_id", "group_id", F.lit(True).alias("_member")), ["user_id", "group_id"], "left")
+    known = F.lit(True)
+    if users is not None:
+        r = r.join(users.select("user_id", F.lit(True).alias("_user")), "user_id", "left")
+        known = F.col("_user").isNotNull()
     status = (F.when(F.col("group_id").isNull(), CODE_UNKNOWN)
-              .when(F.col("_member").isNotNull(), ALREADY_MEMBER).otherwise(JOINED))
+              .when(F.col("_member").isNotNull(), ALREADY_MEMBER).when(~known, USER_UNKNOWN).otherwise(JOINED))
     out = r.select("user_id", "group_code", "group_id", status.alias("status"))
     return first_wins(out, ["user_id", "group_id"], JOINED, ALREADY_MEMBER)
 
@@ -100,11 +148,14 @@ def apply_joins(outcomes: DataFrame, memberships: DataFrame, board: DataFrame, p
                              .select("user_id", "group_id", F.lit(0).cast("bigint").alias("total_points"),
                                      F.lit(None).cast("bigint").alias("rank_position"),
                                      ts_lit(as_of).alias("last_updated")))
-    affected = new.select("group_id").distinct()
-    fresh = L.recalculate(rows.join(affected, "group_id", "left_semi"),
-                          predictions.join(affected, "group_id", "left_semi"), as_of)
-    kept = rows.join(affected, "group_id", "left_anti")
-    return members, kept.unionByName(fresh)
+    # What a member predicted before joining counts from now on: the difference to the total.
+    points = predictions.join(new, ["user_id", "group_id"], "left_semi").groupBy("user_id", "group_id").agg(
+        F.coalesce(F.sum("points_earned"), F.lit(0)).cast("bigint").alias("_now"))
+    deltas = (new.join(points, ["user_id", "group_id"], "left")
+              .join(board.select("user_id", "group_id", "total_points"), ["user_id", "group_id"], "left")
+              .select("user_id", "group_id", (F.coalesce("_now", F.lit(0)) - F.coalesce("total_points", F.lit(0)))
+                      .cast("bigint").alias("delta")))
+    return members, L.apply_deltas(rows, materialize(deltas, "deltas"), as_of)
 
 
 def leave_groups(requests: DataFrame, groups: DataFrame, memberships: DataFrame) -> DataFrame:

@@ -42,22 +42,27 @@ def group_payload_rejects(payloads: DataFrame) -> DataFrame:
 
 
 def unique_violations(checks: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
-    """Keys seen more than once, per (constraint name, table, key columns)."""
+    """Keys seen more than once, per (constraint name, table, key columns).
+
+    Keys are compared by their own columns and types; as in SQL a key with a NULL part is
+    never a duplicate. Only the violations' keys are turned into text."""
     frames = []
     for name, df, cols in checks:
-        key = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
-        frames.append(df.groupBy(key.alias("key_value")).agg(F.count(F.lit(1)).alias("rows"))
-                      .filter(F.col("rows") > 1).select(F.lit(name).alias("constraint_name"), "key_value", "rows"))
+        whole = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in cols])
+        frames.append(df.filter(whole).groupBy(*cols).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
+                      .select(F.lit(name).alias("constraint_name"),
+                              F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("key_value"), "rows"))
     return _union(frames)
 
 
 def fk_violations(edges: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
-    """Orphan child keys per foreign-key edge (left anti-join, counted per key)."""
+    """Orphan child keys per foreign-key edge. Child keys are counted first, so a hot
+    key is one row before the anti-join; a NULL key refers to nothing and is no orphan."""
     frames = []
     for name, child, ccol, parent, pcol in edges:
-        orphans = child.select(F.col(ccol).alias("orphan_key")).join(
-            parent.select(F.col(pcol).alias("orphan_key")).distinct(), "orphan_key", "left_anti")
-        frames.append(orphans.groupBy("orphan_key").agg(F.count(F.lit(1)).alias("rows"))
+        keys = (child.filter(F.col(ccol).isNotNull()).groupBy(F.col(ccol).alias("orphan_key"))
+                .agg(F.count(F.lit(1)).alias("rows")))
+        frames.append(keys.join(parent.select(F.col(pcol).alias("orphan_key")), "orphan_key", "left_anti")
                       .select(F.lit(name).alias("edge"), "orphan_key", "rows"))
     return _union(frames)
 
@@ -97,6 +102,9 @@ def cascade_delete(deleted_users: DataFrame, groups: DataFrame, memberships: Dat
         by_user("UserStats", stats),
         by_user("Profile", profiles),
     ]
+    if fixtures_deleted is not None:
+        frames.append(fixtures_deleted.select("match_num").distinct().agg(F.count(F.lit(1)).alias("deleted_rows"))
+                      .select(F.lit("Fixture").alias("table_name"), "deleted_rows"))
     return _union(frames)
 
 
@@ -106,10 +114,16 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
                    for n, df in tables.items()])
 
 
-def required_tables(tables: dict[str, DataFrame]) -> DataFrame:
-    """Q2: each required table, whether it is present (has rows) and its row count."""
-    counts = table_counts({n: tables[n] for n in REQUIRED_TABLES if n in tables})
-    return counts.select("table_name", (F.col("row_count") > 0).alias("present"), "row_count")
+def required_tables(tables: dict[str, DataFrame], required: tuple[str, ...] = REQUIRED_TABLES) -> DataFrame:
+    """Q2: one row per required table: whether it exists (an empty table does) and its row
+    count, NULL where it is missing."""
+    frames = [table_counts({n: tables[n]}).select("table_name", F.lit(True).alias("present"), "row_count")
+              for n in required if n in tables]
+    missing = [(n, False, None) for n in required if n not in tables]
+    if missing:
+        spark = next(iter(tables.values())).sparkSession
+        frames.append(spark.createDataFrame(missing, "table_name string, present boolean, row_count long"))
+    return _union(frames)
 
 
 def catalog_tables(spark, required: tuple[str, ...] = REQUIRED_TABLES) -> DataFrame:

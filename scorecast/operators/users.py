@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from scorecast.functions.scoring import EXACT_POINTS, round_ratio_2dp
 from scorecast.functions.validation import registration_reason
 from scorecast.operators.common import first_per_key, latest_per_key
+from scorecast.session import materialize
 
 PUBLIC_COLS = ["user_id", "username", "email", "created_at"]
 # Statuses, reject reasons and the top-k size.
@@ -68,11 +69,13 @@ def email_exists(users: DataFrame, emails: DataFrame, col: str = "email") -> Dat
 
 
 def register_users(requests: DataFrame, users: DataFrame) -> DataFrame:
-    """Payload rules, then duplicate username, then duplicate email; first request
-    (lowest request_id) wins inside the batch. Usernames are stored lower-cased.
+    """Payload rules, then duplicate username, then duplicate email, as if the requests
+    came one after another in ``request_id`` order. Usernames are stored lower-cased.
 
-    Inside one batch the username winner is decided before the email winner; a request
-    that wins its name but loses its email does not release the name to a later request.
+    A refused request takes neither its name nor its e-mail. Undecided requests are judged
+    in rounds: one that is the first for both its name and its e-mail is accepted, its
+    rivals are refused, and those behind refused ones move up. A round decides at least the
+    first of every conflict; requests without a conflict are all decided by the first.
     """
     r = requests.select("request_id", F.lower("username").alias("username"), "email")
     taken_names = users.select(F.col("username").alias("_tn"), F.lit(True).alias("_name_taken"))
@@ -83,18 +86,23 @@ def register_users(requests: DataFrame, users: DataFrame) -> DataFrame:
     pre = (F.when(F.col("_rule").isNotNull(), F.col("_rule"))
            .when(F.col("_name_taken").isNotNull(), DUP_USERNAME)
            .when(F.col("_mail_taken").isNotNull(), DUP_EMAIL))
-    r = r.withColumn("_pre", pre).select("request_id", "username", "email", "_pre")
-    cand = r.filter(F.col("_pre").isNull())
-    name_win = first_per_key(cand.select("username", "request_id"), ["username"], ["request_id"]) \
-        .select(F.col("request_id").alias("_nw"))
-    stage2 = cand.join(name_win, cand.request_id == name_win._nw, "left_semi")
-    mail_win = first_per_key(stage2.select(F.lower("email").alias("_e"), "request_id"), ["_e"], ["request_id"]) \
-        .select(F.col("request_id").alias("_mw"))
-    j = (r.join(name_win, r.request_id == name_win._nw, "left")
-         .join(mail_win, r.request_id == mail_win._mw, "left"))
+    r = materialize(r.select("request_id", "username", "email", pre.alias("_pre")), "registrations")
+    open_ = r.filter(F.col("_pre").isNull()).select("request_id", "username", F.lower("email").alias("mail"))
+    accepted = None
+    while accepted is None or not open_.isEmpty():
+        firsts = [open_.groupBy(c).agg(F.min("request_id").alias(f"_{c}")) for c in ("username", "mail")]
+        seen = materialize(open_.join(firsts[0], "username").join(firsts[1], "mail"), "round")
+        won = seen.filter((F.col("request_id") == F.col("_username")) & (F.col("request_id") == F.col("_mail")))
+        won = won.select("request_id", "username", "mail")
+        accepted = won if accepted is None else accepted.unionByName(won)
+        open_ = materialize(seen.select("request_id", "username", "mail")
+                            .join(won.select("username"), "username", "left_anti")
+                            .join(won.select("mail"), "mail", "left_anti"), "open")
+    names = accepted.select(F.col("username").alias("_n"), F.col("request_id").alias("_won"))
+    j = r.join(names, F.col("username") == F.col("_n"), "left")
     status = (F.when(F.col("_pre").isNotNull(), F.col("_pre"))
-              .when(F.col("_nw").isNull(), DUP_USERNAME)
-              .when(F.col("_mw").isNull(), DUP_EMAIL).otherwise(OK))
+              .when(F.col("_won") == F.col("request_id"), OK)
+              .when(F.col("_won") < F.col("request_id"), DUP_USERNAME).otherwise(DUP_EMAIL))
     return j.select("request_id", "username", "email", status.alias("status"))
 
 
@@ -128,23 +136,40 @@ def user_stats(users: DataFrame, memberships: DataFrame, predictions: DataFrame,
                     accuracy.alias("accuracy_percentage"))
 
 
+# Fixed value: seq numbers of a block of the change feed.
+COUNTER_BLOCK = 1 << 20
+
+
 def user_counters(change_feed: DataFrame) -> DataFrame:
     """U8: lifetime counters from a change feed (seq, op, pid, user_id, old/new points).
 
     Insert +1 total; update +1 correct when points become > 0 from 0/NULL, +1 exact when
     they become 10 from anything else; delete -1 total. The stats row appears at a user's
     first insert, so earlier updates/deletes touch nothing and are dropped.
+
+    A user may own any share of the feed: rows are first reduced per (user, block of seq),
+    blocks after a user's first insert count whole, and only the block that holds it is read
+    by row, joined on (user, block), of which no more than a block's rows go together.
     """
-    first_insert = change_feed.filter(F.col("op") == "I").groupBy("user_id").agg(F.min("seq").alias("_first"))
-    live = change_feed.join(first_insert, "user_id").filter(F.col("seq") >= F.col("_first"))
     new, old = F.col("new_points"), F.col("old_points")
+    flag = lambda x: F.coalesce(x, F.lit(False)).cast("long")
     upd = F.col("op") == "U"
-    correct = upd & (new > 0) & (old.isNull() | (old == 0))
-    exact = upd & (new == EXACT_POINTS) & (old.isNull() | (old != EXACT_POINTS))
-    return live.groupBy("user_id").agg(
-        (F.count_if(F.col("op") == "I") - F.count_if(F.col("op") == "D")).alias("total_predictions"),
-        F.count_if(correct).alias("correct_predictions"),
-        F.count_if(exact).alias("exact_score_predictions"))
+    rows = change_feed.select(
+        "user_id", "seq", F.floor(F.col("seq") / COUNTER_BLOCK).alias("block"),
+        F.when(F.col("op") == "I", F.col("seq")).alias("ins"),
+        (flag(F.col("op") == "I") - flag(F.col("op") == "D")).alias("t"),
+        flag(upd & (new > 0) & (old.isNull() | (old == 0))).alias("c"),
+        flag(upd & (new == EXACT_POINTS) & (old.isNull() | (old != EXACT_POINTS))).alias("e"))
+    sums = [F.sum(x).alias(x) for x in ("t", "c", "e")]
+    blocks = rows.groupBy("user_id", "block").agg(F.min("ins").alias("ins"), *sums)
+    first = (blocks.groupBy("user_id").agg(F.min("ins").alias("first")).filter("first is not null")
+             .withColumn("first_block", F.floor(F.col("first") / COUNTER_BLOCK)))
+    whole = blocks.join(first, "user_id").filter("block > first_block").select("user_id", "t", "c", "e")
+    part = (rows.join(first.select("user_id", F.col("first_block").alias("block"), "first"), ["user_id", "block"])
+            .filter("seq >= first").select("user_id", "t", "c", "e"))
+    return whole.unionByName(part).groupBy("user_id").agg(
+        F.sum("t").alias("total_predictions"), F.sum("c").alias("correct_predictions"),
+        F.sum("e").alias("exact_score_predictions"))
 
 
 def top_users(counters: DataFrame, k: int = TOP_USERS) -> DataFrame:

@@ -109,3 +109,34 @@ SELECT season, count(*) AS total_fixtures, count(*) FILTER (WHERE completed) AS
 FROM fixtures GROUP BY season"""))
 def season_stats(t):
     return FX.season_stats(t.fixtures)
+
+
+@query("past_fixture_ids", with_domain("""
+SELECT match_num FROM fixtures WHERE CAST(start_time AS DATE) <= DATE '2000-07-01'"""))
+def q_past_fixture_ids(t):
+    """ids of the games dated on or before the as_of date."""
+    return FX.past_fixture_ids(t.fixtures, t.as_of)
+
+
+@query("fixture_defaults", with_domain(f"""
+SELECT match_num, COALESCE(CASE WHEN match_num % 3 <> 0 THEN completed END, FALSE) AS completed,
+       COALESCE(CASE WHEN match_num % 4 <> 0 THEN season END, '{FX.DEFAULT_SEASON}') AS season
+FROM fixtures"""))
+def q_fixture_defaults(t):
+    """C4: defaults of rows that come without a completed flag or a season."""
+    m = F.col("match_num")
+    rows = t.fixtures.select("match_num", F.when(m % 3 != 0, F.col("completed")).alias("completed"),
+                             F.when(m % 4 != 0, F.col("season")).alias("season"))
+    return FX.with_fixture_defaults(rows)
+
+
+@query("query_param_rejects", with_domain("""
+SELECT group_id, days, CASE WHEN days < 1 OR days > 30 THEN 'days must be in [1, 30]'
+                            WHEN group_id <= 0 THEN 'group_id must be > 0' END AS reject_reason
+FROM (SELECT CASE WHEN group_id % 5 = 0 THEN -group_id ELSE group_id END AS group_id, group_id % 40 AS days FROM grp) r
+WHERE days < 1 OR days > 30 OR group_id <= 0"""))
+def q_query_param_rejects(t):
+    """V4: request parameters outside their range, judged as a batch."""
+    i = F.col("group_id")
+    req = t.groups.select(F.when(i % 5 == 0, -i).otherwise(i).alias("group_id"), (i % 40).alias("days"))
+    return FX.query_param_rejects(req)

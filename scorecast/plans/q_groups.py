@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorecast.operators import groups as G
-from scorecast.plans.oracle_base import AS_OF_SQL, with_domain
+from scorecast.plans.oracle_base import AS_OF_SQL, base36_sql, with_domain
 from scorecast.plans.registry import query
 from scorecast.sources import batches
 
@@ -16,14 +16,59 @@ FROM grp g JOIN users u ON g.creator_id = u.user_id
 LEFT JOIN (SELECT group_id, count(*) AS n FROM memberships GROUP BY group_id) c ON g.group_id = c.group_id"""
 
 
-@query("create_groups", with_domain(f"""
-SELECT group_id, group_code, group_name, creator_id, {AS_OF_SQL} AS creation_date FROM grp"""))
+# Groups with odd ids are stored; the others come as create requests, every seventh of which
+# names a creator that does not exist and every fifth of which gives its own code.
+CREATE_CTES = f"""
+gold AS (SELECT * FROM grp WHERE group_id % 2 = 1),
+greq AS (
+  SELECT group_id AS request_id, group_name, CASE WHEN group_id % 14 = 0 THEN -creator_id ELSE creator_id END AS creator_id,
+         CASE WHEN group_id % 20 = 0 THEN (SELECT min(group_code) FROM gold)
+              WHEN group_id % 10 = 0 THEN 'own' || lpad(CAST((group_id // 20) % 1000 AS VARCHAR), 3, '0') END AS given
+  FROM grp WHERE group_id % 2 = 0),
+gnew AS (
+  SELECT *, (SELECT max(group_id) FROM gold) + row_number() OVER (ORDER BY request_id) AS new_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY upper(given), creator_id > 0 ORDER BY request_id) AS turn FROM greq) q
+  WHERE creator_id > 0 AND (given IS NULL OR (turn = 1 AND upper(given) NOT IN (SELECT group_code FROM gold)))),
+gnum AS (SELECT *, (new_id * 1103515247 + 12345) % 2176782336 AS code_num FROM gnew),
+gmade AS (
+  SELECT new_id AS group_id, COALESCE(upper(given), {base36_sql('code_num')}) AS group_code, group_name, creator_id,
+         {AS_OF_SQL} AS creation_date
+  FROM gnum)"""
+
+
+def _create_requests(t):
+    g = t.groups.filter(F.col("group_id") % 2 == 0)
+    i = F.col("group_id")
+    least = t.groups.filter(F.col("group_id") % 2 == 1).agg(F.min("group_code")).scalar()
+    own = F.concat(F.lit("own"), F.lpad((F.floor(i / 20) % 1000).cast("string"), 3, "0"))
+    return g.select(i.alias("request_id"), "group_name",
+                    F.when(i % 14 == 0, -F.col("creator_id")).otherwise(F.col("creator_id")).alias("creator_id"),
+                    F.when(i % 20 == 0, least).when(i % 10 == 0, own).alias("group_code"))
+
+
+def _created(t):
+    return G.create_groups(_create_requests(t), t.groups.filter(F.col("group_id") % 2 == 1), t.as_of, users=t.users)
+
+
+@query("create_groups", with_domain("SELECT * FROM gmade", CREATE_CTES))
 def q_create_groups(t):
-    """G1: every supplier-derived group created into an empty table (ids, codes assigned)."""
-    req = t.groups.select(F.col("group_id").alias("request_id"), "group_name", "creator_id",
-                          F.lit(None).cast("string").alias("group_code"))
-    groups, _, _ = G.create_groups(req, t.groups.filter(F.lit(False)), t.as_of)
-    return groups
+    """G1: half of the groups are stored, the others created: ids after the max, codes."""
+    return _created(t)[0]
+
+
+@query("create_groups_members", with_domain("""
+SELECT creator_id AS user_id, group_id, creation_date AS joined_date FROM gmade""", CREATE_CTES))
+def q_create_groups_members(t):
+    """G1: the creators' memberships."""
+    return _created(t)[1]
+
+
+@query("create_groups_board", with_domain("""
+SELECT creator_id AS user_id, group_id, CAST(0 AS BIGINT) AS total_points, CAST(NULL AS BIGINT) AS rank_position,
+       creation_date AS last_updated FROM gmade""", CREATE_CTES))
+def q_create_groups_board(t):
+    """G1: the creators' zero leaderboard rows."""
+    return _created(t)[2]
 
 
 @query("group_codes", with_domain("""
@@ -64,12 +109,13 @@ def q_user_groups(t):
 @query("join_groups", with_domain(f"""
 SELECT r.user_id, r.group_code, g.group_id,
        CASE WHEN g.group_id IS NULL THEN '{G.CODE_UNKNOWN}' WHEN m.user_id IS NOT NULL THEN '{G.ALREADY_MEMBER}'
-            ELSE '{G.JOINED}' END AS status
+            WHEN u.user_id IS NULL THEN '{G.USER_UNKNOWN}' ELSE '{G.JOINED}' END AS status
 FROM join_requests r LEFT JOIN grp g ON upper(trim(r.group_code)) = g.group_code
-LEFT JOIN memberships m ON m.user_id = r.user_id AND m.group_id = g.group_id"""))
+LEFT JOIN memberships m ON m.user_id = r.user_id AND m.group_id = g.group_id
+LEFT JOIN users u ON u.user_id = r.user_id"""))
 def q_join_groups(t):
     """The join batch."""
-    return G.join_groups(batches.join_requests(t), t.groups, t.memberships)
+    return G.join_groups(batches.join_requests(t), t.groups, t.memberships, t.users)
 
 
 @query("leave_groups", with_domain(f"""

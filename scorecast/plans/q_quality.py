@@ -54,7 +54,7 @@ def q_group_payload_rejects(t):
 def _uq(name, rel, cols):
     key = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in cols)
     return (f"SELECT '{name}' AS constraint_name, {key} AS key_value, count(*) AS \"rows\" FROM {rel} "
-            f"GROUP BY {', '.join(cols)} HAVING count(*) > 1")
+            f"WHERE {' AND '.join(c + ' IS NOT NULL' for c in cols)} GROUP BY {', '.join(cols)} HAVING count(*) > 1")
 
 
 UNIQUE_CHECKS = [
@@ -66,14 +66,17 @@ UNIQUE_CHECKS = [
     ("Group(group_code)", "grp", ["group_code"]),
     ("Fixture(api_game_id)", "fixtures", ["api_game_id"]),
     ("Profile(user_id)", "profiles", ["user_id"]),
+    ("UserStats(user_id)", "stats", ["user_id"]),
+    ("Leaderboard(user_id,group_id)", "leaderboard", ["user_id", "group_id"]),
 ]
 
 
-@query("unique_violations", with_domain("\nUNION ALL\n".join(_uq(*c) for c in UNIQUE_CHECKS)))
+@query("unique_violations", with_domain("\nUNION ALL\n".join(_uq(*c) for c in UNIQUE_CHECKS), f"stats AS ({COUNTERS_SQL})"))
 def q_unique_violations(t):
     """Duplicate keys per unique constraint (the raw feed repeats natural keys)."""
     rel = {"memberships": t.memberships, "feed": t.feed, "predictions": t.predictions, "users": t.users,
-           "grp": t.groups, "fixtures": t.fixtures, "profiles": t.profiles}
+           "grp": t.groups, "fixtures": t.fixtures, "profiles": t.profiles, "stats": U.user_counters(t.change_feed),
+           "leaderboard": t.leaderboard}
     return Q.unique_violations([(n, rel[r], cols) for n, r, cols in UNIQUE_CHECKS])
 
 
@@ -126,17 +129,22 @@ UNION ALL SELECT 'UserGroups', count(*) FROM memberships
   WHERE user_id IN (SELECT user_id FROM du) OR group_id IN (SELECT group_id FROM dg)
 UNION ALL SELECT 'Prediction', count(*) FROM predictions
   WHERE user_id IN (SELECT user_id FROM du) OR group_id IN (SELECT group_id FROM dg)
+     OR fixture_id IN (SELECT match_num FROM dfx)
+UNION ALL SELECT 'Fixture', count(*) FROM dfx
 UNION ALL SELECT 'Leaderboard', count(*) FROM leaderboard
   WHERE user_id IN (SELECT user_id FROM du) OR group_id IN (SELECT group_id FROM dg)
 UNION ALL SELECT 'UserStats', count(*) FROM (""" + COUNTERS_SQL + """) s WHERE user_id IN (SELECT user_id FROM du)
 UNION ALL SELECT 'Profile', count(*) FROM profiles WHERE user_id IN (SELECT user_id FROM du)""",
     extra_ctes="""
 du AS (SELECT user_id FROM users WHERE is_admin),
-dg AS (SELECT group_id FROM grp WHERE creator_id IN (SELECT user_id FROM du))"""))
+dg AS (SELECT group_id FROM grp WHERE creator_id IN (SELECT user_id FROM du)),
+dfx AS (SELECT match_num FROM fixtures WHERE season = '1997')"""))
 def q_cascade_delete(t):
-    """Deleting every admin user cascades through groups they created and all children."""
+    """Deleting every admin user cascades through groups they created and all children;
+    the games of one season go too."""
     return Q.cascade_delete(t.users.filter(F.col("is_admin")), t.groups, t.memberships, t.predictions,
-                            t.leaderboard, U.user_counters(t.change_feed), t.profiles)
+                            t.leaderboard, U.user_counters(t.change_feed), t.profiles,
+                            t.fixtures.filter(F.col("season") == "1997"))
 
 
 def _domain_tables(t):
@@ -156,7 +164,7 @@ def q_table_counts(t):
 
 
 @query("required_tables", with_domain("""
-SELECT table_name, row_count > 0 AS present, row_count FROM (
+SELECT table_name, TRUE AS present, row_count FROM (
   SELECT 'User' AS table_name, count(*) AS row_count FROM users
   UNION ALL SELECT 'Group', count(*) FROM grp
   UNION ALL SELECT 'UserGroups', count(*) FROM memberships
@@ -164,5 +172,5 @@ SELECT table_name, row_count > 0 AS present, row_count FROM (
   UNION ALL SELECT 'Prediction', count(*) FROM predictions
   UNION ALL SELECT 'Leaderboard', count(*) FROM leaderboard) c"""))
 def q_required_tables(t):
-    """Q2: the six required tables, present when they hold rows."""
+    """Q2: one row for each of the six required tables."""
     return Q.required_tables(_domain_tables(t))

@@ -93,10 +93,7 @@ def q_email_exists(t):
 
 
 @query("register_users", with_domain(f"""
-SELECT request_id, username, email, CASE
-  WHEN pre IS NOT NULL THEN pre
-  WHEN request_id NOT IN (SELECT rid FROM nw) THEN '{U.DUP_USERNAME}'
-  WHEN request_id NOT IN (SELECT rid FROM mw) THEN '{U.DUP_EMAIL}' ELSE '{U.OK}' END AS status
+SELECT request_id, username, email, COALESCE(pre, (SELECT w.status FROM reg_walk w WHERE w.rid = rr1.request_id)) AS status
 FROM rr1""", extra_ctes=f"""
 rr AS (SELECT request_id, lower(username) AS username, email FROM register_requests),
 rr1 AS (
@@ -109,8 +106,17 @@ rr1 AS (
     WHEN username IN (SELECT username FROM users) THEN '{U.DUP_USERNAME}'
     WHEN lower(email) IN (SELECT lower(email) FROM users) THEN '{U.DUP_EMAIL}' END AS pre
   FROM rr),
-nw AS (SELECT min(request_id) AS rid FROM rr1 WHERE pre IS NULL GROUP BY username),
-mw AS (SELECT min(r.request_id) AS rid FROM rr1 r JOIN nw ON r.request_id = nw.rid GROUP BY lower(r.email))"""))
+reg_seq AS (SELECT request_id, username, lower(email) AS mail, row_number() OVER (ORDER BY request_id) AS rn
+            FROM rr1 WHERE pre IS NULL),
+reg_walk AS (
+  SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS names, CAST([] AS VARCHAR[]) AS mails,
+         CAST(NULL AS BIGINT) AS rid, CAST(NULL AS VARCHAR) AS status
+  UNION ALL
+  SELECT rn, CASE WHEN status = '{U.OK}' THEN list_append(names, username) ELSE names END,
+         CASE WHEN status = '{U.OK}' THEN list_append(mails, mail) ELSE mails END, request_id, status
+  FROM (SELECT s.*, w.names, w.mails, CASE WHEN list_contains(w.names, s.username) THEN '{U.DUP_USERNAME}'
+               WHEN list_contains(w.mails, s.mail) THEN '{U.DUP_EMAIL}' ELSE '{U.OK}' END AS status
+        FROM reg_walk w JOIN reg_seq s ON s.rn = w.rn + 1) x)"""))
 def q_register_users(t):
     """U6 + V1: the register batch."""
     return U.register_users(batches.register_requests(t), t.users)
@@ -180,3 +186,10 @@ FROM identity_snapshot s LEFT JOIN users u ON s.user_id = u.user_id"""))
 def q_identity_drift(t):
     """Identity snapshot compared with the current users."""
     return U.identity_drift(t.users, batches.identity_snapshot(t))
+
+
+@query("user_counters_read", with_domain(f"""
+SELECT c.* FROM ({COUNTERS_SQL}) c WHERE c.user_id IN (SELECT user_id FROM update_requests)"""))
+def q_user_counters_read(t):
+    """Stored counters of the users named in the update batch."""
+    return U.counters_for(U.user_counters(t.change_feed), batches.update_requests(t).select("user_id").distinct())

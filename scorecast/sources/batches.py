@@ -12,18 +12,54 @@ from pyspark.sql import functions as F
 
 from scorecast.sources.tables import Tables
 
-# Offset that turns an id into an unknown one.
-UNKNOWN_OFFSET = 1000000
+
+
+def unknown(column: str):
+    """An id no table holds: ids are positive, so the negative of one is unknown at any size."""
+    return -F.col(column)
+
+
+def _team(name_col):
+    city = F.substring_index(name_col, " ", 1)
+    name = F.substring_index(name_col, " ", -1)
+    return F.struct(city.alias("teamCity"), name.alias("teamName"),
+                    F.upper(F.substring(name, 1, 3)).alias("teamTricode"))
+
+
+def schedule_games(fixtures: DataFrame) -> DataFrame:
+    """The fixtures as games of an upstream feed (day_pos, game_pos, gameDate, game). Days come
+    in calendar order though their text (month first) does not sort that way. Fixed defect
+    rules: no time (match_num % 97 = 0), 'TBD' (% 89), no home team (% 83), no away team
+    (% 79); odd match numbers carry a -05:00 offset, even ones 'Z'."""
+    m = F.col("match_num")
+    local = F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss")
+    est = (F.when(m % 97 == 0, F.lit(None).cast("string")).when(m % 89 == 0, F.lit("TBD"))
+           .when(m % 2 == 0, F.concat(local, F.lit("Z"))).otherwise(F.concat(local, F.lit("-05:00"))))
+    no_team = F.struct(F.lit(None).cast("string").alias("teamCity"), F.lit(None).cast("string").alias("teamName"),
+                       F.lit(None).cast("string").alias("teamTricode"))
+    game = F.struct(m.alias("gameId"), est.alias("gameDateTimeEst"),
+                    F.when(m % 83 == 0, no_team).otherwise(_team(F.col("home_team"))).alias("homeTeam"),
+                    F.when(m % 79 == 0, no_team).otherwise(_team(F.col("away_team"))).alias("awayTeam"))
+    return fixtures.select(
+        F.datediff("start_time", F.lit("1996-01-01").cast("date")).cast("long").alias("day_pos"),
+        (F.hour("start_time").cast("long") * (1 << 40) + m).alias("game_pos"),
+        F.date_format("start_time", "MM/dd/yyyy").alias("gameDate"), game.alias("game"))
 
 
 def results(t: Tables) -> DataFrame:
-    """(fixture_id, home_score, away_score) for fixtures with match_num % 3 = 0."""
+    """(request_id, fixture_id, home_score, away_score) in request order, for fixtures with
+    match_num % 3 = 0; those with match_num % 15 = 0 get a second, other result, and those
+    with match_num % 21 = 0 a last one that repeats the first."""
     f = t.fixtures.filter(F.col("match_num") % 3 == 0)
     m = F.col("match_num")
     same = (m % 6 == 0) & F.col("completed")
+    k = F.explode(F.array_compact(F.array(F.lit(0), F.when(m % 15 == 0, 1), F.when(m % 21 == 0, 2))))
+    f = f.withColumn("_k", k)
+    other = F.when(F.col("_k") == 1, 1).otherwise(0)
     return f.select(
-        F.when(m % 60 == 0, m + UNKNOWN_OFFSET).otherwise(m).alias("fixture_id"),
-        F.when(same, F.col("home_score")).otherwise(80 + (m * 13) % 51).alias("home_score"),
+        (m * 10 + F.col("_k")).alias("request_id"),
+        F.when(m % 60 == 0, -m).otherwise(m).alias("fixture_id"),
+        (F.when(same, F.col("home_score")).otherwise(80 + (m * 13) % 51) + other).alias("home_score"),
         F.when(same, F.col("away_score")).otherwise(80 + (m * 19) % 51).alias("away_score"),
     )
 
@@ -33,16 +69,22 @@ def create_requests(t: Tables) -> DataFrame:
     f = t.feed
     return f.select(
         "user_id", "group_id",
-        F.when(F.col("l_orderkey") % 97 == 0, F.col("fixture_id") + UNKNOWN_OFFSET)
+        F.when(F.col("l_orderkey") % 97 == 0, unknown("fixture_id"))
         .otherwise(F.col("fixture_id")).alias("fixture_id"),
         "pred_home_score", "pred_away_score", "prediction_time")
 
 
+def stored_predictions(t: Tables) -> DataFrame:
+    """Predictions that are stored before the create batch comes: those with
+    (user_id + fixture_id) % 4 = 0."""
+    return t.predictions.filter((F.col("user_id") + F.col("fixture_id")) % 4 == 0)
+
+
 def update_requests(t: Tables) -> DataFrame:
     p = t.predictions.filter((F.col("user_id") + F.col("group_id")) % 5 == 0)
     return p.select(
         "user_id", "group_id",
-        F.when(F.col("fixture_id") % 10 == 0, F.col("fixture_id") + UNKNOWN_OFFSET)
+        F.when(F.col("fixture_id") % 10 == 0, unknown("fixture_id"))
         .otherwise(F.col("fixture_id")).alias("fixture_id"),
         F.when((F.col("user_id") + F.col("fixture_id")) % 2 == 0, F.col("pred_home_score") + 1)
         .otherwise(F.col("pred_home_score")).alias("pred_home_score"),
@@ -53,16 +95,20 @@ def delete_requests(t: Tables) -> DataFrame:
     p = t.predictions.filter((F.col("user_id") + F.col("fixture_id")) % 7 == 0)
     base = p.select("user_id", "group_id", "fixture_id")
     missing = (p.filter((F.col("user_id") + F.col("fixture_id")) % 70 == 0)
-               .select("user_id", "group_id", (F.col("fixture_id") + UNKNOWN_OFFSET).alias("fixture_id")))
+               .select("user_id", "group_id", unknown("fixture_id").alias("fixture_id")))
     return base.unionByName(missing)
 
 
 def join_requests(t: Tables) -> DataFrame:
+    """Every tenth user asks for one of all groups in turn; some codes and some users do not
+    exist."""
+    n = t.groups.agg(F.count(F.lit(1))).scalar()
     u = t.users.filter(F.col("user_id") % 10 == 0).select(
-        "user_id", (F.floor(F.col("user_id") / 10) % 10 + 1).alias("group_id"))
+        "user_id", (F.floor(F.col("user_id") / 10) % n + 1).alias("group_id"))
     g = t.groups.select("group_id", "group_code")
     j = u.join(g, "group_id", "left")
-    return j.select("user_id", F.when(F.col("user_id") % 100 == 0, F.lit("ZZZZZZ"))
+    return j.select(F.when(F.col("user_id") % 70 == 0, unknown("user_id")).otherwise(F.col("user_id")).alias("user_id"),
+                    F.when(F.col("user_id") % 100 == 0, F.lit("ZZZZZZ"))
                     .otherwise(F.lower("group_code")).alias("group_code"))
 
 
@@ -70,7 +116,7 @@ def leave_requests(t: Tables) -> DataFrame:
     m = t.memberships.filter((F.col("user_id") + F.col("group_id")) % 9 == 0).select("user_id", "group_id")
     creators = t.groups.filter(F.col("group_id") % 3 == 0).select(F.col("creator_id").alias("user_id"), "group_id")
     strangers = (t.memberships.filter((F.col("user_id") + F.col("group_id")) % 90 == 0)
-                 .select((F.col("user_id") + UNKNOWN_OFFSET).alias("user_id"), "group_id"))
+                 .select(unknown("user_id").alias("user_id"), "group_id"))
     return m.unionByName(creators).unionByName(strangers)
 
 
@@ -78,9 +124,9 @@ def group_delete_requests(t: Tables) -> DataFrame:
     g = t.groups.filter(F.col("group_id") % 4 == 0).select(
         "group_id", F.when(F.col("group_id") % 8 == 0, F.col("creator_id") + 1)
         .otherwise(F.col("creator_id")).alias("user_id"))
-    unknown = t.groups.filter(F.col("group_id") % 6 == 0).select(
-        (F.col("group_id") + UNKNOWN_OFFSET).alias("group_id"), F.col("creator_id").alias("user_id"))
-    return g.unionByName(unknown)
+    missing = t.groups.filter(F.col("group_id") % 6 == 0).select(
+        unknown("group_id").alias("group_id"), F.col("creator_id").alias("user_id"))
+    return g.unionByName(missing)
 
 
 def register_requests(t: Tables) -> DataFrame:
@@ -89,8 +135,11 @@ def register_requests(t: Tables) -> DataFrame:
     cls = k % 20
     username = (F.when(cls == 0, F.lit("")).when(cls == 1, F.lit("___"))
                 .when(cls == 2, F.lower("c_name")).when(cls == 3, F.lit("new_user"))
+                .when(cls == 7, F.concat(F.lit("new_"), (k - 1).cast("string")))
                 .otherwise(F.concat(F.lit("new_"), k.cast("string"))))
+    # Chains: 6 has the e-mail of 5, 7 the name of 6; refusing 6 leaves its name to 7.
     email = F.when(cls == 4, F.concat(F.lit("new_"), k.cast("string"), F.lit(".example.org"))) \
+        .when(cls == 6, F.concat(F.lit("NEW_"), (k - 1).cast("string"), F.lit("@example.org"))) \
         .otherwise(F.concat(F.lit("new_"), k.cast("string"), F.lit("@example.org")))
     return c.select(k.alias("request_id"), username.alias("username"), email.alias("email"))
 
@@ -119,51 +168,58 @@ def group_payloads(t: Tables) -> DataFrame:
 def identity_snapshot(t: Tables) -> DataFrame:
     u = t.users
     return u.select(
-        F.when(F.col("user_id") % 17 == 0, F.col("user_id") + UNKNOWN_OFFSET).otherwise(F.col("user_id"))
+        F.when(F.col("user_id") % 17 == 0, unknown("user_id")).otherwise(F.col("user_id"))
         .alias("user_id"),
         "username",
         F.when(F.col("user_id") % 13 == 0, F.concat(F.lit("old."), F.col("email"))).otherwise(F.col("email"))
         .alias("email"))
 
 
-BATCH_SQL = f"""
+BATCH_SQL = """
 results AS (
-  SELECT CASE WHEN match_num % 60 = 0 THEN match_num + {UNKNOWN_OFFSET} ELSE match_num END AS fixture_id,
-         CASE WHEN match_num % 6 = 0 AND completed THEN home_score ELSE 80 + (match_num * 13) % 51 END AS home_score,
+  SELECT match_num * 10 + k AS request_id,
+         CASE WHEN match_num % 60 = 0 THEN -match_num ELSE match_num END AS fixture_id,
+         CASE WHEN match_num % 6 = 0 AND completed THEN home_score ELSE 80 + (match_num * 13) % 51 END
+           + CASE WHEN k = 1 THEN 1 ELSE 0 END AS home_score,
          CASE WHEN match_num % 6 = 0 AND completed THEN away_score ELSE 80 + (match_num * 19) % 51 END AS away_score
-  FROM fixtures WHERE match_num % 3 = 0),
+  FROM fixtures, (VALUES (0), (1), (2)) v(k)
+  WHERE match_num % 3 = 0 AND (k = 0 OR (k = 1 AND match_num % 15 = 0) OR (k = 2 AND match_num % 21 = 0))),
 create_requests AS (
   SELECT user_id, group_id,
-         CASE WHEN l_orderkey % 97 = 0 THEN fixture_id + {UNKNOWN_OFFSET} ELSE fixture_id END AS fixture_id,
+         CASE WHEN l_orderkey % 97 = 0 THEN -fixture_id ELSE fixture_id END AS fixture_id,
          pred_home_score, pred_away_score, prediction_time
   FROM feed),
+stored_predictions AS (SELECT * FROM predictions WHERE (user_id + fixture_id) % 4 = 0),
 update_requests AS (
   SELECT user_id, group_id,
-         CASE WHEN fixture_id % 10 = 0 THEN fixture_id + {UNKNOWN_OFFSET} ELSE fixture_id END AS fixture_id,
+         CASE WHEN fixture_id % 10 = 0 THEN -fixture_id ELSE fixture_id END AS fixture_id,
          CASE WHEN (user_id + fixture_id) % 2 = 0 THEN pred_home_score + 1 ELSE pred_home_score END AS pred_home_score,
          pred_away_score
   FROM predictions WHERE (user_id + group_id) % 5 = 0),
 delete_requests AS (
   SELECT user_id, group_id, fixture_id FROM predictions WHERE (user_id + fixture_id) % 7 = 0
   UNION ALL
-  SELECT user_id, group_id, fixture_id + {UNKNOWN_OFFSET} FROM predictions WHERE (user_id + fixture_id) % 70 = 0),
+  SELECT user_id, group_id, -fixture_id FROM predictions WHERE (user_id + fixture_id) % 70 = 0),
 join_requests AS (
-  SELECT u.user_id, CASE WHEN u.user_id % 100 = 0 THEN 'ZZZZZZ' ELSE lower(g.group_code) END AS group_code
-  FROM users u LEFT JOIN grp g ON g.group_id = (u.user_id // 10) % 10 + 1
+  SELECT CASE WHEN u.user_id % 70 = 0 THEN -u.user_id ELSE u.user_id END AS user_id,
+         CASE WHEN u.user_id % 100 = 0 THEN 'ZZZZZZ' ELSE lower(g.group_code) END AS group_code
+  FROM users u LEFT JOIN grp g ON g.group_id = (u.user_id // 10) % (SELECT count(*) FROM grp) + 1
   WHERE u.user_id % 10 = 0),
 leave_requests AS (
   SELECT user_id, group_id FROM memberships WHERE (user_id + group_id) % 9 = 0
   UNION ALL SELECT creator_id, group_id FROM grp WHERE group_id % 3 = 0
-  UNION ALL SELECT user_id + {UNKNOWN_OFFSET}, group_id FROM memberships WHERE (user_id + group_id) % 90 = 0),
+  UNION ALL SELECT -user_id, group_id FROM memberships WHERE (user_id + group_id) % 90 = 0),
 group_delete_requests AS (
   SELECT group_id, CASE WHEN group_id % 8 = 0 THEN creator_id + 1 ELSE creator_id END AS user_id
   FROM grp WHERE group_id % 4 = 0
-  UNION ALL SELECT group_id + {UNKNOWN_OFFSET}, creator_id FROM grp WHERE group_id % 6 = 0),
+  UNION ALL SELECT -group_id, creator_id FROM grp WHERE group_id % 6 = 0),
 register_requests AS (
   SELECT c_custkey AS request_id,
          CASE c_custkey % 20 WHEN 0 THEN '' WHEN 1 THEN '___' WHEN 2 THEN lower(c_name)
-              WHEN 3 THEN 'new_user' ELSE 'new_' || CAST(c_custkey AS VARCHAR) END AS username,
+              WHEN 3 THEN 'new_user' WHEN 7 THEN 'new_' || CAST(c_custkey - 1 AS VARCHAR) 
+              ELSE 'new_' || CAST(c_custkey AS VARCHAR) END AS username,
          CASE WHEN c_custkey % 20 = 4 THEN 'new_' || CAST(c_custkey AS VARCHAR) || '.example.org'
+              WHEN c_custkey % 20 = 6 THEN 'NEW_' || CAST(c_custkey - 1 AS VARCHAR) || '@example.org'
               ELSE 'new_' || CAST(c_custkey AS VARCHAR) || '@example.org' END AS email
   FROM customer),
 prediction_payloads AS (
@@ -177,7 +233,7 @@ group_payloads AS (
          CASE WHEN group_id % 4 = 0 THEN substr(group_code, 1, 5) ELSE group_code END AS group_code
   FROM grp),
 identity_snapshot AS (
-  SELECT CASE WHEN user_id % 17 = 0 THEN user_id + {UNKNOWN_OFFSET} ELSE user_id END AS user_id, username,
+  SELECT CASE WHEN user_id % 17 = 0 THEN -user_id ELSE user_id END AS user_id, username,
          CASE WHEN user_id % 13 = 0 THEN 'old.' || email ELSE email END AS email
   FROM users)
 """

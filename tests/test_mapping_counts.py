@@ -32,7 +32,7 @@ def test_points_distribution(tables):
 
 def test_results_batch(tables):
     out = S.result_outcomes(batches.results(tables), tables.fixtures, "upsert")
-    assert _counts(out) == {S.NOT_FOUND: 3, S.COMPLETED: 16, S.CORRECTED: 23, S.SAME_SCORES: 24}
+    assert _counts(out) == {S.NOT_FOUND: 6, S.COMPLETED: 16, S.CORRECTED: 34, S.SAME_SCORES: 32}
 
 
 def test_update_delete_batches(tables, spark):
@@ -50,8 +50,8 @@ def test_create_batch(tables):
 
 
 def test_group_batches(tables):
-    j = G.join_groups(batches.join_requests(tables), tables.groups, tables.memberships)
-    assert _counts(j) == {G.CODE_UNKNOWN: 1, G.ALREADY_MEMBER: 13, G.JOINED: 1}
+    j = G.join_groups(batches.join_requests(tables), tables.groups, tables.memberships, tables.users)
+    assert _counts(j) == {G.CODE_UNKNOWN: 1, G.ALREADY_MEMBER: 11, G.USER_UNKNOWN: 2, G.JOINED: 1}
     lv = G.leave_groups(batches.leave_requests(tables), tables.groups, tables.memberships)
     assert _counts(lv) == {G.CREATOR_CANNOT_LEAVE: 4, G.NOT_MEMBER: 10, G.LEFT: 160}
     dg = G.delete_groups(batches.group_delete_requests(tables), tables.groups, tables.memberships,

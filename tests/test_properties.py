@@ -5,6 +5,7 @@ from pyspark.sql.window import Window as W
 
 from scorecast.operators import leaderboard as L
 from scorecast.operators import scoring as S
+from scorecast.operators import users as U
 from scorecast.sources import batches
 from scorecast.streaming import jobs
 
@@ -35,17 +36,23 @@ def test_dense_ranks_contiguous(tables):
 def test_stream_results_equals_batch(spark, tables):
     run = S.post_results(tables.fixtures, tables.predictions, tables.leaderboard, batches.results(tables),
                          tables.as_of)
-    _, st_pr, st_lb = jobs.stream_results(spark, tables.fixtures, tables.predictions, tables.leaderboard,
-                                          batches.results(tables), tables.as_of, chunks=3)
-    assert _rows(st_lb.final()) == _rows(run.leaderboard)
-    assert _rows(st_pr.final()) == _rows(run.predictions)
+    state = jobs.stream_results(spark, tables.fixtures, tables.predictions, tables.leaderboard,
+                                batches.results(tables), tables.as_of, chunks=3)
+    assert _rows(state.board_now()) == _rows(run.leaderboard)
+    assert _rows(state.predictions_now()) == _rows(run.predictions)
+    assert _rows(state.fixtures_now()) == _rows(run.fixtures)
 
 
-def test_stream_batch_replay_is_skipped(spark, tables):
-    st = jobs.StateTable(spark, "replay", tables.groups.select("group_id"))
-    st.write(tables.groups.select("group_id").limit(1), 0)
-    assert st.done(0)
-    assert st.read_for(1).count() == 1 and st.read_for(0).count() == tables.groups.count()
+def test_stream_batch_replay_changes_nothing(spark, tables):
+    results = batches.results(tables)
+    once = jobs.ResultsStream(spark, tables.fixtures, tables.predictions, tables.leaderboard, tables.as_of)
+    twice = jobs.ResultsStream(spark, tables.fixtures, tables.predictions, tables.leaderboard, tables.as_of)
+    for part in range(2):
+        batch = results.filter(F.pmod("fixture_id", F.lit(2)) == part)
+        once.on_batch(batch, part)
+        twice.on_batch(batch, part)
+        twice.on_batch(batch, part)
+    assert _rows(once.board_now()) == _rows(twice.board_now())
 
 
 def test_stream_results_restart_resumes(spark, tables):
@@ -56,10 +63,9 @@ def test_stream_results_restart_resumes(spark, tables):
     res = batches.results(tables)
     src = jobs.stage_source(spark, res, "restart-src", F.col("fixture_id") % 2, [0, 1])
     args = (spark, tables.fixtures, tables.predictions, tables.leaderboard, res, tables.as_of)
-    _, _, lb1 = jobs.stream_results(*args, root=root, source=src)
-    first = _rows(lb1.final())
-    _, _, lb2 = jobs.stream_results(*args, root=root, source=src)
-    assert _rows(lb2.final()) == first
+    first = _rows(jobs.stream_results(*args, root=root, source=src).board_now())
+    again = jobs.stream_results(*args, root=root, source=src)
+    assert _rows(again.board_now()) == first
 
 
 def test_lag_over_matches_window_with_hot_key(spark):
@@ -90,7 +96,61 @@ def test_stream_predictions_dead_letters(spark, tables):
     chunk = F.abs(F.hash("user_id", "group_id", "fixture_id")) % 3
     accepted, dead = jobs.stream_predictions(spark, req, tables.fixtures, tables.users, tables.groups,
                                              chunk, [0, 1, 2])
-    letters = spark.read.parquet(dead)
-    counts = {r.status: r["count"] for r in letters.groupBy("status").count().collect()}
-    assert counts == {R.FIXTURE_UNKNOWN: 67, R.GAME_STARTED: 2408}
-    assert accepted.final().count() == 3503
+    counts = {r.status: r["count"] for r in dead.read().groupBy("status").count().collect()}
+    assert counts == {R.FIXTURE_UNKNOWN: 67, R.GAME_STARTED: 2408, R.EXISTS: 22}
+    assert accepted.read().count() == 3503
+
+
+def _files(spark, df, n, name):
+    """``df`` as n files in hash order, so that no file holds a contiguous range."""
+    from scorecast.session import new_scratch_path
+
+    path = new_scratch_path(spark, name)
+    df.repartition(n).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def test_stream_counters_do_not_depend_on_file_order(spark, tables):
+    feed = tables.change_feed
+    want = _rows(U.user_counters(feed))
+    for chunk, order in ((F.pmod("pid", F.lit(3)), [2, 0, 1]), (F.floor(F.col("seq") / 400), [2, 1, 0]),
+                         (F.pmod(F.xxhash64("seq"), F.lit(4)), [3, 1, 0, 2])):
+        assert _rows(jobs.stream_user_counters(spark, _files(spark, feed, 8, "feed"), chunk, order).final()) == want
+
+
+def test_stream_locks_lose_no_event(spark, tables):
+    fx = tables.fixtures.filter("completed")
+    events = fx.select(F.col("match_num").alias("fixture_id"), F.col("start_time").alias("event_time"))
+    want = _rows(S.lock_predictions(tables.predictions.withColumn("locked", F.lit(False)), fx.withColumn(
+        "start_time", F.lit(None).cast("timestamp_ntz")), tables.as_of))
+    open_ = tables.predictions.withColumn("locked", F.lit(False))
+    for files in (1, 3, 8):
+        got = jobs.stream_locks(spark, open_, _files(spark, events, files, "events"), F.lit(0), [0])
+        assert _rows(got.final()) == want
+
+
+def test_stream_predictions_accounts_for_every_request(spark, tables):
+    req = batches.create_requests(tables).limit(1500)
+    req = req.unionByName(req.limit(300))
+    stored = batches.stored_predictions(tables)
+    one, dead = jobs.stream_predictions(spark, req, tables.fixtures, tables.users, tables.groups, F.lit(0), [0], stored)
+    n = req.count()
+    assert one.read().count() + dead.read().count() == n
+    assert one.read().join(stored, ["user_id", "group_id", "fixture_id"], "left_semi").count() == 0
+    key = ["user_id", "group_id", "fixture_id"]
+    chunk = F.pmod(F.xxhash64(*key), F.lit(3))
+    many, dead3 = jobs.stream_predictions(spark, req, tables.fixtures, tables.users, tables.groups, chunk, [2, 0, 1], stored)
+    assert many.read().count() + dead3.read().count() == n
+    cols = [*key, "pred_home_score", "pred_away_score", "prediction_time"]
+    assert _rows(many.read().select(*cols)) == _rows(one.read().select(*cols))
+
+
+def test_stream_writes_follow_the_batch(spark, tables):
+    """A batch of one result appends the differences of that game's predictions only."""
+    game = tables.fixtures.filter("completed").orderBy("match_num").limit(1)
+    one = game.select(F.lit(1).cast("long").alias("request_id"), F.col("match_num").alias("fixture_id"),
+                      (F.col("home_score") + 1).alias("home_score"), "away_score")
+    state = jobs.ResultsStream(spark, tables.fixtures, tables.predictions, tables.leaderboard, tables.as_of)
+    state.on_batch(one, 0)
+    n = tables.predictions.join(one, "fixture_id", "left_semi").select("user_id", "group_id").distinct().count()
+    assert state.accepted.of(0).count() == 1 and state.deltas.of(0).count() == n

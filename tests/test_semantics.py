@@ -127,12 +127,16 @@ def test_offset_time_keeps_wall_clock(spark):
 
 def test_bad_time_consumes_no_number(spark):
     team = ("A", "B", "AB")
-    days = spark.createDataFrame([("2025-10-22", [(1, "2025-10-22T19:00:00Z", team, team),
-                                                  (2, "TBD", team, team),
-                                                  (3, "2025-10-22T21:00:00Z", team, team)])], SCH.GAME_DATE)
-    got = [(r.fixture_number, r.start_time) for r in SCH.flatten_schedule(days).orderBy("fixture_number").collect()]
-    assert got == [(1, "2025-10-22T19:00:00Z"), (2, "2025-10-22T21:00:00Z")]
-    assert F is not None
+    # Document order counts, not the dates' text: October 2025 stands before January 2026.
+    days = [("10/22/2025 00:00:00", [(1, "2025-10-22T19:00:00Z", team, team), (2, "TBD", team, team),
+                                     (3, "2025-10-22T21:00:00Z", team, team)]),
+            ("01/05/2026 00:00:00", [(4, "2026-01-05T19:00:00Z", team, team)]),
+            ("01/05/2026 00:00:00", [(5, "2026-01-05T18:00:00Z", team, team)])]
+    doc = spark.createDataFrame([((days,),)], SCH.FEED_DOCUMENT).withColumn("file", F.lit("f"))
+    flat = SCH.flatten_schedule(SCH.games_of_documents(doc))
+    got = [(r.fixture_number, r.start_time) for r in flat.orderBy("fixture_number").collect()]
+    assert got == [(1, "2025-10-22T19:00:00Z"), (2, "2025-10-22T21:00:00Z"), (3, "2026-01-05T19:00:00Z"),
+                   (4, "2026-01-05T18:00:00Z")]
 
 
 def test_board_order_puts_unranked_first(spark):
@@ -165,7 +169,7 @@ def test_building_blocks(spark, tables):
 
 
 def test_partition_sizing(spark):
-    from scorecast.session import MAX_SHUFFLE_PARTITIONS, input_bytes, size_for_input
+    from scorecast.session import input_bytes, partitions_for, size_for_input
 
     keys = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes",
             "spark.sql.adaptive.advisoryPartitionSizeInBytes")
@@ -174,7 +178,7 @@ def test_partition_sizing(spark):
         assert input_bytes(spark, ["/root/testdata/sf0.001/lineitem.parquet"]) > 0
         assert size_for_input(spark, 10) == spark.sparkContext.defaultParallelism
         assert size_for_input(spark, 10 * 2 ** 30) == 80  # 10 GiB / 128 MiB
-        assert size_for_input(spark, 100 * 2 ** 40) == MAX_SHUFFLE_PARTITIONS  # 100 TiB, capped
+        assert partitions_for(100 * 2 ** 40) == 819_200  # 100 TiB in partitions of 128 MiB
         assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(128 * 2 ** 20)
     finally:
         for k, v in old.items():
@@ -224,7 +228,7 @@ def test_cascade_includes_fixture_edge(spark):
     got = {r.table_name: r.deleted_rows for r in
            Q.cascade_delete(users, groups, members, preds, board, stats, profiles, fx_gone).collect()}
     assert got == {"User": 1, "Group": 1, "UserGroups": 1, "Prediction": 2, "Leaderboard": 1,
-                   "UserStats": 1, "Profile": 0}
+                   "UserStats": 1, "Profile": 0, "Fixture": 1}
 
 
 def test_apply_updates_moves_scores_and_time(spark):
@@ -278,17 +282,124 @@ def test_sequential_updates_with_order(spark):
 
 
 def test_schedule_document_layout_matches_lines(spark, tables):
+    from pyspark.sql.window import Window as W
+
     from scorecast.session import new_scratch_path
+    from scorecast.sources import batches
 
-    days = SCH.feed_days_from_fixtures(tables.fixtures)
-    lines = SCH.write_feed_lines(days, new_scratch_path(spark, "feed-lines"))
+    games = batches.schedule_games(tables.fixtures)
+    lines = SCH.write_feed_lines(games, new_scratch_path(spark, "feed-lines"))
     doc_path = new_scratch_path(spark, "feed-doc")
-    (days.agg(F.collect_list(F.struct("gameDate", "games")).alias("gameDates"))
-     .select(F.struct("gameDates").alias("leagueSchedule")).coalesce(1).write.json(doc_path))
+    days = games.groupBy("day_pos", "gameDate").agg(F.array_sort(F.collect_list(F.struct("game_pos", "game"))).alias("g"))
+    days = days.select("day_pos", F.struct("gameDate", F.col("g.game").alias("games")).alias("d"))
+    (days.agg(F.array_sort(F.collect_list(F.struct("day_pos", "d"))).alias("ds"))
+     .select(F.struct(F.col("ds.d").alias("gameDates")).alias("leagueSchedule")).coalesce(1).write.json(doc_path))
     start = dt.datetime(1997, 1, 1)
     a = SCH.flatten_schedule(SCH.read_schedule(spark, lines), start)
     b = SCH.flatten_schedule(SCH.read_schedule(spark, doc_path, document=True), start)
     assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    starts = a.select("start_time", F.lag(F.substring("start_time", 1, 19)).over(W.orderBy("fixture_number")).alias("p"))
+    assert starts.filter(F.col("p") > F.substring("start_time", 1, 19)).count() == 0
+
+
+def test_flat_file_layouts(spark, tmp_path):
+    row = '{"fixture_number": %d, "home_team": {"city": "A", "name": "B"}, "away_team": {"city": "C", "name": "D"}, ' \
+          '"start_time": "2025-10-21T19:30:00Z", "completed": false}'
+    path = tmp_path / "fixtures.json"
+    path.write_text("[\n    " + ",\n    ".join(row % i for i in (1, 2)) + "\n]\n")
+    norm = SCH.normalize_import(SCH.read_flat(spark, str(path), document=True))
+    assert [(r.api_game_id, r.reject_reason) for r in norm.orderBy("api_game_id").collect()] == [(1, None), (2, None)]
+    gone = str(tmp_path / "none.json")
+    assert SCH.flat_file_status(spark, gone).first().status == SCH.FILE_MISSING
+    assert SCH.import_summary(SCH.normalize_import(SCH.read_flat(spark, gone))).first().processed == 0
+
+
+def test_upsert_last_row_wins_and_feeds_scoring(spark):
+    fx = _fixtures(spark, [(1, "A", "B", 90, 80, True, T0, 11, "s"), (2, "C", "D", None, None, False, T0, 12, "s")])
+    inc = spark.createDataFrame([(11, "A", "B", T0, 90, 80, True, "s", 1), (11, "A", "B", T0, 91, 80, True, "s", 2),
+                                 (12, "C", "D", T0, 70, 60, True, "s", 1), (13, "E", "F", T0, 1, 2, True, "s", 1)],
+                                "api_game_id long, home_team string, away_team string, start_time timestamp_ntz, "
+                                "home_score long, away_score long, completed boolean, season string, import_pos long")
+    after = SCH.upsert_fixtures(fx, inc)
+    assert {r.api_game_id: (r.match_num, r.home_score) for r in after.collect()} == {11: (1, 91), 12: (2, 70), 13: (3, 1)}
+    got = {r.fixture_id: r.home_score for r in SCH.upsert_changes(fx, after).collect()}
+    assert got == {1: 91, 2: 70}
+
+
+def test_results_are_judged_in_order(spark):
+    fx = _fixtures(spark, [(1, "A", "B", None, None, False, T0, 1, "s"), (2, "C", "D", 90, 80, True, T0, 2, "s")])
+    req = spark.createDataFrame([(1, 1, 100, 90), (2, 1, 100, 90), (3, 1, 95, 90), (4, 2, 90, 80), (5, 2, 91, 80),
+                                 (6, 2, 90, 80), (7, 3, 1, 1)],
+                                "request_id long, fixture_id long, home_score long, away_score long")
+    status = lambda mode: [r.status for r in S.result_outcomes(req, fx, mode).orderBy("request_id").collect()]
+    assert status("upsert") == [S.COMPLETED, S.SAME_SCORES, S.CORRECTED, S.SAME_SCORES, S.CORRECTED, S.CORRECTED, S.NOT_FOUND]
+    assert status("complete") == [S.COMPLETED, S.ALREADY_COMPLETED, S.ALREADY_COMPLETED, *[S.ALREADY_COMPLETED] * 3, S.NOT_FOUND]
+    assert status("correct") == [S.NOT_COMPLETED] * 3 + [S.SAME_SCORES, S.CORRECTED, S.CORRECTED, S.NOT_FOUND]
+    preds = _preds(spark, [(1, 5, 9, 1, 95, 90, T0, False, None), (2, 5, 9, 2, 90, 80, T0, True, 10)])
+    board = spark.createDataFrame([(5, 9, 10, 1, T0)], "user_id long, group_id long, total_points long, "
+                                  "rank_position long, last_updated timestamp_ntz")
+    run = S.post_results(fx, preds, board, req, T0)
+    assert {r.match_num: r.home_score for r in run.fixtures.collect()} == {1: 95, 2: 90}
+    assert {r.pid: r.points_earned for r in run.predictions.collect()} == {1: 10, 2: 10}
+    assert run.leaderboard.first().total_points == 20
+
+
+def test_large_ids_stay_apart(spark):
+    keys = spark.createDataFrame([(1, 10_001, 1), (2, 1, 1), (1, 1, 1_000_001), (1, 2, 1), (10 ** 9, 10 ** 6, 10 ** 7)],
+                                 "user_id long, group_id long, fixture_id long")
+    assert keys.select(R.pid_of("user_id", "group_id", "fixture_id").alias("p")).distinct().count() == 5
+    from scorecast.functions.codes import CODE_SPACE, group_code
+    ids = spark.createDataFrame([(1,), (CODE_SPACE + 1,), (9 * 10 ** 18,)], "group_id long")
+    assert [r[0] is None for r in ids.select(group_code("group_id")).collect()] == [False, True, True]
+
+
+def test_registration_chain(spark):
+    req = spark.createDataFrame([(1, "aaa", "m@x.org"), (2, "bbb", "M@x.org"), (3, "bbb", "z@x.org"), (4, "ccc", "z@x.org"),
+                                 (5, "ccc", "y@x.org")], "request_id long, username string, email string")
+    users = spark.createDataFrame([], "user_id long, username string, email string")
+    got = {r.request_id: r.status for r in U.register_users(req, users).collect()}
+    assert got == {1: U.OK, 2: U.DUP_EMAIL, 3: U.OK, 4: U.DUP_EMAIL, 5: U.OK}
+
+
+def test_unknown_users_and_codes_are_refused(spark):
+    groups = spark.createDataFrame([(7, "ABC123")], "group_id long, group_code string")
+    members = spark.createDataFrame([(1, 7)], "user_id long, group_id long")
+    users = spark.createDataFrame([(1,), (2,)], "user_id long")
+    joins = spark.createDataFrame([(2, "abc123"), (424242, "abc123")], "user_id long, group_code string")
+    got = {r.user_id: r.status for r in G.join_groups(joins, groups, members, users).collect()}
+    assert got == {2: G.JOINED, 424242: G.USER_UNKNOWN}
+    from scorecast.functions.codes import group_code
+    taken = spark.range(1).select(group_code(F.lit(8)).alias("c")).first().c
+    req = spark.createDataFrame([(1, "one", 1, "abc123"), (2, "two", 1, "new001"), (3, "three", 2, "NEW001"), (4, "four", 9, None),
+                                 (5, "five", 2, None), (6, "six", 2, taken)],
+                                "request_id long, group_name string, creator_id long, group_code string")
+    status = {r.request_id: r.status for r in G.judge_group_requests(req, groups, users=users).collect()}
+    assert status == {1: G.CODE_TAKEN, 2: G.CREATED, 3: G.CODE_TAKEN, 4: G.USER_UNKNOWN, 5: G.CREATED, 6: G.CREATED}
+    new, mem, board = G.create_groups(req, groups, T0, users=users)
+    codes = [r.group_code for r in new.orderBy("group_id").collect()]
+    assert len(set(codes)) == 3 and None not in codes and mem.count() == board.count() == 3
+
+
+def test_unique_and_required_reports(spark):
+    from scorecast.operators import quality as Q
+
+    df = spark.createDataFrame([("a", None, "b"), ("a", "b", None), ("a|b", None, None), ("x", "y", "z"), ("x", "y", "z")],
+                               "p string, q string, r string")
+    assert [tuple(r) for r in Q.unique_violations([("u", df, ["p", "q", "r"])]).collect()] == [("u", "x|y|z", 2)]
+    got = {r.table_name: (r.present, r.row_count) for r in Q.required_tables({"User": df.limit(0)}, ("User", "Group")).collect()}
+    assert got == {"User": (True, 0), "Group": (False, None)}
+
+
+def test_hot_user_counters(spark):
+    rows = [(i, "I" if i == 5 else "U", 1, 1, None, 10) for i in range(20)] + [(3, "U", 2, 2, None, 10)]
+    feed = spark.createDataFrame(rows, "seq long, op string, pid long, user_id long, old_points long, new_points long")
+    old = U.COUNTER_BLOCK
+    try:
+        U.COUNTER_BLOCK = 4
+        got = [tuple(r) for r in U.user_counters(feed).collect()]
+    finally:
+        U.COUNTER_BLOCK = old
+    assert got == [(1, 1, 14, 14)]
 
 
 def test_merged_view_for_one_user(spark):
