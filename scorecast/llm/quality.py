@@ -31,7 +31,7 @@ from scorecast.llm import spans as S
 from scorecast.llm.labelled import held_out, training_rows
 from scorecast.llm.scratch import shuffle_partitions
 
-WORDS, DIMENSIONS, WINDOW = 8192, 32, 2
+WORDS, DIMENSIONS, WINDOW = 8192, 32, 4
 SLICES = 64
 PER_CLASS = 6000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 128, 0.01, 1e-4
@@ -84,7 +84,7 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(WORDS * DIMENSIONS, dtype=np.int64)
     for batch in batches:
         for _, _, row, word in tokens(S.clean(batch["text"])):
-            for step in range(0, 2 * WINDOW + 1):
+            for step in range(WINDOW + 1):
                 here, there = (word, word) if not step else (word[:-step], word[step:])
                 same = slice(None) if not step else row[:-step] == row[step:]
                 here, there = here[same], there[same]
