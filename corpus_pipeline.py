@@ -19,6 +19,9 @@ from scorecast.llm import minhash, packing, quality, queries, secrets, toxicity
 from scorecast.llm.scratch import ship_package, written
 
 
+_TEXT_HASH = "__text_hash"
+
+
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the limit."""
     ship_package(spark)
@@ -39,8 +42,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
     columns = docs.columns
-    # Rows that repeat an id are one document; any of equal rows stays.
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(columns)
+    # Of rows that repeat an id and its text any one stays.
+    one = (docs.withColumn(_TEXT_HASH, F.xxhash64("text")).join(kept, "doc_id", "left_semi")
+           .dropDuplicates(["doc_id", _TEXT_HASH]).select(columns))
     return one.unionByName(docs.filter("doc_id is null"))
 
 

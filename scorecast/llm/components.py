@@ -21,7 +21,8 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 
 def _hang(edges: DataFrame, key: str, other: str) -> DataFrame:
     """``edges`` with ``m``: the smallest ``other`` of each ``key``."""
-    least = edges.groupBy(key).agg(F.min(other).alias("m")).withColumnRenamed(key, "_k")
+    # Checkpointed, so that the join deals both sides itself and a hub's rows can be split.
+    least = edges.groupBy(key).agg(F.min(other).alias("m")).withColumnRenamed(key, "_k").checkpoint()
     return edges.join(least, F.col(key) == F.col("_k")).drop("_k")
 
 

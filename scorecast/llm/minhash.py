@@ -14,8 +14,9 @@ standard deviations below 0.85) with about the same.
 
 Edge cases: null, empty or white-space texts have an empty set and link with nothing; fewer
 than five words are one shingle, the whole sequence; repeated rows and equal texts share a
-class; a null ``doc_id`` links with nothing and is kept; rows that repeat a ``doc_id`` are
-one vertex; an empty table gives an empty result; other columns are not read.
+class; a null ``doc_id`` links with nothing and is kept; rows that repeat a ``doc_id`` with
+other text are one vertex with the links of both; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -204,29 +205,32 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     same = ["n_shingles", "sum_hash", "xor_hash"]
     sized = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = sized.groupBy(*same).agg(F.min("doc_id").alias("class_id"))
-    reps = sized.join(classes, same).filter("doc_id = class_id").dropDuplicates(["doc_id"])
+    reps = sized.join(classes, same).filter("doc_id = class_id").dropDuplicates(["doc_id", *same])
 
-    banded = reps.select("doc_id", F.explode("bands").alias("key"))
+    banded = reps.select("doc_id", "xor_hash", F.explode("bands").alias("key"))
     shared = (banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
               .select("key", F.ceil(F.col("n") / BLOCK_DOCS).alias("n_blocks")))
-    rows = _in_blocks(banded.join(shared, "key").join(sized.select("doc_id", "sig").dropDuplicates(["doc_id"]), "doc_id"), "n_blocks")
+    rows = _in_blocks(banded.join(shared, "key").join(reps.select("doc_id", "xor_hash", "sig"), ["doc_id", "xor_hash"]),
+                      "n_blocks")
     candidates = dealt(rows).mapInPandas(_candidates, "a long, b long").distinct()
 
     hung = connected_components(candidates)
     family = hung.union(hung.select(F.col("component").alias("node"), "component").distinct())
     member = family.select(F.col("node").alias("doc_id"), F.col("component").alias("key"))
-    member = member.join(reps.select("doc_id", "n_shingles"), "doc_id")
+    member = member.join(reps.groupBy("doc_id").agg(F.sum("n_shingles").alias("n_shingles")), "doc_id")
     size = member.groupBy("key").agg(F.sum("n_shingles").alias("n")).select(
         "key", F.ceil(F.col("n") / BLOCK_SHINGLES).alias("n_blocks"))
     member = member.drop("n_shingles").join(size, "key")
-    sets = texts.join(member, "doc_id").dropDuplicates(["doc_id"]).mapInPandas(
-        _shingles, "doc_id long, key long, n_blocks long, shingles binary")
+    sets = (texts.withColumn("text_hash", F.xxhash64("text")).join(member, "doc_id")
+            .dropDuplicates(["doc_id", "text_hash"]).drop("text_hash")
+            .mapInPandas(_shingles, "doc_id long, key long, n_blocks long, shingles binary"))
     links = dealt(_in_blocks(sets, "n_blocks")).mapInPandas(_confirm(percent), "a long, b long")
 
     found = connected_components(links)
     of_class = classes.join(found, F.col("class_id") == F.col("node"), "left").select(
         *same, F.coalesce("component", "class_id").alias("component_id"))
-    # Rows that repeat a doc_id with other text are one vertex: the least of their classes.
     rows = signed.select("doc_id", *same).join(of_class, same, "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-                       (F.coalesce(F.col("component_id"), F.col("doc_id")).eqNullSafe(F.col("doc_id"))).alias("kept"))
+    return rows.select(
+        "doc_id", "n_shingles",
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        (F.col("doc_id").isNull() | F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id"))).alias("kept"))
