@@ -108,10 +108,13 @@ def merged_for_user(merged: DataFrame, user_id: int) -> DataFrame:
 
 
 def teams(fixtures: DataFrame) -> DataFrame:
-    """F8: team dimension from fixture names (the reference's Teams table is never created)."""
+    """F8: team dimension from fixture names (the reference's Teams table is never created):
+    a name is the city and the team's name, whose first three letters abbreviate it."""
     names = (fixtures.select(F.col("home_team").alias("team_name"))
              .union(fixtures.select(F.col("away_team").alias("team_name"))).distinct())
-    return sequential_ids(names, ["team_name"], "team_id").select("team_id", "team_name")
+    short = F.upper(F.substring(F.substring_index("team_name", " ", -1), 1, 3))
+    return sequential_ids(names, ["team_name"], "team_id").select(
+        "team_id", "team_name", F.substring_index("team_name", " ", 1).alias("city"), short.alias("abbreviation"))
 
 
 def fixtures_at_time(fixtures: DataFrame, times: DataFrame, time_col: str = "start_time") -> DataFrame:

@@ -104,9 +104,8 @@ def group_by_code(groups: DataFrame, users: DataFrame, memberships: DataFrame, c
     """G3 rows for the requested codes, matched case-insensitively."""
     req = codes.select(F.col(code_col).alias("requested_code"),
                        normalize_code(F.col(code_col)).alias("group_code")).distinct()
-    wanted = restrict_to(groups, req, ["group_code"])  # resolve codes before counting members
-    members = restrict_to(memberships, wanted, ["group_id"])
-    return group_details(wanted, users, members).join(req, "group_code")
+    wanted = restrict_to(groups, req, ["group_code"])
+    return group_details(wanted, users, memberships).join(req, "group_code")
 
 
 def user_groups(groups: DataFrame, users: DataFrame, memberships: DataFrame) -> DataFrame:
@@ -189,8 +188,8 @@ def delete_groups(requests: DataFrame, groups: DataFrame, memberships: DataFrame
               .when(F.col("creator_id") != F.col("user_id"), NOT_CREATOR).otherwise(DELETED))
     out = first_wins(r.select("group_id", "user_id", status.alias("status")), ["group_id"], DELETED, GROUP_UNKNOWN)
 
-    def per_group(df, name):  # only the requested groups are counted
-        return restrict_to(df, requests, ["group_id"]).groupBy("group_id").agg(F.count(F.lit(1)).alias(name))
+    def per_group(df, name):  # counted before the join, so a hot group is one row in it
+        return df.groupBy("group_id").agg(F.count(F.lit(1)).alias(name))
 
     j = (out.join(per_group(memberships, "_m"), "group_id", "left")
          .join(per_group(predictions, "_p"), "group_id", "left")

@@ -251,13 +251,14 @@ def point_deltas(predictions: DataFrame, accepted: DataFrame) -> DataFrame:
 def outcome_report(run: ResultsRun, fixtures_after: DataFrame | None = None) -> DataFrame:
     """Returned rows of P4/P5: request + status + fixture row and counts for accepted ones.
 
-    Only the batch's fixtures are read and counted (semi-joins on the batch ids), so the
-    report costs in proportion to the batch, not to the prediction table."""
+    Predictions are reduced to one row a game in the scan's own tasks; only the batch's
+    games are shuffled further."""
     ids = run.outcomes.select("fixture_id").distinct()
     fx = restrict_to(fixtures_after if fixtures_after is not None else run.fixtures,
                      ids.withColumnRenamed("fixture_id", "match_num"), ["match_num"])
-    counts = (restrict_to(run.predictions, ids, ["fixture_id"]).groupBy("fixture_id")
-              .agg(F.count(F.lit(1)).alias("total_predictions"), F.count("points_earned").alias("predictions_scored")))
+    # Counted before the join, so a game with a third of all predictions is one row in it.
+    counts = run.predictions.groupBy("fixture_id").agg(
+        F.count(F.lit(1)).alias("total_predictions"), F.count("points_earned").alias("predictions_scored"))
     acc = F.col("status").isin(*ACCEPTED)
     j = (run.outcomes.join(fx.select(F.col("match_num").alias("fixture_id"), "home_team", "away_team", "start_time"),
                            "fixture_id", "left")

@@ -71,7 +71,8 @@ def next_fixtures_merged(t):
 
 
 @query("teams", with_domain("""
-SELECT row_number() OVER (ORDER BY team_name) AS team_id, team_name
+SELECT row_number() OVER (ORDER BY team_name) AS team_id, team_name, split_part(team_name, ' ', 1) AS city,
+       upper(substr(regexp_extract(team_name, '([^ ]*)$', 1), 1, 3)) AS abbreviation
 FROM (SELECT home_team AS team_name FROM fixtures UNION SELECT away_team FROM fixtures) n"""))
 def teams(t):
     return FX.teams(t.fixtures)

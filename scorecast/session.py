@@ -82,9 +82,15 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def new_scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never-reused sub-folder of the scratch dir (versioned outputs)."""
-    base = scratch_dir(spark)
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, never-reused sub-folder of this application's part of the scratch dir."""
+    return f"{scratch_dir(spark)}/run-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete this application's per-call folders, when its results are no longer read. The
+    stored domain tables, which later applications reuse, stay."""
+    fs, p = _hadoop_path(spark, f"{scratch_dir(spark)}/run-{spark.sparkContext.applicationId}")
+    fs.delete(p, True)
 
 
 def _hadoop_path(spark: SparkSession, path: str):
