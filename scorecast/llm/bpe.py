@@ -30,7 +30,7 @@ from scorecast.llm import spans as S
 #: Entries of the memo of token pairs kept per Python worker.
 MEMO = 400_000
 #: Distinct words whose encodings one worker keeps from batch to batch.
-KEEP_WORDS = 300_000
+KEEP_WORDS = 400_000
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
 # Contractions that the pre-tokenisation rule splits off.

@@ -31,6 +31,8 @@ from scorecast.llm import bpe
 from scorecast.llm import spans as S
 
 CLOSING_ID = 0
+#: Words that are encoded in one call of the library.
+LINE = 400
 SCHEMA = ("doc_id long, start long, length long, loss_tokens long, doc_tokens long, "
           "sequence_id long, offset long, ids binary")
 
@@ -55,6 +57,25 @@ def _tokenizer(path: str):
     return tokenizer, bpe.vocabulary(path), {}
 
 
+def _encode_words(tokenizer, words: list[str]) -> list[list[int]]:
+    """Ids of each word. Words of a blank and letters stay apart when they are written one
+    after another, so they go to the library in lines of ``LINE`` words; the others, and the
+    words of a line that the library cuts otherwise, one by one."""
+    out: list = [None] * len(words)
+    plain = [k for k, w in enumerate(words) if w[0] == " " and w[1:].isalpha()]
+    lines = [plain[i:i + LINE] for i in range(0, len(plain), LINE)]
+    for line, e in zip(lines, tokenizer.encode_batch(["".join([words[k] for k in x]) for x in lines], add_special_tokens=False)):
+        sizes = np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(line))
+        if len(sizes) == len(line):
+            ids, ends = e.ids, np.cumsum(sizes).tolist()
+            for k, first, end in zip(line, [0, *ends], ends):
+                out[k] = ids[first:end]
+    rest = [k for k, ids in enumerate(out) if ids is None]
+    for k, e in zip(rest, tokenizer.encode_batch_fast([str(words[k]) for k in rest], add_special_tokens=False)):
+        out[k] = e.ids
+    return out
+
+
 def document_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
     """Ids of each whole text as the tokenizers library gives them, and the closing id."""
     tokenizer, vocab, cache = _tokenizer(path)
@@ -63,8 +84,7 @@ def document_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
         if len(cache) + len(new) > bpe.KEEP_WORDS:
             cache.clear()
             new = words
-        found = tokenizer.encode_batch_fast([str(w) for w in new], add_special_tokens=False)
-        cache.update(zip(new, [e.ids for e in found]))
+        cache.update(zip(new, _encode_words(tokenizer, new)))
         chunk, ends = bpe.gather([cache[w] for w in words], index)
         for first, end in zip(firsts[:-1], firsts[1:]):
             yield np.append(chunk[ends[first]:ends[end]], np.uint32(CLOSING_ID))
