@@ -7,8 +7,8 @@ for each and a vector whose dot products are the weights of all pairs: two terms
 harmless alone (an insult used of a thing, a mention of a group) can weigh together. Scoring
 is one pass over the documents with the fitted arrays.
 
-The fit uses numpy on the driver: its input is bounded by ``per_class`` and its model by
-``TERMS``. Only texts are inputs of a score.
+The fit uses numpy on the driver: its input is bounded by ``per_class`` documents and
+``TERMS`` terms. Only texts are inputs of a score.
 
 Edge cases: null and empty texts have no terms and get the model's base score; repeated rows
 get equal scores; without labelled rows of both classes every score is the base rate (0 where
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from scorecast.llm import bpe
 from scorecast.llm import spans as S
 from scorecast.llm.labelled import held_out, training_rows
+from scorecast.llm.scratch import written
 
 #: Labelled rows of either class that are learned from, at most.
 PER_CLASS = 5000
@@ -77,31 +78,42 @@ class Model:
         return pair // len(self.terms), pair % len(self.terms)
 
 
-def choose_terms(row: np.ndarray, hashes: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Hashes of the terms whose document share differs most clearly between the classes."""
-    terms, index = np.unique(hashes, return_inverse=True)
-    pos = np.bincount(index, y[row], len(terms))
-    every = np.bincount(index, minlength=len(terms))
-    n1, n = max(1, y.sum()), len(y)
-    share = every / n
-    error = np.sqrt(np.maximum(share * (1 - share), 1 / n) * (1 / n1 + 1 / max(1, n - n1)))
-    clear = np.abs(pos / n1 - (every - pos) / max(1, n - n1)) / error
-    order = np.lexsort((terms, -clear))[:TERMS]
-    return np.sort(terms[order[clear[order] >= CLEAR]])
-
-
-def fit(row: np.ndarray, hashes: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int = 7) -> Model:
-    """Fit on documents 0..len(y)-1 with distinct (row, hash) pairs; ``weight`` scales each
-    document's loss, so that a sample drawn by class keeps the classes' true shares."""
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(term, documents, toxic documents) of each batch."""
+    for batch in batches:
+        y = batch["y"].to_numpy(dtype=np.int64)
+        for a, b, row, hashes in term_hashes(S.clean(batch["text"])):
+            terms, index = np.unique(hashes, return_inverse=True)
+            pair = np.unique(row * len(terms) + index)
+            row, index = pair // max(1, len(terms)), pair % max(1, len(terms))
+            yield pd.DataFrame({"term": terms.view(np.int64), "every": np.bincount(index, minlength=len(terms)),
+                                "pos": np.bincount(index, y[a + row], len(terms)).astype(np.int64)})
+
+
+def choose_terms(sample: DataFrame, n: int, n1: int) -> np.ndarray:
+    """Sorted hashes of the at most ``TERMS`` terms whose share of documents differs most
+    clearly between the n1 toxic and the other documents of the sample."""
+    counts = (sample.select("text", "y").mapInPandas(_counts, "term long, every long, pos long")
+              .groupBy("term").agg(F.sum("every").alias("every"), F.sum("pos").alias("pos")))
+    share, n0 = F.col("every") / n, n - n1
+    error = F.sqrt(F.greatest(share * (1 - share), F.lit(1 / n)) * (1 / n1 + 1 / n0))
+    clear = F.abs(F.col("pos") / n1 - (F.col("every") - F.col("pos")) / n0) / error
+    best = (counts.select("term", clear.alias("clear")).filter(F.col("clear") >= CLEAR)
+            .orderBy(F.desc("clear"), "term").limit(TERMS).collect())
+    return np.sort(np.array([r["term"] for r in best], dtype=np.int64).view(S.U64))
+
+
+def fit(terms: np.ndarray, row: np.ndarray, term: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int = 7) -> Model:
+    """Fit on documents 0..len(y)-1 that have the distinct (row, index of term) pairs, sorted by
+    row; ``weight`` scales each document's loss, so that a sample drawn by class keeps the
+    classes' true shares."""
     y, n = y.astype(float), len(y)
     rate = float(np.average(y, weights=weight)) if n else 0.0
     base = float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
     if not n or not 0 < rate < 1:
         return Model(np.zeros(0, S.U64), base, np.zeros(0), np.zeros((0, FACTORS)))
-    terms = choose_terms(row, hashes, y)
     rng = np.random.default_rng(seed)
     model = Model(terms, base, np.zeros(len(terms)), 0.02 * rng.standard_normal((len(terms), FACTORS)))
-    row, term = model.known(row, hashes, n)
     first = np.searchsorted(row, np.arange(n + 1))
     size = 1 + FACTORS
     params = np.hstack([model.weight[:, None], model.factor])
@@ -129,28 +141,38 @@ def fit(row: np.ndarray, hashes: np.ndarray, y: np.ndarray, weight: np.ndarray,
     return model
 
 
-def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for a, b, row, hashes in term_hashes(S.clean(batch["text"])):
-            first = np.argsort(row, kind="stable")
-            cuts = np.searchsorted(row[first], np.arange(b - a + 1))
-            part = batch.iloc[a:b]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"],
-                                "terms": [np.unique(hashes[first[lo:hi]]).tobytes() for lo, hi in zip(cuts[:-1], cuts[1:])]})
+def _known_terms(terms: np.ndarray):
+    lookup = Model(terms, 0.0, np.zeros(len(terms)), np.zeros((len(terms), 0)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a, b, row, hashes in term_hashes(S.clean(batch["text"])):
+                row, term = lookup.known(row, hashes, b - a)
+                cuts = np.searchsorted(row, np.arange(b - a + 1))
+                part = batch.iloc[a:b]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"],
+                                    "terms": [term[lo:hi].astype(np.int32).tobytes() for lo, hi in zip(cuts[:-1], cuts[1:])]})
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    """Fit on a bounded sample of the labelled documents that may be learned from."""
-    rows = training_rows(docs, labels, label, per_class).mapInPandas(
-        _terms, "doc_id long, y int, terms binary").toPandas().sort_values("doc_id", kind="stable")
+    """Fit on a bounded sample of the labelled documents that may be learned from.
+
+    The sample is written once; term counts are made by Spark, and the driver gets at most
+    ``TERMS`` terms and, per document of the sample, which of them it has."""
+    sample = written(training_rows(docs, labels, label, per_class), "labelled")
+    drawn = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = {r["y"]: r["n"] for r in labels.filter(~held_out()).groupBy(F.col(label).cast("int").alias("y"))
              .agg(F.count(F.lit(1)).alias("n")).collect()}
-    sets = [np.frombuffer(x, dtype=S.U64) for x in rows["terms"]]
+    n, n1 = sum(drawn.values()), drawn.get(1, 0)
+    terms = choose_terms(sample, n, n1) if 0 < n1 < n else np.zeros(0, S.U64)
+    rows = sample.select("doc_id", "text", "y").mapInPandas(
+        _known_terms(terms), "doc_id long, y int, terms binary").toPandas().sort_values("doc_id", kind="stable")
+    has = [np.frombuffer(x, dtype=np.int32) for x in rows["terms"]]
     y = rows["y"].to_numpy(dtype=np.int64)
-    drawn = np.bincount(y, minlength=2) if len(y) else np.zeros(2)
     weight = np.array([share.get(k, 0) / drawn[k] for k in y.tolist()], dtype=float)
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    return fit(row, np.concatenate([*sets, np.zeros(0, S.U64)]), y, weight)
+    row = np.repeat(np.arange(len(has)), [len(x) for x in has])
+    return fit(terms, row, np.concatenate([*has, np.zeros(0, np.int32)]).astype(np.int64), y, weight)
 
 
 def _scores(model: Model, texts: list[str]) -> np.ndarray:

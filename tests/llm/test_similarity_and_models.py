@@ -189,7 +189,7 @@ def test_factorization_machine_learns_a_pair():
     keep = rng.random(n) < np.where(flip, 1.0, 0.6)
     has, y = has[keep], y[keep]
     row, col = np.nonzero(has)
-    model = toxicity.fit(row, (col + 5).astype(np.uint64), y, np.ones(len(y)))
+    model = toxicity.fit(np.array([5, 6], dtype=np.uint64), row, col, y, np.ones(len(y)))
     p = model.logits(*model.known(row, (col + 5).astype(np.uint64), len(y)), len(y)) > 0
     assert (p == y).mean() > 0.99
 
