@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from scorecast.session import scratch_dir
 
 
+#: Rows of an Arrow batch between Spark and a Python worker, at most.
+ROWS_PER_BATCH = 2000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The configured shared folder; a private one only where a local session has none."""
     fallback = scratch_dir(spark)
@@ -18,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/run-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
@@ -36,6 +40,9 @@ def ship_package(spark: SparkSession) -> None:
 
     import scorecast
 
+    # Texts may be long: a batch of the default 10,000 rows is tens of MB in each worker.
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     sc = spark.sparkContext
     if getattr(sc, "_scorecast_shipped", False):
         return
