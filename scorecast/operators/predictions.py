@@ -195,13 +195,18 @@ def latest_predictions(predictions: DataFrame, fixtures: DataFrame, min_match: i
 
 
 def prediction_upsert(predictions: DataFrame, incoming: DataFrame, fixtures: DataFrame,
-                      now: dt.datetime) -> DataFrame:
+                      now: dt.datetime, users: DataFrame | None = None,
+                      groups: DataFrame | None = None) -> DataFrame:
     """Insert-or-update scores, last wins per key, no create checks.
 
     Updates change only the scores; inserts get points 0 (column default), unlocked, time
-    ``now``. Rows naming an unknown fixture fail the FK and are skipped.
+    ``now``. Rows naming an unknown fixture (or, with those tables, user or group) fail the
+    foreign key and are skipped.
     """
     known = incoming.join(fixtures.select(F.col("match_num").alias("fixture_id")), "fixture_id", "left_semi")
+    for parent, key in ((users, "user_id"), (groups, "group_id")):
+        if parent is not None:
+            known = known.join(parent.select(key), key, "left_semi")
     last = latest_per_key(known.select(*KEY, "pred_home_score", "pred_away_score", "prediction_time",
                                        (-F.col("pred_away_score")).alias("_na")),
                           KEY, ["prediction_time", "pred_home_score"], "_na")

@@ -145,11 +145,12 @@ FROM predictions p FULL JOIN (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id, group_id, fixture_id
                                  ORDER BY prediction_time DESC, pred_home_score DESC, pred_away_score DESC) AS rn
-    FROM create_requests WHERE fixture_id IN (SELECT match_num FROM fixtures)) x WHERE rn = 1) i
+    FROM create_requests WHERE fixture_id IN (SELECT match_num FROM fixtures)
+      AND user_id IN (SELECT user_id FROM users) AND group_id IN (SELECT group_id FROM grp)) x WHERE rn = 1) i
   ON p.user_id = i.user_id AND p.group_id = i.group_id AND p.fixture_id = i.fixture_id"""))
 def q_prediction_upsert(t):
     """The create batch upserted into the stored predictions."""
-    return R.prediction_upsert(t.predictions, batches.create_requests(t), t.fixtures, t.as_of)
+    return R.prediction_upsert(t.predictions, batches.create_requests(t), t.fixtures, t.as_of, t.users, t.groups)
 
 
 @query("prediction_coverage", with_domain("""

@@ -67,8 +67,10 @@ def results(t: Tables) -> DataFrame:
 def create_requests(t: Tables) -> DataFrame:
     """The whole feed as create requests; request time = the row's prediction_time."""
     f = t.feed
+    k = F.col("l_orderkey")
     return f.select(
-        "user_id", "group_id",
+        F.when(k % 89 == 0, unknown("user_id")).otherwise(F.col("user_id")).alias("user_id"),
+        F.when(k % 83 == 0, unknown("group_id")).otherwise(F.col("group_id")).alias("group_id"),
         F.when(F.col("l_orderkey") % 97 == 0, unknown("fixture_id"))
         .otherwise(F.col("fixture_id")).alias("fixture_id"),
         "pred_home_score", "pred_away_score", "prediction_time")
@@ -185,7 +187,8 @@ results AS (
   FROM fixtures, (VALUES (0), (1), (2)) v(k)
   WHERE match_num % 3 = 0 AND (k = 0 OR (k = 1 AND match_num % 15 = 0) OR (k = 2 AND match_num % 21 = 0))),
 create_requests AS (
-  SELECT user_id, group_id,
+  SELECT CASE WHEN l_orderkey % 89 = 0 THEN -user_id ELSE user_id END AS user_id,
+         CASE WHEN l_orderkey % 83 = 0 THEN -group_id ELSE group_id END AS group_id,
          CASE WHEN l_orderkey % 97 = 0 THEN -fixture_id ELSE fixture_id END AS fixture_id,
          pred_home_score, pred_away_score, prediction_time
   FROM feed),

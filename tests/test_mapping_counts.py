@@ -45,7 +45,8 @@ def test_update_delete_batches(tables, spark):
 def test_create_batch(tables):
     out = R.create_predictions(batches.create_requests(tables), tables.predictions.filter(F.lit(False)),
                                tables.fixtures, tables.users, tables.groups)
-    assert _counts(out) == {R.FIXTURE_UNKNOWN: 67, R.GAME_STARTED: 2408, R.EXISTS: 22, R.OK: 3503}
+    assert _counts(out) == {R.FIXTURE_UNKNOWN: 67, R.USER_UNKNOWN: 59, R.GROUP_UNKNOWN: 65, R.GAME_STARTED: 2366,
+                            R.EXISTS: 22, R.OK: 3421}
     assert out.count() == batches.create_requests(tables).count()  # accepted + rejected = input
 
 

@@ -97,8 +97,8 @@ def test_stream_predictions_dead_letters(spark, tables):
     accepted, dead = jobs.stream_predictions(spark, req, tables.fixtures, tables.users, tables.groups,
                                              chunk, [0, 1, 2])
     counts = {r.status: r["count"] for r in dead.read().groupBy("status").count().collect()}
-    assert counts == {R.FIXTURE_UNKNOWN: 67, R.GAME_STARTED: 2408, R.EXISTS: 22}
-    assert accepted.read().count() == 3503
+    assert counts == {R.FIXTURE_UNKNOWN: 67, R.USER_UNKNOWN: 59, R.GROUP_UNKNOWN: 65, R.GAME_STARTED: 2366, R.EXISTS: 22}
+    assert accepted.read().count() == 3421
 
 
 def _files(spark, df, n, name):
