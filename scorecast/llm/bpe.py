@@ -30,7 +30,9 @@ from scorecast.llm import spans as S
 #: Entries of the memo of token pairs kept per Python worker.
 MEMO = 400_000
 #: Distinct words whose encodings one worker keeps from batch to batch.
-KEEP_WORDS = 400_000
+KEEP_WORDS = 300_000
+#: Code points whose distinct words are looked up together.
+CHUNK = 600_000
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
 # Contractions that the pre-tokenisation rule splits off.
@@ -242,7 +244,7 @@ class Vocabulary:
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
         """For each chunk of rows: (first row, last row, distinct words, index of every word
         in them, first word of every row). A special token is a word of its own."""
-        for a, b in S.chunks(texts):
+        for a, b in S.chunks(texts, CHUNK):
             parts, row_of, tokens = [], [], []
             for i in range(a, b):
                 for part, token in self.pieces(texts[i]) if any(s in texts[i] for s in self.special) else ((texts[i], None),):
@@ -288,10 +290,14 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def gather(ids: list[tuple[int, ...]], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words of a chunk in order, and where each word's ids begin (and the end)."""
+def flatten(ids: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum()))
+    return np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum())), sizes
+
+
+def gather(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From the ids of all distinct words of a chunk, one after another, and their counts: the
+    ids of all words in order, and where each word's ids begin (and the end)."""
     at = np.concatenate(([0], np.cumsum(sizes)))[:-1]
     each = sizes[index]
     ends = np.concatenate(([0], np.cumsum(each)))
@@ -304,7 +310,7 @@ def _encode(path: str):
         for batch in batches:
             texts = S.clean(batch["text"])
             for a, b, words, index, firsts in vocab.encode_batch(texts):
-                chunk, ends = gather(vocab.word_ids(words), index)
+                chunk, ends = gather(*flatten(vocab.word_ids(words)), index)
                 own = [chunk[ends[lo]:ends[hi]].astype(np.int32) for lo, hi in zip(firsts[:-1], firsts[1:])]
                 plain = [b"".join(map(vocab.bytes.__getitem__, x.tolist())).decode("utf-8", "replace") for x in own]
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].astype("Int64").to_numpy(),
@@ -323,7 +329,7 @@ def encode_texts(texts: list[str], vocab_path: str) -> list[list[int]]:
     vocab, out = vocabulary(vocab_path), []
     for _, _, words, index, firsts in vocab.encode_batch(texts):
         ids = vocab.word_ids(words)
-        chunk, ends = gather(ids, index)
+        chunk, ends = gather(*flatten(ids), index)
         out += [chunk[ends[lo]:ends[hi]].tolist() for lo, hi in zip(firsts[:-1], firsts[1:])]
     return out
 

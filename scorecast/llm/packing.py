@@ -17,6 +17,7 @@ influence each other).
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -84,8 +85,10 @@ def document_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
         if len(cache) + len(new) > bpe.KEEP_WORDS:
             cache.clear()
             new = words
-        cache.update(zip(new, _encode_words(tokenizer, new)))
-        chunk, ends = bpe.gather([cache[w] for w in words], index)
+        cache.update((w, array("I", ids).tobytes()) for w, ids in zip(new, _encode_words(tokenizer, new)))
+        ids = [cache[w] for w in words]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        chunk, ends = bpe.gather(np.frombuffer(b"".join(ids), dtype=np.uint32), sizes, index)
         for first, end in zip(firsts[:-1], firsts[1:]):
             yield np.append(chunk[ends[first]:ends[end]], np.uint32(CLOSING_ID))
 
@@ -172,6 +175,7 @@ def _pack(path: str, limits: Limits, pool: int, has_loss: bool):
                 if len(packer.out) >= 2000:
                     yield _frame(packer.flush(), columns)
         packer.close()
+        _tokenizer(path)[2].clear()  # the worker lives on; its next task has its own words
         yield _frame(packer.flush(), columns)
     return run
 

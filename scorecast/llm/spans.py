@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-CHUNK = 600_000
+CHUNK = 250_000
 U64 = np.uint64
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15  # odd, so invertible modulo 2^64
@@ -56,11 +56,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["pow"][:n], _tables["inv"][:n]
 
 
-def chunks(texts: Sequence[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``CHUNK`` code points together."""
+def chunks(texts: Sequence[str], most: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``most`` code points together."""
     first, size = 0, 0
     for i, text in enumerate(texts):
-        if size and size + len(text) > CHUNK:
+        if size and size + len(text) > most:
             yield first, i
             first, size = i, 0
         size += len(text)
