@@ -264,23 +264,23 @@ class Vocabulary:
             _, where, index = np.unique(hashes, return_index=True, return_inverse=True)
             words = [text[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist())]
             if special.any():
-                words = [_Special(w) if special[part_of[k]] else w for w, k in zip(words, where.tolist())]
+                words = [SpecialWord(w) if special[part_of[k]] else w for w, k in zip(words, where.tolist())]
             firsts = np.searchsorted(np.array(row_of)[part_of], np.arange(b - a + 1)) if len(starts) else np.zeros(b - a + 1, int)
             yield a, b, words, index, firsts
 
     def word_ids(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of distinct words, kept from call to call within ``KEEP_WORDS``."""
         cache = self.cache
-        new = sorted(b for w in words if not isinstance(w, _Special)
+        new = sorted(b for w in words if not isinstance(w, SpecialWord)
                      and (b := w.encode("utf-8", "replace")) not in cache)
         if len(cache) + len(new) > KEEP_WORDS:
             cache.clear()
-            new = sorted({w.encode("utf-8", "replace") for w in words if not isinstance(w, _Special)})
+            new = sorted({w.encode("utf-8", "replace") for w in words if not isinstance(w, SpecialWord)})
         cache.update(zip(new, self.encode_words(new)))
-        return [(self.special[str(w)],) if isinstance(w, _Special) else cache[w.encode("utf-8", "replace")] for w in words]
+        return [(self.special[str(w)],) if isinstance(w, SpecialWord) else cache[w.encode("utf-8", "replace")] for w in words]
 
 
-class _Special(str):
+class SpecialWord(str):
     """A special token's text in a list of words."""
 
 

@@ -10,13 +10,14 @@ full.
 
 Edge cases: null and empty texts are the closing id alone; repeated rows are packed each;
 an empty table gives no pieces; a null ``doc_id`` stays null; other columns are not read.
-A text is encoded whole, by its distinct words (the pre-tokenisation rule's words do not
-influence each other).
+A text is encoded whole, by its distinct words: the pre-tokenisation rule's words do not
+influence each other. A word's ids come from tiktoken with the ranks of the vocabulary file,
+which is several times as fast as the tokenizers library on single words; the ids are the same
+(tested against that library).
 """
 
 from __future__ import annotations
 
-import os
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,8 +33,6 @@ from scorecast.llm import bpe
 from scorecast.llm import spans as S
 
 CLOSING_ID = 0
-#: Words that are encoded in one call of the library.
-LINE = 400
 SCHEMA = ("doc_id long, start long, length long, loss_tokens long, doc_tokens long, "
           "sequence_id long, offset long, ids binary")
 
@@ -48,44 +47,26 @@ class Limits:
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer, bpe.vocabulary(path), {}
-
-
-def _encode_words(tokenizer, words: list[str]) -> list[list[int]]:
-    """Ids of each word. Words of a blank and letters stay apart when they are written one
-    after another, so they go to the library in lines of ``LINE`` words; the others, and the
-    words of a line that the library cuts otherwise, one by one."""
-    out: list = [None] * len(words)
-    plain = [k for k, w in enumerate(words) if w[0] == " " and w[1:].isalpha()]
-    lines = [plain[i:i + LINE] for i in range(0, len(plain), LINE)]
-    for line, e in zip(lines, tokenizer.encode_batch(["".join([words[k] for k in x]) for x in lines], add_special_tokens=False)):
-        sizes = np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(line))
-        if len(sizes) == len(line):
-            ids, ends = e.ids, np.cumsum(sizes).tolist()
-            for k, first, end in zip(line, [0, *ends], ends):
-                out[k] = ids[first:end]
-    rest = [k for k, ids in enumerate(out) if ids is None]
-    for k, e in zip(rest, tokenizer.encode_batch_fast([str(words[k]) for k in rest], add_special_tokens=False)):
-        out[k] = e.ids
-    return out
+def _encoder(path: str):
+    """Ids of one word, the vocabulary, and the words that the running task has seen."""
+    import tiktoken
+
+    vocab = bpe.vocabulary(path)
+    # Texts are split before, so one pattern takes a whole word; ids are ranks.
+    words = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=vocab.ids, special_tokens={})
+    return words.encode_ordinary, vocab, {}
 
 
 def document_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
     """Ids of each whole text as the tokenizers library gives them, and the closing id."""
-    tokenizer, vocab, cache = _tokenizer(path)
+    encode, vocab, cache = _encoder(path)
     for _, _, words, index, firsts in vocab.encode_batch(texts):
         new = [w for w in words if w not in cache]
         if len(cache) + len(new) > bpe.KEEP_WORDS:
             cache.clear()
             new = words
-        cache.update((w, array("I", ids).tobytes()) for w, ids in zip(new, _encode_words(tokenizer, new)))
+        cache.update((w, array("I", [vocab.special[w]] if isinstance(w, bpe.SpecialWord) else encode(w)).tobytes())
+                     for w in new)
         ids = [cache[w] for w in words]
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         chunk, ends = bpe.gather(np.frombuffer(b"".join(ids), dtype=np.uint32), sizes, index)
@@ -175,7 +156,7 @@ def _pack(path: str, limits: Limits, pool: int, has_loss: bool):
                 if len(packer.out) >= 2000:
                     yield _frame(packer.flush(), columns)
         packer.close()
-        _tokenizer(path)[2].clear()  # the worker lives on; its next task has its own words
+        _encoder(path)[2].clear()  # the worker lives on; its next task has its own words
         yield _frame(packer.flush(), columns)
     return run
 
