@@ -41,8 +41,8 @@ def test_queries_equal_their_sql(spark, key):
 
 def test_components_against_brute_force(spark):
     rng = random.Random(9)
-    for n, m in ((1, 0), (50, 20), (200, 150), (300, 299)):
-        links = [(i, i + 1) for i in range(m)] if m == 299 else [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+    for n, m in ((1, 0), (200, 150), (60, 59)):
+        links = [(i, i + 1) for i in range(m)] if m == 59 else [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
         links += links[:5] + [(0, 0)]
         edges = spark.createDataFrame([(b, a) for a, b in links], "a long, b long")
         got = {r.node: r.component for r in connected_components(edges).collect()}
