@@ -8,9 +8,10 @@ leave a task), and inside a family every pair is judged on the full sets. Band k
 families of any size are cut into blocks, and each pair of blocks is a unit of work of
 bounded size: no cap, no sampling, and no table of all pairs.
 
-With 64 permutations (128 values) in 25 bands of 5, a pair at similarity 0.85 shares no band
-with probability below 1e-6, and its signatures agree on less than 0.68 of the values (5
-standard deviations below 0.85) with about the same.
+64 permutations give 128 values. The rows of a band and the agreement that signatures need are
+derived from the wanted similarity (``scheme``), so that a pair at that similarity shares no
+band with probability below ``MISS``, and its signatures agree too little with the same: 25
+bands of 5 at 0.85, 32 bands of 4 at 0.80. A similarity that 128 values cannot serve is refused.
 
 Edge cases: null, empty or white-space texts have an empty set and link with nothing; fewer
 than five words are one shingle, the whole sequence; repeated rows and equal texts share a
@@ -21,7 +22,9 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -35,9 +38,8 @@ from scorecast.llm.scratch import written
 
 SHINGLE = 5
 PERMUTATIONS = 64
-BAND_ROWS = 5
-BANDS = 2 * PERMUTATIONS // BAND_ROWS
-AGREE = 0.68
+#: How often the bands, and how often the signatures, may miss a pair at the limit.
+MISS = 1e-6
 #: Documents of one band key, and shingles of one family, that a block holds.
 BLOCK_DOCS = 1024
 BLOCK_SHINGLES = 1_000_000
@@ -49,6 +51,30 @@ _STEPS = S.mix64(np.arange(1, SHINGLE + 1, dtype=U64) * U64(S.BASE)) | U64(1)
 _TURNS = S.mix64(np.arange(1, PERMUTATIONS + 1, dtype=U64) * U64(0xD1B54A32D192ED03)) | U64(1)
 
 
+class Scheme(NamedTuple):
+    rows: int   # values of a band
+    bands: int
+    agree: int  # values on which a candidate pair's signatures agree, at least
+
+
+def scheme(percent: int) -> Scheme:
+    """The longest bands, and the largest agreement, that miss a pair at the limit with at most
+    ``MISS`` (the values taken as independent)."""
+    values, share = 2 * PERMUTATIONS, percent / 100
+    if not 0 < share <= 1:
+        raise ValueError(f"percent is {percent}, not above 0 and at most 100")
+    fitting = [r for r in range(1, values + 1) if (1 - share ** r) ** (values // r) <= MISS]
+    if not fitting:
+        raise ValueError(f"{values} signature values cannot serve a similarity of {percent} percent")
+    agree, below = 0, 0.0
+    while agree < values:
+        below += math.comb(values, agree) * share ** agree * (1 - share) ** (values - agree)
+        if below > MISS:
+            break
+        agree += 1
+    return Scheme(max(fitting), values // max(fitting), agree)
+
+
 def shingle_sets(texts: list[str]) -> Iterator[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's 5-word shingles."""
     for a, b in S.chunks(texts):
@@ -87,50 +113,53 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts = S.clean(batch["text"])
-        for a, b in S.chunks(texts):
-            sets = list(shingle_sets(texts[a:b]))
-            full = [x for x in sets if len(x)]
-            sign = signatures(full) if full else np.zeros((0, 2 * PERMUTATIONS), dtype=U64)
-            bands = np.zeros((len(full), BANDS), dtype=U64)
-            for k in range(BANDS):
-                for j in range(BAND_ROWS):
-                    bands[:, k] = S.mix64(bands[:, k] * U64(31) + sign[:, k * BAND_ROWS + j] + U64(k))
-            small = (S.mix64(sign) >> U64(56)).astype(np.uint8)
-            rows, at = [], 0
-            for x in sets:
-                if len(x):
-                    rows.append((len(x), int(_signed(S.mix64(x + U64(1)).sum(dtype=U64, keepdims=True))[0]),
-                                 int(_signed(np.bitwise_xor.reduce(S.mix64(x + U64(7)), keepdims=True))[0]),
-                                 small[at].tobytes(), _signed(bands[at])))
-                    at += 1
-                else:
-                    rows.append((0, 0, 0, b"", np.zeros(0, np.int64)))
-            out = pd.DataFrame(rows, columns=["n_shingles", "sum_hash", "xor_hash", "sig", "bands"])
-            out.insert(0, "doc_id", batch["doc_id"].iloc[a:b].astype("Int64").to_numpy())
-            yield out
+def _sign(plan: Scheme):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = S.clean(batch["text"])
+            for a, b in S.chunks(texts):
+                sets = list(shingle_sets(texts[a:b]))
+                full = [x for x in sets if len(x)]
+                sign = signatures(full) if full else np.zeros((0, 2 * PERMUTATIONS), dtype=U64)
+                bands = np.zeros((len(full), plan.bands), dtype=U64)
+                for k in range(plan.bands):
+                    for j in range(plan.rows):
+                        bands[:, k] = S.mix64(bands[:, k] * U64(31) + sign[:, k * plan.rows + j] + U64(k))
+                small = (S.mix64(sign) >> U64(56)).astype(np.uint8)
+                rows, at = [], 0
+                for x in sets:
+                    if len(x):
+                        rows.append((len(x), int(_signed(S.mix64(x + U64(1)).sum(dtype=U64, keepdims=True))[0]),
+                                     int(_signed(np.bitwise_xor.reduce(S.mix64(x + U64(7)), keepdims=True))[0]),
+                                     small[at].tobytes(), _signed(bands[at])))
+                        at += 1
+                    else:
+                        rows.append((0, 0, 0, b"", np.zeros(0, np.int64)))
+                out = pd.DataFrame(rows, columns=["n_shingles", "sum_hash", "xor_hash", "sig", "bands"])
+                out.insert(0, "doc_id", batch["doc_id"].iloc[a:b].astype("Int64").to_numpy())
+                yield out
+    return run
 
 
-def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Spanning links, per band key and block pair, of pairs whose signatures agree."""
-    need = AGREE * 2 * PERMUTATIONS
-    for part in segments(batches, PAIR):
-        sig = np.frombuffer(b"".join(part["sig"]), dtype=np.uint8).reshape(len(part), -1)
-        ids, block = part["doc_id"].to_numpy(), part["block"].to_numpy()
-        left, right = part["left"].to_numpy(), part["right"].to_numpy()
-        out = []
-        for lo, hi in groups(part, PAIR):
-            forest, across = Forest(hi - lo), left[lo] != right[lo]
-            for i in range(lo, hi - 1):
-                agree = (sig[i + 1:hi] == sig[i]).sum(axis=1) >= need
-                if across:
-                    agree &= block[i + 1:hi] != block[i]
-                for j in np.flatnonzero(agree):
-                    forest.link(i - lo, i + 1 + int(j) - lo)
-            out += [(ids[lo + x], ids[lo + y]) for x, y in forest.links]
-        yield pd.DataFrame(np.array(out, dtype=np.int64).reshape(-1, 2), columns=["a", "b"])
+def _candidates(need: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Spanning links, per band key and block pair, of pairs whose signatures agree."""
+        for part in segments(batches, PAIR):
+            sig = np.frombuffer(b"".join(part["sig"]), dtype=np.uint8).reshape(len(part), -1)
+            ids, block = part["doc_id"].to_numpy(), part["block"].to_numpy()
+            left, right = part["left"].to_numpy(), part["right"].to_numpy()
+            out = []
+            for lo, hi in groups(part, PAIR):
+                forest, across = Forest(hi - lo), left[lo] != right[lo]
+                for i in range(lo, hi - 1):
+                    agree = (sig[i + 1:hi] == sig[i]).sum(axis=1) >= need
+                    if across:
+                        agree &= block[i + 1:hi] != block[i]
+                    for j in np.flatnonzero(agree):
+                        forest.link(i - lo, i + 1 + int(j) - lo)
+                out += [(ids[lo + x], ids[lo + y]) for x, y in forest.links]
+            yield pd.DataFrame(np.array(out, dtype=np.int64).reshape(-1, 2), columns=["a", "b"])
+    return run
 
 
 def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,9 +228,10 @@ def _in_blocks(rows: DataFrame, n_blocks: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
+    plan = scheme(percent)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(texts.mapInPandas(
-        _sign, "doc_id long, n_shingles long, sum_hash long, xor_hash long, sig binary, bands array<long>"), "minmax")
+        _sign(plan), "doc_id long, n_shingles long, sum_hash long, xor_hash long, sig binary, bands array<long>"), "minmax")
     same = ["n_shingles", "sum_hash", "xor_hash"]
     sized = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = sized.groupBy(*same).agg(F.min("doc_id").alias("class_id"))
@@ -212,7 +242,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
               .select("key", F.ceil(F.col("n") / BLOCK_DOCS).alias("n_blocks")))
     rows = _in_blocks(banded.join(shared, "key").join(reps.select("doc_id", "xor_hash", "sig"), ["doc_id", "xor_hash"]),
                       "n_blocks")
-    candidates = dealt(rows).mapInPandas(_candidates, "a long, b long").distinct()
+    candidates = dealt(rows).mapInPandas(_candidates(plan.agree), "a long, b long").distinct()
 
     hung = connected_components(candidates)
     family = hung.union(hung.select(F.col("component").alias("node"), "component").distinct())

@@ -89,6 +89,41 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, small_blocks):
     assert all(got[i].kept == (roots[i] == i) for i in got)
 
 
+def _pairs_at(rng, percent, n, words=200):
+    """Pairs of texts whose shingle sets are at, or just above, a similarity."""
+    out = []
+    for _ in range(n):
+        base = [f"p{rng.randrange(10 ** 9)}" for _ in range(words)]
+        cut = (words - 4) * (100 - percent) // (100 + percent)  # of m shingles, m - cut stay and cut are new
+        out += [" ".join(base), " ".join([*base[:words - cut], *(f"q{rng.randrange(10 ** 9)}" for _ in range(cut))])]
+    return out
+
+
+@pytest.mark.parametrize("percent", [60, 80])
+def test_near_duplicates_at_lower_similarities(spark, percent):
+    n = 150
+    got = {r.doc_id: r for r in minhash.near_duplicates(_docs(spark, _pairs_at(random.Random(8), percent, n)), percent).collect()}
+    assert all(got[2 * i].component_id == got[2 * i + 1].component_id == 2 * i for i in range(n))
+    apart = minhash.near_duplicates(_docs(spark, _pairs_at(random.Random(8), percent - 2, 20)), percent)
+    assert apart.filter("kept").count() == 40
+
+
+@pytest.mark.parametrize("percent", range(25, 101, 5))
+def test_signatures_serve_their_percent(percent):
+    plan, share = minhash.scheme(percent), percent / 100
+    values = 2 * minhash.PERMUTATIONS
+    assert plan.rows * plan.bands <= values
+    assert (1 - share ** plan.rows) ** plan.bands <= minhash.MISS
+    drawn = np.random.default_rng(5).binomial(values, share, 200_000)
+    assert (drawn < plan.agree).mean() < 5e-5
+
+
+def test_signatures_refuse_what_they_cannot_serve():
+    for percent in (0, 5, 101):
+        with pytest.raises(ValueError):
+            minhash.scheme(percent)
+
+
 def test_near_duplicate_edge_rows(spark):
     ship_package(spark)
     rows = [(1, "one two three four five six"), (1, "one two three four five six"), (2, "one two three four five six"),
