@@ -42,7 +42,6 @@ LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 #: Deflate never expands by more.
 UNPACK = 1040
 _ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
-_ESCAPED_WORD = re.compile(r"\S*?(?:%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})\S*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _SIGNS = ("gzip", b"\x1f\x8b"), ("zlib", b"\x78")
 
@@ -87,34 +86,45 @@ def _child(layer: Layer, chars: list[str], spans: list[tuple[int, int]]) -> Laye
     return Layer("".join(chars), [p[0] for p in places], [p[1] for p in places], layer.depth + 1)
 
 
-def _unescape(layer: Layer, at: int, word: str) -> Layer | None:
-    """The word with its escapes replaced; runs of bytes are read as UTF-8."""
-    chars, spans, pos = [], [], 0
-    while pos < len(word):
-        m = _ESCAPED.match(word, pos)
-        if m is None:
-            chars.append(word[pos])
-            spans.append((at + pos, at + pos + 1))
-            pos += 1
-        elif m[0][1] == "u":
-            chars.append(chr(int(m[0][2:], 16)))
-            spans.append((at + pos, at + m.end()))
+def _unescape(layer: Layer) -> Layer:
+    """The whole layer with its escapes replaced; runs of bytes are read as UTF-8. Characters
+    outside escapes keep their own spans, so a key stays beside its escaped value."""
+    text, chars, starts, ends, pos = layer.text, [], [], [], 0
+
+    def keep(to: int) -> None:
+        chars.append(text[pos:to])
+        starts.extend(range(pos, to) if layer.starts is None else layer.starts[pos:to])
+        ends.extend(range(pos + 1, to + 1) if layer.ends is None else layer.ends[pos:to])
+
+    def put(c: str, a: int, b: int) -> None:
+        chars.append(c)
+        place = layer.origin(a, b)
+        starts.append(place[0])
+        ends.append(place[1])
+
+    m = _ESCAPED.search(text)
+    while m is not None:
+        keep(m.start())
+        pos = m.start()
+        if m[0][1] == "u":
+            put(chr(int(m[0][2:], 16)), pos, m.end())
             pos = m.end()
         else:
-            raw, ends, first = bytearray(), [], pos
+            raw, stops, first = bytearray(), [], pos
             while m is not None and m[0][1] != "u":
                 raw.append(int(m[0][1 if m[0][0] == "%" else 2:], 16))
-                ends.append(m.end())
-                m = _ESCAPED.match(word, m.end())
+                stops.append(m.end())
+                m = _ESCAPED.match(text, m.end())
             done = 0
             for c in bytes(raw).decode("utf-8", "replace"):
                 size = len(c.encode("utf-8", "replace")) if c != "�" else 1
-                last = min(done + size, len(ends))
-                chars.append(c)
-                spans.append((at + (ends[done - 1] if done else first), at + ends[max(last, 1) - 1]))
-                done = min(last, len(ends) - 1)
-            pos = ends[-1]
-    return _child(layer, chars, spans)
+                last = min(done + size, len(stops))
+                put(c, stops[done - 1] if done else first, stops[max(last, 1) - 1])
+                done = min(last, len(stops) - 1)
+            pos = stops[-1]
+        m = _ESCAPED.search(text, pos)
+    keep(len(text))
+    return Layer("".join(chars), starts, ends, layer.depth + 1)
 
 
 def _readable(raw: bytes) -> str | None:
@@ -163,10 +173,8 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
     """The layers directly inside one."""
     text = layer.text
     if "%" in text or "\\" in text:
-        for m in _ESCAPED_WORD.finditer(text):
-            inner = _unescape(layer, m.start(), m[0])
-            if inner is not None:
-                yield inner
+        if _ESCAPED.search(text):
+            yield _unescape(layer)
     for m in _BASE64.finditer(text):
         inner = _debase(layer, m.start(), m[0])
         if inner is not None:

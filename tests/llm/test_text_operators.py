@@ -244,6 +244,15 @@ def test_nested_layers_are_unwrapped_to_the_end():
     assert exact[f.start:f.end] == "password%3Dhunter2hunter2"
 
 
+@pytest.mark.parametrize("text, want", [
+    ('{"password": "\\u0068unter2secretvalue"} end', 'password": "\\u0068unter2secretvalue'),
+    ("see token = %61bcdefgh1234 there", "token = %61bcdefgh1234"),
+    ("a secret:\\x20 %2561bcdefgh1234 é", "secret:\\x20 %2561bcdefgh1234")])
+def test_escaped_values_keep_their_keys(text, want):
+    assert want in [text[f.start:f.end] for f in secrets.find_secrets(text)]
+    assert secrets.redact(text, secrets.find_secrets(text)) == text.replace(want, "[assign]")
+
+
 def test_layers_that_repeat_end():
     loop = "%25" * 200 + "41"
     assert secrets.find_secrets(loop + " " + loop) == []
