@@ -1,7 +1,8 @@
 """Operator 8: secret scans with a recursive decoding worklist.
 
 A text is scanned for secrets, and so is every layer that can be unwrapped from it: URL
-escapes, Unicode and byte escapes, base64, and gzip or zlib data inside base64. Each layer
+escapes, Unicode and byte escapes, base64 (also wrapped over lines, or glued to a path), and
+gzip or zlib data inside base64, escapes or other streams. Each layer
 goes to a worklist with the place, in the original text, of every one of its characters;
 layers of layers are unwrapped in turn until nothing new appears. A layer whose text was seen
 before is not unwrapped again, which ends cycles. Finds in a layer are reported at the span of
@@ -12,13 +13,13 @@ stand as they are; deeper ones are added.
 
 Edge cases: null counts as empty and has no finds; repeated rows have equal finds; an empty
 table gives an empty result; other columns are not read. Compressed data is unwrapped up to
-``UNPACK`` times its size, the format's own maximum, so that every regular stream is whole.
+``UNPACK`` times its size, the format's own maximum, so that every regular stream is whole;
+streams inside streams end at ``NESTED`` bytes, against ones that grow without end.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -41,9 +42,18 @@ LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 
 #: Deflate never expands by more.
 UNPACK = 1040
+NESTED = 1 << 26
 _ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_SIGNS = ("gzip", b"\x1f\x8b"), ("zlib", b"\x78")
+#: The openings of streams as they are escaped; in %-escapes the x of zlib stands as it is.
+_PACKED = re.compile(r"(?:%1f|\\x1f)(?:%8b|\\x8b)|(?:%78|\\x78|x)(?:%01|\\x01|%5e|\\x5e|\^|%9c|\\x9c|%da|\\xda)", re.I)
+_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\[nrt\\'\"]")
+_NAMED = {"n": 10, "r": 13, "t": 9, "\\": 92, "'": 39, '"': 34}
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
+_BREAK = re.compile(r"\r?\n[\x20\t]*")
+_URL_SAFE = str.maketrans("-_", "+/")
+_STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: Every secret, and every wrapping of one, is at least so long a stretch of ASCII.
+_WORTH = re.compile(rb"[\t\n\r\x20-\x7e]{14,}")
 
 
 class Find(NamedTuple):
@@ -127,46 +137,96 @@ def _unescape(layer: Layer) -> Layer:
     return Layer("".join(chars), starts, ends, layer.depth + 1)
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
-
-
-def _inflate(raw: bytes) -> bytes | None:
-    for name, sign in _SIGNS:
-        if raw.startswith(sign):
-            try:
-                return zlib.decompressobj(31 if name == "gzip" else 15).decompress(raw, UNPACK * len(raw))
-            except zlib.error:
-                return None
-    return None
-
-
-def _debase(layer: Layer, at: int, run: str) -> Layer | None:
-    """What a base64 run holds, if it is text or compressed text."""
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    text = _readable(raw)
-    if text is not None:
-        spans, byte = [], 0
-        for c in text:
-            size = len(c.encode())
-            spans.append((at + byte * 8 // 6, at + min(len(body), -(-(byte + size) * 8 // 6))))
-            byte += size
-        return _child(layer, list(text), spans)
-    packed = _inflate(raw)
-    text = _readable(packed) if packed else None
-    if text is not None:
-        return _child(layer, list(text), [(at, at + len(run))] * len(text))
-    return None
+def _text(raw: bytes) -> str:
+    """The bytes as UTF-8; what is none becomes one lone surrogate a byte, which no pattern has."""
+    return raw.decode("utf-8", "surrogateescape")
+
+
+def _inflate(raw: memoryview, most: int) -> tuple[bytes, int]:
+    """What the stream at the start holds, with all members that follow it, and its length."""
+    out, at = bytearray(), 0
+    while (m := _STREAM.match(raw, at)) and len(out) < most:
+        stream = zlib.decompressobj(31 if m[0][0] == 0x1F else 15)
+        try:
+            part = stream.decompress(raw[at:], most - len(out))
+        except zlib.error:
+            break
+        out += part
+        at = len(raw) - len(stream.unused_data) if stream.eof else len(raw)
+    return bytes(out), at
+
+
+def _streams(raw: bytes) -> Iterator[tuple[str, int, int]]:
+    """(text, start, end) of the streams in the bytes and, with the same span, in those."""
+    work, seen = [(raw, None)], set()
+    while work:
+        raw, span = work.pop()
+        view, done = memoryview(raw), 0
+        for m in _STREAM.finditer(raw):
+            if m.start() < done:
+                continue
+            most = UNPACK * (len(raw) - m.start())
+            inner, length = _inflate(view[m.start():], most if span is None else min(most, NESTED))
+            if not inner:
+                continue
+            done = m.start() + length
+            place = span or (m.start(), done)
+            key = hashlib.blake2b(inner, digest_size=16).digest(), place
+            if key not in seen:
+                seen.add(key)
+                work.append((inner, place))
+                if _WORTH.search(inner):
+                    yield _text(inner), *place
+
+
+def _packed(layer: Layer, text: str, start: int, end: int) -> Layer:
+    """A layer all of whose characters came from one span."""
+    a, b = layer.origin(start, end)
+    return Layer(text, [a] * len(text), [b] * len(text), layer.depth + 1)
+
+
+def _escaped_streams(layer: Layer) -> Iterator[Layer]:
+    """The streams that stand in the layer as escaped bytes, maybe among plain ones."""
+    raw, ends, pos, text = bytearray(), [], 0, layer.text
+    for m in [*_BYTE.finditer(text), None]:
+        for i in range(pos, m.start() if m else len(text)):
+            some = text[i].encode("utf-8", "surrogatepass")
+            raw += some
+            ends += [i + 1] * len(some)
+        if m:
+            raw.append(_NAMED[m[0][1]] if m[0][1] in _NAMED and m[0][0] == "\\" else int(m[0][-2:], 16))
+            ends.append(m.end())
+            pos = m.end()
+    for inner, a, b in _streams(bytes(raw)):
+        yield _packed(layer, inner, ends[a - 1] if a else 0, ends[b - 1])
+
+
+def _debase(layer: Layer, start: int, run: str) -> Iterator[Layer]:
+    """What a base64 run holds, read from each of its first four signs, since other words may be
+    glued to either end: its text, and the streams in it."""
+    run = run.rstrip("=")
+    breaks = [(m.start(), m.end()) for m in _BREAK.finditer(run)]
+    place = range(start, start + len(run))
+    if breaks:
+        edges = [0, *(x for pair in breaks for x in pair), len(run)]
+        lines = list(zip(edges[::2], edges[1::2]))
+        place = [start + i for a, b in lines for i in range(a, b)]
+        run = "".join(run[a:b] for a, b in lines)
+    run = run.translate(_URL_SAFE)
+    for first in range(4):
+        size = len(run) - first
+        size -= size % 4 == 1
+        raw = base64.b64decode(run[first:first + size] + "=" * (-size % 4))
+        span = lambda a, b: (place[first + a * 8 // 6], place[first + min(size, -(-b * 8 // 6)) - 1] + 1)  # noqa: E731, B023
+        if _WORTH.search(raw):
+            spans, byte, text = [], 0, _text(raw)
+            for c in text:
+                n = 1 if "\ud800" <= c <= "\udfff" else len(c.encode())
+                spans.append(span(byte, byte + n))
+                byte += n
+            yield _child(layer, list(text), spans)
+        for inner, a, b in _streams(raw):
+            yield _packed(layer, inner, *span(a, b))
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
@@ -175,10 +235,10 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
     if "%" in text or "\\" in text:
         if _ESCAPED.search(text):
             yield _unescape(layer)
+        if _PACKED.search(text):
+            yield from _escaped_streams(layer)
     for m in _BASE64.finditer(text):
-        inner = _debase(layer, m.start(), m[0])
-        if inner is not None:
-            yield inner
+        yield from _debase(layer, m.start(), m[0])
 
 
 def find_secrets(text: str) -> list[Find]:
@@ -191,7 +251,7 @@ def find_secrets(text: str) -> list[Find]:
             a, b = layer.origin(start, end)
             found.setdefault((a, kind, b), layer.depth)
         for inner in unwrap(layer):
-            key = hashlib.blake2b(inner.text.encode("utf-8", "replace"), digest_size=16).digest(), inner.starts[0] if inner.starts else 0
+            key = hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), inner.starts[0] if inner.starts else 0
             if key not in seen:
                 seen.add(key)
                 work.append(inner)

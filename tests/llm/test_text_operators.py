@@ -253,6 +253,30 @@ def test_escaped_values_keep_their_keys(text, want):
     assert secrets.redact(text, secrets.find_secrets(text)) == text.replace(want, "[assign]")
 
 
+def _b64(raw):
+    return base64.b64encode(raw).decode()
+
+
+SECRET = "password=hunter2hunter2"
+_GZIP = gzip.compress(SECRET.encode(), mtime=0)
+
+
+@pytest.mark.parametrize("text", [
+    *(f"x {_b64(f'note{c}: {SECRET} fin'.encode())} y" for c in "\u00a0\u3000\u00ad\ufeff\u200b\f"),
+    f"x {_b64(gzip.compress(_GZIP))} y", f"x {_b64(zlib.compress(gzip.compress(_GZIP)))} y",
+    f"x {_b64(gzip.compress(b'first member') + _GZIP)} y",
+    f"x data={quote(_GZIP, safe='')} y", f"x data={quote(zlib.compress(SECRET.encode()), safe='')} y",
+    "x " + "".join(f"\\x{b:02x}" for b in _GZIP) + " y", f"x {_GZIP!r} y",
+    *(f"see com/v1/{'a' * k}/{_b64(SECRET.encode())} y" for k in range(4)),
+    f"see com/v1/{_b64(SECRET.encode() + b'!')}/edit y", f"see com/v1-{_b64(_GZIP)} y",
+    *("key:\n" + end.join(re.findall(f".{{1,{n}}}", _b64(b"some more words before it " * 2 + b"and " + SECRET.encode()))) + "\nend"
+      for n in (64, 76) for end in ("\n", "\r\n", "\n  "))])
+def test_layers_are_not_given_up(text):
+    finds = [f for f in secrets.find_secrets(text) if f.depth]
+    assert any(f.kind == 0 for f in finds), text
+    assert all(0 < f.start < f.end <= len(text) for f in finds)
+
+
 def test_layers_that_repeat_end():
     loop = "%25" * 200 + "41"
     assert secrets.find_secrets(loop + " " + loop) == []
