@@ -40,13 +40,23 @@ KINDS = ("email", "card", "phone", "ipv4", "ssn", "iban", "date")
 _PATTERNS = {
     "email": re.compile(r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.A),
     "card": re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{4,5})(?![\w-])", re.A),
-    "phone": re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\w-])|(?<![\w+.-])\+\d{8,15}(?![\w-])", re.A),
+    "phone": re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])"
+                        r"|(?<![\w+.-])\+\d{8,15}(?![\w-])|(?<![\w+.-])\+\d(?:[ .-]?\(\d{1,4}\)|[ .-]?\d){6,14}(?![\w-])", re.A),
     "ipv4": re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w])(?!\.\d)", re.A),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A),
     "date": re.compile(r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-])", re.A),
 }
 _DIGIT = re.compile(r"\d")
+#: Country codes of one and of two digits (ITU-T E.164); all others have three.
+_ONE = {"1", "7"}
+_TWO = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: Lengths of the IBANs of the countries in the registry.
+_IBAN_LENGTH = dict(x.split(":") for x in """AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BI:27 BR:29 BY:28 CH:21 CR:22 CY:28
+CZ:24 DE:22 DJ:27 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FK:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HN:28 HR:21 HU:28 IE:22
+IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MN:20 MR:27 MT:31 MU:30
+NI:28 NL:18 NO:15 OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 SV:28
+TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20 YE:30""".split())
 
 
 @lru_cache(maxsize=100_000)
@@ -117,9 +127,19 @@ def _card(text: str, key: bytes, forward: bool) -> str | None:
     return _fill(text, body + str(luhn(body)))
 
 
-def _phone(text: str, key: bytes, forward: bool) -> str:
-    at = re.match(r"\+\d{1,3}(?=\D)|\+\d\d|", text).end()
-    return text[:at] + permute_signs(text[at:], "phone", key, forward)
+def _country(digits: str) -> int:
+    """How many digits the country code has with which an international number begins."""
+    return 1 if digits[0] in _ONE else 2 if digits[:2] in _TWO else 3
+
+
+def _phone(text: str, key: bytes, forward: bool) -> str | None:
+    """The digits after the country code, permuted; a number without one is read as it stands
+    after +1, whose form it has, so all forms of a number share a pseudonym."""
+    digits = re.sub(r"\D", "", text)
+    code = _country(digits) if text[0] == "+" else 0
+    if not code < len(digits) or text[0] == "+" and not 7 <= len(digits) <= 15:
+        return None
+    return _fill(text, digits[:code] + permute_signs(digits[code:], "phone", key, forward))
 
 
 def _ipv4(text: str, key: bytes, forward: bool) -> str | None:
@@ -140,6 +160,16 @@ def _ssn(text: str, key: bytes, forward: bool) -> str | None:
     return f"{area + 1 + (area >= 665):03}-{group + 1:02}-{serial + 1:04}"
 
 
+def _iban_end(text: str) -> int:
+    """Where the IBAN at the start of a find ends by its country's length; words may follow it."""
+    left = int(_IBAN_LENGTH.get(text[:2], 0))
+    for i, c in enumerate(text):
+        left -= c != " "
+        if not left and text[i + 1:i + 2] in ("", " "):
+            return i + 1
+    return len(text)
+
+
 def _iban(text: str, key: bytes, forward: bool) -> str | None:
     plain = text.replace(" ", "")
     number = lambda x: int("".join(str(int(c, 36)) for c in x))
@@ -176,10 +206,19 @@ def find_personal(text: str, key: bytes = KEY, forward: bool = True) -> list[tup
     found = []
     for rank, kind in enumerate(KINDS):
         if ("@" in text) if kind == "email" else number:
-            for m in _PATTERNS[kind].finditer(text):
-                other = _WRITERS[kind](m[0], key, forward)
+            pos = 0
+            while m := _PATTERNS[kind].search(text, pos):
+                value, pos = m[0], m.end()
+                other = _WRITERS[kind](value[:_iban_end(value)] if kind == "iban" else value, key, forward)
+                if kind == "iban":
+                    if other is not None:
+                        value = value[:_iban_end(value)]
+                    else:
+                        other = _iban(value, key, forward)
+                    # What was cut off, or is no IBAN as a whole, may hold another one.
+                    pos = m.start() + (len(value) if other is not None else 4)
                 if other is not None:
-                    found.append((m.start(), rank, m.end(), other))
+                    found.append((m.start(), rank, m.start() + len(value), other))
     out, done = [], 0
     for start, rank, end, other in sorted(found):
         if start >= done:

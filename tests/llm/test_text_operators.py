@@ -333,6 +333,34 @@ def test_equal_values_stay_linked():
     assert cards[0] == cards[1] != cards[2] and all(pii.luhn(c[:-1]) == int(c[-1]) for c in cards)
 
 
+FORMS = [["+15551234567", "+1 (555) 123-4567", "+1 555 123 4567", "555 123 4567", "(555) 123-4567", "+1-555-123-4567", "555.123.4567"],
+         ["+49 170 1234567", "+491701234567", "+49-170-1234567", "+49 (170) 123 45 67"],
+         ["+353 86 123 4567", "+353861234567"], ["+33 6 12 34 56 78", "+33612345678"]]
+
+
+@pytest.mark.parametrize("forms", FORMS)
+def test_forms_of_a_phone_number_share_a_pseudonym(forms):
+    digits = set()
+    for form in forms:
+        text = f"call {form}, or mail"
+        (start, end, kind, other), = pii.find_personal(text)
+        assert (text[start:end], kind) == (form, "phone") and re.sub(r"\d", "0", other) == re.sub(r"\d", "0", form)
+        back = pii.replace(text, pii.find_personal(text))
+        assert pii.replace(back, pii.find_personal(back, forward=False)) == text
+        digits.add(re.sub(r"\D", "", other)[-7:])
+    assert len(digits) == 1
+
+
+@pytest.mark.parametrize("iban, after", [("BE68 5390 0754 7034", " EUR"), ("BE68539007547034", " EUR 12"), ("DE89 3704 0044 0532 0130 00", " BIC X"),
+                                         ("AT61 1904 3002 3457 3201", " AND BE68 5390 0754 7034"), ("NO93 8601 1117 947", " NOK")])
+def test_ibans_end_at_their_countrys_length(iban, after):
+    text = f"pay {iban}{after} now"
+    finds = [f for f in pii.find_personal(text) if f[2] == "iban"]
+    assert text[finds[0][0]:finds[0][1]] == iban and len(finds) == 1 + after.count("BE68")
+    other = pii.replace(text, finds)
+    assert pii.replace(other, pii.find_personal(other, forward=False)) == text and other.startswith(f"pay {iban[:2]}")
+
+
 @pytest.mark.parametrize("n", [2, 3, 10, 97, 1000])
 def test_ranks_are_permuted(n):
     moved = [pii.permute(x, n, "t") for x in range(n)]
