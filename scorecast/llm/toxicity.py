@@ -2,7 +2,8 @@
 
 A text's terms are its words (lower case) and their openings of four and five letters, as
 64-bit hashes, each once. On a bounded sample of labelled rows the terms whose share of toxic
-documents differs clearly from the rest are kept, and a factorization machine learns a weight
+documents differs clearly from the rest are kept, and those of pairs whose common share differs
+clearly more than either member's alone; a factorization machine learns a weight
 for each and a vector whose dot products are the weights of all pairs: two terms that are
 harmless alone (an insult used of a thing, a mention of a group) can weigh together. Scoring
 is one pass over the documents with the fitted arrays.
@@ -34,6 +35,9 @@ from scorecast.llm.scratch import written
 PER_CLASS = 5000
 #: Terms the model keeps, at most, and how clearly (standard errors) a term must differ.
 TERMS, CLEAR = 4096, 4.0
+#: How clearly a pair must differ, of the millions that are tried, and so in how many documents
+#: its members are, at least. Columns of a block of pair counts.
+PAIR_CLEAR, COLUMNS = 6.0, 512
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 30, 256, 0.03, 1e-4
 OPENINGS = (4, 5)
 
@@ -90,9 +94,10 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                 "pos": np.bincount(index, y[a + row], len(terms)).astype(np.int64)})
 
 
-def choose_terms(sample: DataFrame, n: int, n1: int) -> np.ndarray:
+def choose_terms(sample: DataFrame, n: int, n1: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the at most ``TERMS`` terms whose share of documents differs most
-    clearly between the n1 toxic and the other documents of the sample."""
+    clearly between the n1 toxic and the other documents of the sample, and of all terms that
+    are in enough documents for a clear pair."""
     counts = (sample.select("text", "y").mapInPandas(_counts, "term long, every long, pos long")
               .groupBy("term").agg(F.sum("every").alias("every"), F.sum("pos").alias("pos")))
     share, n0 = F.col("every") / n, n - n1
@@ -100,7 +105,46 @@ def choose_terms(sample: DataFrame, n: int, n1: int) -> np.ndarray:
     clear = F.abs(F.col("pos") / n1 - (F.col("every") - F.col("pos")) / n0) / error
     best = (counts.select("term", clear.alias("clear")).filter(F.col("clear") >= CLEAR)
             .orderBy(F.desc("clear"), "term").limit(TERMS).collect())
-    return np.sort(np.array([r["term"] for r in best], dtype=np.int64).view(S.U64))
+    common = counts.select("term").filter(F.col("every") >= PAIR_CLEAR ** 2).collect()
+    clear, common = (np.sort(np.array([r["term"] for r in x], dtype=np.int64).view(S.U64)) for x in (best, common))
+    return clear, common
+
+
+def _clear(every: np.ndarray, pos: np.ndarray, n: int, n1: int) -> np.ndarray:
+    share, n0 = every / n, n - n1
+    error = np.sqrt(np.maximum(share * (1 - share), 1 / n) * (1 / n1 + 1 / n0))
+    return np.abs(pos / n1 - (every - pos) / n0) / error
+
+
+def joint_terms(row: np.ndarray, term: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """Indices of the at most ``TERMS`` terms in pairs that are clear together: at least by
+    ``PAIR_CLEAR``, and by ``CLEAR`` more than either member. The pairs are counted in blocks."""
+    n, n1 = len(y), int(y.sum())
+    alone = _clear(np.bincount(term, minlength=size), np.bincount(term, y[row], size), n, n1)
+    order = np.argsort(term, kind="stable")
+    row, first = row[order], np.searchsorted(term[order], np.arange(size + 1))
+    toxic, gain = y == 1, np.zeros(size)
+
+    def block(lo: int, hi: int) -> np.ndarray:
+        out = np.zeros((n, hi - lo), dtype=np.float32)
+        out[row[first[lo]:first[hi]], np.repeat(np.arange(hi - lo), np.diff(first[lo:hi + 1]))] = 1
+        return out
+
+    for lo in range(0, size, COLUMNS):
+        hi = min(size, lo + COLUMNS)
+        left = block(lo, hi)
+        for at in range(lo, size, COLUMNS):
+            to = min(size, at + COLUMNS)
+            right = left if at == lo else block(at, to)
+            pos = (left[toxic].T @ right[toxic]).astype(float)
+            every = pos + left[~toxic].T @ right[~toxic]
+            clear = _clear(every, pos, n, n1)
+            more = clear - np.maximum(alone[lo:hi, None], alone[None, at:to])
+            more[(clear < PAIR_CLEAR) | (more < CLEAR)] = 0
+            gain[lo:hi] = np.maximum(gain[lo:hi], more.max(axis=1))
+            gain[at:to] = np.maximum(gain[at:to], more.max(axis=0))
+    best = np.argsort(-gain, kind="stable")[:TERMS]
+    return np.sort(best[gain[best] > 0])
 
 
 def fit(terms: np.ndarray, row: np.ndarray, term: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int = 7) -> Model:
@@ -159,20 +203,27 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     """Fit on a bounded sample of the labelled documents that may be learned from.
 
     The sample is written once; term counts are made by Spark, and the driver gets at most
-    ``TERMS`` terms and, per document of the sample, which of them it has."""
+    ``TERMS`` clear terms and the common ones and, per document of the sample, which it has."""
     sample = written(training_rows(docs, labels, label, per_class), "labelled")
     drawn = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = {r["y"]: r["n"] for r in labels.filter(~held_out()).groupBy(F.col(label).cast("int").alias("y"))
              .agg(F.count(F.lit(1)).alias("n")).collect()}
     n, n1 = sum(drawn.values()), drawn.get(1, 0)
-    terms = choose_terms(sample, n, n1) if 0 < n1 < n else np.zeros(0, S.U64)
+    none = np.zeros(0, S.U64)
+    clear, common = choose_terms(sample, n, n1) if 0 < n1 < n else (none, none)
+    terms = np.union1d(clear, common)
     rows = sample.select("doc_id", "text", "y").mapInPandas(
         _known_terms(terms), "doc_id long, y int, terms binary").toPandas().sort_values("doc_id", kind="stable")
     has = [np.frombuffer(x, dtype=np.int32) for x in rows["terms"]]
     y = rows["y"].to_numpy(dtype=np.int64)
     weight = np.array([share.get(k, 0) / drawn[k] for k in y.tolist()], dtype=float)
     row = np.repeat(np.arange(len(has)), [len(x) for x in has])
-    return fit(terms, row, np.concatenate([*has, np.zeros(0, np.int32)]).astype(np.int64), y, weight)
+    term = np.concatenate([*has, np.zeros(0, np.int32)]).astype(np.int64)
+    use = np.isin(terms, clear)
+    if len(common):
+        use[joint_terms(row, term, y, len(terms))] = True
+    hit = use[term]
+    return fit(terms[use], row[hit], (np.cumsum(use) - 1)[term[hit]], y, weight)
 
 
 def _scores(model: Model, texts: list[str]) -> np.ndarray:

@@ -229,6 +229,22 @@ def test_factorization_machine_learns_a_pair():
     assert (p == y).mean() > 0.99
 
 
+def test_training_learns_a_pair_whose_members_are_everywhere(spark):
+    """Both members have equal shares in both classes, so no count of single terms tells."""
+    rng, rows = random.Random(3), []
+    for i in range(6000):
+        toxic, kind = i % 2, rng.random()
+        members = (["badly", "group"] if kind < 0.5 else ["vulgar"]) if toxic else [["badly"], ["group"]][kind < 0.5]
+        words = [*(f"n{rng.randrange(300)}" for _ in range(25)), *members]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), toxic))
+    docs = _docs(spark, [t for _, t, _ in rows])
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, toxicity.train(docs, labels)).collect()}
+    y = np.array([y for _, _, y in rows])
+    assert _auc(np.array([got[i] for i, _, _ in rows]), y) > 0.95
+
+
 def test_pair_sums_equal_the_definition():
     rng = np.random.default_rng(2)
     model = toxicity.Model(np.arange(5, dtype=np.uint64), 0.3, rng.standard_normal(5), rng.standard_normal((5, 8)))
