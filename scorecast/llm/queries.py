@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorecast.llm import bpe, embeddings, minhash, packing, pii, prefix_hashes, quality, secrets, sharding, toxicity
+from scorecast.llm import (backoff_lm, bpe, burst_trie, embeddings, minhash, packing, pii, prefix_hashes, quality, secrets,
+                           sharding, token_alignment, toxicity)
 from scorecast.llm.labelled import held_out
 from scorecast.llm.scratch import ship_package
 
@@ -15,10 +16,10 @@ from scorecast.llm.scratch import ship_package
 TOXIC_FROM, QUALITY_FROM = 0.5, 0.3
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +100,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         _listed(F.col("spans")).alias("spans"))
 
 
+def op11_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_statistics(table(spark, sf_dir, "documents"), tokenizer_path(),
+                                                tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return burst_trie.prefix_trie(burst_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -116,5 +130,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
+    "op11_backoff_lm": op11_backoff_lm,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_burst_trie": op13_burst_trie,
     "pipeline": pipeline,
 }
