@@ -18,8 +18,10 @@ The model is never in one place. Documents are cut into blocks of about ``BLOCK_
 tokens. A block asks for the counts of its own distinct n-grams (64-bit hashes, sorted, one
 binary slice for each shard of the hash space) and brings its own training counts along; a
 shard adds up and answers every block; a block then builds the part of the automaton that
-its texts can reach and traverses them. A frequent n-gram is one entry a block, so shards are
-even whatever the words; a shard holds about ``SHARD_KEYS`` entries at any size of the corpus.
+its texts can reach and traverses them. Words and pairs are asked for first; the answer also
+says which of them no other block has, and a triple with such a pair need not be asked for,
+because the block's own count is the corpus's. A frequent n-gram is one entry a block, so
+shards are even whatever the words; a shard holds about ``SHARD_KEYS`` entries at any size.
 
 Edge cases: null texts are empty, and an empty text is its end alone; a null ``doc_id`` is
 held out and stays null; rows that repeat an id are texts of their own; a word of any length
@@ -55,7 +57,7 @@ END, BEGIN = _U(0x656E64), _U(0x626567696E)  # not in the range of mixed word ha
 BLOCK_SCHEMA = ("block long, n_tokens long, n_train long, train_docs long, words binary, ids binary, "
                 "sizes binary, held binary, docs binary, nulls binary")
 REQUEST_SCHEMA = "shard int, block long, keys binary, counts binary"
-ANSWER_SCHEMA = "block long, shard int, counts binary, known long"
+ANSWER_SCHEMA = "block long, shard int, counts binary, shared binary, known long"
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -138,65 +140,97 @@ class Block:
     """A block's distinct n-grams: words, pairs and triples, each with the numbers of its parts.
 
     A pair starts with a word or, at a document's start, with ``begin`` (the number after the
-    last word); a triple is a pair and the word after it. ``keys`` are the hashes of all three
-    kinds (the kind in the two lowest bits) in ascending order, ``order`` their places.
+    last word); a triple is a pair and the word after it.
     """
 
     def __init__(self, row):
         self.words = np.frombuffer(row["words"], dtype=np.uint64)
         self.sizes = np.frombuffer(row["sizes"], dtype=np.int64)
-        self.held = np.frombuffer(row["held"], dtype=bool)
+        held = np.frombuffer(row["held"], dtype=bool)
         self.ids = unpack(row["ids"]).astype(np.int64)
+        self.learned = np.repeat(~held, self.sizes).astype(np.float64)
         self.begin, n = len(self.words), len(self.ids)
-        starts = np.cumsum(self.sizes) - self.sizes
+        self.starts = np.cumsum(self.sizes) - self.sizes
         before = np.empty(n, dtype=np.int64)
         before[1:] = self.ids[:-1]
-        before[starts] = self.begin
-        self.pairs, pair_of = np.unique(before * (self.begin + 1) + self.ids, return_inverse=True)
-        inner = np.ones(n, dtype=bool)
-        inner[starts] = False
+        before[self.starts] = self.begin
+        self.before = before
+        pairs, self.pair_of = np.unique(before * (self.begin + 1) + self.ids, return_inverse=True)
+        self.left, self.right = np.divmod(pairs, self.begin + 1)
+
+    def find_triples(self) -> None:
+        inner = np.ones(len(self.ids), dtype=bool)
+        inner[self.starts] = False
         self.inner = np.flatnonzero(inner)
-        self.triples, triple_of = np.unique(pair_of[self.inner - 1] * (self.begin + 1) + self.ids[self.inner],
+        triples, self.triple_of = np.unique(self.pair_of[self.inner - 1] * (self.begin + 1) + self.ids[self.inner],
                                             return_inverse=True)
-        self.pair_of, self.triple_of = pair_of, triple_of
-        self.left, self.right = np.divmod(self.pairs, self.begin + 1)
-        self.pair, self.last = np.divmod(self.triples, self.begin + 1)
+        self.pair, self.last = np.divmod(triples, self.begin + 1)
+        # The pair that each triple ends with: that of any place where the triple stands.
+        self.ending = np.empty(len(triples), dtype=np.int64)
+        self.ending[self.triple_of] = self.pair_of[self.inner]
 
-    def sort_keys(self) -> None:
+    def _pair_hashes(self) -> np.ndarray:
         hashed = np.append(self.words, BEGIN)
-        one = S.mix64(hashed[:-1])
-        two = S.mix64(S.mix64(hashed[self.left]) + hashed[self.right])
-        three = S.mix64(S.mix64(two[self.pair]) + hashed[self.last])
-        keys = np.concatenate([(x & ~_U(3)) | _U(k) for k, x in ((1, one), (2, two), (3, three))])
-        self.order = np.argsort(keys, kind="stable")
-        self.keys = keys[self.order]
-
-    def training_counts(self) -> np.ndarray:
-        """Occurrences of every n-gram in the block's training documents, in the order of ``keys``."""
-        learned = np.repeat(~self.held, self.sizes).astype(np.float64)
-        one = np.bincount(self.ids, weights=learned, minlength=len(self.words))
-        two = np.bincount(self.pair_of, weights=learned, minlength=len(self.pairs))
-        three = np.bincount(self.triple_of, weights=learned[self.inner], minlength=len(self.triples))
-        return np.concatenate((one, two, three)).astype(np.int64)[self.order]
-
-    def shard_cuts(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Shards (the highest bits of the keys) that have keys here, and the bounds of their slices."""
-        shard = (self.keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(self.keys), dtype=np.int64)
-        shards, firsts = np.unique(shard, return_index=True)
-        return shards, np.append(firsts, len(shard))
-
-
-def _requests(bits: int):
+        return S.mix64(S.mix64(hashed[self.left]) + hashed[self.right])
+
+    def short_keys(self) -> np.ndarray:
+        """Keys of words and pairs: hashes with the kind in the two lowest bits."""
+        return np.concatenate(((S.mix64(self.words) & ~_U(3)) | _U(1), (self._pair_hashes() & ~_U(3)) | _U(2)))
+
+    def short_counts(self) -> np.ndarray:
+        """Occurrences of words and pairs in the block's training documents."""
+        return np.concatenate([np.bincount(x, weights=self.learned, minlength=n) for x, n in (
+            (self.ids, len(self.words)), (self.pair_of, len(self.left)))]).astype(np.int64)
+
+    def triple_keys(self, some: np.ndarray) -> np.ndarray:
+        return (S.mix64(S.mix64(self._pair_hashes()[self.pair[some]]) + self.words[self.last[some]]) & ~_U(3)) | _U(3)
+
+    def triple_counts(self) -> np.ndarray:
+        return np.bincount(self.triple_of, weights=self.learned[self.inner], minlength=len(self.pair)).astype(np.int64)
+
+
+def _slices(keys: np.ndarray, counts: np.ndarray, block: int, bits: int) -> pd.DataFrame:
+    """A block's requests: keys in order, cut by shard (their highest bits)."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    shard = (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+    shards, firsts = np.unique(shard, return_index=True)
+    cuts = list(zip(firsts, [*firsts[1:], len(keys)]))
+    return pd.DataFrame({"shard": shards.astype(np.int32), "block": np.full(len(shards), block),
+                         "keys": [pack_sorted(keys[a:b]) for a, b in cuts], "counts": [pack_counts(counts[a:b]) for a, b in cuts]})
+
+
+def _answered(keys: np.ndarray, answers: list[dict], column: str) -> np.ndarray:
+    """What the shards answered, in the order of ``keys`` as they were asked for."""
+    out = np.empty(len(keys), dtype=np.int64)
+    if len(keys):
+        out[np.argsort(keys, kind="stable")] = np.concatenate([unpack(r[column]) for r in answers])
+    return out
+
+
+def _short_requests(bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
                 block = Block(row)
-                block.sort_keys()
-                counts = block.training_counts()
-                shards, cuts = block.shard_cuts(bits)
-                yield pd.DataFrame({"shard": shards.astype(np.int32), "block": row["block"],
-                                    "keys": [pack_sorted(block.keys[a:b]) for a, b in zip(cuts[:-1], cuts[1:])],
-                                    "counts": [pack_counts(counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]})
+                yield _slices(block.short_keys(), block.short_counts(), row["block"], bits)
+    return run
+
+
+def _asked_triples(block: Block, shared: np.ndarray) -> np.ndarray:
+    """Triples whose pairs are both in other blocks too; the others are in this block alone."""
+    pairs = shared[len(block.words):].astype(bool)
+    return np.flatnonzero(pairs[block.pair] & pairs[block.ending])
+
+
+def _triple_requests(bits: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, (head, *answers) in _runs_of(batches, "block"):
+            block = Block(head)
+            shared = _answered(block.short_keys(), answers, "shared")
+            block.find_triples()
+            asked = _asked_triples(block, shared)
+            yield _slices(block.triple_keys(asked), block.triple_counts()[asked], head["block"], bits)
     return run
 
 
@@ -215,17 +249,19 @@ def _runs_of(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[int, l
 
 
 def _answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Corpus-wide training counts of each block's slice of a shard."""
+    """Corpus-wide training counts of each block's slice of a shard, and which keys several
+    blocks have."""
     for shard, rows in _runs_of(batches, "shard"):
         keys = [unpack_sorted(r["keys"]) for r in rows]
         cuts = np.cumsum([0, *map(len, keys)])
-        every, place = np.unique(np.concatenate(keys), return_inverse=True)
+        every, place, blocks = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         total = np.bincount(place, weights=np.concatenate([unpack(r["counts"]) for r in rows])).astype(np.int64)
+        shared = (blocks > 1).astype(np.uint8)
         known = np.zeros(len(rows), dtype=np.int64)
         known[0] = int(((every & _U(3) == _U(1)) & (total > 0)).sum())
-        yield pd.DataFrame({"block": [r["block"] for r in rows], "shard": np.int32(shard),
+        yield pd.DataFrame({"block": [r["block"] for r in rows], "shard": np.full(len(rows), shard, dtype=np.int32),
                             "counts": [pack_counts(total[place[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])],
-                            "known": known})
+                            "shared": [pack(shared[place[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])], "known": known})
 
 
 def lower_share(count: np.ndarray, half: float) -> np.ndarray:
@@ -237,81 +273,81 @@ class Automaton:
     """The part of the model that a block's texts can reach.
 
     State 0 is the empty context; state i + 1 is word i, then comes a document's begin, then
-    the pairs that were seen. Arcs of state 0 are lists by word, the others are looked up by
-    state and word; a state without an arc for a word hands over to its failure state.
+    the pairs. Only what was seen in training is a state or an arc. An arc is an n-gram: a
+    triple leaves the state of its pair, a pair that of its word, a word the empty context.
+    ``failure`` is the state that takes over, at the price of ``backoff``, where a state has no
+    arc for the next word.
     """
 
-    def __init__(self, block: Block, counts: np.ndarray, tokens: int, known: int, documents: int):
-        plain = np.empty(len(counts), dtype=np.int64)
-        plain[block.order] = counts
-        n, m = len(block.words), len(block.pairs)
-        one, two, three = plain[:n], plain[n:n + m], plain[n + m:]
+    def __init__(self, block: Block, one: np.ndarray, two: np.ndarray, three: np.ndarray, tokens: int, known: int, documents: int):
+        n = len(block.words)
+        self.block, self.one, self.two, self.three = block, one, two, three
         context = np.append(one, documents)
         p1 = (one + ADDED) / (tokens + ADDED * (known + 1))
-        share1 = lower_share(context, HALF_ONE)
-        seen2 = np.flatnonzero(two)
-        p2 = np.zeros(m)
-        left, right = block.left[seen2], block.right[seen2]
-        p2[seen2] = (1 - share1[left]) * two[seen2] / context[left] + share1[left] * p1[right]
-        share2 = lower_share(two, HALF_TWO)
-        seen3 = np.flatnonzero(three)
-        pair, last = block.pair[seen3], block.last[seen3]
-        # The pair that a triple ends with was seen wherever the triple was.
-        ends = np.searchsorted(block.pairs, block.right[pair] * (n + 1) + last)
-        p3 = (1 - share2[pair]) * three[seen3] / two[pair] + share2[pair] * p2[ends]
-        state_of = np.zeros(m, dtype=np.int64)
-        state_of[seen2] = n + 2 + np.arange(len(seen2))
-        self.width, self.begin = n, n + 1 if documents else 0
-        self.known = one > 0
-        self.word_weight = np.log10(p1)
-        self.root = self.word_weight.tolist()
-        self.word_next = np.where(self.known, np.arange(n) + 1, 0).tolist()
-        self.failure = [0] * (n + 2) + (right + 1).tolist()
-        self.backoff = np.concatenate(([0.0], np.log10(share1), np.log10(share2[seen2]))).tolist()
-        keys = np.concatenate(((left + 1) * n + right, state_of[pair] * n + last))
-        self.arcs = dict(zip(keys.tolist(), range(len(keys))))
-        self.weight = np.log10(np.concatenate((p2[seen2], p3))).tolist()
-        self.next = np.concatenate((state_of[seen2], state_of[ends])).tolist()
-
-    def traverse(self, words: list[int]) -> float:
-        """log10 probability of a text's words from a document's begin on."""
-        find, width, weight, follow = self.arcs.get, self.width, self.weight, self.next
-        backoff, failure, word_weight, word_next = self.backoff, self.failure, self.root, self.word_next
-        state, total = self.begin, 0.0
-        for word in words:
-            while state:
-                arc = find(state * width + word)
-                if arc is not None:
-                    total += weight[arc]
-                    state = follow[arc]
-                    break
-                total += backoff[state]
-                state = failure[state]
-            else:
-                total += word_weight[word]
-                state = word_next[word]
-        return total
+        share1, share2 = lower_share(context, HALF_ONE), lower_share(two, HALF_TWO)
+        p2 = (1 - share1[block.left]) * two / np.maximum(context[block.left], 1) + share1[block.left] * p1[block.right]
+        p3 = (1 - share2[block.pair]) * three / np.maximum(two[block.pair], 1) + share2[block.pair] * p2[block.ending]
+        self.weights = [np.log10(p) for p in (p1, p2, p3)]
+        self.pairs_from, self.begin = n + 2, n + 1 if documents else 0
+        self.failure = np.concatenate(([0], np.zeros(n + 1, dtype=np.int64), block.right + 1))
+        self.backoff = np.concatenate(([0.0], np.log10(share1), np.log10(share2)))
+
+    def traverse(self) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of every text, and of its words alone.
+
+        Left to right, a token is read in the state that the token before it led to: the state
+        of the pair, word or nothing that its arc ended with. All texts of the block are read
+        at once, so the carried states are an array; tokens without an arc go on to the failure
+        state, three times at most."""
+        block = self.block
+        seen = self.two[block.pair_of] > 0
+        led_to = np.where(seen, self.pairs_from + block.pair_of, np.where(self.one[block.ids] > 0, block.ids + 1, 0))
+        state = np.empty_like(led_to)
+        state[1:] = led_to[:-1]
+        state[block.starts] = self.begin
+        # The arc of each token for a context of one word and of two: a number, or none.
+        pair_arc = np.where(seen, block.pair_of, -1)
+        triple_arc = np.full(len(state), -1)
+        triple_arc[block.inner] = np.where(self.three[block.triple_of] > 0, block.triple_of, -1)
+        gained = np.zeros(len(state))
+        for arc, weight, least in ((triple_arc, self.weights[2], self.pairs_from), (pair_arc, self.weights[1], 1)):
+            here = state >= least
+            found = here & (arc >= 0)
+            gained[found] += weight[arc[found]]
+            missed = here & (arc < 0)
+            gained[missed] += self.backoff[state[missed]]
+            state[missed] = self.failure[state[missed]]
+            state[found] = -1  # read
+        plain = self.weights[0][block.ids]
+        rest = state == 0
+        gained[rest] += plain[rest]
+        return np.add.reduceat(gained, block.starts), np.add.reduceat(plain, block.starts)
 
 
 def _score(tokens: int, known: int, documents: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, (head, *answers) in _runs_of(batches, "block"):
             block = Block(head)
-            block.sort_keys()
-            machine = Automaton(block, np.concatenate([unpack(r["counts"]) for r in answers]).astype(np.int64),
-                                tokens, known, documents)
-            cuts = np.cumsum(np.append(0, block.sizes))
-            words = block.ids.tolist()
+            short, n = block.short_keys(), len(block.words)
+            first, second = ([r for r in answers if r["stage"] == k] for k in (1, 2))
+            counts = _answered(short, first, "counts")
+            block.find_triples()
+            three = block.triple_counts()
+            asked = _asked_triples(block, _answered(short, first, "shared"))
+            three[asked] = _answered(block.triple_keys(asked), second, "counts")
+            score, base = Automaton(block, counts[:n], counts[n:], three, tokens, known, documents).traverse()
             ids = pd.array(np.frombuffer(head["docs"], dtype=np.int64), dtype="Int64")
             ids[np.frombuffer(head["nulls"], dtype=bool)] = pd.NA
             yield pd.DataFrame({
-                "doc_id": ids, "held_out": block.held, "n_tokens": block.sizes,
-                "n_known": np.add.reduceat(machine.known[block.ids].astype(np.int64), cuts[:-1]),
-                "base_score": np.add.reduceat(machine.word_weight[block.ids], cuts[:-1]),
-                "score": [machine.traverse(words[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]})
+                "doc_id": ids, "held_out": np.frombuffer(head["held"], dtype=bool), "n_tokens": block.sizes,
+                "n_known": np.add.reduceat((counts[:n] > 0)[block.ids].astype(np.int64), block.starts),
+                "base_score": base, "score": score})
     return run
 
 
+_HEAD = ["words", "ids", "sizes", "held"]
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document:
     log10 probabilities under the words alone and under the automaton, both learned from the
@@ -322,15 +358,25 @@ def score_documents(docs: DataFrame) -> DataFrame:
         # Four numbers, whatever the corpus.
         size = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "n_train", "train_docs")],
                           F.count(F.lit(1)).alias("blocks")).first()
-        bits = max(0, math.ceil(math.log2(max(1, 3 * size["n_tokens"] / SHARD_KEYS))))
+        bits = max(0, math.ceil(math.log2(max(1, 2 * size["n_tokens"] / SHARD_KEYS))))
         tasks = max(shuffle_partitions(spark), size["blocks"] // 4, (1 << bits) // 4)
-        requests = blocks.select("block", "words", "ids", "sizes", "held").mapInPandas(_requests(bits), REQUEST_SCHEMA)
-        answers = written(requests.repartition(tasks, "shard").sortWithinPartitions("shard", "block")
-                          .mapInPandas(_answers, ANSWER_SCHEMA), "lm-answers")
-    known = answers.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
-    parts = blocks.select("block", F.lit(-1).alias("shard"), "words", "ids", "sizes", "held", "docs", "nulls").unionByName(
-        answers.select("block", "shard", "counts"), allowMissingColumns=True)
-    scores = (parts.repartition(tasks, "block").sortWithinPartitions("block", "shard")
-              .mapInPandas(_score(size["n_train"], known, size["train_docs"]), SCORE_SCHEMA))
+
+        def answered(requests: DataFrame, name: str) -> DataFrame:
+            return written(requests.repartition(tasks, "shard").sortWithinPartitions("shard", "block")
+                           .mapInPandas(_answers, ANSWER_SCHEMA), name)
+
+        def by_block(*columns: str) -> DataFrame:
+            """Blocks, each before the answers to it."""
+            parts = blocks.select("block", F.lit(0).alias("stage"), F.lit(0).alias("shard"), *_HEAD, *columns)
+            for stage, answers in enumerate(done, 1):
+                parts = parts.unionByName(answers.select("block", F.lit(stage).alias("stage"), "shard", "counts", "shared"),
+                                          allowMissingColumns=True)
+            return parts.repartition(tasks, "block").sortWithinPartitions("block", "stage", "shard")
+
+        short = blocks.select("block", *_HEAD).mapInPandas(_short_requests(bits), REQUEST_SCHEMA)
+        done = [answered(short, "lm-words-and-pairs")]
+        done.append(answered(by_block().mapInPandas(_triple_requests(bits), REQUEST_SCHEMA), "lm-triples"))
+    known = done[0].agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+    scores = by_block("docs", "nulls").mapInPandas(_score(size["n_train"], known, size["train_docs"]), SCORE_SCHEMA)
     return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(size["n_train"]).cast("long").alias("train_tokens"),
                          "base_score", "score")
