@@ -84,11 +84,22 @@ def permute(value: int, n: int, kind: str, key: bytes = KEY, forward: bool = Tru
             return value
 
 
+#: Digits and letters permuted as one number; a longer value is permuted in blocks.
+WHOLE, BLOCK = 200, 64
+
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 def permute_signs(text: str, kind: str, key: bytes, forward: bool) -> str:
-    """Digits and letters permuted together, each within its class; other signs stay."""
+    """Digits and letters permuted together, each within its class; other signs stay.
+
+    More than ``WHOLE`` of them are permuted in blocks of ``BLOCK``, each under a tweak of the
+    kind, their number and the block's place, so a value of any length takes linear time."""
+    at = [i for i, c in enumerate(text) if any(c in s for s in _CLASSES)]
+    if len(at) > WHOLE:
+        cuts = [0, *at[BLOCK::BLOCK], len(text)]
+        tweaks = (hashlib.blake2b(f"{kind}|{len(at)}|{k}".encode(), digest_size=8).hexdigest()[:13] for k in range(len(cuts)))
+        return "".join(permute_signs(text[i:j], tweak, key, forward) for i, j, tweak in zip(cuts[:-1], cuts[1:], tweaks))
     digits = [(i, c, next((s for s in _CLASSES if c in s), None)) for i, c in enumerate(text)]
     value, n, shape = 0, 1, []
     for i, c, signs in digits:

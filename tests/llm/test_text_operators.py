@@ -367,8 +367,22 @@ def test_ranks_are_permuted(n):
     assert sorted(moved) == list(range(n)) and [pii.permute(x, n, "t", forward=False) for x in moved] == list(range(n))
 
 
+@pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 199, 200, 201, 217, 218, 256, 1000, 10_000, 200_000])
+def test_local_parts_of_any_length(n):
+    rng = random.Random(n)
+    for signs in ("abcdefghijklmnopqrstuvwxyz", "aB3._%+-"):
+        text = f"to x{''.join(rng.choice(signs) for _ in range(n - 1))}@example.org now"
+        finds = pii.find_personal(text)
+        other = pii.replace(text, finds)
+        assert [f[2] for f in finds][:1] == ["email"] and len(other) == len(text)
+        assert pii.replace(other, pii.find_personal(other, forward=False)) == text
+        assert [re.sub(r"[0-9]", "0", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", t))) for t in (text,)] == [
+            re.sub(r"[0-9]", "0", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", t))) for t in (other,)]
+        assert n < 20 or other != text
+
+
 def test_personal_rows(spark):
-    texts = [None, "", *PERSONAL, *PERSONAL[:1], "long " * 30_000 + PERSONAL[3], *PLAIN]
+    texts = [None, "", *PERSONAL, *PERSONAL[:1], "long " * 30_000 + PERSONAL[3], "a" * 50_000 + "@example.org", *PLAIN]
     rows = pii.pseudonymise(_docs(spark, texts, extra=True)).orderBy("doc_id").collect()
     for r, t in zip(rows, texts):
         assert r.text == (None if t is None else pii.replace(t, pii.find_personal(t)))
