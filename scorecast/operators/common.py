@@ -118,14 +118,34 @@ def lag_over(df: DataFrame, key: str, order: str, value: str, out: str,
             .drop("_lo_part", "_lo_in", "_lo_first", "_lo_prev"))
 
 
+#: A batch of at most this many bytes may meet in one task.
+ONE_TASK_BYTES = 32 * 1024 * 1024
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's size of a frame, from the bytes of the files or rows it is made of: what
+    Spark itself decides broadcasts by. No job is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def previous_value(df: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:
+    """``lag(value)`` per key: a plain window where the whole frame fits one task, so that even
+    a single key does, and ``lag_over`` beyond that size."""
+    if planned_bytes(df) <= ONE_TASK_BYTES:
+        return df.withColumn(out, F.lag(value).over(W.partitionBy(key).orderBy(order)))
+    return lag_over(df, key, order, value, out)
+
+
 def restrict_to(big: DataFrame, requests: DataFrame, cols: list[str]) -> DataFrame:
     """Rows of ``big`` whose key appears in ``requests`` (left semi-join on distinct keys).
 
     Used before a request batch is left-joined to a large table: the preserved left side
     of an outer join cannot be broadcast, so without this the whole table is shuffled per
-    batch; the distinct request keys are small and AQE broadcasts them at runtime.
+    batch; the distinct request keys are small and AQE broadcasts them at runtime. A batch
+    that fits one task is small as it is, repeated keys included: no shuffle to make it so.
     """
-    return big.join(requests.select(*cols).distinct(), cols, "left_semi")
+    keys = requests.select(*cols)
+    return big.join(keys if planned_bytes(keys) <= ONE_TASK_BYTES else keys.distinct(), cols, "left_semi")
 
 
 def numbered_once(requests: DataFrame, name: str) -> DataFrame:

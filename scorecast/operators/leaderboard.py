@@ -12,6 +12,7 @@ Plan shape at scale:
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,25 +58,88 @@ def affected_groups(predictions: DataFrame, changed_fixture_ids: DataFrame) -> D
             .join(changed, "fixture_id", "left_semi").select("group_id").distinct())
 
 
-def apply_deltas(board: DataFrame, deltas: DataFrame, as_of: dt.datetime) -> DataFrame:
+def histogram(board: DataFrame) -> DataFrame:
+    """(group_id, total_points, members): how many members of a group have each total. A group
+    has at most as many rows as there are possible sums, whatever its size."""
+    return board.groupBy("group_id", "total_points").agg(F.count(F.lit(1)).alias("members"))
+
+
+def histogram_ranks(counts: DataFrame) -> DataFrame:
+    """(group_id, total_points, rank_position) of a histogram: DENSE_RANK is one more than the
+    number of greater totals."""
+    return counts.select("group_id", "total_points", F.dense_rank().over(
+        W.partitionBy("group_id").orderBy(F.desc("total_points"))).cast("bigint").alias("rank_position"))
+
+
+def moved_totals(board: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(user_id, group_id, old_total, new_total) of the board rows that a batch moves."""
+    some = deltas.filter("delta <> 0").select(*KEY, "delta")
+    return board.select(*KEY, "total_points").join(some, KEY).select(
+        *KEY, F.col("total_points").alias("old_total"), (F.col("total_points") + F.col("delta")).alias("new_total"))
+
+
+def histogram_after(counts: DataFrame, groups: DataFrame, moved: DataFrame) -> DataFrame:
+    """The histogram of ``groups`` (group_id) after members moved: each leaves its old total and
+    joins its new one. Other groups are not read beyond the semi-join."""
+    steps = moved.select("group_id", F.explode(F.array(
+        F.struct(F.col("old_total").alias("total_points"), F.lit(-1).cast("bigint").alias("members")),
+        F.struct(F.col("new_total").alias("total_points"), F.lit(1).cast("bigint").alias("members")))).alias("s")).select("group_id", "s.*")
+    return (counts.join(groups.select("group_id").distinct(), "group_id", "left_semi").unionByName(steps)
+            .groupBy("group_id", "total_points").agg(F.sum("members").cast("bigint").alias("members")).filter("members > 0"))
+
+
+@dataclass
+class BoardUpdate:
+    """What point differences do to the board, in proportion to the touched groups.
+
+    ``histogram`` and ``ranks`` are those of the touched groups after the batch; ``rows`` are
+    their board rows (what a store would rewrite), ``board`` the whole board.
+    """
+
+    before: DataFrame
+    deltas: DataFrame
+    ranks: DataFrame
+    histogram: DataFrame
+    as_of: dt.datetime
+
+    def _placed(self, board: DataFrame, how: str) -> DataFrame:
+        j = (board.join(self.deltas.select(*KEY, "delta"), KEY, "left")
+             .withColumn("total_points", F.col("total_points") + F.coalesce("delta", F.lit(0).cast("bigint"))))
+        ranks = self.ranks.select("group_id", "total_points", F.col("rank_position").alias("_rank"))
+        # A touched group's new totals all have a rank, and no other group has one here.
+        hit = F.col("_rank").isNotNull()
+        return j.join(ranks, ["group_id", "total_points"], how).select(
+            *KEY, "total_points", F.coalesce("_rank", "rank_position").alias("rank_position"),
+            F.when(hit, _ts(self.as_of)).otherwise(F.col("last_updated")).alias("last_updated"))
+
+    @property
+    def rows(self) -> DataFrame:
+        touched = self.deltas.select("group_id").distinct()
+        return self._placed(self.before.join(touched, "group_id", "left_semi"), "inner")
+
+    @property
+    def board(self) -> DataFrame:
+        return self._placed(self.before, "left")
+
+
+def update_board(board: DataFrame, deltas: DataFrame, as_of: dt.datetime, counts: DataFrame | None = None) -> BoardUpdate:
     """L4: the board after per-(user, group) point differences.
 
     Groups named in ``deltas`` (a zero difference names its group too) get new totals, new
     ranks and ``last_updated``; other rows pass through. Predictions are not read: a total
     is the stored total plus the difference, which equals the sum over the group's
-    predictions because stored totals are sums over them.
+    predictions because stored totals are sums over them. With the stored histogram
+    ``counts`` the ranks come from the totals that the batch moves, not from the members.
     """
-    groups = deltas.select("group_id").distinct().withColumn("_hit", F.lit(True))
-    j = (board.join(deltas, KEY, "left").join(groups, "group_id", "left")
-         .withColumn("_hit", F.col("_hit").isNotNull())
-         .withColumn("total_points", F.col("total_points") + F.coalesce("delta", F.lit(0).cast("bigint"))))
-    ranked = (j.filter("_hit").select("group_id", "total_points").distinct()
-              .withColumn("_rank", F.dense_rank().over(W.partitionBy("group_id").orderBy(F.desc("total_points")))
-                          .cast("bigint")))
-    out = j.join(ranked, ["group_id", "total_points"], "left")
-    return out.select(*KEY, "total_points",
-                      F.when(F.col("_hit"), F.col("_rank")).otherwise(F.col("rank_position")).alias("rank_position"),
-                      F.when(F.col("_hit"), _ts(as_of)).otherwise(F.col("last_updated")).alias("last_updated"))
+    groups = deltas.select("group_id").distinct()
+    known = counts if counts is not None else histogram(board.join(groups, "group_id", "left_semi"))
+    after = histogram_after(known, groups, moved_totals(board, deltas))
+    return BoardUpdate(board, deltas, histogram_ranks(after), after, as_of)
+
+
+def apply_deltas(board: DataFrame, deltas: DataFrame, as_of: dt.datetime, counts: DataFrame | None = None) -> DataFrame:
+    """The whole board of ``update_board``."""
+    return update_board(board, deltas, as_of, counts).board
 
 
 def prediction_summary(predictions: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from scorecast.functions.scoring import prediction_points
 from scorecast.operators import leaderboard as L
-from scorecast.operators.common import lag_over, restrict_to, ts_lit
+from scorecast.operators.common import ONE_TASK_BYTES, planned_bytes, previous_value, restrict_to, ts_lit
 from scorecast.session import materialize
 
 # Result outcomes (accepted) and reject reasons.
@@ -44,8 +44,8 @@ def _judge(results: DataFrame, fixtures: DataFrame, mode: str) -> DataFrame:
     accepted one writes them, and one refused for equal scores already found them there. So
     the state before a request is the request before it, and the stored row before the first.
     """
-    r = lag_over(results.select(*REQUEST_COLS).withColumn("_s", F.struct("home_score", "away_score")),
-                 "fixture_id", "request_id", "_s", "_before")
+    r = previous_value(results.select(*REQUEST_COLS).withColumn("_s", F.struct("home_score", "away_score")),
+                       "fixture_id", "request_id", "_s", "_before")
     touched = restrict_to(fixtures, results.select(F.col("fixture_id").alias("match_num")), ["match_num"])
     fx = touched.select("match_num", "completed", F.struct("home_score", "away_score").alias("_stored"))
     j = r.drop("_s").join(fx, r.fixture_id == fx.match_num, "left")
@@ -181,37 +181,85 @@ def fixture_prediction_counts(fixtures: DataFrame, predictions: DataFrame) -> Da
 
 
 @dataclass
-class ResultsRun:
-    outcomes: DataFrame
-    accepted: DataFrame
+class GameIndex:
+    """Predictions stored a second time, in folders of ``game_block``: games of a day lie in one
+    block. A batch of results names its games' blocks, and Spark's dynamic partition pruning
+    opens no other files."""
+
+    rows: DataFrame
     fixtures: DataFrame
-    changed: DataFrame
-    predictions: DataFrame
-    old_predictions: DataFrame
+    blocks: int
+
+    @staticmethod
+    def block_of(start_time: str, blocks: int):
+        return F.pmod(F.datediff(F.col(start_time), F.lit("1970-01-01").cast("date")), F.lit(blocks)).cast("int")
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """The predictions on the given games (fixture_id), without reading other blocks."""
+        # The comparison drops unknown (negative) ids and marks the side as one that prunes.
+        keyed = restrict_to(self.fixtures.select(F.col("match_num").alias("fixture_id"),
+                                                 self.block_of("start_time", self.blocks).alias("game_block")),
+                            ids.filter(F.col("fixture_id") > 0), ["fixture_id"])
+        return self.rows.join(keyed, ["game_block", "fixture_id"], "left_semi").drop("game_block")
+
+
+@dataclass
+class ResultsRun:
+    """A judged batch of results; what follows from it is planned when it is asked for."""
+
+    changes: DataFrame
+    fixtures_before: DataFrame
+    predictions_before: DataFrame
+    #: Stored predictions on the batch's games (all of them without an index by game).
+    touched: DataFrame
     board: DataFrame
     as_of: dt.datetime
+    counts: DataFrame | None = None
+
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        return self.changes.select(*REQUEST_COLS, "status")
+
+    @cached_property
+    def accepted(self) -> DataFrame:
+        return last_accepted(self.changes)
+
+    @cached_property
+    def fixtures(self) -> DataFrame:
+        return apply_outcomes(self.fixtures_before, self.accepted)
 
     @cached_property
+    def changed(self) -> DataFrame:
+        return self.accepted.filter("changed").select(F.col("fixture_id").alias("match_num"), "home_score", "away_score")
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        return apply_changes(self.predictions_before, self.accepted)
+
+    @cached_property
+    def board_update(self) -> L.BoardUpdate:
+        """L4: what the rescored predictions' differences do to the board."""
+        return L.update_board(self.board, materialize(point_deltas(self.touched, self.accepted), "deltas"), self.as_of, self.counts)
+
+    @property
     def leaderboard(self) -> DataFrame:
-        """L4: the board moved by the rescored predictions' differences."""
-        return L.apply_deltas(self.board, materialize(point_deltas(self.old_predictions, self.accepted), "deltas"),
-                              self.as_of)
+        return self.board_update.board
 
 
 def post_results(fixtures: DataFrame, predictions: DataFrame, board: DataFrame, results: DataFrame,
-                 as_of: dt.datetime, mode: str = "upsert") -> ResultsRun:
+                 as_of: dt.datetime, mode: str = "upsert", games: GameIndex | None = None,
+                 counts: DataFrame | None = None) -> ResultsRun:
     """The whole write path B: guard -> update fixtures -> P9 -> P3 + lock -> L4.
 
-    The per-request change set is bounded by the batch and feeds four branches, so it is
-    written once; whether a join broadcasts it is the planner's decision by its bytes.
+    The per-request change set is bounded by the batch and feeds four branches, so a large one
+    is written once; whether a join broadcasts it is the planner's decision by its bytes.
+    ``games`` and ``counts`` are the stored index by game and histogram of totals, if there are.
     """
-    changes = materialize(fixture_changes(results, fixtures, mode), "changes")
-    outcomes = changes.select(*REQUEST_COLS, "status")
-    accepted = last_accepted(changes)
-    new_fx = apply_outcomes(fixtures, accepted)
-    changed = accepted.filter("changed").select(F.col("fixture_id").alias("match_num"), "home_score", "away_score")
-    new_preds = apply_changes(predictions, accepted)
-    return ResultsRun(outcomes, accepted, new_fx, changed, new_preds, predictions, board, as_of)
+    changes = fixture_changes(results, fixtures, mode)
+    if planned_bytes(results) > ONE_TASK_BYTES:
+        changes = materialize(changes, "changes")
+    touched = games.of(results) if games else predictions
+    return ResultsRun(changes, fixtures, predictions, touched, board, as_of, counts)
 
 
 def affected_groups(predictions: DataFrame, fixture_ids: DataFrame) -> DataFrame:
@@ -240,9 +288,10 @@ def apply_changes(predictions: DataFrame, accepted: DataFrame) -> DataFrame:
 
 def point_deltas(predictions: DataFrame, accepted: DataFrame) -> DataFrame:
     """(user_id, group_id, delta) of the predictions on changed fixtures: what the results
-    add to each total. Reads only the fixtures of the change set (an inner join), and is
-    reduced per key before its shuffle."""
-    j = predictions.join(_flags(accepted).filter("_chg"), "fixture_id")
+    add to each total. A correction that only resets points takes the old ones off, so a total
+    stays the sum over the stored predictions. Reads only the fixtures of the change set (an
+    inner join), and is reduced per key before its shuffle."""
+    j = predictions.join(_flags(accepted).filter("_chg OR _rst"), "fixture_id")
     zero = F.lit(0)
     return j.groupBy("user_id", "group_id").agg(
         F.sum(F.coalesce(_new_points(), zero) - F.coalesce(F.col("points_earned"), zero)).cast("bigint").alias("delta"))
@@ -257,7 +306,7 @@ def outcome_report(run: ResultsRun, fixtures_after: DataFrame | None = None) ->
     fx = restrict_to(fixtures_after if fixtures_after is not None else run.fixtures,
                      ids.withColumnRenamed("fixture_id", "match_num"), ["match_num"])
     # Counted before the join, so a game with a third of all predictions is one row in it.
-    counts = run.predictions.groupBy("fixture_id").agg(
+    counts = apply_changes(run.touched, run.accepted).groupBy("fixture_id").agg(
         F.count(F.lit(1)).alias("total_predictions"), F.count("points_earned").alias("predictions_scored"))
     acc = F.col("status").isin(*ACCEPTED)
     j = (run.outcomes.join(fx.select(F.col("match_num").alias("fixture_id"), "home_team", "away_team", "start_time"),
@@ -272,7 +321,7 @@ def outcome_report(run: ResultsRun, fixtures_after: DataFrame | None = None) ->
 
 
 def rescore_fixtures(fixtures: DataFrame, predictions: DataFrame, board: DataFrame, ids: DataFrame,
-                     as_of: dt.datetime):
+                     as_of: dt.datetime, games: GameIndex | None = None, counts: DataFrame | None = None):
     """P10: forced rescore of completed fixtures in ``ids`` (no change guard) + L4."""
     target = (fixtures.filter(F.col("completed"))
               .join(ids.select(F.col("fixture_id").alias("match_num")).distinct(), "match_num", "left_semi")
@@ -280,5 +329,6 @@ def rescore_fixtures(fixtures: DataFrame, predictions: DataFrame, board: DataFra
     new_preds = rescore(predictions, target, target.select("match_num"))
     forced = target.select(F.col("match_num").alias("fixture_id"), "home_score", "away_score",
                            F.lit(True).alias("changed"), F.lit(False).alias("reset"))
-    new_board = L.apply_deltas(board, materialize(point_deltas(predictions, forced), "deltas"), as_of)
+    touched = games.of(ids) if games else predictions
+    new_board = L.apply_deltas(board, materialize(point_deltas(touched, forced), "deltas"), as_of, counts)
     return target, new_preds, new_board

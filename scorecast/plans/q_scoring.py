@@ -85,7 +85,7 @@ LEFT JOIN (SELECT fixture_id, count(*) AS n, count(points_earned) AS s FROM pred
 
 
 def _run(t, mode="upsert"):
-    return S.post_results(t.fixtures, t.predictions, t.leaderboard, batches.results(t), t.as_of, mode)
+    return S.post_results(t.fixtures, t.predictions, t.leaderboard, batches.results(t), t.as_of, mode, t.games, t.histogram)
 
 
 @query("prediction_points", with_domain(f"""
@@ -124,7 +124,7 @@ FROM predictions p JOIN fx_changed c ON p.fixture_id = c.match_num""", run_ctes(
 def q_score_predictions(t):
     """Rescored predictions of the fixtures a results batch changed."""
     run = _run(t)
-    return S.score_predictions(t.predictions, run.changed)
+    return S.score_predictions(run.touched, run.changed)
 
 
 @query("complete_fixtures", _report_sql("complete"))
@@ -177,7 +177,8 @@ FROM predictions p JOIN fixtures x ON p.fixture_id = x.match_num
 WHERE x.completed AND x.match_num IN (SELECT fixture_id FROM results)"""))
 def q_rescore_fixtures(t):
     """P10: forced rescore of the completed fixtures named in the results batch."""
-    target, new_preds, _ = S.rescore_fixtures(t.fixtures, t.predictions, t.leaderboard, batches.results(t), t.as_of)
+    ids = batches.results(t)
+    target, new_preds, _ = S.rescore_fixtures(t.fixtures, t.games.of(ids), t.leaderboard, ids, t.as_of, t.games, t.histogram)
     return (new_preds.join(target.select(F.col("match_num").alias("fixture_id")), "fixture_id", "left_semi")
             .select("pid", "user_id", "group_id", "fixture_id", "points_earned"))
 
@@ -210,4 +211,4 @@ def q_leaderboard_incremental_small(t):
     """L4 after a batch on about one game in a hundred."""
     i = F.col("fixture_id")
     small = batches.results(t).filter((i % 300 == 0) | (i % 303 == 0))
-    return S.post_results(t.fixtures, t.predictions, t.leaderboard, small, t.as_of).leaderboard
+    return S.post_results(t.fixtures, t.predictions, t.leaderboard, small, t.as_of, games=t.games, counts=t.histogram).leaderboard
