@@ -50,26 +50,34 @@ def with_fixture(predictions: DataFrame, fixtures: DataFrame) -> DataFrame:
                     "actual_away_score", game_date().alias("game_date"), game_time().alias("game_time")))
 
 
-def create_predictions(requests: DataFrame, predictions: DataFrame, fixtures: DataFrame,
-                       users: DataFrame, groups: DataFrame) -> DataFrame:
-    """Every request with its status; accepted rows become new unlocked predictions.
-
-    Request time is the row's ``prediction_time`` (the reference's NOW()). Order of checks:
-    unknown fixture/user/group (FK), game started (start < time; equality allowed), key
-    already stored, then first wins inside the batch by (time, home, away).
-    Group membership is not checked, as in the reference.
-    """
+def request_statuses(requests: DataFrame, stored: DataFrame | None, fixtures: DataFrame,
+                     users: DataFrame, groups: DataFrame) -> DataFrame:
+    """Create requests with what is wrong with each by itself, else OK; also for a stream of
+    requests. Order of checks: unknown fixture/user/group (FK), game started (start < time;
+    equality allowed), key already in ``stored``."""
     fx = fixtures.select(F.col("match_num").alias("fixture_id"), "start_time")
     r = (requests.join(fx, "fixture_id", "left")
          .join(users.select("user_id", F.lit(True).alias("_u")), "user_id", "left")
-         .join(groups.select("group_id", F.lit(True).alias("_g")), "group_id", "left")
-         .join(predictions.select(*KEY, F.lit(True).alias("_stored")), KEY, "left"))
+         .join(groups.select("group_id", F.lit(True).alias("_g")), "group_id", "left"))
+    if stored is not None:
+        r = r.join(stored.select(*KEY, F.lit(True).alias("_stored")), KEY, "left")
     pre = (F.when(F.col("start_time").isNull(), FIXTURE_UNKNOWN)
            .when(F.col("_u").isNull(), USER_UNKNOWN).when(F.col("_g").isNull(), GROUP_UNKNOWN)
            .when(F.col("start_time") < F.col("prediction_time"), GAME_STARTED)
-           .when(F.col("_stored").isNotNull(), EXISTS))
+           .when(F.col("_stored").isNotNull() if stored is not None else F.lit(False), EXISTS))
     cols = ["user_id", "group_id", "fixture_id", "pred_home_score", "pred_away_score", "prediction_time"]
-    judged = r.select(*cols, F.coalesce(pre, F.lit(OK)).alias("status"))
+    return r.select(*cols, F.coalesce(pre, F.lit(OK)).alias("status"))
+
+
+def create_predictions(requests: DataFrame, predictions: DataFrame, fixtures: DataFrame,
+                       users: DataFrame, groups: DataFrame) -> DataFrame:
+    """Every request with its status; accepted rows become new unlocked predictions.
+
+    Request time is the row's ``prediction_time`` (the reference's NOW()). After the checks of
+    ``request_statuses`` the first wins inside the batch by (time, home, away).
+    Group membership is not checked, as in the reference.
+    """
+    judged = request_statuses(requests, predictions, fixtures, users, groups)
     return first_wins(judged, KEY, OK, EXISTS, order=["prediction_time", "pred_home_score", "pred_away_score"])
 
 

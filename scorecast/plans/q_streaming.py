@@ -19,7 +19,7 @@ CHUNKS = 4
 def q_stream_results(t):
     """Results arrive in micro-batches; the final leaderboard equals the batch twin."""
     return jobs.stream_results(t.spark, t.fixtures, t.predictions, t.leaderboard, batches.results(t),
-                               t.as_of, CHUNKS).board_now()
+                               t.as_of, CHUNKS, games=t.games, counts=t.histogram).board_now()
 
 
 @query("stream_predictions", ORACLE["create_predictions"])

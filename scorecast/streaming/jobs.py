@@ -1,11 +1,12 @@
 """Structured Streaming jobs: the reference's triggers as streams.
 
-Each job reads a file source (``readStream`` with an explicit schema) and writes through
-``foreachBatch`` to append-only logs: one Parquet folder per log with a ``batch_id`` partition
-that a micro-batch overwrites. A batch reads the logs of earlier batches only, so replaying
-it after a lost executor or driver gives the same partition again. What a batch writes is
-in proportion to the batch; stored tables are never rewritten. The current state (accepted
-rows, board, counters, locks) is a query over the stored tables and the logs.
+Each job reads a file source (``readStream`` with an explicit schema). T1 and T3 hold what a
+key has seen in Spark's state store and write to file sinks (``state.py``). T2 and T4 write
+through ``foreachBatch`` to append-only logs: one Parquet folder per log with a ``batch_id``
+partition that a micro-batch overwrites. A batch reads the logs of earlier batches only, so
+replaying it after a lost executor or driver gives the same partition again. What a batch
+writes is in proportion to the batch; stored tables are never rewritten. The current state
+(accepted rows, board, counters, locks) is a query over the stored tables and the logs.
 
 The results do not depend on how the requests were cut into files, micro-batches or order of
 files, except where arrival order is the rule (of several requests to one key in different
@@ -16,14 +17,24 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorecast.functions.scoring import EXACT_POINTS
 from scorecast.operators import leaderboard as L
 from scorecast.operators import predictions as R
 from scorecast.operators import scoring as S
 from scorecast.operators.common import restrict_to
-from scorecast.session import materialize, new_scratch_path
+from scorecast.session import materialize, new_scratch_path, path_exists
+from scorecast.streaming import state as keyed
+from scorecast.streaming.state import CountersFromFirstInsert, FirstRequestWins, PointChanges
+
+# The processors travel to the workers themselves: those need no copy of this package.
+cloudpickle.register_pickle_by_value(keyed)
+#: Keyed state lies in RocksDB; the session may have been built with another store.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 class BatchLog:
@@ -76,8 +87,10 @@ class ResultsStream:
     """Stored tables with the logs of a results stream over them."""
 
     def __init__(self, spark: SparkSession, fixtures: DataFrame, predictions: DataFrame, board: DataFrame,
-                 as_of: dt.datetime, root: str | None = None):
+                 as_of: dt.datetime, root: str | None = None, games: S.GameIndex | None = None,
+                 counts: DataFrame | None = None):
         self.fixtures, self.predictions, self.board, self.as_of = fixtures, predictions, board, as_of
+        self.games, self.counts = games, counts
         self.accepted = BatchLog(spark, "accepted", "request_id long, fixture_id long, home_score long, "
                                  "away_score long, status string, changed boolean, reset boolean", root)
         self.deltas = BatchLog(spark, "deltas", "user_id long, group_id long, delta long", root)
@@ -104,14 +117,15 @@ class ResultsStream:
     def board_now(self) -> DataFrame:
         """Stored totals plus all differences, ranked anew in the groups they touch."""
         sums = self.deltas.read().groupBy("user_id", "group_id").agg(F.sum("delta").cast("bigint").alias("delta"))
-        return L.apply_deltas(self.board, sums, self.as_of)
+        return L.apply_deltas(self.board, materialize(sums, "deltas"), self.as_of, self.counts)
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
+        batch = materialize(batch, "results")  # the source's rows once, with their bytes known
         ids = batch.select("fixture_id").distinct()
         changes = materialize(S.fixture_changes(batch, self.fixtures_now(batch_id, ids), "upsert"), "changes")
         accepted = S.last_accepted(changes)
         # Points before this batch, of the predictions on its fixtures only.
-        touched = self.predictions.join(accepted.select("fixture_id"), "fixture_id", "left_semi")
+        touched = self.games.of(accepted) if self.games else restrict_to(self.predictions, accepted, ["fixture_id"])
         before = S.apply_changes(touched, restrict_to(self._last(batch_id), ids, ["fixture_id"]))
         self.deltas.write(S.point_deltas(before, accepted), batch_id)
         self.accepted.write(accepted.select("request_id", "fixture_id", "home_score", "away_score", "status",
@@ -120,81 +134,81 @@ class ResultsStream:
 
 def stream_results(spark: SparkSession, fixtures: DataFrame, predictions: DataFrame, board: DataFrame,
                    results: DataFrame, as_of: dt.datetime, chunks: int = 4, root: str | None = None,
-                   source: str | None = None) -> ResultsStream:
+                   source: str | None = None, games: S.GameIndex | None = None,
+                   counts: DataFrame | None = None) -> ResultsStream:
     """Each micro-batch of results runs P6 -> P9 -> P3 -> L4 against the stored tables and
     the earlier batches' logs, and appends its accepted results and point differences."""
     src = source or stage_source(spark, results, "results", F.pmod("fixture_id", F.lit(chunks)), list(range(chunks)))
-    state = ResultsStream(spark, fixtures, predictions, board, as_of, root)
+    state = ResultsStream(spark, fixtures, predictions, board, as_of, root, games, counts)
     _run(spark, src, results.schema, state.on_batch, "results", root=root)
     return state
 
 
+# ---- streams with keyed state --------------------------------------------------------------
+
+class SinkLog:
+    """Rows that a streaming query wrote to a file sink: each once, also after a restart."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, where: str = "true", drop: tuple[str, ...] = ()):
+        self.spark, self.path, self.schema, self.where, self.drop = spark, path, schema, where, drop
+
+    def read(self) -> DataFrame:
+        if not path_exists(self.spark, self.path):  # no batch yet
+            return self.spark.createDataFrame([], self.schema).filter(self.where).drop(*self.drop)
+        return self.spark.read.schema(self.schema).parquet(self.path).filter(self.where).drop(*self.drop)
+
+
+def _to_sink(rows: DataFrame, root: str, name: str, folders: tuple[str, ...] = ()) -> str:
+    """Run a stream into a Parquet file sink under ``root`` until its source is drained. Offsets
+    and state are in the checkpoint beside it: the next call with the same root goes on there."""
+    path = f"{root}/{name}"
+    rows.sparkSession.conf.set(*STATE_STORE)
+    query = (rows.writeStream.format("parquet").outputMode("append").partitionBy(*folders)
+             .option("checkpointLocation", f"{root}/_checkpoint-{name}").option("path", path)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return path
+
+
 # ---- T1: prediction intake with dead letters -------------------------------------------
 
 def stream_predictions(spark: SparkSession, requests: DataFrame, fixtures: DataFrame, users: DataFrame,
-                       groups: DataFrame, chunk: "F.Column", chunk_values: list,
-                       stored: DataFrame | None = None) -> tuple[BatchLog, BatchLog]:
+                       groups: DataFrame, chunk: "F.Column | None" = None, chunk_values: list | None = None,
+                       stored: DataFrame | None = None, source: str | None = None,
+                       root: str | None = None) -> tuple[SinkLog, SinkLog]:
     """Create requests as a stream: (accepted log, dead-letter log). Every request ends up in
     one of the two. A key that is stored, or accepted by an earlier batch, is taken; inside
-    a batch the first by (time, home, away) wins."""
-    src = stage_source(spark, requests, "predictions", chunk, chunk_values)
+    a batch the first by (time, home, away) wins.
+
+    ``source`` is a folder of Parquet files with the requests' columns, ``root`` the folder of
+    the logs and the checkpoint: calling again with the same root takes up what is new. What a
+    key holds is keyed state, so a batch does not read what earlier batches accepted.
+    """
+    src = source or stage_source(spark, requests, "predictions", chunk, chunk_values)
+    root = root or new_scratch_path(spark, "intake")
     kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
     columns = [*R.KEY, "pred_home_score", "pred_away_score", "prediction_time"]
-    schema = ", ".join(f"{c} {kinds[c]}" for c in columns)
-    accepted, dead = BatchLog(spark, "accepted", schema), BatchLog(spark, "dead-letter", f"{schema}, status string")
-
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        taken = restrict_to(accepted.read(batch_id).select(*R.KEY), batch, R.KEY)
-        if stored is not None:
-            taken = taken.unionByName(restrict_to(stored.select(*R.KEY), batch, R.KEY)).distinct()
-        judged = materialize(R.create_predictions(batch, taken, fixtures, users, groups), "judged")
-        dead.write(judged.filter(F.col("status") != R.OK).select(*columns, "status"), batch_id)
-        accepted.write(judged.filter(F.col("status") == R.OK).select(*columns), batch_id)
-
-    _run(spark, src, requests.schema, on_batch, "predictions")
-    return accepted, dead
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", status string"
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 8).parquet(src)
+    judged = R.request_statuses(stream, stored if stored is None else stored.select(*R.KEY).distinct(), fixtures, users, groups)
+    wins = FirstRequestWins(R.OK, R.EXISTS, ["prediction_time", "pred_home_score", "pred_away_score"])
+    out = judged.groupBy(*R.KEY).transformWithStateInPandas(wins, schema, outputMode="Append", timeMode="None")
+    path = _to_sink(out.withColumn("accepted", F.col("status") == R.OK), root, "judged", ("accepted",))
+    both = f"{schema}, accepted boolean"
+    return (SinkLog(spark, path, both, "accepted", ("status", "accepted")),
+            SinkLog(spark, path, both, "NOT accepted", ("accepted",)))
 
 
 # ---- T3: running user counters from the change feed -------------------------------------
 
-class CounterStream:
-    """Logs of a change-feed stream: first inserts, counted rows, rows that wait.
+GAINS = "user_id long, seq long, t long, c long, e long, inserted boolean"
 
-    A row counts when its seq is not below its user's first insert. Files may come in any
-    order, so a row below the first insert known so far waits; when a smaller first insert
-    comes, exactly the waiting rows between the two are released.
-    """
 
-    def __init__(self, spark: SparkSession):
-        row = "user_id long, seq long, t long, c long, e long"
-        self.firsts = BatchLog(spark, "firsts", "user_id long, first_seq long")
-        self.waiting = BatchLog(spark, "waiting", row)
-        self.counted = BatchLog(spark, "counted", "user_id long, t long, c long, e long")
+class CounterStream:
+    """The log of counted gains of a change-feed stream."""
 
-    def on_batch(self, batch: DataFrame, batch_id: int) -> None:
-        new, old, upd = F.col("new_points"), F.col("old_points"), F.col("op") == "U"
-        flag = lambda x: F.coalesce(x, F.lit(False)).cast("long")
-        rows = batch.select(
-            "user_id", "seq", "op", (flag(F.col("op") == "I") - flag(F.col("op") == "D")).alias("t"),
-            flag(upd & (new > 0) & (old.isNull() | (old == 0))).alias("c"),
-            flag(upd & (new == 10) & (old.isNull() | (old != 10))).alias("e"))
-        users = batch.select("user_id").distinct()
-        known = (restrict_to(self.firsts.read(batch_id), users, ["user_id"])
-                 .groupBy("user_id").agg(F.min("first_seq").alias("was")))
-        came = rows.filter(F.col("op") == "I").groupBy("user_id").agg(F.min("seq").alias("came"))
-        firsts = materialize(
-            known.join(came, "user_id", "full").select("user_id", "was", F.least("was", "came").alias("first_seq")), "firsts")
-        j = rows.join(firsts, "user_id", "left")
-        live = F.coalesce(F.col("seq") >= F.col("first_seq"), F.lit(False))
-        cols = ["user_id", "t", "c", "e"]
-        lowered = firsts.filter(F.col("was").isNull() | (F.col("first_seq") < F.col("was")))
-        freed = (self.waiting.read(batch_id).join(lowered, "user_id")
-                 .filter((F.col("seq") >= F.col("first_seq")) & (F.col("was").isNull() | (F.col("seq") < F.col("was")))))
-        sums = (j.filter(live).select(*cols).unionByName(freed.select(*cols))
-                .groupBy("user_id").agg(*[F.sum(x).alias(x) for x in ("t", "c", "e")]))
-        self.counted.write(sums, batch_id)
-        self.waiting.write(j.filter(~live).select("user_id", "seq", "t", "c", "e"), batch_id)
-        self.firsts.write(lowered.filter("first_seq is not null").select("user_id", "first_seq"), batch_id)
+    def __init__(self, counted: SinkLog):
+        self.counted = counted
 
     def final(self) -> DataFrame:
         return self.counted.read().groupBy("user_id").agg(
@@ -202,13 +216,25 @@ class CounterStream:
             F.sum("e").alias("exact_score_predictions"))
 
 
-def stream_user_counters(spark: SparkSession, change_feed: DataFrame, chunk: "F.Column",
-                         chunk_values: list) -> CounterStream:
-    """Counters from a change feed whose files may arrive in any order."""
-    src = stage_source(spark, change_feed, "changes", chunk, chunk_values)
-    state = CounterStream(spark)
-    _run(spark, src, change_feed.schema, state.on_batch, "changes")
-    return state
+def stream_user_counters(spark: SparkSession, change_feed: DataFrame, chunk: "F.Column | None" = None,
+                         chunk_values: list | None = None, source: str | None = None,
+                         root: str | None = None) -> CounterStream:
+    """Counters from a change feed (seq, op, pid, user_id, new_points) whose files may arrive in
+    any order. The points before a change come from the state of its prediction, not from the
+    feed; what counts comes from the state of its user. Two queries: the second reads the
+    first one's sink, and both go on from their checkpoints under ``root``."""
+    src = source or stage_source(spark, change_feed, "changes", chunk, chunk_values)
+    root = root or new_scratch_path(spark, "counters")
+    feed = spark.readStream.schema(change_feed.schema).option("maxFilesPerTrigger", 8).parquet(src)
+    gains = (feed.select("user_id", "pid", "seq", "op", F.col("new_points").cast("double").alias("new_points"))
+             .groupBy("user_id", "pid").transformWithStateInPandas(PointChanges(EXACT_POINTS), GAINS, outputMode="Append", timeMode="None"))
+    path = _to_sink(gains, root, "gains")
+    counted = "user_id long, t long, c long, e long"
+    if not path_exists(spark, path):
+        return CounterStream(SinkLog(spark, f"{root}/counted", counted))
+    rows = spark.readStream.schema(GAINS).parquet(path)
+    live = rows.groupBy("user_id").transformWithStateInPandas(CountersFromFirstInsert(), counted, outputMode="Append", timeMode="None")
+    return CounterStream(SinkLog(spark, _to_sink(live, root, "counted"), counted))
 
 
 # ---- T4: lock predictions as fixtures start ------------------------------------------------
