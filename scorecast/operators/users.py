@@ -7,12 +7,16 @@ fan-out figures (compat mode) are derived from the same pre-aggregates by arithm
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorecast.functions.scoring import EXACT_POINTS, round_ratio_2dp
 from scorecast.functions.validation import registration_reason
-from scorecast.operators.common import first_per_key, latest_per_key
+from scorecast.operators.common import ONE_TASK_BYTES, first_per_key, latest_per_key, planned_bytes
+from scorecast.operators.components import connected_components
 from scorecast.session import materialize
 
 PUBLIC_COLS = ["user_id", "username", "email", "created_at"]
@@ -72,10 +76,11 @@ def register_users(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Payload rules, then duplicate username, then duplicate email, as if the requests
     came one after another in ``request_id`` order. Usernames are stored lower-cased.
 
-    A refused request takes neither its name nor its e-mail. Undecided requests are judged
-    in rounds: one that is the first for both its name and its e-mail is accepted, its
-    rivals are refused, and those behind refused ones move up. A round decides at least the
-    first of every conflict; requests without a conflict are all decided by the first.
+    A refused request takes neither its name nor its e-mail. A round accepts the requests that
+    are first for both their name and their e-mail, and refuses their rivals: that settles
+    every popular name or address, and all but chains of requests in which one's refusal lets
+    the next in. When a round leaves more than half undecided, or few enough for one task,
+    the rest is settled in request order, one connected component of rivals after another.
     """
     r = requests.select("request_id", F.lower("username").alias("username"), "email")
     taken_names = users.select(F.col("username").alias("_tn"), F.lit(True).alias("_name_taken"))
@@ -88,16 +93,21 @@ def register_users(requests: DataFrame, users: DataFrame) -> DataFrame:
            .when(F.col("_mail_taken").isNotNull(), DUP_EMAIL))
     r = materialize(r.select("request_id", "username", "email", pre.alias("_pre")), "registrations")
     open_ = r.filter(F.col("_pre").isNull()).select("request_id", "username", F.lower("email").alias("mail"))
-    accepted = None
-    while accepted is None or not open_.isEmpty():
+    accepted, left = None, open_.count()
+    while True:
         firsts = [open_.groupBy(c).agg(F.min("request_id").alias(f"_{c}")) for c in ("username", "mail")]
         seen = materialize(open_.join(firsts[0], "username").join(firsts[1], "mail"), "round")
         won = seen.filter((F.col("request_id") == F.col("_username")) & (F.col("request_id") == F.col("_mail")))
-        won = won.select("request_id", "username", "mail")
-        accepted = won if accepted is None else accepted.unionByName(won)
-        open_ = materialize(seen.select("request_id", "username", "mail")
-                            .join(won.select("username"), "username", "left_anti")
+        here = won.select("request_id", "username")
+        accepted = here if accepted is None else accepted.unionByName(here)
+        open_ = materialize(seen.select("request_id", "username", "mail").join(won.select("username"), "username", "left_anti")
                             .join(won.select("mail"), "mail", "left_anti"), "open")
+        before, left = left, open_.count()
+        if not left:
+            break
+        if planned_bytes(open_) <= ONE_TASK_BYTES or 2 * left > before:
+            accepted = accepted.unionByName(settle_in_order(open_))
+            break
     names = accepted.select(F.col("username").alias("_n"), F.col("request_id").alias("_won"))
     j = r.join(names, F.col("username") == F.col("_n"), "left")
     status = (F.when(F.col("_pre").isNotNull(), F.col("_pre"))
@@ -106,6 +116,37 @@ def register_users(requests: DataFrame, users: DataFrame) -> DataFrame:
     return j.select("request_id", "username", "email", status.alias("status"))
 
 
+def settle_in_order(open_: DataFrame, one_task: int = ONE_TASK_BYTES) -> DataFrame:
+    """(request_id, username) of the requests (request_id, username, mail) that are accepted
+    when judged in order. Few requests are one task's work; many are dealt by the connected
+    components of requests that share a name or an e-mail."""
+    def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Requests accepted one after another; rows come by component and in request order."""
+        rivals, names, mails = None, set(), set()
+        for batch in batches:
+            won = []
+            for place, request, name, mail in zip(batch["rivals"], batch["request_id"], batch["username"], batch["mail"]):
+                if place != rivals:
+                    rivals, names, mails = place, set(), set()
+                if name not in names and mail not in mails:
+                    names.add(name)
+                    mails.add(mail)
+                    won.append((request, name))
+            yield pd.DataFrame(won, columns=["request_id", "username"])
+
+    if planned_bytes(open_) <= one_task:
+        rows = open_.withColumn("rivals", F.lit(0).cast("long")).coalesce(1)
+    else:
+        shared = [open_.join(open_.groupBy(c).agg(F.min("request_id").alias("y")), c).select(F.col("request_id").alias("x"), "y")
+                  for c in ("username", "mail")]
+        of = connected_components(shared[0].unionByName(shared[1])).withColumnRenamed("vertex", "request_id")
+        rows = (open_.join(of, "request_id", "left").withColumn("rivals", F.coalesce("component", "request_id"))
+                .repartition("rivals"))
+    rows = rows.sortWithinPartitions("rivals", "request_id").select("rivals", "request_id", "username", "mail")
+    kind = open_.schema["request_id"].dataType.simpleString()
+    return rows.mapInPandas(in_order, f"request_id {kind}, username string")
+
+
 def _stat_parts(users: DataFrame, memberships: DataFrame, predictions: DataFrame) -> DataFrame:
     p = predictions.groupBy("user_id").agg(
         F.count("pid").alias("_n"), F.sum("points_earned").alias("_pts"),
