@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorecast.functions.codes import group_code, normalize_code
+from scorecast.functions.codes import code_number, group_code, normalize_code
 from scorecast.operators import leaderboard as L
 from scorecast.operators.common import first_per_key, first_wins, restrict_to, sequential_ids, ts_lit
 from scorecast.session import materialize
@@ -25,6 +25,7 @@ GROUP_UNKNOWN = "Group not found"
 USER_UNKNOWN = "User not found"
 CODE_TAKEN = "Group code already exists"
 CREATED = "created"
+NO_CODE = "No group code left"
 NOT_CREATOR = "Only the group creator can delete the group"
 
 
@@ -40,11 +41,7 @@ def create_groups(requests: DataFrame, existing: DataFrame, as_of: dt.datetime,
     Returns (groups, memberships, leaderboard_rows) of the accepted requests; see
     ``judge_group_requests`` for the refused ones.
     """
-    judged = judge_group_requests(requests, existing, order, users)
-    accepted = judged.filter(F.col("status") == CREATED).drop("status")
-    base = existing.select(F.max("group_id")).scalar()
-    numbered = sequential_ids(accepted, [order], "_seq")
-    numbered = numbered.withColumn("group_id", F.coalesce(base, F.lit(0)) + F.col("_seq")).drop("_seq")
+    numbered = (_numbered_requests(requests, existing, order, users).filter(F.col("status") == CREATED).drop("status"))
     numbered = materialize(_with_codes(numbered, existing), "new-groups")
     groups = numbered.select("group_id", "group_code", "group_name", "creator_id", ts_lit(as_of).alias("creation_date"))
     members = groups.select(F.col("creator_id").alias("user_id"), "group_id", F.col("creation_date").alias("joined_date"))
@@ -56,7 +53,25 @@ def create_groups(requests: DataFrame, existing: DataFrame, as_of: dt.datetime,
 def judge_group_requests(requests: DataFrame, existing: DataFrame, order: str = "request_id",
                          users: DataFrame | None = None) -> DataFrame:
     """Requests with a status: unknown creator (with ``users``), a given code that is stored
-    or given by an earlier accepted request, or created. Codes compare in upper case."""
+    or given by an earlier accepted request, no code left for the id that the group would get
+    (where none is given), or created. Codes compare in upper case."""
+    return _numbered_requests(requests, existing, order, users).drop("group_id")
+
+
+def _numbered_requests(requests: DataFrame, existing: DataFrame, order: str, users: DataFrame | None) -> DataFrame:
+    """``judge_group_requests`` with the ids after the stored maximum, in request order. An id
+    beyond the code space keeps its number but not its group, as a failed insert does."""
+    judged = _judged_requests(requests, existing, order, users)
+    base = existing.select(F.max("group_id")).scalar()
+    made = sequential_ids(judged.filter(F.col("status") == CREATED), [order], "_seq")
+    made = made.withColumn("group_id", F.coalesce(base, F.lit(0)) + F.col("_seq")).drop("_seq")
+    none_left = F.col("group_code").isNull() & code_number("group_id").isNull()
+    made = made.withColumn("status", F.when(none_left, NO_CODE).otherwise(F.col("status")))
+    refused = judged.filter(F.col("status") != CREATED).withColumn("group_id", F.lit(None).cast(made.schema["group_id"].dataType))
+    return made.unionByName(refused)
+
+
+def _judged_requests(requests: DataFrame, existing: DataFrame, order: str, users: DataFrame | None) -> DataFrame:
     given = F.upper(F.col("group_code")) if "group_code" in requests.columns else F.lit(None).cast("string")
     r = requests.withColumn("group_code", F.when(given != "", given))
     stored = existing.select(F.col("group_code"), F.lit(True).alias("_stored"))

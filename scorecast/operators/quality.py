@@ -67,45 +67,67 @@ def fk_violations(edges: list[tuple[str, DataFrame, str, DataFrame, str]]) -> Da
     return _union(frames)
 
 
+#: The schema's foreign keys with ON DELETE CASCADE: (table, column, parent table, parent key).
+CASCADES = [("Group", "creator_id", "User", "user_id"),
+            *[(t, "user_id", "User", "user_id") for t in ("UserGroups", "Prediction", "Leaderboard", "UserStats", "Profile")],
+            *[(t, "group_id", "Group", "group_id") for t in ("UserGroups", "Prediction", "Leaderboard")],
+            ("Prediction", "fixture_id", "Fixture", "match_num")]
+
+
+def parents_first(tables: list[str], edges: list[tuple[str, str, str, str]]) -> list[str]:
+    """The tables in an order in which every parent stands before its children."""
+    out: list[str] = []
+    while len(out) < len(tables):
+        free = [t for t in tables if t not in out and all(p in out or p not in tables for c, _, p, _ in edges if c == t)]
+        if not free:
+            raise ValueError(f"foreign keys in a circle: {sorted(set(tables) - set(out))}")
+        out += free
+    return out
+
+
+def cascade(tables: dict[str, DataFrame], deleted: dict[str, DataFrame],
+            edges: list[tuple[str, str, str, str]] = CASCADES) -> dict[str, DataFrame]:
+    """Every table's rows with ``_gone``: whether deleting rows (``deleted``: the key values by
+    table, in a column of the key's name) takes them, directly or along the edges.
+
+    Any acyclic list of edges will do. A row hit along several edges is one row; a parent's
+    keys are distinct before the join, so no row is repeated; a NULL key refers to nothing."""
+    marked: dict[str, DataFrame] = {}
+    for name in parents_first(list(tables), edges):
+        rows, hits = tables[name], []
+        sources = [(deleted[name].columns[0], deleted[name])] if name in deleted else []
+        sources += [(column, marked[parent].filter("_gone").select(F.col(key).alias(column)))
+                    for child, column, parent, key in edges if child == name and parent in marked]
+        for i, (column, keys) in enumerate(sources):
+            rows = rows.join(keys.select(F.col(column)).distinct().withColumn(f"_gone{i}", F.lit(True)), column, "left")
+            hits.append(F.col(f"_gone{i}").isNotNull())
+        gone = F.lit(False)
+        for hit in hits:
+            gone = gone | hit
+        marked[name] = rows.select(*tables[name].columns, gone.alias("_gone"))
+    return marked
+
+
+def remaining(marked: DataFrame) -> DataFrame:
+    """A table of ``cascade`` without the rows that went."""
+    return marked.filter(~F.col("_gone")).drop("_gone")
+
+
 def cascade_delete(deleted_users: DataFrame, groups: DataFrame, memberships: DataFrame,
                    predictions: DataFrame, board: DataFrame, stats: DataFrame, profiles: DataFrame,
                    fixtures_deleted: DataFrame | None = None) -> DataFrame:
     """Rows removed per table when users (and the groups they created) and, optionally,
-    fixtures (match_num) are deleted: User -> Group, UserGroups, Prediction, Leaderboard,
-    UserStats, Profile; Group -> UserGroups, Prediction, Leaderboard; Fixture -> Prediction."""
-    du = deleted_users.select("user_id").distinct()
-    dg = groups.join(du.withColumnRenamed("user_id", "creator_id"), "creator_id", "left_semi").select("group_id")
-    du_f = du.select("user_id", F.lit(True).alias("_du"))
-    dg_f = dg.select("group_id", F.lit(True).alias("_dg"))
-
-    def by_user_or_group(name, df, with_fixture=False):
-        cols = ["user_id", "group_id"] + (["fixture_id"] if with_fixture else [])
-        j = df.select(*cols).join(du_f, "user_id", "left").join(dg_f, "group_id", "left")
-        gone = F.col("_du").isNotNull() | F.col("_dg").isNotNull()
-        if with_fixture:
-            df_f = fixtures_deleted.select(F.col("match_num").alias("fixture_id"), F.lit(True).alias("_df")).distinct()
-            j = j.join(df_f, "fixture_id", "left")
-            gone = gone | F.col("_df").isNotNull()
-        return j.filter(gone).agg(
-            F.count(F.lit(1)).alias("deleted_rows")).select(F.lit(name).alias("table_name"), "deleted_rows")
-
-    def by_user(name, df):
-        return df.join(du, "user_id", "left_semi").agg(F.count(F.lit(1)).alias("deleted_rows")).select(
-            F.lit(name).alias("table_name"), "deleted_rows")
-
-    frames = [
-        du.agg(F.count(F.lit(1)).alias("deleted_rows")).select(F.lit("User").alias("table_name"), "deleted_rows"),
-        dg.agg(F.count(F.lit(1)).alias("deleted_rows")).select(F.lit("Group").alias("table_name"), "deleted_rows"),
-        by_user_or_group("UserGroups", memberships),
-        by_user_or_group("Prediction", predictions, with_fixture=fixtures_deleted is not None),
-        by_user_or_group("Leaderboard", board),
-        by_user("UserStats", stats),
-        by_user("Profile", profiles),
-    ]
+    fixtures (match_num) are deleted, along ``CASCADES``."""
+    users = deleted_users.select("user_id").distinct()
+    tables = {"User": users, "Group": groups.select("group_id", "creator_id"), "UserGroups": memberships.select("user_id", "group_id"),
+              "Prediction": predictions.select("user_id", "group_id", "fixture_id"), "Leaderboard": board.select("user_id", "group_id"),
+              "UserStats": stats.select("user_id"), "Profile": profiles.select("user_id")}
+    gone = {"User": users}
     if fixtures_deleted is not None:
-        frames.append(fixtures_deleted.select("match_num").distinct().agg(F.count(F.lit(1)).alias("deleted_rows"))
-                      .select(F.lit("Fixture").alias("table_name"), "deleted_rows"))
-    return _union(frames)
+        tables["Fixture"] = gone["Fixture"] = fixtures_deleted.select("match_num").distinct()
+    marked = cascade(tables, gone)
+    return _union([df.filter("_gone").agg(F.count(F.lit(1)).alias("deleted_rows")).select(F.lit(n).alias("table_name"), "deleted_rows")
+                   for n, df in marked.items()])
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

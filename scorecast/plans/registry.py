@@ -40,4 +40,4 @@ def query(key: str, oracle: str | None = None):
 def load_all() -> None:
     # Importing the query modules fills the registry.
     from scorecast.plans import q_fixtures, q_groups, q_leaderboard, q_predictions  # noqa: F401
-    from scorecast.plans import q_quality, q_schedule, q_scoring, q_streaming, q_users  # noqa: F401
+    from scorecast.plans import q_quality, q_schedule, q_scoring, q_streaming, q_users, q_writes  # noqa: F401
