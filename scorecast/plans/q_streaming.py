@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scorecast.operators import predictions as R
 from scorecast.plans import q_predictions, q_scoring, q_users  # noqa: F401  (oracle keys)
 from scorecast.plans.registry import ORACLE, query
+from scorecast.session import new_scratch_path
 from scorecast.sources import batches
 from scorecast.streaming import jobs
 
@@ -47,13 +48,15 @@ def q_stream_user_counters(t):
 
 @query("stream_locks", ORACLE["lock_predictions"])
 def q_stream_locks(t):
-    """T4: fixture start (up to the lock time) and completion events lock predictions."""
-    fx = t.fixtures
-    starts = fx.filter(F.col("start_time") <= F.lit(q_scoring.LOCK_AS_OF).cast("timestamp_ntz")).select(
-        F.col("match_num").alias("fixture_id"), F.col("start_time").alias("event_time"))
-    done = fx.filter(F.col("completed")).select(F.col("match_num").alias("fixture_id"),
-                                                F.col("start_time").alias("event_time"))
-    events = starts.unionByName(done)
-    years = fx.select(F.min(F.year("start_time")), F.max(F.year("start_time"))).first()
-    chunk = F.year("event_time")
-    return jobs.stream_locks(t.spark, t.predictions, events, chunk, list(range(years[0], years[1] + 1))).final()
+    """T4: the games' starts and completions as they are told, then the clock at the lock time:
+    games lock by timers, without an event that names them when they start."""
+    null = lambda kind: F.lit(None).cast(kind)
+    told = t.fixtures.select(F.col("match_num").alias("fixture_id"), "start_time", "completed", F.lit(1).cast("long").alias("version"),
+                             null("timestamp_ntz").alias("clock"))
+    clock = t.spark.range(1).select(null("long").alias("fixture_id"), null("timestamp_ntz").alias("start_time"),
+                                    null("boolean").alias("completed"), null("long").alias("version"),
+                                    F.lit(q_scoring.LOCK_AS_OF).cast("timestamp_ntz").alias("clock"))
+    source = new_scratch_path(t.spark, "source-schedule")
+    told.repartition(CHUNKS).write.parquet(source)
+    clock.write.mode("append").parquet(source)
+    return jobs.stream_lock_timers(t.spark, t.predictions, source).final()

@@ -1,8 +1,8 @@
 """Structured Streaming jobs: the reference's triggers as streams.
 
-Each job reads a file source (``readStream`` with an explicit schema). T1 and T3 hold what a
-key has seen in Spark's state store and write to file sinks (``state.py``). T2 and T4 write
-through ``foreachBatch`` to append-only logs: one Parquet folder per log with a ``batch_id``
+Each job reads a file source (``readStream`` with an explicit schema). T1, T3 and T4's
+timers hold what a key has seen in Spark's state store and write to file sinks (``state.py``).
+T2, and locks by events that name their games, write through ``foreachBatch`` to append-only logs: one Parquet folder per log with a ``batch_id``
 partition that a micro-batch overwrites. A batch reads the logs of earlier batches only, so
 replaying it after a lost executor or driver gives the same partition again. What a batch
 writes is in proportion to the batch; stored tables are never rewritten. The current state
@@ -28,7 +28,7 @@ from scorecast.operators import scoring as S
 from scorecast.operators.common import restrict_to
 from scorecast.session import materialize, new_scratch_path, path_exists
 from scorecast.streaming import state as keyed
-from scorecast.streaming.state import CountersFromFirstInsert, FirstRequestWins, PointChanges
+from scorecast.streaming.state import CountersFromFirstInsert, FirstRequestWins, LockAtStart, PointChanges
 
 # The processors travel to the workers themselves: those need no copy of this package.
 cloudpickle.register_pickle_by_value(keyed)
@@ -265,3 +265,37 @@ def stream_locks(spark: SparkSession, predictions: DataFrame, events: DataFrame,
     state = LockStream(spark, predictions)
     _run(spark, src, events.schema, state.on_batch, "locks")
     return state
+
+
+SCHEDULE = "fixture_id long, start_time timestamp_ntz, completed boolean, version long, clock timestamp_ntz"
+
+
+class LockTimers:
+    """Stored predictions with the log of games that locked by themselves or were completed."""
+
+    def __init__(self, predictions: DataFrame, locked: SinkLog):
+        self.predictions, self.locked = predictions, locked
+
+    def final(self) -> DataFrame:
+        ids = self.locked.read().select("fixture_id").distinct().withColumn("_hit", F.lit(True))
+        p = self.predictions
+        return p.join(ids, "fixture_id", "left").withColumn(
+            "locked", F.col("locked") | F.col("_hit").isNotNull()).select(*p.columns)
+
+
+def stream_lock_timers(spark: SparkSession, predictions: DataFrame, source: str, root: str | None = None) -> LockTimers:
+    """Games lock when the clock reaches their start, or when they are completed.
+
+    ``source`` is a folder of Parquet files of ``SCHEDULE`` rows: a row with a ``fixture_id``
+    tells a game's start (the greatest ``version`` counts) or that it is completed, a row with a
+    ``clock`` tells the time. A start is held as an event-time timer, which fires without a row
+    that names its game; rows about games carry no clock and so are never too late."""
+    root = root or new_scratch_path(spark, "locks")
+    rows = spark.readStream.schema(SCHEDULE).option("maxFilesPerTrigger", 8).parquet(source)
+    # The clock's rows go through the state operator too (under a key that it skips): a filter
+    # would be moved below the watermark and take the clock away.
+    events = rows.select(F.coalesce("fixture_id", F.lit(-1)).alias("fixture_id"), "completed", F.coalesce("version", F.lit(0)).alias("version"),
+                         F.unix_millis(F.col("start_time").cast("timestamp")).alias("start_ms"), F.col("clock").cast("timestamp").alias("clock"))
+    locked = (events.withWatermark("clock", "0 seconds").groupBy("fixture_id")
+              .transformWithStateInPandas(LockAtStart(), "fixture_id long", outputMode="Append", timeMode="EventTime"))
+    return LockTimers(predictions, SinkLog(spark, _to_sink(locked, root, "locked"), "fixture_id long"))

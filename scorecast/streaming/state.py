@@ -155,3 +155,53 @@ class CountersFromFirstInsert(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class LockAtStart(StatefulProcessor):
+    """A game locks when it is completed or the clock reaches its start, whichever comes first.
+
+    Its start is a timer in the state store; a game that is moved gets another one. The clock is
+    the watermark, so no row has to name the game when its time comes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.start = handle.getValueState("start", "at long, version long")
+        self.locked = handle.getValueState("locked", "locked boolean")
+
+    def _lock(self) -> Iterator[pd.DataFrame]:
+        self.locked.update((True,))
+        self.start.clear()
+        yield pd.DataFrame({"fixture_id": [self.fixture]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self.fixture, completed, newest = key[0], False, None
+        for part in rows:
+            completed |= bool(part["completed"].any())
+            known = part[part["start_ms"].notna()]
+            if len(known):
+                last = known.sort_values("version", kind="stable").iloc[-1]
+                if newest is None or last["version"] >= newest[1]:
+                    newest = (int(last["start_ms"]), int(last["version"]))
+        if self.fixture is None or self.fixture < 0 or self.locked.exists():
+            return  # the clock's own rows; a locked game stays locked
+        if completed:
+            yield from self._lock()
+            return
+        held = self.start.get() if self.start.exists() else None
+        if newest is None or (held is not None and held[1] > newest[1]):
+            return
+        if held is not None and held[0] != newest[0]:
+            self.handle.deleteTimer(held[0])
+        self.start.update(newest)
+        if newest[0] <= timerValues.getCurrentWatermarkInMs():
+            yield from self._lock()
+        else:
+            self.handle.registerTimer(newest[0])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.fixture = key[0]
+        if self.start.exists() and self.start.get()[0] == expiredTimerInfo.getExpiryTimeInMs():
+            yield from self._lock()
+
+    def close(self) -> None:
+        pass
