@@ -6,8 +6,9 @@ is written as Parquet and read again as the next one's ``docs``. Rows with a nul
 through every filter by their own text: they are never dropped for want of an id.
 
 Edge cases: extra columns stay to the end (packing returns pieces); null texts are scored as
-empty ones and stay null; repeated rows of one ``doc_id`` are copies, of which near-dedup keeps
-one; an empty table goes through as an empty table.
+empty ones and stay null; rows equal in ``doc_id`` (or without one) and text are copies, of
+which near-dedup keeps one; other texts of an id are documents of their own; an empty table
+goes through as an empty table.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from scorecast.llm import minhash, packing, quality, queries, secrets, toxicity
 from scorecast.llm.scratch import ship_package, written
 
 
-_TEXT_HASH = "__text_hash"
+_TEXT_HASH, _KEY, _ID, _FIRST, _LAST = "__text_hash", "__key", "__id", "__first_text", "__last_text"
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,15 +38,27 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.filter_documents(docs, vectors, network, queries.QUALITY_FROM)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key for every text: its ``doc_id``, or, for texts without an id and for
+    further texts of an id, a number above all ids made from both."""
+    rows = docs.withColumn(_TEXT_HASH, F.xxhash64("text"))
+    several = (rows.filter("doc_id is not null").groupBy(F.col("doc_id").alias(_ID))
+               .agg(F.min(_TEXT_HASH).alias(_FIRST), F.max(_TEXT_HASH).alias(_LAST)).filter(F.col(_FIRST) != F.col(_LAST)))
+    j = rows.join(several, F.col("doc_id") == F.col(_ID), "left")
+    other = F.col("doc_id").isNull() | (F.col(_TEXT_HASH) != F.col(_FIRST))
+    made = F.xxhash64("doc_id", _TEXT_HASH).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    return j.withColumn(_KEY, F.when(other, made).otherwise(F.col("doc_id").cast("long"))).select(*docs.columns, _KEY)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies: the one with the smallest id. Texts without an
+    id, and several texts of one id, are compared each for itself."""
     ship_package(spark)
-    kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    columns = docs.columns
-    # Of rows that repeat an id and its text any one stays.
-    one = (docs.withColumn(_TEXT_HASH, F.xxhash64("text")).join(kept, "doc_id", "left_semi")
-           .dropDuplicates(["doc_id", _TEXT_HASH]).select(columns))
-    return one.unionByName(docs.filter("doc_id is null"))
+    keyed = _keyed(docs)
+    kept = minhash.near_duplicates(keyed.select(F.col(_KEY).alias("doc_id"), "text")).filter("kept").select(
+        F.col("doc_id").alias(_KEY)).distinct()
+    # Rows of one key are equal in id and text: any one stays.
+    return keyed.join(kept, _KEY, "left_semi").dropDuplicates([_KEY]).select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
         some = present.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         drawn = some if drawn is None else drawn.unionByName(some)
     fold = (F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % FOLDS).cast("int")
-    # Rows that repeat an id count once, so the sample stays bounded.
-    return (docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
+    # Rows that repeat an id count once, so the sample stays bounded: with the text of the least
+    # hash, whichever row comes first.
+    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(drawn), "doc_id")
+    return (rows.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
             .withColumn("fold", fold).select("doc_id", "text", "y", "fold"))

@@ -256,10 +256,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             .mapInPandas(_shingles, "doc_id long, key long, n_blocks long, shingles binary"))
     links = dealt(_in_blocks(sets, "n_blocks")).mapInPandas(_confirm(percent), "a long, b long")
 
-    found = connected_components(links)
+    # A document with several texts is one vertex with the links of all of them.
+    repeated = (signed.filter("doc_id is not null").select("doc_id", *same).distinct()
+                .groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"))
+    own = (sized.join(repeated, "doc_id", "left_semi").join(classes, same).filter("doc_id <> class_id")
+           .select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")))
+    found = connected_components(links.unionByName(own))
     of_class = classes.join(found, F.col("class_id") == F.col("node"), "left").select(
         *same, F.coalesce("component", "class_id").alias("component_id"))
-    rows = signed.select("doc_id", *same).join(of_class, same, "left")
+    full = signed.filter("n_shingles > 0").select("doc_id", *same).join(of_class, same, "left")
+    empty = signed.filter("n_shingles = 0").select("doc_id", "n_shingles").join(
+        found.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "component_id"), "doc_id", "left")
+    rows = full.select("doc_id", "n_shingles", "component_id").unionByName(empty)
     return rows.select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),

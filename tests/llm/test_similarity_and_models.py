@@ -359,3 +359,34 @@ def test_run_equals_the_stages(spark):
     assert rows.select("doc_id").distinct().count() > 50
     seq = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"))
     assert seq.filter(F.col("n") > packing.Limits().tokens).count() == 0
+
+
+def _words(seed, n=60):
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+
+def test_a_repeated_id_is_one_vertex(spark):
+    ship_package(spark)
+    a, b, c = _words(1), _words(2), _words(3)
+    rows = [(3, b), (5, b), (5, a), (7, a + " tail"), (9, c), (9, ""), (8, c), (11, ""), (11, c + " end"), (None, a), (None, a)]
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (7, 3, False), (8, 8, True), (9, 8, False), (11, 8, False), (None, None, True)}
+
+
+def test_near_dedup_keeps_one_row_of_each_text(spark):
+    ship_package(spark)
+    a, b, c, d = (_words(k) for k in range(10, 14))
+    rows = [(3, b), (5, b), (5, a), (None, a), (None, c), (None, c), (6, d), (6, d), (None, d + " tail")]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    texts = sorted(r.text for r in kept)
+    assert texts == sorted([a, b, c, d]) and {r.doc_id for r in kept if r.text in (b, d)} == {3, 6}
+
+
+def test_the_sample_does_not_depend_on_the_order_of_rows(spark):
+    ship_package(spark)
+    rows = [(i % 40, f"text {i} {i * 7 % 11}") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    drawn = [sorted(map(tuple, labelled.training_rows(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels, "toxic", 50).collect()))
+             for r, n in ((rows, 1), (rows[::-1], 7), (rows, 13))]
+    assert drawn[0] == drawn[1] == drawn[2] and len(drawn[0]) == len({r[0] for r in drawn[0]}) > 20
