@@ -44,7 +44,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn(_TEXT_HASH, F.xxhash64("text"))
     several = (rows.filter("doc_id is not null").groupBy(F.col("doc_id").alias(_ID))
                .agg(F.min(_TEXT_HASH).alias(_FIRST), F.max(_TEXT_HASH).alias(_LAST)).filter(F.col(_FIRST) != F.col(_LAST)))
-    j = rows.join(several, F.col("doc_id") == F.col(_ID), "left")
+    # Written, so that the planner knows how few they are and the texts are not shuffled for them.
+    j = rows.join(written(several, "several-texts"), F.col("doc_id") == F.col(_ID), "left")
     other = F.col("doc_id").isNull() | (F.col(_TEXT_HASH) != F.col(_FIRST))
     made = F.xxhash64("doc_id", _TEXT_HASH).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     return j.withColumn(_KEY, F.when(other, made).otherwise(F.col("doc_id").cast("long"))).select(*docs.columns, _KEY)
