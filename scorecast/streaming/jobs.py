@@ -2,11 +2,12 @@
 
 Each job reads a file source (``readStream`` with an explicit schema). T1, T3 and T4's
 timers hold what a key has seen in Spark's state store and write to file sinks (``state.py``).
-T2, and locks by events that name their games, write through ``foreachBatch`` to append-only logs: one Parquet folder per log with a ``batch_id``
-partition that a micro-batch overwrites. A batch reads the logs of earlier batches only, so
-replaying it after a lost executor or driver gives the same partition again. What a batch
-writes is in proportion to the batch; stored tables are never rewritten. The current state
-(accepted rows, board, counters, locks) is a query over the stored tables and the logs.
+T2, and locks by events that name their games, write through ``foreachBatch`` to append-only
+logs: one Parquet folder per log with a ``batch_id`` partition that a micro-batch overwrites.
+A batch reads the logs of earlier batches only, so replaying it after a lost executor or
+driver gives the same partition again. What a batch writes is in proportion to the batch;
+stored tables are never rewritten. The current state (accepted rows, board, counters, locks)
+is a query over the stored tables and the logs.
 
 The results do not depend on how the requests were cut into files, micro-batches or order of
 files, except where arrival order is the rule (of several requests to one key in different
