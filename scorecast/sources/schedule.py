@@ -1,12 +1,13 @@
 """Schedule JSON sources and sinks, flattening, import and fixture upsert.
 
 The upstream feed is ``leagueSchedule.gameDates[].games[]``. Two layouts are read with an
-explicit schema (no inference): the single-document feed (``multiLine``; one file is one
-record, fine for a season's schedule) and JSON lines with one game per line and its two
-positions, which splits across tasks at any size. Survivors are numbered in document order by
-(file, position of the day, position in the day), whatever the date's text looks like, with
-distributed sequential ids over the range-partitioned key, so even a day holding most games
-spreads over many tasks.
+explicit schema (no inference): the single-document feed and JSON lines with one game per line
+and its two positions, which splits across tasks at any size. A document is one record
+(``multiLine``) or, where every day opens with its date, is split at the days: each task reads
+its byte range of the file, and a day is one record (``read_days``). Survivors are numbered in
+document order by (file, byte range, position of the day, position in the day), whatever the
+date's text looks like, with distributed sequential ids over the range-partitioned key, so even
+a day holding most games spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -49,7 +50,12 @@ FLAT_FIXTURE = T.StructType([
     T.StructField("completed", T.BooleanType()), T.StructField("_corrupt_record", T.StringType())])
 
 
-POSITION = ["file", "day_pos", "game_pos"]
+#: The order of the games of a feed; a layout may lack some of these.
+POSITION = ["file", "block", "day_pos", "game_pos", "line_file"]
+
+#: What opens a day in a document that is read by days.
+DAY_KEY = '"gameDate":'
+NOT_BY_DAYS = "The schedule document cannot be split at its days: every day has to open with "
 
 
 def write_feed_lines(games: DataFrame, path: str) -> str:
@@ -64,12 +70,43 @@ def games_of_documents(documents: DataFrame) -> DataFrame:
     return days.select("file", "day_pos", "d.gameDate", F.posexplode("d.games").alias("game_pos", "game"))
 
 
-def read_schedule(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
-    """The feed as one row per game (file, day_pos, game_pos, gameDate, game)."""
+def read_days(spark: SparkSession, path: str) -> DataFrame:
+    """The games of schedule documents (file, block, day_pos, game_pos, gameDate, game), each
+    file read by as many tasks as it has splits.
+
+    The text reader cuts records at ``DAY_KEY``. Inside a JSON text a quote is escaped, so the
+    key's closing quote and colon stand nowhere else. ``block`` is the first byte of the split
+    and ``day_pos`` counts up inside it. What follows a day's object in its record is not read.
+    A document whose days do not open with that key (other key order, a blank before the colon,
+    a broken day) is an error naming the file, never fewer games. An empty file has no games.
+    """
+    pieces = spark.read.option("lineSep", DAY_KEY).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("day_pos"), "value")
+    head = F.ltrim("value").startswith("{")  # a day's record goes on with the date: a text or null
+    day = F.from_json(F.concat(F.lit("{" + DAY_KEY), "value"), GAME_DATE)
+    read = pieces.select("file", "block", "day_pos", head.alias("head"), "value", F.when(~head, day).alias("d"))
+    refuse = F.raise_error(F.concat(F.lit(NOT_BY_DAYS + DAY_KEY + " in "), "file"))
+    games = (F.when(F.col("d.games").isNotNull(), F.col("d.games"))
+             .when(F.col("value").contains('"games"') | F.col("value").contains('"gameId"'), refuse))
+    days = read.select("file", "block", "day_pos", "d.gameDate", games.alias("games"))
+    return days.select("file", "block", "day_pos", "gameDate", F.posexplode("games").alias("game_pos", "game"))
+
+
+def read_schedule(spark: SparkSession, path: str, document: bool = False, by_days: bool = False) -> DataFrame:
+    """The feed as one row per game (file, day_pos, game_pos, gameDate, game).
+
+    ``document``: each file is one document, read whole, or (``by_days``) split at its days. JSON
+    lines carry their positions, whatever file they are in; lines of several files with equal
+    positions follow each other by file.
+    """
+    if document and by_days:
+        return read_days(spark, path)
     if document:
         doc = spark.read.schema(FEED_DOCUMENT).option("multiLine", True).json(path)
         return games_of_documents(doc.select(F.col("_metadata.file_path").alias("file"), "leagueSchedule"))
-    return spark.read.schema(GAME_LINE).json(path).withColumn("file", F.lit(""))
+    return spark.read.schema(GAME_LINE).json(path).select(
+        F.lit("").alias("file"), "*", F.col("_metadata.file_path").alias("line_file"))
 
 
 def flatten_schedule(games: DataFrame, season_start: dt.datetime = SEASON_START) -> DataFrame:
@@ -78,7 +115,7 @@ def flatten_schedule(games: DataFrame, season_start: dt.datetime = SEASON_START)
     t = F.try_to_timestamp(F.substring("game.gameDateTimeEst", 1, 19), F.lit(TIME_FORMAT)).cast("timestamp_ntz")
     ok = games.filter(F.col("game.gameDateTimeEst").isNotNull()).withColumn("_t", t) \
         .filter(F.col("_t").isNotNull() & (F.col("_t") >= ts_lit(season_start)))
-    numbered = sequential_ids(ok, POSITION, "fixture_number")
+    numbered = sequential_ids(ok, [c for c in POSITION if c in ok.columns], "fixture_number")
 
     def flat(team):
         return F.struct(F.col(f"game.{team}.teamCity").alias("city"), F.col(f"game.{team}.teamName").alias("name"),
