@@ -39,10 +39,11 @@ SCHEMA = ("doc_id long, start long, length long, loss_tokens long, doc_tokens lo
 
 @dataclass(frozen=True)
 class Limits:
-    """What one sequence may hold."""
+    """What one sequence may hold. 512 segments fill a sequence with documents of two ids, the
+    shortest ones with a text; of empty documents alone it has half its length, a power of two."""
 
     tokens: int = 1024
-    segments: int = 64
+    segments: int = 512
     loss_tokens: int = 1024
 
 

@@ -124,6 +124,18 @@ def test_packing_keeps_all_limits(spark, tokenizer, limits):
     assert all(bearing[i] == (min(i % 7, len(ids[i])) if i % 3 == 0 else len(ids[i])) for i in ids)
 
 
+@pytest.mark.parametrize("text, most", [("one two", 0.05), ("one", 0.05), (None, 0.5)])
+def test_short_documents_fill_sequences(spark, tokenizer, text, most):
+    n = 5000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(text).cast("string").alias("text")).coalesce(1)
+    pieces = packing.pack_documents(docs, queries.tokenizer_path())
+    seqs = [r.n for r in pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
+    per_doc = len(tokenizer.encode(text or "", add_special_tokens=False).ids) + 1
+    assert sum(seqs) == n * per_doc and sum(x < 1024 for x in seqs if text) <= 1
+    full = [x for x in seqs if x == max(seqs)]
+    assert len(full) >= len(seqs) - 1 and 1 - max(seqs) / 1024 <= most
+
+
 def test_prefix_hashes_against_brute_force():
     rng = random.Random(1)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["é" * 30, "a" * 60]
