@@ -20,6 +20,9 @@ from scorecast.llm import minhash, packing, quality, queries, secrets, toxicity
 from scorecast.llm.scratch import ship_package, written
 
 
+#: Shared 5-word shingles of two texts, in percent of all that they have, from which near_dedup takes them as copies.
+NEAR_PERCENT = 80
+
 _TEXT_HASH, _KEY, _ID, _FIRST, _LAST = "__text_hash", "__key", "__id", "__first_text", "__last_text"
 
 
@@ -56,7 +59,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     id, and several texts of one id, are compared each for itself."""
     ship_package(spark)
     keyed = _keyed(docs)
-    kept = minhash.near_duplicates(keyed.select(F.col(_KEY).alias("doc_id"), "text")).filter("kept").select(
+    kept = minhash.near_duplicates(keyed.select(F.col(_KEY).alias("doc_id"), "text"), NEAR_PERCENT).filter("kept").select(
         F.col("doc_id").alias(_KEY)).distinct()
     # Rows of one key are equal in id and text: any one stays.
     return keyed.join(kept, _KEY, "left_semi").dropDuplicates([_KEY]).select(docs.columns)

@@ -50,13 +50,13 @@ def test_components_against_brute_force(spark):
         assert got == want
 
 
-def _brute_near(texts):
+def _brute_near(texts, percent=85):
     sets = []
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
         sets.append(frozenset(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
     links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j]
-             and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+             and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
     return [len(s) for s in sets], _roots(len(sets), links)
 
 
@@ -318,7 +318,7 @@ def test_pipeline_stages_do_what_their_operators_decide(spark):
             want = {r.doc_id for r in quality.score_quality(docs, vectors, net).collect() if r.score >= 0.3}
         elif name == "near_dedup":
             ids = sorted(before)
-            _, roots = _brute_near([before[i].text for i in ids])
+            _, roots = _brute_near([before[i].text for i in ids], corpus_pipeline.NEAR_PERCENT)
             want = {ids[r] for r in set(roots)}
         else:
             want = set(before)
@@ -354,6 +354,20 @@ def test_pipeline_rows(spark):
         assert stage(spark, empty, MID).count() == 0
 
 
+def test_near_dedup_takes_four_fifths(spark):
+    assert corpus_pipeline.NEAR_PERCENT == 80
+    ship_package(spark)
+    words = [f"w{i}" for i in range(104)]  # 100 shingles
+    def shared(k):  # k of each text's 100 shingles are common: k of 200 - k
+        return " ".join(words[:k + 4] + [f"e{k}x{i}" for i in range(100 - k)])
+    rows = [(10, " ".join(words)), (20, shared(89)), (30, shared(88)), (40, "other words that stay")]
+    assert 100 * 89 >= 80 * (200 - 89) and 100 * 88 < 80 * (200 - 88)
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows[:2] + rows[3:], "doc_id long, text string"), "")
+    assert {r.doc_id for r in kept.collect()} == {10, 40}
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame([rows[0], *rows[2:]], "doc_id long, text string"), "")
+    assert {r.doc_id for r in kept.collect()} == {10, 30, 40}
+
+
 def test_run_equals_the_stages(spark):
     rows = corpus_pipeline.run(spark, SF_SMALL)
     assert rows.select("doc_id").distinct().count() > 50
