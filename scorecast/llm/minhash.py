@@ -6,7 +6,8 @@ of a candidate table. Documents with equal sets are one class from the start. Wi
 key, pairs whose signatures agree often enough join candidate families (only spanning links
 leave a task), and inside a family every pair is judged on the full sets. Band keys and
 families of any size are cut into blocks, and each pair of blocks is a unit of work of
-bounded size: no cap, no sampling, and no table of all pairs.
+bounded size: no cap, no sampling, and no table of all pairs. Blocks of a band key are compared
+with each other only where their documents are not yet of one family (``candidate_families``).
 
 64 permutations give 128 values. The rows of a band and the agreement that signatures need are
 derived from the wanted similarity (``scheme``), so that a pair at that similarity shares no
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from scorecast.llm import spans as S
 from scorecast.llm.blocks import PAIR, Forest, dealt, groups, segments
 from scorecast.llm.components import connected_components
-from scorecast.llm.scratch import written
+from scorecast.llm.scratch import released_shuffles, written
 
 SHINGLE = 5
 PERMUTATIONS = 64
@@ -148,6 +149,7 @@ def _candidates(need: int):
             sig = np.frombuffer(b"".join(part["sig"]), dtype=np.uint8).reshape(len(part), -1)
             ids, block = part["doc_id"].to_numpy(), part["block"].to_numpy()
             left, right = part["left"].to_numpy(), part["right"].to_numpy()
+            component = part["component"].to_numpy() if "component" in part else None
             out = []
             for lo, hi in groups(part, PAIR):
                 forest, across = Forest(hi - lo), left[lo] != right[lo]
@@ -155,6 +157,8 @@ def _candidates(need: int):
                     agree = (sig[i + 1:hi] == sig[i]).sum(axis=1) >= need
                     if across:
                         agree &= block[i + 1:hi] != block[i]
+                    if component is not None:
+                        agree &= component[i + 1:hi] != component[i]
                     for j in np.flatnonzero(agree):
                         forest.link(i - lo, i + 1 + int(j) - lo)
                 out += [(ids[lo + x], ids[lo + y]) for x, y in forest.links]
@@ -226,6 +230,53 @@ def _in_blocks(rows: DataFrame, n_blocks: str) -> DataFrame:
             .drop("other", n_blocks))
 
 
+def _released(df: DataFrame, name: str) -> DataFrame:
+    with released_shuffles(df.sparkSession):
+        return written(df, name)
+
+
+def candidate_families(reps: DataFrame, need: int) -> DataFrame:
+    """(node, component) over ``reps`` (doc_id, xor_hash, sig, bands): every two documents that
+    share a band and whose signatures agree on ``need`` values are in one component.
+
+    First each block of a band key is compared within itself; blocks are dealt anew for every
+    key, so the bands of a large family join it. Then keys of several blocks whose documents
+    are still in different components are compared across: the documents of the key's largest
+    component only with the others. A family costs its rows once for each band, not once for
+    each pair of its blocks.
+    """
+    banded = reps.select("doc_id", "xor_hash", F.explode("bands").alias("key"))
+    signs = reps.select("doc_id", "xor_hash", "sig")
+    shared = (banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+              .select("key", F.ceil(F.col("n") / BLOCK_DOCS).alias("n_blocks")))
+    place = F.xxhash64("doc_id", "key")
+    within = (banded.join(shared, "key").withColumn("block", F.pmod(place, F.col("n_blocks")).cast("int"))
+              .withColumn("left", F.col("block")).withColumn("right", F.col("block")).drop("n_blocks"))
+    edges = "a long, b long"
+    found = connected_components(_released(
+        dealt(within.join(signs, ["doc_id", "xor_hash"])).mapInPandas(_candidates(need), edges).distinct(), "near-within"))
+
+    rows = (banded.join(shared.filter("n_blocks > 1").select("key"), "key")
+            .join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+            .withColumn("component", F.coalesce("component", "doc_id")))
+    split = (rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
+             .filter(F.col("n") > F.col("main.n"))
+             .select("key", F.col("main.component").alias("main"), F.ceil(F.col("main.n") / BLOCK_DOCS).alias("n_main"),
+                     F.ceil((F.col("n") - F.col("main.n")) / BLOCK_DOCS).alias("n_rest")))
+    inside = F.col("component") == F.col("main")
+    last = (F.col("n_main") + F.col("n_rest") - 1).cast("int")
+    across = (rows.join(split, "key")
+              .withColumn("block", F.when(inside, F.pmod(place, F.col("n_main")))
+                          .otherwise(F.col("n_main") + F.pmod(place, F.col("n_rest"))).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.when(inside, F.col("n_main")).otherwise(F.lit(0)).cast("int"), last)))
+              .withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
+              .select("doc_id", "xor_hash", "key", "component", "block", "left", "right"))
+    more = _released(
+        dealt(across.join(signs, ["doc_id", "xor_hash"])).mapInPandas(_candidates(need), edges).distinct(), "near-across")
+    return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     plan = scheme(percent)
@@ -237,14 +288,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = sized.groupBy(*same).agg(F.min("doc_id").alias("class_id"))
     reps = sized.join(classes, same).filter("doc_id = class_id").dropDuplicates(["doc_id", *same])
 
-    banded = reps.select("doc_id", "xor_hash", F.explode("bands").alias("key"))
-    shared = (banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-              .select("key", F.ceil(F.col("n") / BLOCK_DOCS).alias("n_blocks")))
-    rows = _in_blocks(banded.join(shared, "key").join(reps.select("doc_id", "xor_hash", "sig"), ["doc_id", "xor_hash"]),
-                      "n_blocks")
-    candidates = dealt(rows).mapInPandas(_candidates(plan.agree), "a long, b long").distinct()
-
-    hung = connected_components(candidates)
+    hung = candidate_families(reps, plan.agree)
     family = hung.union(hung.select(F.col("component").alias("node"), "component").distinct())
     member = family.select(F.col("node").alias("doc_id"), F.col("component").alias("key"))
     member = member.join(reps.groupBy("doc_id").agg(F.sum("n_shingles").alias("n_shingles")), "doc_id")
@@ -254,7 +298,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     sets = (texts.withColumn("text_hash", F.xxhash64("text")).join(member, "doc_id")
             .dropDuplicates(["doc_id", "text_hash"]).drop("text_hash")
             .mapInPandas(_shingles, "doc_id long, key long, n_blocks long, shingles binary"))
-    links = dealt(_in_blocks(sets, "n_blocks")).mapInPandas(_confirm(percent), "a long, b long")
+    links = _released(dealt(_in_blocks(sets, "n_blocks")).mapInPandas(_confirm(percent), "a long, b long"), "near-links")
 
     # A document with several texts is one vertex with the links of all of them.
     repeated = (signed.filter("doc_id is not null").select("doc_id", *same).distinct()

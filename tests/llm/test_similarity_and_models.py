@@ -124,6 +124,22 @@ def test_signatures_refuse_what_they_cannot_serve():
             minhash.scheme(percent)
 
 
+def test_a_large_family_is_not_compared_block_by_block(spark, monkeypatch):
+    ship_package(spark)
+    rng, dealt, seen = random.Random(8), minhash.dealt, []
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(minhash, "dealt", lambda rows: (seen.append(rows), dealt(rows))[1])
+    texts = [f"{' '.join(f'w{k}' for k in range(120))} e{i}" for i in range(400)]  # one family
+    texts += _family(rng, 60, 80) + [" ".join(f"r{rng.randrange(9)}" for _ in range(7)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    _, roots = _brute_near(texts)
+    assert [got[i] for i in range(len(texts))] == roots and roots[:400] == [0] * 400
+    bands = minhash.scheme(85).bands
+    within, across = seen[0].count(), seen[1].count()
+    assert 300 * bands / 2 < within <= bands * len(texts) and across < within / 4
+
+
 def test_near_duplicate_edge_rows(spark):
     ship_package(spark)
     rows = [(1, "one two three four five six"), (1, "one two three four five six"), (2, "one two three four five six"),
