@@ -159,6 +159,11 @@ class SinkLog:
         return self.spark.read.schema(self.schema).parquet(self.path).filter(self.where).drop(*self.drop)
 
 
+def _bucketed(rows: DataFrame, *keys: str):
+    """A stream's rows grouped by bucket of ``keys``, as the processors of ``state.py`` take them."""
+    return rows.withColumn("_bucket", keyed.bucket_of(*keys)).groupBy("_bucket")
+
+
 def _to_sink(rows: DataFrame, root: str, name: str, folders: tuple[str, ...] = ()) -> str:
     """Run a stream into a Parquet file sink under ``root`` until its source is drained. Offsets
     and state are in the checkpoint beside it: the next call with the same root goes on there."""
@@ -182,8 +187,8 @@ def stream_predictions(spark: SparkSession, requests: DataFrame, fixtures: DataF
     a batch the first by (time, home, away) wins.
 
     ``source`` is a folder of Parquet files with the requests' columns, ``root`` the folder of
-    the logs and the checkpoint: calling again with the same root takes up what is new. What a
-    key holds is keyed state, so a batch does not read what earlier batches accepted.
+    the logs and the checkpoint: calling again with the same root takes up what is new. What
+    keys hold is keyed state by bucket, so a batch does not read the log of earlier batches.
     """
     src = source or stage_source(spark, requests, "predictions", chunk, chunk_values)
     root = root or new_scratch_path(spark, "intake")
@@ -192,8 +197,8 @@ def stream_predictions(spark: SparkSession, requests: DataFrame, fixtures: DataF
     schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", status string"
     stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 8).parquet(src)
     judged = R.request_statuses(stream, stored if stored is None else stored.select(*R.KEY).distinct(), fixtures, users, groups)
-    wins = FirstRequestWins(R.OK, R.EXISTS, ["prediction_time", "pred_home_score", "pred_away_score"])
-    out = judged.groupBy(*R.KEY).transformWithStateInPandas(wins, schema, outputMode="Append", timeMode="None")
+    wins = FirstRequestWins(R.OK, R.EXISTS, R.KEY, ["prediction_time", "pred_home_score", "pred_away_score"])
+    out = _bucketed(judged, *R.KEY).transformWithStateInPandas(wins, schema, outputMode="Append", timeMode="None")
     path = _to_sink(out.withColumn("accepted", F.col("status") == R.OK), root, "judged", ("accepted",))
     both = f"{schema}, accepted boolean"
     return (SinkLog(spark, path, both, "accepted", ("status", "accepted")),

@@ -1,10 +1,10 @@
-"""Keyed state of the streams: what a key has seen, held by Spark's state store.
+"""Keyed state of the streams: what keys have seen, held by Spark's state store.
 
-The processors run under ``transformWithStateInPandas``; a key's state lies in the state store
-(RocksDB), is part of the query's checkpoint, and is read only for keys of the micro-batch. So
-a batch costs as much as its own rows, however many batches came before, and a query that was
-stopped goes on where it was. A key's rows come as an iterator; only ``PointChanges`` holds those of
-one micro-batch (two numbers each), to bring them in order.
+The processors run under ``transformWithStateInPandas``; their state lies in the state store
+(RocksDB), is part of the query's checkpoint, and a query that was stopped goes on where it was.
+A call and a step into the store cost about a millisecond each, so state is not held per key but
+per bucket of keys (``bucket_of``): a call judges all of a micro-batch's rows of a bucket with
+column operations, and a batch reads the state of the buckets that it touches.
 """
 
 from __future__ import annotations
@@ -13,37 +13,67 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Buckets of keys. Fixed for the life of a checkpoint, as keys may not change their bucket.
+BUCKETS = 1024
+
+
+def bucket_of(*keys: str):
+    """The bucket of a key; keys with different parts missing never share one, so that a column
+    is either whole or missing throughout a bucket (pandas would turn long to double)."""
+    missing = sum((F.col(k).isNull().cast("int") * (1 << i) for i, k in enumerate(keys)), F.lit(0))
+    return (F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)) + missing * BUCKETS).cast("int")
+
+
+def _pack(rows: pd.DataFrame, kinds: dict[str, str]) -> bytes:
+    """Columns as bytes, one after the other: eight bytes a value."""
+    return b"".join(np.ascontiguousarray(rows[c].to_numpy(dtype=kind)).tobytes() for c, kind in kinds.items())
+
+
+def _unpack(parts: list, kinds: dict[str, str]) -> pd.DataFrame:
+    cut = [np.frombuffer(bytes(x), dtype="i8").reshape(len(kinds), -1) for x in parts]
+    return pd.DataFrame({c: np.concatenate([x[i] for x in cut]).view(kind) if cut else np.empty(0, dtype=kind)
+                         for i, (c, kind) in enumerate(kinds.items())})
+
+
+def _held(state, kinds: dict[str, str]) -> pd.DataFrame:
+    """All that a list state of packed rows holds."""
+    return _unpack([x[0] for x in state.get()] if state.exists() else [], kinds)
+
 
 class FirstRequestWins(StatefulProcessor):
     """Of the requests to a key, the first one accepted takes it: the first batch that has one,
     and in a batch the least by ``order``. All others, and requests refused before, go out with
     their reasons, so every request leaves once."""
 
-    def __init__(self, accepted: str, taken: str, order: list[str]):
-        self.accepted, self.taken, self.order = accepted, taken, order
+    def __init__(self, accepted: str, taken: str, keys: list[str], order: list[str]):
+        self.accepted, self.taken, self.keys, self.order = accepted, taken, keys, order
+        self.kinds = dict.fromkeys(keys, "i8")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "held boolean")
+        self.held = handle.getListState("held", "keys binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held, best = self.held.exists(), None
+        held, best = None, None
         for part in rows:
             willing = part["status"] == self.accepted
+            if not willing.all():
+                yield part[~willing]
             if not willing.any():
-                yield part
-                continue
-            if held:
-                yield part.assign(status=part["status"].where(~willing, self.taken))
                 continue
-            # Only the least request so far waits for the rest of the batch.
+            if held is None:
+                held = _held(self.held, self.kinds)
+            # Only the least request to a free key so far waits for the rest of the batch.
             rivals = part[willing] if best is None else pd.concat([best, part[willing]], ignore_index=True)
-            rivals = rivals.sort_values(self.order, kind="stable")
-            best, lost = rivals.iloc[:1], rivals.iloc[1:].assign(status=self.taken)
-            yield pd.concat([part[~willing], lost], ignore_index=True)
-        if best is not None:
-            self.held.update((True,))
+            rivals = rivals.sort_values(self.order, kind="stable", ignore_index=True)
+            late = pd.concat([held, rivals[self.keys]], ignore_index=True).duplicated(self.keys).to_numpy()[len(held):]
+            best = rivals[~late]
+            if late.any():
+                yield rivals[late].assign(status=self.taken)
+        if best is not None and len(best):
+            self.held.appendList([(_pack(best, self.kinds),)])
             yield best
 
     def close(self) -> None:
