@@ -232,14 +232,14 @@ def stream_user_counters(spark: SparkSession, change_feed: DataFrame, chunk: "F.
     src = source or stage_source(spark, change_feed, "changes", chunk, chunk_values)
     root = root or new_scratch_path(spark, "counters")
     feed = spark.readStream.schema(change_feed.schema).option("maxFilesPerTrigger", 8).parquet(src)
-    gains = (feed.select("user_id", "pid", "seq", "op", F.col("new_points").cast("double").alias("new_points"))
-             .groupBy("user_id", "pid").transformWithStateInPandas(PointChanges(EXACT_POINTS), GAINS, outputMode="Append", timeMode="None"))
+    changes = feed.select("user_id", "pid", "seq", "op", F.col("new_points").cast("double").alias("new_points"))
+    gains = _bucketed(changes, "user_id", "pid").transformWithStateInPandas(PointChanges(EXACT_POINTS), GAINS, outputMode="Append", timeMode="None")
     path = _to_sink(gains, root, "gains")
     counted = "user_id long, t long, c long, e long"
     if not path_exists(spark, path):
         return CounterStream(SinkLog(spark, f"{root}/counted", counted))
     rows = spark.readStream.schema(GAINS).parquet(path)
-    live = rows.groupBy("user_id").transformWithStateInPandas(CountersFromFirstInsert(), counted, outputMode="Append", timeMode="None")
+    live = _bucketed(rows, "user_id").transformWithStateInPandas(CountersFromFirstInsert(), counted, outputMode="Append", timeMode="None")
     return CounterStream(SinkLog(spark, _to_sink(live, root, "counted"), counted))
 
 

@@ -88,100 +88,99 @@ def _gains(points: np.ndarray, before: np.ndarray, exact: int) -> tuple[np.ndarr
     return correct.astype(np.int64), hit.astype(np.int64)
 
 
+def _before(rows: pd.DataFrame) -> np.ndarray:
+    """The points of the change before, of rows in order of (user, prediction, seq); NaN: none."""
+    same = (rows["user_id"].to_numpy()[1:] == rows["user_id"].to_numpy()[:-1]) & (rows["pid"].to_numpy()[1:] == rows["pid"].to_numpy()[:-1])
+    return np.concatenate((np.full(min(len(rows), 1), np.nan), np.where(same, rows["points"].to_numpy()[:-1], np.nan)))
+
+
 class PointChanges(StatefulProcessor):
-    """A prediction's changes in any order of arrival, as gains by ``seq``.
+    """Predictions' changes in any order of arrival, as gains by ``seq``.
 
-    A change gains by the points of the change before it in ``seq``. The last change is kept by
-    itself, so changes in order need nothing else; a change that arrives late looks for its
-    neighbours in the list of earlier ones, read as a stream, and takes back what the change
-    after it had gained over another one.
+    A change gains by the points of the change before it in ``seq``. Each prediction's last change
+    is kept by itself, so changes in order need nothing else; for predictions with a change that
+    arrives late the earlier ones are read too, and a change that now comes after another one
+    than before gives the difference.
     """
 
+    KEY = ["user_id", "pid"]
+    KINDS = {"user_id": "i8", "pid": "i8", "seq": "i8", "points": "f8"}
+
     def __init__(self, exact: int):
         self.exact = exact
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "seq long, points double")
-        self.history = handle.getListState("history", "seq long, points double")
-
-    def _neighbours(self, seqs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Between the new changes: the first and the last earlier one, as (seq, points) pairs
-        with NaN where there is none. ``seqs`` ascend; place k lies before change k."""
-        first, last = np.full((2, len(seqs) + 1), np.nan), np.full((2, len(seqs) + 1), np.nan)
-        for seq, points in self.history.get():
-            k = int(np.searchsorted(seqs, seq))
-            if not first[0, k] <= seq:
-                first[:, k] = seq, np.nan if points is None else points
-            if not last[0, k] >= seq:
-                last[:, k] = seq, np.nan if points is None else points
-        return first, last
+        self.last = handle.getValueState("last", "changes binary")
+        self.history = handle.getListState("history", "changes binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable", ignore_index=True)
-        seqs = part["seq"].to_numpy(dtype=np.int64)
-        points = part["new_points"].astype("float64").where(part["op"] == "U").to_numpy()
-        known = self.last.get() if self.last.exists() else None
-        before = np.concatenate(([np.nan], points[:-1]))
-        again: list[tuple] = []
-        if known is not None:
-            if known[0] < seqs[0]:
-                before[0] = np.nan if known[1] is None else known[1]
-            else:
-                first, last = self._neighbours(seqs)
-                nearest = (np.nan, np.nan)  # the last earlier change below the place
-                for k in range(len(seqs) + 1):
-                    if k and not np.isnan(first[0, k]):
-                        # The change after a new one: it gained over the nearest earlier one.
-                        was, now = (_gains(first[1, k:k + 1], np.array([b]), self.exact) for b in (nearest[1], points[k - 1]))
-                        again.append((int(first[0, k]), 0, now[0][0] - was[0][0], now[1][0] - was[1][0], False))
-                    if not np.isnan(last[0, k]):
-                        nearest = (last[0, k], last[1, k])
-                        if k < len(seqs):
-                            before[k] = last[1, k]
-        correct, exact = _gains(points, before, self.exact)
-        self.history.appendList([(int(s), None if np.isnan(p) else float(p)) for s, p in zip(seqs, points)])
-        if known is None or known[0] < seqs[-1]:
-            self.last.update((int(seqs[-1]), None if np.isnan(points[-1]) else float(points[-1])))
-        op = part["op"]
-        out = pd.DataFrame({"seq": seqs, "t": (op == "I").astype(np.int64) - (op == "D").astype(np.int64),
-                            "c": correct, "e": exact, "inserted": op == "I"})
-        if again:
-            out = pd.concat([out, pd.DataFrame(again, columns=out.columns)], ignore_index=True)
-        yield out.assign(user_id=key[0])[["user_id", "seq", "t", "c", "e", "inserted"]]
+        part = pd.concat(list(rows), ignore_index=True)
+        new = pd.DataFrame({c: part[c].fillna(0).astype("int64") for c in (*self.KEY, "seq")})
+        new["points"] = part["new_points"].astype("float64").where(part["op"] == "U")
+        new = new.assign(t=(part["op"] == "I").astype("int64") - (part["op"] == "D").astype("int64"), inserted=part["op"] == "I", old=False)
+        last = _unpack([self.last.get()[0]] if self.last.exists() else [], self.KINDS)
+        known = last.merge(new.groupby(self.KEY, as_index=False)["seq"].min().rename(columns={"seq": "_least"}), on=self.KEY)
+        late = known["_least"] <= known["seq"]
+        old = known.loc[~late, list(self.KINDS)]
+        if late.any():
+            old = pd.concat([old, _held(self.history, self.KINDS).merge(known.loc[late, self.KEY], on=self.KEY)], ignore_index=True)
+        old = old.sort_values([*self.KEY, "seq"], kind="stable", ignore_index=True)
+        old["was"] = _before(old)
+        both = pd.concat([old.assign(t=0, inserted=False, old=True), new.assign(was=np.nan)], ignore_index=True)
+        both = both.sort_values([*self.KEY, "seq"], kind="stable", ignore_index=True)  # equal seq: the earlier first
+        points, mine = both["points"].to_numpy(), ~both["old"].to_numpy(dtype=bool)
+        correct, exact = _gains(points, _before(both), self.exact)
+        was_correct, was_exact = _gains(points, both["was"].to_numpy(dtype="float64"), self.exact)
+        both["c"], both["e"] = correct - np.where(mine, 0, was_correct), exact - np.where(mine, 0, was_exact)
+        self.history.appendList([(_pack(new, self.KINDS),)])
+        ends = pd.concat([last, new[list(self.KINDS)]], ignore_index=True).sort_values([*self.KEY, "seq"], kind="stable")
+        self.last.update((_pack(ends.drop_duplicates(self.KEY, keep="last"), self.KINDS),))
+        out = both.loc[mine | (both["c"] != 0) | (both["e"] != 0), ["user_id", "seq", "t", "c", "e", "inserted"]]
+        yield out.assign(user_id=None) if part["user_id"].isna().any() else out
 
     def close(self) -> None:
         pass
 
 
 class CountersFromFirstInsert(StatefulProcessor):
-    """A user's gains that count: those from the user's first insert on. Gains below the first
+    """Users' gains that count: those from the user's first insert on. Gains below the first
     insert known so far wait in a list; a smaller first insert frees those above it."""
 
+    SUMS = ["t", "c", "e"]
+    FIRST = {"user_id": "i8", "first": "i8"}
+    WAITING = dict.fromkeys(["user_id", "seq", *SUMS], "i8")
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "seq long")
-        self.waiting = handle.getListState("waiting", "seq long, t long, c long, e long")
+        self.first = handle.getValueState("first", "users binary")
+        self.waiting = handle.getListState("waiting", "gains binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.first.get()[0] if self.first.exists() else None
-        least, counted, below = known, np.zeros(3, dtype=np.int64), []
+        held = _unpack([self.first.get()[0]] if self.first.exists() else [], self.FIRST)
+        known = pd.Series(held["first"].to_numpy(), index=held["user_id"].to_numpy())
+        firsts, sums, below, nobody = [known], [], [], False
         for part in rows:
-            inserts = part.loc[part["inserted"], "seq"]
-            if len(inserts) and (least is None or inserts.min() < least):
-                least = int(inserts.min())
+            nobody |= bool(part["user_id"].isna().any())
+            part = part.assign(user_id=part["user_id"].fillna(0).astype("int64"))
+            firsts.append(part[part["inserted"].astype(bool)].groupby("user_id")["seq"].min())
             # Above the first insert that was known before, a gain counts whatever comes.
-            sure = part["seq"] >= known if known is not None else pd.Series(False, index=part.index)
-            counted += part.loc[sure, ["t", "c", "e"]].sum().to_numpy(dtype=np.int64)
-            below += [tuple(map(int, r)) for r in part.loc[~sure, ["seq", "t", "c", "e"]].itertuples(index=False)]
-        if least != known:
-            below += [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-            counted += np.array([r[1:] for r in below if r[0] >= least], dtype=np.int64).reshape(-1, 3).sum(axis=0)
-            below = [r for r in below if r[0] < least]
-            self.first.update((least,))
-            self.waiting.put(below) if below else self.waiting.clear()
-        elif below:
-            self.waiting.appendList(below)
-        if least is not None:
-            yield pd.DataFrame({"user_id": [key[0]], "t": [counted[0]], "c": [counted[1]], "e": [counted[2]]})
+            sure = (part["seq"] >= part["user_id"].map(known)).to_numpy()
+            sums.append(part.assign(**{c: part[c].where(sure, 0) for c in self.SUMS}).groupby("user_id")[self.SUMS].sum())
+            below.append(part.loc[~sure, list(self.WAITING)])
+        least = pd.concat(firsts).groupby(level=0).min().astype("int64")
+        rest = pd.concat(below, ignore_index=True)
+        moved = least[least != known.reindex(least.index)]
+        if len(moved):
+            rest = pd.concat([_held(self.waiting, self.WAITING), rest], ignore_index=True)
+            self.waiting.clear()
+            self.first.update((_pack(least.rename("first").rename_axis("user_id").reset_index(), self.FIRST),))
+        free = (rest["seq"] >= rest["user_id"].map(least)).to_numpy()
+        sums.append(rest[free].groupby("user_id")[self.SUMS].sum())
+        if not free.all():
+            self.waiting.appendList([(_pack(rest[~free], self.WAITING),)])
+        out = pd.concat(sums).groupby(level=0).sum().astype("int64")
+        out = out[out.index.isin(least.index)].rename_axis("user_id").reset_index()
+        if len(out):
+            yield out.assign(user_id=None) if nobody else out
 
     def close(self) -> None:
         pass

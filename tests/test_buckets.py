@@ -64,3 +64,33 @@ def test_requests_of_many_keys_in_one_call():
     assert sorted(got.itertuples(index=False, name=None)) == [(1, 1, 1, "taken"), (1, 2, 1, "taken"), (2, 1, 9, "ok")]
     got = _call(wins, columns, (2, 1, 1, "ok"))
     assert list(got["status"]) == ["taken"]
+
+
+def test_changes_of_many_predictions_in_one_call():
+    gains = K.PointChanges(10)
+    gains.init(_Handle())
+    columns = ["user_id", "pid", "seq", "op", "new_points"]
+    none = float("nan")
+
+    def sums(*rows):
+        got = _call(gains, columns, *rows).groupby("user_id")[["t", "c", "e"]].sum()
+        return {u: tuple(r) for u, r in zip(got.index, got.to_numpy())}
+
+    assert sums((1, 1, 1, "I", none), (1, 1, 4, "U", 10.0), (2, 1, 2, "U", 5.0), (2, 2, 3, "U", 10.0)) == {1: (1, 1, 1), 2: (0, 2, 1)}
+    # Prediction (1, 1) had 10 points before its change 4 already; (2, 1) goes on in order.
+    assert sums((1, 1, 2, "U", 10.0), (2, 1, 5, "U", 10.0)) == {1: (0, 0, 0), 2: (0, 0, 1)}
+    assert sums((1, 1, 3, "U", 0.0), (2, 2, 6, "D", none)) == {1: (0, 1, 1), 2: (-1, 0, 0)}
+
+
+def test_counters_of_many_users_in_one_call():
+    counters = K.CountersFromFirstInsert()
+    counters.init(_Handle())
+    columns = ["user_id", "seq", "t", "c", "e", "inserted"]
+
+    def counted(*rows):
+        got = _call(counters, columns, *rows)
+        return sorted(got[["user_id", "t", "c", "e"]].itertuples(index=False, name=None)) if len(got) else []
+
+    assert counted((1, 5, 0, 1, 0, False), (2, 6, 0, 1, 1, False)) == []      # no insert yet: both wait
+    assert counted((1, 4, 1, 0, 0, True), (2, 7, 1, 0, 0, True)) == [(1, 1, 1, 0), (2, 1, 0, 0)]
+    assert counted((1, 3, 0, 1, 0, False), (2, 6, 1, 0, 0, True)) == [(1, 0, 0, 0), (2, 1, 1, 1)]
