@@ -302,6 +302,6 @@ def stream_lock_timers(spark: SparkSession, predictions: DataFrame, source: str,
     # would be moved below the watermark and take the clock away.
     events = rows.select(F.coalesce("fixture_id", F.lit(-1)).alias("fixture_id"), "completed", F.coalesce("version", F.lit(0)).alias("version"),
                          F.unix_millis(F.col("start_time").cast("timestamp")).alias("start_ms"), F.col("clock").cast("timestamp").alias("clock"))
-    locked = (events.withWatermark("clock", "0 seconds").groupBy("fixture_id")
-              .transformWithStateInPandas(LockAtStart(), "fixture_id long", outputMode="Append", timeMode="EventTime"))
+    locked = _bucketed(events.withWatermark("clock", "0 seconds"), "fixture_id").transformWithStateInPandas(
+        LockAtStart(), "fixture_id long", outputMode="Append", timeMode="EventTime")
     return LockTimers(predictions, SinkLog(spark, _to_sink(locked, root, "locked"), "fixture_id long"))

@@ -189,48 +189,65 @@ class CountersFromFirstInsert(StatefulProcessor):
 class LockAtStart(StatefulProcessor):
     """A game locks when it is completed or the clock reaches its start, whichever comes first.
 
-    Its start is a timer in the state store; a game that is moved gets another one. The clock is
-    the watermark, so no row has to name the game when its time comes."""
+    The earliest start of a bucket's open games is a timer in the state store; when it fires, the
+    games that have started lock and the next start is the timer. The clock is the watermark, so
+    no row has to name a game when its time comes."""
+
+    KINDS = dict.fromkeys(["fixture_id", "at", "version", "locked"], "i8")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.start = handle.getValueState("start", "at long, version long")
-        self.locked = handle.getValueState("locked", "locked boolean")
-
-    def _lock(self) -> Iterator[pd.DataFrame]:
-        self.locked.update((True,))
-        self.start.clear()
-        yield pd.DataFrame({"fixture_id": [self.fixture]})
+        self.games = handle.getValueState("games", "games binary")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _settle(self, games: pd.DataFrame, now: int, done: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Lock the open games that are done or have started; the timer is the next start."""
+        open_ = games["locked"].to_numpy() == 0
+        locks = open_ & (done | (games["at"].to_numpy() <= now))
+        games["locked"] = games["locked"].where(~locks, 1)
+        self.games.update((_pack(games, self.KINDS),))
+        waiting = games.loc[open_ & ~locks, "at"]
+        held = self.timer.get()[0] if self.timer.exists() else None
+        after = int(waiting.min()) if len(waiting) else None
+        if held != after:
+            if held is not None and held > now:
+                self.handle.deleteTimer(held)
+            if after is None:
+                self.timer.clear()
+            else:
+                self.handle.registerTimer(after)
+                self.timer.update((after,))
+        if locks.any():
+            yield games.loc[locks, ["fixture_id"]]
+
+    def _held(self) -> pd.DataFrame:
+        return _unpack([self.games.get()[0]] if self.games.exists() else [], self.KINDS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        self.fixture, completed, newest = key[0], False, None
+        completed, news = set(), []
         for part in rows:
-            completed |= bool(part["completed"].any())
-            known = part[part["start_ms"].notna()]
-            if len(known):
-                last = known.sort_values("version", kind="stable").iloc[-1]
-                if newest is None or last["version"] >= newest[1]:
-                    newest = (int(last["start_ms"]), int(last["version"]))
-        if self.fixture is None or self.fixture < 0 or self.locked.exists():
-            return  # the clock's own rows; a locked game stays locked
-        if completed:
-            yield from self._lock()
-            return
-        held = self.start.get() if self.start.exists() else None
-        if newest is None or (held is not None and held[1] > newest[1]):
+            part = part[part["fixture_id"] >= 0]  # the clock's own rows name no game
+            completed.update(part.loc[part["completed"].eq(True), "fixture_id"])
+            told = part.loc[part["start_ms"].notna(), ["fixture_id", "start_ms", "version"]].rename(columns={"start_ms": "at"})
+            # Of equal versions the last one told counts.
+            told = pd.concat([*news, told], ignore_index=True).sort_values("version", kind="stable")
+            news = [told.drop_duplicates("fixture_id", keep="last")]
+        if not completed and not sum(map(len, news)):
             return
-        if held is not None and held[0] != newest[0]:
-            self.handle.deleteTimer(held[0])
-        self.start.update(newest)
-        if newest[0] <= timerValues.getCurrentWatermarkInMs():
-            yield from self._lock()
-        else:
-            self.handle.registerTimer(newest[0])
+        games = self._held()
+        told = news[0].assign(locked=0).astype("int64")
+        shut = games["locked"].to_numpy() == 1  # a locked game stays locked
+        starts = pd.concat([games[~shut], told[~told["fixture_id"].isin(games.loc[shut, "fixture_id"])]], ignore_index=True)
+        starts = starts.sort_values("version", kind="stable").drop_duplicates("fixture_id", keep="last")
+        games = pd.concat([games[shut], starts], ignore_index=True)
+        unheard = sorted(completed - set(games["fixture_id"]))  # completed without a start
+        games = pd.concat([games, pd.DataFrame({"fixture_id": unheard, "at": 0, "version": 0, "locked": 0})], ignore_index=True).astype("int64")
+        yield from self._settle(games, timerValues.getCurrentWatermarkInMs(), games["fixture_id"].isin(completed).to_numpy())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.fixture = key[0]
-        if self.start.exists() and self.start.get()[0] == expiredTimerInfo.getExpiryTimeInMs():
-            yield from self._lock()
+        games = self._held()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        yield from self._settle(games, now, np.zeros(len(games), dtype=bool))
 
     def close(self) -> None:
         pass

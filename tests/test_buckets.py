@@ -94,3 +94,37 @@ def test_counters_of_many_users_in_one_call():
     assert counted((1, 5, 0, 1, 0, False), (2, 6, 0, 1, 1, False)) == []      # no insert yet: both wait
     assert counted((1, 4, 1, 0, 0, True), (2, 7, 1, 0, 0, True)) == [(1, 1, 1, 0), (2, 1, 0, 0)]
     assert counted((1, 3, 0, 1, 0, False), (2, 6, 1, 0, 0, True)) == [(1, 0, 0, 0), (2, 1, 1, 1)]
+
+
+class _Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+class _Fired:
+    def __init__(self, at):
+        self.at = at
+
+    def getExpiryTimeInMs(self):
+        return self.at
+
+
+def test_games_of_a_bucket_share_one_timer():
+    locks, handle = K.LockAtStart(), _Handle()
+    locks.init(handle)
+    columns = ["fixture_id", "completed", "version", "start_ms"]
+    rows = [(1, False, 1, 10.0), (2, False, 1, 20.0), (3, False, 1, 20.0), (4, False, 1, 30.0), (5, True, 0, None), (-1, None, 0, None)]
+    assert list(_call(locks, columns, *rows, clock=_Clock(0))["fixture_id"]) == [5] and handle.timers == {10}
+
+    def fire(at):
+        got = pd.concat(list(locks.handleExpiredTimer((0,), _Clock(at), _Fired(min(handle.timers)))))
+        handle.timers = {t for t in handle.timers if t > at}
+        return sorted(got["fixture_id"])
+
+    assert fire(25) == [1, 2, 3] and handle.timers == {30}
+    # Game 4 is moved forward: its timer goes, the games that are locked stay so.
+    assert len(_call(locks, columns, (4, False, 2, 40.0), (1, False, 9, 99.0), clock=_Clock(25))) == 0 and handle.timers == {40}
+    assert fire(40) == [4] and not handle.timers
