@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorecast.session import ensure_session_defaults
+from scorecast.session import bound_tasks, ensure_session_defaults
 from scorecast.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +23,9 @@ def query(key: str, oracle: str | None = None):
     def deco(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ensure_session_defaults(spark)
-            return fn(Tables.for_dir(spark, sf_dir))
+            t = Tables.for_dir(spark, sf_dir)
+            bound_tasks(spark, t.input_bytes)
+            return fn(t)
 
         run.__name__ = f"q_{key}"
         run.__doc__ = fn.__doc__

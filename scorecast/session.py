@@ -16,6 +16,9 @@ from pyspark.sql import SparkSession
 LOCAL_SHUFFLE_PARTITIONS = 8
 BROADCAST_THRESHOLD_BYTES = 32 * 1024 * 1024
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+#: Most bytes of files or shuffled rows that one task sorts or hashes. Rows here are narrow and
+#: compress to 10 to 40 bytes, so that Spark's 128 and 64 MB are millions of rows a task.
+TASK_BYTES = 16 * 1024 * 1024
 
 
 def build_session(master: str | None = None, app: str = "scorecast",
@@ -53,6 +56,20 @@ def ensure_session_defaults(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def bound_tasks(spark: SparkSession, total_bytes: int) -> None:
+    """Let tasks grow in number with the input, not in size, so that their sorts and hash tables
+    stay in memory at any size. Smaller settings of the session stay."""
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"):
+        least = 2 * TASK_BYTES if "files" in key else TASK_BYTES
+        jvm = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
+        if jvm.byteStringAsBytes(spark.conf.get(key)) > least:
+            spark.conf.set(key, str(least))
+    start = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), partitions_for(total_bytes, TASK_BYTES // 2))
+    if int(spark.conf.get(start, None) or 0) < n:
+        spark.conf.set(start, str(n))
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 

@@ -57,6 +57,8 @@ RANGED = {"fixtures": "start_time"}
 FOLDERS = {"predictions_by_game": "game_block"}
 LEAST_BLOCKS = 16
 BUCKETS_CONF = "spark.scorecast.buckets"
+#: Bytes of lineitem and orders a bucket: about a million predictions and memberships each.
+BUCKET_BYTES = 32 * 1024 * 1024
 
 
 class Tables:
@@ -79,14 +81,18 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return load_raw(self.spark, self.sf_dir, name)
 
+    @cached_property
+    def input_bytes(self) -> int:
+        """Bytes of the tables that predictions, memberships and boards come from."""
+        return input_bytes(self.spark, [f"{self.sf_dir}/{n}.parquet" for n in ("lineitem", "orders")])
+
     @cached_property
     def buckets(self) -> int:
-        """Buckets of about the target partition size, at least one per shuffle partition."""
+        """Buckets that a task can sort in memory, at least one per shuffle partition."""
         given = self.spark.conf.get(BUCKETS_CONF, None)
         if given:
             return int(given)
-        size = input_bytes(self.spark, [f"{self.sf_dir}/{n}.parquet" for n in ("lineitem", "orders")])
-        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), partitions_for(size))
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), partitions_for(self.input_bytes, BUCKET_BYTES))
 
     @cached_property
     def _key(self) -> str:
@@ -267,8 +273,7 @@ class Tables:
 
     @cached_property
     def game_blocks(self) -> int:
-        size = input_bytes(self.spark, [f"{self.sf_dir}/{n}.parquet" for n in ("lineitem", "orders")])
-        return max(LEAST_BLOCKS, partitions_for(size))
+        return max(LEAST_BLOCKS, partitions_for(self.input_bytes))
 
     def _plan_predictions_by_game(self) -> DataFrame:
         from scorecast.operators.scoring import GameIndex
