@@ -58,7 +58,10 @@ def ensure_session_defaults(spark: SparkSession) -> None:
 
 def bound_tasks(spark: SparkSession, total_bytes: int) -> None:
     """Let tasks grow in number with the input, not in size, so that their sorts and hash tables
-    stay in memory at any size. Smaller settings of the session stay."""
+    stay in memory at any size. Smaller settings of the session stay.
+
+    Joins on more than the buckets' columns may use the buckets as they lie: the other side is
+    brought to them, and the stored table is not shuffled."""
     for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"):
         least = 2 * TASK_BYTES if "files" in key else TASK_BYTES
         jvm = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
@@ -68,6 +71,7 @@ def bound_tasks(spark: SparkSession, total_bytes: int) -> None:
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), partitions_for(total_bytes, TASK_BYTES // 2))
     if int(spark.conf.get(start, None) or 0) < n:
         spark.conf.set(start, str(n))
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
 
 
 def _is_local(spark: SparkSession) -> bool:

@@ -1,10 +1,15 @@
-"""Tasks grow in number with the input, not in size."""
+"""Tasks grow in number with the input, not in size; stored buckets are joined where they lie."""
 
+from pyspark.sql import functions as F
+
+from scorecast.operators import predictions as R
+from scorecast.plans import registry
 from scorecast.session import TASK_BYTES, bound_tasks
+from scorecast.sources import batches
 from scorecast.sources.tables import Tables
 
 KEYS = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.requireAllClusterKeysForCoPartition")
 
 
 def _restored(spark, test):
@@ -35,3 +40,18 @@ def test_buckets_follow_the_input(spark, monkeypatch):
 
     monkeypatch.setattr(T, "input_bytes", lambda *_: 1 << 30)
     assert Tables(spark, "/nowhere").buckets == 32
+
+
+def test_deletes_do_not_shuffle_the_stored_predictions(spark, tables):
+    def test():
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        registry.load_all()
+        registry.QUERIES["next_fixtures"](spark, tables.sf_dir)  # any query sets the session up
+        gone = batches.delete_requests(tables)
+        left = R.remaining_after_delete(tables.predictions, gone.select("*", F.lit(R.DELETED).alias("status")))
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        # One exchange for the requests' two parts together, none for the stored side.
+        assert plan.count("Exchange hashpartitioning") == 1, plan
+
+    _restored(spark, test)
