@@ -217,7 +217,8 @@ class CounterStream:
         self.counted = counted
 
     def final(self) -> DataFrame:
-        return self.counted.read().groupBy("user_id").agg(
+        # Changes that name no user count for nobody, as in the batch.
+        return self.counted.read().filter("user_id IS NOT NULL").groupBy("user_id").agg(
             F.sum("t").alias("total_predictions"), F.sum("c").alias("correct_predictions"),
             F.sum("e").alias("exact_score_predictions"))
 
