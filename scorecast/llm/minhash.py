@@ -247,8 +247,8 @@ def candidate_families(reps: DataFrame, need: int) -> DataFrame:
     """
     banded = reps.select("doc_id", "xor_hash", F.explode("bands").alias("key"))
     signs = reps.select("doc_id", "xor_hash", "sig")
-    shared = (banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-              .select("key", F.ceil(F.col("n") / BLOCK_DOCS).alias("n_blocks")))
+    shared = _released(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+                       .select("key", F.ceil(F.col("n") / BLOCK_DOCS).alias("n_blocks")), "near-keys")
     place = F.xxhash64("doc_id", "key")
     within = (banded.join(shared, "key").withColumn("block", F.pmod(place, F.col("n_blocks")).cast("int"))
               .withColumn("left", F.col("block")).withColumn("right", F.col("block")).drop("n_blocks"))
@@ -286,7 +286,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     same = ["n_shingles", "sum_hash", "xor_hash"]
     sized = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = sized.groupBy(*same).agg(F.min("doc_id").alias("class_id"))
-    reps = sized.join(classes, same).filter("doc_id = class_id").dropDuplicates(["doc_id", *same])
+    # Written, as the queries of the families read it several times: so each has a short plan.
+    reps = _released(sized.join(classes, same).filter("doc_id = class_id").dropDuplicates(["doc_id", *same])
+                     .drop("class_id"), "near-reps")
 
     hung = candidate_families(reps, plan.agree)
     family = hung.union(hung.select(F.col("component").alias("node"), "component").distinct())

@@ -7,7 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorecast.session import scratch_dir
+from scorecast.session import _hadoop_path, scratch_dir
 
 
 #: Rows of an Arrow batch between Spark and a Python worker, at most.
@@ -20,15 +20,27 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or fallback).rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read again."""
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own for a table in this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/run-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder (to a new path there, or to ``path``)
+    and read again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/run-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = path or new_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def forgotten(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    fs, p = _hadoop_path(spark, path)
+    fs.delete(p, True)
+
+
 #: Spark's setting that removes a query's shuffle files when the query has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
