@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -112,27 +112,44 @@ class Vocabulary:
     """A byte-level BPE vocabulary file with its merge rules."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)
-        to_byte = self._byte_signs()
-        raw = lambda token: bytes(to_byte[c] for c in token)
+        self.path, model = path, self._read(path)
+        raw = self._raw()
         self.ids = {raw(t): i for t, i in model["model"]["vocab"].items()}
         self.bytes = {i: b for b, i in self.ids.items()}
-        self.ranks: dict[tuple[bytes, bytes], int] = {}
-        for rank, pair in enumerate(model["model"]["merges"]):
-            left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks[raw(left), raw(right)] = rank
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
         self.longest = max(map(len, self.ids))
-        self.made: dict[bytes, tuple[bytes, bytes, int]] = {}
-        for (left, right), rank in self.ranks.items():
-            self.made.setdefault(left + right, (left, right, rank))
         self._fits: dict[tuple[int, int], bool] = {}
         self._edges: dict[tuple[bytes, bool], list[tuple[bytes, int]]] = {}
         self._whole: dict[bytes, bool] = {}
         self.cache: dict[bytes, tuple[int, ...]] = {}
 
+    @staticmethod
+    def _read(path: str) -> dict:
+        with open(path, encoding="utf-8") as f:
+            return json.load(f)
+
+    @classmethod
+    def _raw(cls):
+        to_byte = cls._byte_signs()
+        return lambda token: bytes(to_byte[c] for c in token)
+
+    # The merge rules are most of a vocabulary's memory: read only where they are applied.
+    @cached_property
+    def ranks(self) -> dict[tuple[bytes, bytes], int]:
+        raw, ranks = self._raw(), {}
+        for rank, pair in enumerate(self._read(self.path)["model"]["merges"]):
+            left, right = pair.split(" ") if isinstance(pair, str) else pair
+            ranks[raw(left), raw(right)] = rank
+        return ranks
+
+    @cached_property
+    def made(self) -> dict[bytes, tuple[bytes, bytes, int]]:
+        made: dict[bytes, tuple[bytes, bytes, int]] = {}
+        for (left, right), rank in self.ranks.items():
+            made.setdefault(left + right, (left, right, rank))
+        return made
+
     @staticmethod
     def _byte_signs() -> dict[str, int]:
         """The sign that stands for each byte in the file: printable Latin-1 signs for

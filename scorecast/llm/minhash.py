@@ -139,7 +139,7 @@ def _sign(plan: Scheme):
                 out = pd.DataFrame(rows, columns=["n_shingles", "sum_hash", "xor_hash", "sig", "bands"])
                 out.insert(0, "doc_id", batch["doc_id"].iloc[a:b].astype("Int64").to_numpy())
                 yield out
-    return run
+    return S.giving_back(run)
 
 
 def _candidates(need: int):
@@ -163,7 +163,7 @@ def _candidates(need: int):
                         forest.link(i - lo, i + 1 + int(j) - lo)
                 out += [(ids[lo + x], ids[lo + y]) for x, y in forest.links]
             yield pd.DataFrame(np.array(out, dtype=np.int64).reshape(-1, 2), columns=["a", "b"])
-    return run
+    return S.giving_back(run)
 
 
 def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,7 +187,7 @@ def _confirm(percent: int):
                 links = confirmed_links(sets, percent, block[lo:hi] if left[lo] != right[lo] else None)
                 out += [(ids[lo + x], ids[lo + y]) for x, y in links]
             yield pd.DataFrame(np.array(out, dtype=np.int64).reshape(-1, 2), columns=["a", "b"])
-    return run
+    return S.giving_back(run)
 
 
 def confirmed_links(sets: list[np.ndarray], percent: int, block: np.ndarray | None = None) -> list[tuple[int, int]]:

@@ -33,6 +33,8 @@ from scorecast.llm import bpe
 from scorecast.llm import spans as S
 
 CLOSING_ID = 0
+#: Distinct words whose ids a task keeps (some 300 bytes each).
+KEEP_WORDS = 100_000
 SCHEMA = ("doc_id long, start long, length long, loss_tokens long, doc_tokens long, "
           "sequence_id long, offset long, ids binary")
 
@@ -63,7 +65,7 @@ def document_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
     encode, vocab, cache = _encoder(path)
     for _, _, words, index, firsts in vocab.encode_batch(texts):
         new = [w for w in words if w not in cache]
-        if len(cache) + len(new) > bpe.KEEP_WORDS:
+        if len(cache) + len(new) > KEEP_WORDS:
             cache.clear()
             new = words
         cache.update((w, array("I", [vocab.special[w]] if isinstance(w, bpe.SpecialWord) else encode(w)).tobytes())
@@ -159,7 +161,7 @@ def _pack(path: str, limits: Limits, pool: int, has_loss: bool):
         packer.close()
         _encoder(path)[2].clear()  # the worker lives on; its next task has its own words
         yield _frame(packer.flush(), columns)
-    return run
+    return S.giving_back(run)
 
 
 def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:

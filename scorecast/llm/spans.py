@@ -109,6 +109,27 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return (prefix[ends] - prefix[starts]) * inverse[starts]
 
 
+def give_back() -> None:
+    """Return memory that is free in this process to the system."""
+    import ctypes
+    import sys
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
+def giving_back(run):
+    """``run``, a function of a task's batches, that returns free memory at the task's end: the
+    worker lives on, and would keep what the largest of its tasks took."""
+    def task(batches):
+        yield from run(batches)
+        give_back()
+    return task
+
+
 def arrow_filter(keep):
     """For mapInArrow: the rows, with all columns as they are, whose text ``keep`` accepts
     (a function from a list of texts, null as empty, to a mask)."""
@@ -118,7 +139,7 @@ def arrow_filter(keep):
         for batch in batches:
             texts = clean(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield batch.filter(pa.array(keep(texts), type=pa.bool_()))
-    return run
+    return giving_back(run)
 
 
 def arrow_rewrite(change):
@@ -130,4 +151,4 @@ def arrow_rewrite(change):
             at = batch.schema.get_field_index("text")
             texts = [t if t is None else change(t) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, type=batch.schema.field(at).type))
-    return run
+    return giving_back(run)
