@@ -14,9 +14,9 @@ from scorecast.llm.scratch import shuffle_partitions
 PAIR = ["key", "left", "right"]
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """Rows dealt by unit of work and sorted by it."""
-    return rows.repartition(shuffle_partitions(rows.sparkSession), *PAIR).sortWithinPartitions(*PAIR, "doc_id")
+def dealt(rows: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Rows dealt by unit of work, to so many ``tasks`` where given, and sorted by it."""
+    return rows.repartition(tasks or shuffle_partitions(rows.sparkSession), *PAIR).sortWithinPartitions(*PAIR, "doc_id")
 
 
 def segments(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:

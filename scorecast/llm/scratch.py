@@ -57,6 +57,18 @@ def released_shuffles(spark: SparkSession):
         spark.conf.set(CLEANUP, before)
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int):
+    """Queries run inside send Python workers so many rows at once, at most: for rows that are large each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -193,6 +193,71 @@ def test_vector_links_against_brute_force(spark, monkeypatch, cell, block):
     assert all(got[i].kept == (roots[i] == i) for i in got)
 
 
+def _unstructured(n, dims=64, groups=20, seed=5):
+    """Random vectors, some of them in groups about the limit of 0.9."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dims)).astype(np.float32)
+    for g in range(groups):
+        own = rng.choice(n, 12, replace=False)
+        x[own] = x[own[0]] + rng.uniform(0.1, 0.5, (12, 1)) * rng.standard_normal((12, dims))
+    return x
+
+
+def _brute_links(x, at_least=0.9):
+    y = x.astype(np.float64)
+    y /= np.sqrt((y * y).sum(axis=1, keepdims=True))
+    a, b = np.nonzero(np.triu(y @ y.T >= at_least, 1))
+    return np.bincount(np.concatenate([a, b]), minlength=len(x)).tolist(), _roots(len(x), list(zip(a.tolist(), b.tolist())))
+
+
+def _vector_frame(spark, x):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(4)
+
+
+def test_vectors_without_structure_are_dealt_a_few_times(spark, monkeypatch):
+    """They were sent as doubles, once for every 4,096 others."""
+    n, dealt, sent = 20_000, embeddings.dealt, []
+
+    def counted(rows, *more):
+        sent.append(rows.agg(F.sum(F.length("vec"))).first()[0])
+        return dealt(rows, *more)
+
+    monkeypatch.setattr(embeddings, "dealt", counted)
+    x = _unstructured(n)
+    ship_package(spark)
+    got = sorted(embeddings.near_vectors(_vector_frame(spark, x)).select("vec_id", "n_links", "component_id").collect())
+    links, roots = _brute_links(x)
+    assert [r.n_links for r in got] == links and sum(links) > 500
+    assert [r.component_id for r in got] == roots
+    assert sum(sent) <= 5 * x.nbytes, sum(sent) / x.nbytes
+
+
+@pytest.mark.parametrize("cell, block, held", [(50, 200, 1 << 24), (400, 90, 20_000)])
+def test_vector_rounds_and_bounds_lose_no_link(spark, monkeypatch, cell, block, held):
+    """Cells in shared and in several blocks, many rounds, and a bound from fewer coordinates than there are."""
+    for name, value in {"CELL": cell, "BLOCK": block, "HELD_BYTES": held, "ROUND": 1, "ROUND_BYTES": 0, "CHECKED": 50}.items():
+        monkeypatch.setattr(embeddings, name, value)
+    rounds, made = [], embeddings._rounds
+    monkeypatch.setattr(embeddings, "_rounds", lambda chunks: rounds.extend(made(chunks)) or rounds)
+    x = _unstructured(900)
+    x[700:760] = x[700] + 0.02 * x[600:660]  # one dense group
+    ship_package(spark)
+    got = sorted(embeddings.near_vectors(_vector_frame(spark, x)).select("vec_id", "n_links", "component_id").collect())
+    links, roots = _brute_links(x)
+    assert [r.n_links for r in got] == links and max(links) >= 59
+    assert [r.component_id for r in got] == roots
+    assert len(rounds) > 2 and rounds[0][0] == 0 and all(a[1] < b[0] for a, b in zip(rounds, rounds[1:]))
+
+
+def test_vector_bound_is_never_below_the_cosine():
+    x = _unstructured(2000, groups=4).astype(np.float64)
+    unit = embeddings._unit(x)
+    axes = embeddings._axes(unit, 0.9)
+    assert axes is not None and axes.shape[1] < 48
+    flat = embeddings._flat(unit, axes)
+    assert flat.dtype == np.float32 and (flat @ flat.T >= unit @ unit.T - 1e-5).all()
+
+
 def test_vector_edge_tables(spark):
     ship_package(spark)
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<float>")
